@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op1_media
+from .neardup import op7_near_duplicates
 from .packing import op5_pack
 from .pieces import op6_pieces
 from .token_files import op3_token_files
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op5_pack": op5_pack,
         "op6_pieces": op6_pieces,
+        "op7_near_duplicates": op7_near_duplicates,
     }
 
 
