@@ -10,6 +10,7 @@ from .media import op1_media
 from .neardup import op7_near_duplicates
 from .packing import op5_pack
 from .pieces import op6_pieces
+from .repeats import op9_repeats
 from .token_files import op3_token_files
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pack": op5_pack,
         "op6_pieces": op6_pieces,
         "op7_near_duplicates": op7_near_duplicates,
+        "op9_repeats": op9_repeats,
     }
 
 
