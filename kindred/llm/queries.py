@@ -10,18 +10,22 @@ from .media import op1_media
 from .neardup import op7_near_duplicates
 from .packing import op5_pack
 from .pieces import op6_pieces
+from .quality import op10_quality
 from .repeats import op9_repeats
 from .token_files import op3_token_files
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
+        "op2_toxicity": op2_toxicity,
         "op3_token_files": op3_token_files,
         "op5_pack": op5_pack,
         "op6_pieces": op6_pieces,
         "op7_near_duplicates": op7_near_duplicates,
         "op9_repeats": op9_repeats,
+        "op10_quality": op10_quality,
     }
 
 
