@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op1_media
+from .mih import op8_nearest
 from .neardup import op7_near_duplicates
 from .packing import op5_pack
 from .pieces import op6_pieces
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pack": op5_pack,
         "op6_pieces": op6_pieces,
         "op7_near_duplicates": op7_near_duplicates,
+        "op8_nearest": op8_nearest,
         "op9_repeats": op9_repeats,
         "op10_quality": op10_quality,
     }

@@ -4,8 +4,8 @@ Documents carry labels, tokens do not. From a bounded sample of labelled trainin
 tokens are labelled first: in a toxic document a token is toxic if its word, or one of its
 beginnings of 3 to 6 letters, is far more frequent among toxic documents than among others.
 The field is trained on these tokens, with the word and its beginnings as features. In scoring,
-forward-backward marginals tag tokens; a document's expected number of toxic tokens gives its
-score through a logistic fitted on the same sample.
+forward-backward marginals tag tokens; a document's expected number of toxic tokens, beside
+its length, gives its score through a logistic fitted on the same sample.
 
 A null or empty text has no token and the score of no toxic token. Repeated rows are scored
 alike. Without labelled documents of both kinds all scores are the share of toxic labels (0
@@ -42,10 +42,10 @@ def cues(word: str) -> list[str]:
 
 
 class Model:
-    """weights of cues, the chain, and the logistic a + b * log(toxic tokens + 1/2)."""
+    """weights of cues, the chain, and the logistic of log(toxic tokens + 1/2) and log(tokens + 1): a, b, c."""
 
-    def __init__(self, weights: dict[str, float], bias: float, chain: Chain, a: float, b: float):
-        self.weights, self.bias, self.chain, self.a, self.b = weights, bias, chain, a, b
+    def __init__(self, weights: dict[str, float], bias: float, chain: Chain, logistic: tuple[float, float, float]):
+        self.weights, self.bias, self.chain, self.logistic = weights, bias, chain, logistic
 
     def odds(self, word: str) -> float:
         get = self.weights.get
@@ -61,8 +61,9 @@ class Model:
         post = self.chain.marginals(np.concatenate(full), first)
         return np.split(post, np.cumsum(n)[:-1])
 
-    def score(self, expected: float) -> float:
-        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.a + self.b * math.log(expected + 0.5)))))
+    def score(self, expected: float, tokens: int) -> float:
+        a, b, c = self.logistic
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, a + b * math.log(expected + 0.5) + c * math.log(tokens + 1)))))
 
 
 class _Odds(dict):
@@ -81,7 +82,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from whole texts and their labels."""
     share = sum(toxic) / len(toxic) if toxic else 0.0
     if not 0 < share < 1:
-        return Model({}, 0.0, Chain(np.zeros((2, 2)), np.array([0.0, -30.0])), 30.0 if share else -30.0, 0.0)
+        return Model({}, 0.0, Chain(np.zeros((2, 2)), np.array([0.0, -30.0])), (30.0 if share else -30.0, 0.0, 0.0))
     words = [WORD.findall(t or "") for t in texts]
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
     in1: Counter = Counter()
@@ -109,25 +110,25 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     first[(np.cumsum(lens) - lens)[lens > 0]] = True
     labels = (hot[types] & (np.repeat(toxic, lens) == 1)).astype(np.int64)
     w, chain = train(types, first, labels, features, len(number) + 1)
-    model = Model({c: float(w[i]) for c, i in number.items() if abs(w[i]) > 1e-9}, float(w[-1]), chain, 0.0, 1.0)
+    model = Model({c: float(w[i]) for c, i in number.items() if abs(w[i]) > 1e-9}, float(w[-1]), chain, (0.0, 1.0, 0.0))
     odds = np.bincount(np.repeat(np.arange(len(features)), [len(f) for f in features]), w[np.concatenate(features)])
     post = chain.marginals(odds[types], first)
     expected = np.array([p.sum() for p in np.split(post, np.cumsum(lens)[:-1])])
-    model.a, model.b = _logistic(np.log(expected + 0.5), np.array(toxic, float))
+    model.logistic = _logistic(np.log(expected + 0.5), np.log(lens + 1), np.array(toxic, float))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Newton steps on the likelihood with a small penalty."""
-    v, d = np.zeros(2), np.stack([np.ones_like(x), x], axis=1)
+    v, d = np.zeros(3), np.stack([np.ones_like(x), x, z], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(d @ v, -500, 500)))
-        h = (d * (p * (1 - p))[:, None]).T @ d + 0.1 * np.eye(2)
+        h = (d * (p * (1 - p))[:, None]).T @ d + 0.1 * np.eye(3)
         step = np.linalg.solve(h, d.T @ (y - p) - 0.1 * v)
         v += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(v[0]), float(v[1])
+    return float(v[0]), float(v[1]), float(v[2])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -174,7 +175,7 @@ def tag(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 if len(bad):
                     at = [x.span() for x in WORD.finditer(t)]
                     spans[-1] = [{"start": at[i][0], "end": at[i][1]} for i in bad]
-            yield arrow([column(b, "doc_id"), [m.score(e) for e in expected], expected, spans], schema)
+            yield arrow([column(b, "doc_id"), [m.score(e, len(p)) for e, p in zip(expected, post)], expected, spans], schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, expected double, spans array<struct<start: int, end: int>>")
 
