@@ -11,6 +11,7 @@ from .mih import op8_nearest
 from .neardup import op7_near_duplicates
 from .packing import op5_pack
 from .pieces import op6_pieces
+from .pii import op4_pseudonyms
 from .quality import op10_quality
 from .repeats import op9_repeats
 from .token_files import op3_token_files
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_media": op1_media,
         "op2_toxicity": op2_toxicity,
         "op3_token_files": op3_token_files,
+        "op4_pseudonyms": op4_pseudonyms,
         "op5_pack": op5_pack,
         "op6_pieces": op6_pieces,
         "op7_near_duplicates": op7_near_duplicates,

@@ -262,7 +262,8 @@ def release(spark: SparkSession) -> None:
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", home_bytes: int = HOME) -> DataFrame:
-    """Columns of docs (text becomes the bytes kept, binary `kept`), n_bytes, n_removed, n_spans, spans (starts and ends)."""
+    """Columns of docs but the text, then kept (binary: the bytes left), n_bytes, n_removed, n_spans, spans (starts
+    and ends) and kept_text (the bytes left as text, without characters that lost some of their bytes; null for null)."""
     spark = docs.sparkSession
     homes = written(make_homes(docs, home_bytes), "homes")
     here = homes.select("home", F.col(id_column).alias("ids"), F.col(text_column).alias("texts"))
@@ -357,6 +358,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 starts[base[(mine >> np.uint32(t)) & np.uint32(1) == 1] + t] = 1
             run = np.cumsum(starts)
             gone = (run[:-1] - np.concatenate([np.zeros(min(SPAN, len(run) - 1), np.int32), run[: max(len(run) - 1 - SPAN, 0)]])) > 0
+            given = column(b, text_column)[0]
             spans, kept, n_removed = [], [], []
             for i, r in enumerate(raw):
                 own = gone[begin[i] : begin[i + 1]]
@@ -366,11 +368,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 kept.append(np.frombuffer(r, np.uint8)[~own].tobytes() if len(edge) else r)
             cols = [b.column(b.schema.get_field_index(c))[0].values for c in rest]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64()))], names=[*rest, "kept", "n_bytes", "n_removed", "n_spans", "spans"]
+                [*cols, pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) // 2 for s in spans], pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([None if t is None else k.decode(errors="ignore") for t, k in zip(given, kept)], pa.string())],
+                names=[*rest, "kept", "n_bytes", "n_removed", "n_spans", "spans", "kept_text"],
             )
 
     kinds = dict(docs.dtypes)
-    return homes.join(replies, "home", "left").mapInArrow(cut_out, "".join(f"`{c}` {kinds[c]}, " for c in rest) + "kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>")
+    return homes.join(replies, "home", "left").mapInArrow(cut_out, "".join(f"`{c}` {kinds[c]}, " for c in rest) + "kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_text string")
 
 
 def _spans(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
