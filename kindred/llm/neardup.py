@@ -4,7 +4,8 @@ A document's signature is CHUNKS x WIDE values of 16 bits. Two signatures that d
 most CHUNKS * (ERRORS + 1) - 1 places differ in at most ERRORS places of some chunk (pigeonhole),
 so each chunk is indexed once for every choice of ERRORS places left out: equal remainders meet
 in a bucket. With 12 chunks of 5 and 1 error all pairs within 23 of 60 places are found; sets
-of similarity 0.85 differ in 9 on average, and in more than 23 in about 2 of a million cases.
+of similarity 0.85 differ in 9 on average, and in more than 23 in about 3 of a million cases
+(0.8: 12, and 3 of 10 000; most copies have more than one link).
 Every candidate is confirmed on its full shingle sets.
 
 Documents with equal sets are one class, of which only a representative is indexed. In a bucket
