@@ -213,7 +213,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
     """(pos, x) of a text with one or several numbers on its lines: bit weights, distance mappings. One small file."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\s+")).alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")).alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
 
 
 def write_numbers(numbers: DataFrame, path: str) -> None:
