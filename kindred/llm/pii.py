@@ -17,8 +17,6 @@ equal results. All other columns stay, whatever their names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,29 +50,37 @@ def _pattern() -> str:
     return "|".join(out)
 
 
-def keyed(key: str, kind: str, turn: Column, value: Column) -> Column:
+def let(value: Column, f) -> Column:
+    """f(value) with value written, and evaluated, once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _col(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def keyed(key: str, kind, turn: Column, value: Column) -> Column:
     """48 bits of a keyed hash."""
-    h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), value.cast("string")), 256)
+    h = F.sha2(F.concat_ws("|", F.lit(key), _col(kind), turn.cast("string"), value.cast("string")), 256)
     return F.conv(F.substring(h, 1, 12), 16, 10).cast("long")
 
 
-def permute_pair(key: str, kind: str, x: Column, y: Column, a: int, b: int) -> Column:
+def permute_pair(key: str, kind, x: Column, y: Column, a, b) -> Column:
     """struct(x, y): a keyed permutation of Z_a x Z_b."""
 
     def turn(s: Column, i: Column) -> Column:
         x, y = s["x"], s["y"]
         even = i % 2 == 0
         return F.struct(
-            F.when(even, F.pmod(x + keyed(key, kind, i, y), F.lit(a))).otherwise(x).alias("x"),
-            F.when(even, y).otherwise(F.pmod(y + keyed(key, kind, i, x), F.lit(b))).alias("y"),
+            F.when(even, F.pmod(x + keyed(key, kind, i, y), _col(a))).otherwise(x).alias("x"),
+            F.when(even, y).otherwise(F.pmod(y + keyed(key, kind, i, x), _col(b))).alias("y"),
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(x.cast("long").alias("x"), y.cast("long").alias("y")), turn)
 
 
 def _shifted(c: Column, by: Column) -> Column:
-    code = F.ascii(c)
-    move = lambda first, n: F.char(F.lit(first) + (code - first + by) % n)
+    move = lambda first, n: F.char(F.lit(first) + (F.ascii(c) - first + by) % n)
     return F.when(c.between("0", "9"), move(48, 10)).when(c.between("A", "Z"), move(65, 26)).when(c.between("a", "z"), move(97, 26)).otherwise(c)
 
 
@@ -88,12 +94,11 @@ def permute_text(key: str, kind: str, s: Column) -> Column:
 
     def turn(acc: Column, i: Column) -> Column:
         h = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), acc["r"]), 512)
-        return F.struct(acc["r"].alias("l"), chars(acc["l"], h).alias("r"))
+        return F.struct(acc["r"].alias("l"), let(h, lambda h: chars(acc["l"], h)).alias("r"))
 
     half = (F.length(s) / 2).cast("int")
     start = F.struct(s.substr(F.lit(1), half).alias("l"), s.substr(half + 1, F.length(s)).alias("r"))
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
-    return F.concat(out["l"], out["r"])
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn), lambda out: F.concat(out["l"], out["r"]))
 
 
 def digits(s: Column) -> Column:
@@ -103,96 +108,115 @@ def digits(s: Column) -> Column:
 def refill(shape: Column, new: Column) -> Column:
     """shape with its digits replaced by those of new, in turn."""
 
-    def one(i: Column) -> Column:
-        c = shape.substr(i, F.lit(1))
-        return F.when(c.between("0", "9"), new.substr(F.length(digits(F.substr(shape, F.lit(1), i))), F.lit(1))).otherwise(c)
+    def fill(new: Column) -> Column:
+        def one(i: Column) -> Column:
+            c = shape.substr(i, F.lit(1))
+            return F.when(c.between("0", "9"), new.substr(F.length(digits(F.substr(shape, F.lit(1), i))), F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), one), "")
+    return let(new, fill)
 
 
 def luhn_sum(d: Column) -> Column:
     """Sum of the digits, every second from the right but one doubled; 0 mod 10 if valid."""
-    n = F.length(d)
 
     def add(acc: Column, i: Column) -> Column:
-        v = d.substr(n - i + 1, F.lit(1)).cast("int")
-        twice = F.when(v > 4, v * 2 - 9).otherwise(v * 2)
-        return acc + F.when(i % 2 == 0, twice).otherwise(v)
+        v = d.substr(F.length(d) - i + 1, F.lit(1)).cast("int")
+        return acc + F.when(i % 2 == 0, v * 2 - F.when(v > 4, 9).otherwise(0)).otherwise(v)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
+    return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add)
 
 
 def card(key: str, m: Column) -> Column:
     """First digit and length stay; the last digit is the new check digit."""
-    d = digits(m)
-    n = F.length(d)
-    half = ((n - 2) / 2).cast("int")
-    # Halves of 5 to 9 digits: the domain is one of powers of ten for each length.
-    out = m
-    for size in range(13, 20):
-        a, b = (size - 2) // 2, size - 2 - (size - 2) // 2
-        p = permute_pair(key, f"card{size}", d.substr(F.lit(2), half), d.substr(half + 2, F.lit(b)), 10**a, 10**b)
-        body = F.concat(d.substr(1, 1), F.lpad(p["x"].cast("string"), a, "0"), F.lpad(p["y"].cast("string"), b, "0"))
-        full = F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-        out = F.when(n == size, refill(m, full)).otherwise(out)
-    return F.when(luhn_sum(d) % 10 == 0, out).otherwise(m)
+
+    def new(d: Column) -> Column:
+        a = ((F.length(d) - 2) / 2).cast("int")  # digits of the first half, and of the second
+        b = F.length(d) - 2 - a
+        ten = lambda n: F.pow(F.lit(10), n).cast("long")
+        p = permute_pair(key, F.concat(F.lit("card"), F.length(d).cast("string")), d.substr(F.lit(2), a), d.substr(a + 2, b), ten(a), ten(b))
+        body = let(p, lambda p: F.concat(d.substr(1, 1), F.lpad(p["x"].cast("string"), a, F.lit("0")), F.lpad(p["y"].cast("string"), b, F.lit("0"))))
+        return let(body, lambda t: F.concat(t, F.pmod(-luhn_sum(F.concat(t, F.lit("0"))), F.lit(10)).cast("string")))
+
+    return let(digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, refill(m, new(d))).otherwise(m))
 
 
 def phone(key: str, m: Column) -> Column:
     """The last ten digits: area codes from 200 within themselves, others within themselves."""
-    d = digits(m)
-    n = F.length(d)
-    ten = F.substr(d, n - 9)
-    area, rest = ten.substr(1, 3).cast("long"), ten.substr(4, 7).cast("long")
-    high = permute_pair(key, "phone", area - 200, rest, 800, 10**7)
-    low = permute_pair(key, "phone0", area, rest, 200, 10**7)
-    p = F.when(area >= 200, F.struct((high["x"] + 200).alias("x"), high["y"].alias("y"))).otherwise(low)
-    new = F.concat(d.substr(F.lit(1), n - 10), F.lpad(p["x"].cast("string"), 3, "0"), F.lpad(p["y"].cast("string"), 7, "0"))
-    return refill(m, new)
+
+    def new(d: Column) -> Column:
+        n = F.length(d)
+        area, rest = d.substr(n - 9, F.lit(3)).cast("long"), d.substr(n - 6, F.lit(7)).cast("long")
+        high = area >= 200
+        low = F.when(high, 200).otherwise(0)
+        p = permute_pair(key, F.when(high, "phone").otherwise("phone0"), area - low, rest, F.when(high, 800).otherwise(200), 10**7)
+        return let(p, lambda p: F.concat(d.substr(F.lit(1), n - 10), F.lpad((p["x"] + low).cast("string"), 3, "0"), F.lpad(p["y"].cast("string"), 7, "0")))
+
+    return refill(m, let(digits(m), new))
 
 
 def ssn(key: str, m: Column) -> Column:
     """Areas 001-899 without 666, groups 01-99, serials 0001-9999."""
-    area, group, serial = (F.element_at(F.split(m, "-"), i).cast("long") for i in (1, 2, 3))
-    ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    p = permute_pair(key, "ssn", F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
-    back = F.when(p["x"] >= 665, p["x"] + 2).otherwise(p["x"] + 1)
-    return F.when(ok, F.concat_ws("-", F.lpad(back.cast("string"), 3, "0"), F.lpad((F.floor(p["y"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((p["y"] % 9999 + 1).cast("string"), 4, "0"))).otherwise(m)
+
+    def new(o: Column) -> Column:
+        area, group, serial = o[0], o[1], o[2]
+        p = permute_pair(key, "ssn", F.when(area > 666, area - 2).otherwise(area - 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+
+        def back(p: Column) -> Column:
+            area = F.when(p["x"] >= 665, p["x"] + 2).otherwise(p["x"] + 1)
+            return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((F.floor(p["y"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((p["y"] % 9999 + 1).cast("string"), 4, "0"))
+
+        ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        return F.when(ok, let(p, back)).otherwise(m)
+
+    return let(F.split(m, "-").cast("array<long>"), new)
 
 
 def ip(key: str, m: Column) -> Column:
-    o = [F.element_at(F.split(m, r"\."), i).cast("long") for i in (1, 2, 3, 4)]
-    ok = reduce(lambda a, b: a & b, [x <= 255 for x in o])
-    p = permute_pair(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
-    return F.when(ok, F.concat_ws(".", *(F.floor(p[h] / 256).cast("string") if k == 0 else (p[h] % 256).cast("string") for h in "xy" for k in (0, 1)))).otherwise(m)
+    def new(o: Column) -> Column:
+        p = permute_pair(key, "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        back = lambda p: F.concat_ws(".", *(x.cast("string") for h in "xy" for x in (F.floor(p[h] / 256), p[h] % 256)))
+        return F.when(F.array_max(o) <= 255, let(p, back)).otherwise(m)
+
+    return let(F.split(m, r"\.").cast("array<long>"), new)
 
 
 def day(key: str, date: Column) -> Column:
     """Days permuted within their Gregorian cycle of 400 years = 146097 = 189 * 773 days, cycles counted from 1600-01-01."""
-    n = F.unix_date(date) + 135140  # days since 1600-01-01
-    cycle, r = F.floor(n / 146097), F.pmod(n, F.lit(146097))
-    p = permute_pair(key, "day", F.floor(r / 773), r % 773, 189, 773)
-    return F.date_from_unix_date((cycle * 146097 + p["x"] * 773 + p["y"] - 135140).cast("int"))
+
+    def new(n: Column) -> Column:  # days since 1600-01-01
+        r = F.pmod(n, F.lit(146097))
+        p = permute_pair(key, "day", F.floor(r / 773), r % 773, 189, 773)
+        return let(p, lambda p: F.date_from_unix_date((n - F.pmod(n, F.lit(146097)) + p["x"] * 773 + p["y"] - 135140).cast("int")))
+
+    return let(F.unix_date(date) + 135140, new)
 
 
 def iso_date(key: str, m: Column) -> Column:
-    d = F.try_to_date(m, "yyyy-MM-dd")
-    return F.when(d.isNotNull() & (F.year(d) >= 1600), F.date_format(day(key, d), "yyyy-MM-dd")).otherwise(m)
+    return let(F.try_to_date(m, "yyyy-MM-dd"), lambda d: F.when(d.isNotNull() & (F.year(d) >= 1600), F.date_format(day(key, d), "yyyy-MM-dd")).otherwise(m))
 
 
 def slash_date(key: str, m: Column) -> Column:
     """Day first unless only month first is a date; one-digit days and months stay without zeros if the value had them."""
-    sep = F.regexp_extract(m, "[/.]", 0)
-    a, b, y = (F.element_at(F.split(m, "[/.]"), i) for i in (1, 2, 3))
-    made = lambda d, mo: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    first, second = made(a, b), made(b, a)
-    d = F.coalesce(first, second)
-    new = day(key, d)
-    bare = (F.length(a) == 1) | (F.length(b) == 1)
-    part = lambda f: F.when(bare, f(new).cast("string")).otherwise(F.lpad(f(new).cast("string"), 2, "0"))
-    dd, mm = part(F.dayofmonth), part(F.month)
-    out = F.when(first.isNotNull(), F.concat(dd, sep, mm)).otherwise(F.concat(mm, sep, dd))
-    return F.when(d.isNotNull() & (F.year(d) >= 1600), F.concat(out, sep, F.lpad(F.year(new).cast("string"), 4, "0"))).otherwise(m)
+
+    def new(o: Column) -> Column:
+        made = lambda d, mo: F.try_to_date(F.concat_ws("-", o[2], F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+        bare = (F.length(o[0]) == 1) | (F.length(o[1]) == 1)
+        sep = F.regexp_extract(m, "[/.]", 0)
+
+        def back(first: Column, n: Column) -> Column:
+            part = lambda x: F.when(bare, x.cast("string")).otherwise(F.lpad(x.cast("string"), 2, "0"))
+            a, b = F.when(first, F.dayofmonth(n)).otherwise(F.month(n)), F.when(first, F.month(n)).otherwise(F.dayofmonth(n))
+            return F.concat(part(a), sep, part(b), sep, F.lpad(F.year(n).cast("string"), 4, "0"))
+
+        def dated(d: Column) -> Column:  # whether day first, and the date
+            return F.when(d["d"].isNotNull() & (F.year(d["d"]) >= 1600), let(day(key, d["d"]), lambda n: back(d["first"], n))).otherwise(m)
+
+        first = lambda x: F.struct(x.isNotNull().alias("first"), F.coalesce(x, made(o[1], o[0])).alias("d"))
+        return let(let(made(o[0], o[1]), first), dated)
+
+    return let(F.split(m, "[/.]"), new)
 
 
 def mod97(s: Column) -> Column:
@@ -206,24 +230,27 @@ def mod97(s: Column) -> Column:
 
 def iban(key: str, m: Column) -> Column:
     """Country and the classes of the account's signs stay; the check digits are new."""
-    s = F.replace(m, F.lit(" "), F.lit(""))
-    country, account = s.substr(1, 2), s.substr(F.lit(5), F.length(s))
-    ok = F.length(s).between(15, 34) & (mod97(F.concat(account, s.substr(1, 4))) == 1)
-    new = permute_text(key, "iban", account)
-    full = F.concat(country, F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
 
-    def one(i: Column) -> Column:
-        c = m.substr(i, F.lit(1))
-        return F.when(c == " ", c).otherwise(full.substr(F.length(F.replace(F.substr(m, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))
+    def new(s: Column) -> Column:
+        country, account = s.substr(1, 2), s.substr(F.lit(5), F.length(s))
+        ok = F.length(s).between(15, 34) & (mod97(F.concat(account, s.substr(1, 4))) == 1)
+        full = let(permute_text(key, "iban", account), lambda t: F.concat(country, F.lpad((98 - mod97(F.concat(t, country, F.lit("00")))).cast("string"), 2, "0"), t))
+
+        def spaced(full: Column) -> Column:
+            def one(i: Column) -> Column:
+                c = m.substr(i, F.lit(1))
+                return F.when(c == " ", c).otherwise(full.substr(F.length(F.replace(F.substr(m, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1)))
+
+            return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
 
-    return F.when(ok, F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")).otherwise(m)
+        return F.when(ok, let(full, spaced)).otherwise(m)
+
+    return let(F.replace(m, F.lit(" "), F.lit("")), new)
 
 
 def mail(key: str, m: Column) -> Column:
     """The local part; the domain stays. Equal addresses count as such whatever their letters' case."""
-    local = F.substring_index(m, "@", 1)
-    new = permute_text(key, "mail", F.lower(local))
-    return F.concat(new, F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(let(F.lower(F.substring_index(m, "@", 1)), lambda t: permute_text(key, "mail", t)), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def pseudonym(key: str, m: Column) -> Column:
@@ -246,17 +273,22 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
 
 def _parts(text: Column, key: str) -> tuple[Column, Column]:
-    """(new text, number of values replaced)."""
+    """(new text, number of values replaced), of one struct so that values are found and permuted once."""
     pattern = _pattern()
+
+    def weave(pairs: Column) -> Column:
+        new = F.transform(pairs, lambda p: p["new"])
+        woven = F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.struct(woven.alias("text"), F.size(F.filter(pairs, lambda p: p["old"] != p["new"])).alias("n"))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    new = F.transform(found, lambda m: pseudonym(key, m))
-    woven = F.array_join(F.zip_with(F.split(text, pattern, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    pairs = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
     # Texts without any of these signs hold no value; most texts end here.
-    some = text.rlike("[0-9@]")
-    return F.when(some, woven).otherwise(text), F.when(some, F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))).otherwise(F.when(text.isNotNull(), 0))
+    done = F.when(text.rlike("[0-9@]"), let(pairs, weave)).otherwise(F.struct(text.alias("text"), F.when(text.isNotNull(), 0).alias("n")))
+    return done["text"], done["n"]
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
     text, n = _parts(F.col("text"), KEY)
-    return docs.select("doc_id", text.alias("text"), n.alias("n_replaced"))
+    done = documents(spark, sf_dir).select("doc_id", F.struct(text.alias("text"), n.alias("n")).alias("r"))
+    return done.select("doc_id", F.col("r.text").alias("text"), F.col("r.n").alias("n_replaced"))
