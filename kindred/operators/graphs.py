@@ -109,13 +109,18 @@ def row_normalized_features(graphs: DataFrame) -> DataFrame:
     return vertices(graphs).select("gid", "vid", "label", F.lit(1.0).alias("value"))
 
 
-def subsample_every_second(graphs: DataFrame, order: str = "gid") -> DataFrame:
-    """The first, third, fifth ... in order, without a global sort in one task: ranks are partition offsets plus local ranks."""
-    parts = graphs.repartitionByRange(graphs.sparkSession.sparkContext.defaultParallelism, order).withColumn("_p", F.spark_partition_id())
-    local = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_p"), F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), "_p").where((F.col("_b") + F.col("_r")) % 2 == 1).drop("_p", "_r", "_b")
+def subsample_every_second(graphs: DataFrame, order: str = "gid", ranges: int = 4096) -> DataFrame:
+    """The first, third, fifth ... by an integer column, without a global sort in one task.
+
+    Ranks are counted inside equal ranges of the column; only the ranges' totals are summed in one task."""
+    low, high = graphs.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return graphs
+    r = F.floor((F.col(order) - low) / ((high - low) // ranges + 1))
+    local = graphs.withColumn("_range", r).withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy(order)))
+    sizes = graphs.groupBy(r.alias("_range")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return local.join(F.broadcast(before), "_range").where((F.col("_b") + F.col("_r")) % 2 == 1).drop("_range", "_r", "_b")
 
 
 def pagerank(graphs: DataFrame, alpha: float = 0.1, rounds: int = 20) -> DataFrame:
