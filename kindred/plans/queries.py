@@ -357,7 +357,7 @@ pr AS (SELECT a.nq * b.n AS w, a.v AS v1, b.v AS v2, a.e AS e1, b.e AS e2, a.ls
 def _weighted_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(structures, weights of structure pairs): graphs of the queries against all graphs."""
     g = transitions(spark, sf_dir)
-    s = g.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"), F.count("*").alias("n"), F.sum((F.col("gid") % 50 == 0).cast("long")).alias("nq"))
+    s = g.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"), F.count("*").alias("n"), F.sum((F.col("gid") % 50 == 0).cast("long")).alias("nq")).cache()  # read four times; far fewer rows than graphs
     pairs = ged.bounded_pairs(s.where("nq > 0"), s, None)
     w = pairs.join(s.select(F.col("sid").alias("s1"), "nq"), "s1").join(s.select(F.col("sid").alias("s2"), "n"), "s2").withColumn("w", F.col("nq") * F.col("n"))
     return s, w
