@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ SIDE = SPAN - K  # bytes that a window can reach beyond its anchor
 CTX = SPAN + SIDE
 WINDOWS = SIDE + 1
 HOME = 4 << 20
+PIECE = 50_000  # contexts settled at once, beyond a single anchor's
 BLOCK = 1 << 16  # bytes that one suffix array sorts, beyond a single anchor's
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))  # fixed values: odd multipliers
 
@@ -263,8 +265,12 @@ def release(spark: SparkSession) -> None:
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", home_bytes: int = HOME) -> DataFrame:
     """Columns of docs but the text, then kept (binary: the bytes left), n_bytes, n_removed, n_spans, spans (starts
-    and ends) and kept_text (the bytes left as text, without characters that lost some of their bytes; null for null)."""
-    spark = docs.sparkSession
+    and ends) and kept_text (the bytes left as text, without characters that lost some of their bytes; null for null).
+
+    A column of docs that has the name of one of these results is left out."""
+    spark, given_names = docs.sparkSession, docs.columns
+    docs = docs.toDF(*(f"_{k}" for k in range(len(given_names))))  # no name of theirs meets one of ours
+    id_column, text_column = (f"_{given_names.index(c)}" for c in (id_column, text_column))
     homes = written(make_homes(docs, home_bytes), "homes")
     here = homes.select("home", F.col(id_column).alias("ids"), F.col(text_column).alias("texts"))
     total = homes.select(F.sum(F.aggregate(text_column, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
@@ -295,7 +301,10 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     flags = written(here.mapInArrow(send, "home long, bucket int, low binary, several binary").groupBy("bucket").applyInArrow(meet, "home long, bucket int, flags binary"), "flags")
     replies = flags.groupBy("home").agg(F.collect_list(F.struct("bucket", "flags")).alias("replies"))  # at most `buckets` a home
 
+    release(spark)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, 1):
             home, said = Home(column(b, "ids")[0], column(b, "texts")[0]), {r["bucket"]: r["flags"] for r in column(b, "replies")[0] or []}
             g, _ = home.distinct()
@@ -323,7 +332,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             own = [k for k in range(buckets) if cut[k] < cut[k + 1]]
             name = column(b, "home")[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(own) + 1), pa.int64()), pa.array([*own, -1], pa.int32()), pa.array([*(sent[cut[k] : cut[k + 1]].tobytes() for k in own), seen.tobytes()], pa.binary())], names=["home", "bucket", "data"]
+                [pa.array([name] * (len(own) + 1), pa.int64()), pa.array([*own, -1], pa.int32()), pa.array([*(zip_.compress(sent[cut[k] : cut[k + 1]].tobytes()) for k in own), zip_.compress(seen.tobytes())], pa.binary())], names=["home", "bucket", "data"]
             )
 
     asked = written(here.join(replies, "home", "left").mapInArrow(ask, "home long, bucket int, data binary"), "contexts")
@@ -331,9 +340,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     release(spark)
 
     def answer(t: pa.Table) -> pa.Table:
-        rows = t.column("data").to_pylist()
+        unzip = zstandard.ZstdDecompressor()
+        rows = [unzip.decompress(x) for x in t.column("data").to_pylist()]
         e = np.frombuffer(b"".join(rows), ENTRY)
-        bits = settle(e["g"], e["doc"], e["lo"], e["hi"], np.ascontiguousarray(e["ctx"]))
+        order = np.argsort(e["g"], kind="stable")
+        ends = np.append(np.flatnonzero(_runs(e["g"][order])), len(e))
+        bits, start = np.zeros(len(e), np.uint32), 0
+        for end in ends[1:]:  # pieces end between anchors
+            if end - start >= PIECE or end == len(e):
+                x = e[order[start:end]]
+                bits[order[start:end]] = settle(x["g"], x["doc"], x["lo"], x["hi"], np.ascontiguousarray(x["ctx"]))
+                start = end
         cut = np.cumsum([len(x) // ENTRY.itemsize for x in rows])[:-1]
         return pa.table({"home": t.column("home"), "bucket": t.column("bucket"), "data": pa.array([x.astype("<u4").tobytes() for x in np.split(bits, cut)], pa.binary())})
 
@@ -341,13 +358,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     drop(asked)
     release(spark)
     replies = answers.groupBy("home").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
-    rest = [c for c in docs.columns if c != text_column]
+    results = ["kept", "n_bytes", "n_removed", "n_spans", "spans", "kept_text"]
+    back = {f"_{k}": c for k, c in enumerate(given_names) if c.lower() not in results}
+    rest = [c for c in docs.columns if c != text_column and c in back]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             said = {r["bucket"]: r["data"] for r in column(b, "replies")[0] or []}
             bits = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(said[k], "<u4") for k in sorted(said) if k >= 0)])
-            seen = np.frombuffer(said.get(-1, b""), SEEN)
+            seen = np.frombuffer(zstandard.ZstdDecompressor().decompress(said[-1]) if -1 in said else b"", SEEN)
             raw = [(t or "").encode() for t in column(b, text_column)[0]]
             sizes = np.array([len(r) for r in raw], np.int64)
             begin = np.cumsum(np.concatenate([[0], sizes]))
@@ -373,7 +392,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             )
 
     kinds = dict(docs.dtypes)
-    return homes.join(replies, "home", "left").mapInArrow(cut_out, "".join(f"`{c}` {kinds[c]}, " for c in rest) + "kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_text string")
+    out = homes.join(replies, "home", "left").mapInArrow(cut_out, "".join(f"`{c}` {kinds[c]}, " for c in rest) + "kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_text string")
+    return out.select(*(F.col(c).alias(back[c]) for c in rest), *results)
 
 
 def _spans(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
