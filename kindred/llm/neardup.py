@@ -8,14 +8,15 @@ of similarity 0.85 differ in 9 on average, and in more than 23 in about 3 of a m
 (0.8: 12, and 3 of 10 000; most copies have more than one link).
 Every candidate is confirmed on its full shingle sets.
 
-Documents with equal sets are one class, of which only a representative is indexed. In a bucket
-the smallest member (hub) is first compared with all others, so that a group of copies becomes
-one component by linear work; members outside their hub's component are then compared, in
-tiles, with all members of other components. No link between different components is lost.
+Documents with equal sets are one class, of which only a representative is indexed. Buckets tie
+representatives into clusters; each representative goes once, with its text, to its cluster (to
+each pair of stripes of a large one), where near signatures are compared and confirmed, the
+nearest first. Only links that join what is not yet connected come out, so a group of copies
+makes no row for each pair, and no link between different components is lost.
 
 A document without words has n_shingles 0 and no link. Null texts are empty. A row without an
-id takes no part: its component_id is null, and it is kept. Rows that repeat an id are documents
-of their own with the same number. Other columns are ignored; an empty table gives an empty one.
+id takes no part: its component_id is null, and it is kept. Rows that repeat an id repeat the
+document: each gets the same result (of different texts under one id, one stands for all links). Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .components import components
 from .shingles import common, mix, odd, shingle_set, signature
 
 CHUNKS, WIDE, ERRORS = 12, 5, 1
-TILE = 512
+TILE = 2048
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -81,110 +82,95 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("cid", "sig").mapInArrow(run, "key long, cid long")
 
 
-def near(sa: np.ndarray, sb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether signatures are within the distance, and sizes within the ratio, that a link needs."""
-    return ((sa != sb).sum(axis=-1) < CHUNKS * (ERRORS + 1)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+def _clusters(keys: DataFrame) -> DataFrame:
+    """(cid, cluster, size): representatives that buckets connect, whether or not they are similar.
 
+    In a bucket all are tied to its smallest member, so its work is linear in its size."""
+    buckets = written(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "buckets")
+    stars = keys.join(buckets, "key").where("hub <> cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
+    labels = components(stars)
+    drop(buckets)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    return labels.join(sizes, "label").select(F.col("node").alias("cid"), F.col("label").alias("cluster"), "size")
+
+
+class _Union(dict):
+    def find(self, x: int) -> int:
+        while (y := self.get(x, x)) != x:
+            self[x] = x = self.get(y, y)
+        return x
+
+
+def linked(cid: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left: np.ndarray, right: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all similar pairs between rows `left` and rows `right` (each pair once): near pairs by
+    signature, the nearest first, confirmed on full sets unless links already connect them."""
+    us, vs, ds = [], [], []
+    for i in range(0, len(left), 64):
+        x = left[i : i + 64]
+        d = (sigs[x][:, None, :] != sigs[right][None, :, :]).sum(axis=2)
+        nx, ny = n[x][:, None], n[right][None, :]
+        ok = (d < CHUNKS * (ERRORS + 1)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((cid[x][:, None] < cid[right][None, :]) | (left is not right) & (cid[x][:, None] != cid[right][None, :]))
+        p, q = np.nonzero(ok)
+        us.append(x[p])
+        vs.append(right[q])
+        ds.append(d[p, q].astype(np.uint8))
+    if not us:
+        return []
+    u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
+    order = np.argsort(d, kind="stable")
+    sets: dict[int, np.ndarray] = {}
+    union, out = _Union(), []
+
+    def full(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(texts[i], size)
+        return sets[i]
+
+    for i, j in zip(u[order].tolist(), v[order].tolist()):
+        a, b = union.find(i), union.find(j)
+        if a != b:
+            x, y = full(i), full(j)
+            both = common(x, y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                union[a] = b
+                out.append((int(cid[i]), int(cid[j])))
+    return out
 
-def _near_pairs(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose signatures are within the distance."""
-    side = lambda x: reps.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4096):
-            sig = [np.frombuffer(b"".join(column(b, f"s{x}")), np.uint16).reshape(b.num_rows, -1) for x in "uv"]
-            n = [b.column(b.schema.get_field_index(f"n{x}")).to_numpy() for x in "uv"]
-            yield b.select(["u", "v"]).filter(pa.array(near(*sig, *n, percent)))
 
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+def _links(reps: DataFrame, clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): confirmed links that connect all similar representatives of each cluster.
 
+    A cluster of more than TILE members is dealt by a hash in stripes, and every pair of
+    stripes is a group of its own, so no task holds more than two stripes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(clusters, "cid").dropDuplicates(["cid"])
+    stripes = F.ceil(F.col("size") / TILE).cast("int")
+    rows = texts.join(reps, "cid").withColumn("stripe", F.pmod(F.xxhash64("cid"), stripes).cast("int"))
+    tile = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.struct(F.least(k, "stripe").alias("a"), F.greatest(k, "stripe").alias("b")))
+    dealt = rows.select("cluster", "cid", "n_shingles", "sig", "text", "stripe", F.explode(tile).alias("t")).select("cluster", "t.a", "t.b", "stripe", "cid", "n_shingles", "sig", "text")
+    dealt = dealt.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "cid")
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (u, v) of a stored table whose full sets have the similarity; a set is built once for each run of equal u."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").dropDuplicates(["doc_id"]), "pair-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    def group(rows: list[tuple]) -> list[tuple[int, int]]:
+        a, b = rows[0][1:3]
+        stripe, cid, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        sigs = np.frombuffer(b"".join([r[6] for r in rows]), np.uint16).reshape(len(rows), -1)
+        left = np.flatnonzero(stripe == a)
+        return linked(cid, n, sigs, [r[7] for r in rows], left, left if a == b else np.flatnonzero(stripe == b), size, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, a = None, None
+        held: list[tuple] = []
         for b in slices(batches):
-            keep = []
-            for u, tu, tv in zip(column(b, "u"), column(b, "tu"), column(b, "tv")):
-                if u != last:
-                    last, a = u, shingle_set(tu, size)
-                c = shingle_set(tv, size)
-                n = common(a, c)
-                keep.append(100 * n >= percent * (len(a) + len(c) - n))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "tu", "tv")
-    edges = written(joined.mapInArrow(run, "u long, v long"), "links")
-    drop(texts)
-    return edges
-
-
-def _residual(keys: DataFrame, buckets: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Near pairs between components inside buckets, without those of the hub (they are known).
-
-    A bucket's members outside its hub's component meet, in tiles of about TILE members, all
-    others; buckets whose members are all in one component make no row.
-    """
-    label = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
-    of_hub = buckets.where("n > 2").join(label("hub", "hl"), "hub", "left").select("key", "hub", "n", F.coalesce("hl", "hub").alias("hl"))
-    own = keys.join(of_hub, "key").where("cid <> hub").join(label("cid", "cl"), "cid", "left").withColumn("cl", F.coalesce("cl", "cid")).withColumn("out", F.col("cl") != F.col("hl"))
-    own = written(own, "members")
-    mixed = own.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("outs"), F.count("*").alias("m")).where("outs > 0 and m > 1")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    placed = own.join(mixed.select("key"), "key").withColumn("stripe", F.pmod(F.xxhash64("cid"), tiles).cast("int"))
-    everywhere = F.when(F.col("out"), F.sequence(F.lit(0), tiles - 1)).otherwise(F.array("stripe"))
-    rows = placed.select("key", "cid", "cl", "out", "stripe", F.explode(everywhere).alias("tile")).join(reps.select("cid", "n_shingles", "sig"), "cid")
-    dealt = rows.repartition("key", "tile").sortWithinPartitions("key", "tile")
-
-    def group(g: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cid, cl, out, here, n, sig = g
-        a, b = np.flatnonzero(here), np.flatnonzero(out)
-        us, vs = [], []
-        for i in range(0, len(a), 64):
-            x = a[i : i + 64]
-            ok = (cl[x][:, None] != cl[b][None, :]) & (~out[x][:, None] | (cid[x][:, None] < cid[b][None, :]))
-            p, q = np.nonzero(ok)
-            for j in range(0, len(p), 65536):
-                s, t = x[p[j : j + 65536]], b[q[j : j + 65536]]
-                k = near(sig[s], sig[t], n[s], n[t], percent)
-                us.append(np.minimum(cid[s[k]], cid[t[k]]))
-                vs.append(np.maximum(cid[s[k]], cid[t[k]]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *us]), np.concatenate([none, *vs])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        held_key = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            get = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            key, tile = get("key"), get("tile")
-            cols = [get("cid"), get("cl"), get("out"), get("stripe") == tile, get("n_shingles"), np.frombuffer(b"".join(column(b, "sig")), np.uint16).reshape(b.num_rows, -1)]
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(tile) != 0)) + 1
-            us, vs = [], []
-            for s, e in zip([0, *cuts], [*cuts, b.num_rows]):
-                k = (key[s], tile[s])
-                if k != held_key:
-                    if held:
-                        u, v = group([np.concatenate(c) for c in zip(*held)])
-                        us.append(u)
-                        vs.append(v)
-                    held, held_key = [], k
-                held.append([c[s:e] for c in cols])
-            if us:
-                yield pa.record_batch([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            out = []
+            for r in zip(*(column(b, c) for c in ("cluster", "a", "b", "stripe", "cid", "n_shingles", "sig", "text"))):
+                if held and held[0][:3] != r[:3]:
+                    out += group(held)
+                    held = []
+                held.append(r)
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
         if held:
-            u, v = group([np.concatenate(c) for c in zip(*held)])
-            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+            out = group(held)
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["u", "v"])
 
-    out = written(dealt.select("key", "tile", "cid", "cl", "out", "stripe", "n_shingles", "sig").mapInArrow(run, "u long, v long").distinct(), "residual")
-    drop(own)
-    return out
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
@@ -193,18 +179,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"))
     members = written(sigs.select("doc_id", "n_shingles", "d1", "d2").where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "cid"), "classes")
     reps = written(sigs.join(members.where("doc_id = cid").select("doc_id", "cid").distinct(), "doc_id").dropDuplicates(["cid"]).select("cid", "n_shingles", "sig"), "representatives")
-    keys = _keys(reps)
-    buckets = written(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    stars = keys.join(buckets.select("key", "hub"), "key").where("hub <> cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
-    edges = _confirmed(written(_near_pairs(stars, reps, percent), "stars"), docs, size, percent)
-    labels = components(edges)
-    more = _residual(keys, buckets, labels, reps, percent)
-    if not more.isEmpty():
-        labels = components(edges.union(_confirmed(more, docs, size, percent)))
-    drop(buckets)
-    linked = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
+    clusters = written(_clusters(_keys(reps)), "clusters")
+    labels = components(written(_links(reps, clusters, docs, size, percent), "links"))
+    grouped = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
     alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

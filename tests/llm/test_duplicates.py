@@ -71,18 +71,12 @@ def test_near_duplicates_of_odd_rows(spark, edge_docs, clashing_docs, empty_docs
     assert neardup.near_duplicates(empty_docs).count() == 0
 
 
-def test_residual_tiles_find_links_away_from_the_hub(spark):
-    """The hub shares a bucket with a far chain whose own neighbours are linked with each other only."""
-    sig = np.arange(60, dtype=np.uint16)
-    far = sig.copy()
-    far[:20] += 1000
-    other = far.copy()
-    other[40:44] += 500
-    reps = spark.createDataFrame([(1, 100, bytearray(sig.tobytes())), (2, 100, bytearray(far.tobytes())), (3, 100, bytearray(other.tobytes()))], "cid long, n_shingles long, sig binary")
-    keys = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "key long, cid long")
-    buckets = spark.createDataFrame([(7, 1, 3)], "key long, hub long, n long")
-    labels = spark.createDataFrame([], "node long, label long")
-    assert [(r.u, r.v) for r in neardup._residual(keys, buckets, labels, reps, 85).collect()] == [(2, 3)]
+def test_tiles_of_large_clusters_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 7)
+    texts = family(55, 40, 3) + family(56, 25, 4)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == groups(rows, 85)
 
 
 def test_signatures_within_the_distance_share_a_bucket():
