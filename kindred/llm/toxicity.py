@@ -83,29 +83,26 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     share = sum(toxic) / len(toxic) if toxic else 0.0
     if not 0 < share < 1:
         return Model({}, 0.0, Chain(np.zeros((2, 2)), np.array([0.0, -30.0])), (30.0 if share else -30.0, 0.0, 0.0))
-    words = [WORD.findall(t or "") for t in texts]
+    # The sample's words are the driver's largest structures: kept once each, and as numbers in texts.
+    ids: dict[str, int] = {}
+    seqs = [np.fromiter((ids.setdefault(w, len(ids)) for w in WORD.findall(t or "")), np.int64) for t in texts]
+    words = list(ids)
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
     in1: Counter = Counter()
     in0: Counter = Counter()
-    for ws, y in zip(words, toxic):
-        (in1 if y else in0).update({c for w in set(ws) for c in cues(w)})
+    for ws, y in zip(seqs, toxic):
+        (in1 if y else in0).update({c for i in np.unique(ws) for c in cues(words[i])})
     strong = {c for c, k in in1.items() if k >= SEEN and (k + 0.5) / n1 > LIFT * (in0[c] + 0.5) / n0}
-    ids: dict[str, int] = {}
-    word_cues: dict[str, list[str]] = {}
-    for ws in words:
-        for w in ws:
-            if w not in word_cues:
-                word_cues[w] = cues(w)
-    known = {c for c, k in (in1 + in0).items() if k >= SEEN}
+    in1.update(in0)
+    number = {c: i for i, c in enumerate(sorted(c for c, k in in1.items() if k >= SEEN))}
+    del in0, in1
     features, hot = [], []
-    number = {c: i for i, c in enumerate(sorted(known))}
-    for w, cs in word_cues.items():
-        ids[w] = len(ids)
+    for w in words:
+        cs = cues(w)
         features.append(np.array([number[c] for c in cs if c in number] + [len(number)], np.int64))
         hot.append(any(c in strong for c in cs))
     hot = np.array(hot)
-    types = np.array([ids[w] for ws in words for w in ws], np.int64)
-    lens = np.array([len(ws) for ws in words])
+    types, lens = np.concatenate(seqs), np.array([len(ws) for ws in seqs])
     first = np.zeros(len(types), bool)
     first[(np.cumsum(lens) - lens)[lens > 0]] = True
     labels = (hot[types] & (np.repeat(toxic, lens) == 1)).astype(np.int64)
