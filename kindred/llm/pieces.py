@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import arrow, column, per_worker, slices
 
 SPACE = "▁"
-CHUNKS = 300_000  # entries kept per worker; beyond them chunks are encoded anew
+CHUNKS = 800_000  # entries kept per worker; beyond them chunks are encoded anew
 SHORT, NEVER = 24, float("inf")
+SIGNS = ".,;:!?%&*$#|"
 _CACHE: dict = {}
 
 
@@ -48,7 +49,10 @@ class Agenda:
             self.cut = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
         else:
             self.cut = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}  # neighbours that a merge can join
+        self.parts: dict[str, tuple[int, ...]] = {}
+        self.digits = [str(i) for i in range(len(pieces))]
 
     def merge(self, chunk: str) -> list[str]:
         sym = list(chunk)
@@ -94,6 +98,21 @@ class Agenda:
         return [s for s in sym if s is not None]
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+        """Of a word and signs behind it that no piece joins, each is encoded by itself: words return with other signs."""
+        word = chunk.rstrip(SIGNS)
+        if len(word) < len(chunk) and word and word[-1] + chunk[len(word)] not in self.inner:
+            return self._part(word) + self._part(chunk[len(word) :])
+        return self._part(chunk)
+
+    def _part(self, chunk: str) -> tuple[int, ...]:
+        v = self.chunks.get(chunk) or self.parts.get(chunk)
+        if v is None:
+            v = self._merged(chunk)
+            if len(self.parts) < CHUNKS // 2:
+                self.parts[chunk] = v
+        return v
+
+    def _merged(self, chunk: str) -> tuple[int, ...]:
         out: list[int] = []
         for s in self.merge(chunk):
             i = self.id.get(s)
@@ -109,11 +128,11 @@ class Agenda:
         """The chunks of a text, with the space sign that the library puts in front."""
         return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def batch(self, texts: list[str]) -> list[list[tuple[tuple[int, ...], str]]]:
-        """For each text its chunks' ids, as numbers and as text; new chunks are checked by the library."""
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text; chunks that are new are checked by the library."""
         cut, known = [self.split(t) for t in texts], self.chunks
         new = {c for cs in cut for c in cs if c not in known}
-        fresh: dict[str, tuple[tuple[int, ...], str]] = {}
+        fresh: dict[str, tuple[int, ...]] = {}
         if new:
             # A chunk without a sign in front follows a line break: the break is put before it.
             asked = [c for c in new if c != "\n"]
@@ -123,15 +142,15 @@ class Agenda:
                 own = self.encode_chunk(c)
                 if c != SPACE and tuple(ids) != (own if c[0] == SPACE else start + own):
                     raise ValueError(f"the library encodes {c!r} as {ids}, the agenda as {own}")
-                fresh[c] = own, " ".join(map(str, own))
+                fresh[c] = own
             if "\n" in new:
                 own = self.encode_chunk("\n")
                 if tuple(self.sp.encode("\n")) != start:
                     raise ValueError("the library encodes a line break otherwise")
-                fresh["\n"] = own, " ".join(map(str, own))
+                fresh["\n"] = own
             if len(known) < CHUNKS:
                 known.update(fresh)
-        return [[known.get(c) or fresh[c] for c in cs] for cs in cut]
+        return [[i for c in cs for i in (known.get(c) or fresh[c])] for cs in cut]
 
 
 def encode_pieces(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
@@ -141,7 +160,7 @@ def encode_pieces(docs: DataFrame, model: str, end: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = per_worker(_CACHE, model, lambda: Agenda(model))
         for b in slices(batches):
-            ids = [[i for ids, _ in cs for i in ids] + [a.sp.eos_id()] * end for cs in a.batch([t or "" for t in column(b, "text")])]
+            ids = [x + [a.sp.eos_id()] * end for x in a.batch([t or "" for t in column(b, "text")])]
             yield arrow([column(b, "doc_id"), ids, [a.sp.decode(x) for x in ids]], schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -156,11 +175,10 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
         eos = a.sp.eos_id()
         for b in slices(batches):
             n, sha, dec = [], [], []
-            for cs in a.batch([t or "" for t in column(b, "text")]):
-                ids = [i for ids, _ in cs for i in ids]
+            for ids in a.batch([t or "" for t in column(b, "text")]):
                 ids.append(eos)
                 n.append(len(ids))
-                sha.append(hashlib.sha256(" ".join([s for _, s in cs] + [str(eos)]).encode()).hexdigest())
+                sha.append(hashlib.sha256(" ".join(map(a.digits.__getitem__, ids)).encode()).hexdigest())
                 dec.append(hashlib.sha256(a.sp.decode(ids).encode()).hexdigest())
             yield arrow([column(b, "doc_id"), n, sha, dec], schema)
 
