@@ -16,7 +16,7 @@ import regex
 PLAIN = re.compile(r"[!-~¡-¬®-įĲ-ɏ]+")
 # Fixed value: the pre-tokenizer's pattern, as the tokenizer file states it.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CHUNKS, PIECES = 250_000, 400_000  # entries kept per worker; beyond them words are encoded anew
+CHUNKS, PIECES = 400_000, 400_000  # entries kept per worker; beyond them words are encoded anew
 
 
 def byte_letters() -> list[str]:
@@ -52,7 +52,13 @@ class WordIds:
 
     def _chunk(self, c: str) -> bytes:
         if PLAIN.fullmatch(c):
-            v = b"".join([self._piece(p) for p in SPLIT.findall(c.lower())])
+            # Most chunks are a word, perhaps with one sign behind: no pattern is needed for them.
+            if c.isalpha():
+                v = self._piece(c.lower())
+            elif c[-1] in ",.!?;:" and c[:-1].isalpha():
+                v = self._piece(c[:-1].lower()) + self._piece(c[-1])
+            else:
+                v = b"".join([self._piece(p) for p in SPLIT.findall(c.lower())])
         else:
             v = np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.chunks) < CHUNKS:
