@@ -7,8 +7,8 @@ Documents lie in homes, rows of a stored table of about HOME bytes of text each.
 1. Homes send their distinct anchors, as 32-bit numbers, to buckets of the hash range, and
    learn which occur in other documents.
 2. For those anchors homes send the context that can hold windows around them, one row for
-   each distinct context with its first document. Contexts that their anchor has only in one
-   form are settled by that form's first document. Others are cut to what they can share.
+   each distinct context with its first document. Every form of a context is settled by that
+   form's first document. Where an anchor has several forms, they are cut to what they can share.
    Where different cuts remain, a suffix array of them (linear grouping construction, see
    suffixes.py) puts equal windows side by side, and each learns its first document.
 3. Homes learn for each context which windows started in an earlier document, and remove.
@@ -153,11 +153,11 @@ def settle(g: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx:
     cdoc = doc[rep]
     anchor = (np.cumsum(newg) - 1)[newc]
     forms = np.bincount(anchor) if len(anchor) else np.zeros(0, np.int64)
-    # The only form of its anchor: its first document settles all windows.
+    # A form's first document settles all windows of its other rows.
     alone = forms[anchor] == 1
     full = window_bits(lo[rep], hi[rep])
-    out[order] = np.where(alone[cid] & (cdoc[cid] < ds), full[cid], 0)
-    # Several forms: each is cut to what it shares with any other.
+    out[order] = np.where(cdoc[cid] < ds, full[cid], 0)
+    # Several forms: each is also cut to what it shares with any other.
     m = np.flatnonzero(~alone)
     if not len(m):
         return out
@@ -195,7 +195,7 @@ def settle(g: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx:
     where[m] = tid
     rows = np.flatnonzero(where[cid] >= 0)
     early = first[where[cid[rows]]] < ds[rows][:, None]
-    out[order[rows]] = (early.astype(np.uint32) << np.arange(WINDOWS, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+    out[order[rows]] |= (early.astype(np.uint32) << np.arange(WINDOWS, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
     return out
 
 

@@ -146,6 +146,21 @@ def test_repeats_equal_brute_force(spark):
     check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows, 1500)
 
 
+def test_copies_whose_anchor_another_document_holds(spark):
+    """Exact copies in two homes, and a third document that holds only a phrase of theirs, shorter than a window."""
+    r = random.Random(21)
+    text = lambda n, letters: "".join(r.choices(letters, k=n))
+    copies = [text(r.randint(50, 90), "abcdefgh") for _ in range(24)]
+    phrases = [text(40, "ijklmn") + c[s : s + r.randint(30, 45)] + text(40, "ijklmn") for c in copies for s in [r.randint(0, 20)]]
+    rows = list(enumerate([*copies, *copies, *phrases]))
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id"), rows, 1)
+    x, y = np.frombuffer(copies[0].encode()[:50].ljust(76, b"\xff"), np.uint8), np.full(76, 255, np.uint8)
+    y[20:76] = np.frombuffer(phrases[0].encode()[:56], np.uint8)
+    full = repeats.window_bits(np.array([0]), np.array([50]))[0]
+    got = repeats.settle(np.zeros(3, np.uint64), np.array([3, 7, 9]), np.array([0, 0, 20]), np.array([50, 50, 76]), np.stack([x, x, y]))
+    assert got.tolist() == [0, full, 0]
+
+
 def test_repeats_of_odd_rows(spark, edge_docs, clashing_docs, empty_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect()]
     check_repeats(edge_docs, rows, 4000)
