@@ -27,17 +27,21 @@ def byte_letters() -> list[str]:
 
 
 class WordIds:
-    """ids(text): little-endian unsigned 32-bit ids, without special tokens."""
+    """ids(text): little-endian unsigned 32-bit ids, as the library gives them by default without adding special tokens.
+
+    A special token's content in a text is that token, so a chunk that holds one goes to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.vocab_size = self.tok.get_vocab_size()
         self.letters = byte_letters()
-        self.special = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
+        added = self.tok.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or " " in t.content for t in added):
+            raise ValueError("added tokens must be found in chunks as they are")
+        self.special = [t.content for t in added]
         self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
@@ -51,7 +55,7 @@ class WordIds:
         return v
 
     def _chunk(self, c: str) -> bytes:
-        if PLAIN.fullmatch(c):
+        if PLAIN.fullmatch(c) and not any([s in c for s in self.special]):
             # Most chunks are a word, perhaps with one sign behind: no pattern is needed for them.
             if c.isalpha():
                 v = self._piece(c.lower())

@@ -35,6 +35,20 @@ def test_word_ids_equal_the_library(library):
         assert np.frombuffer(w.ids(t), "<u4").tolist() == library(t)
 
 
+def test_special_tokens_in_texts_are_encoded_by_default(spark):
+    from tokenizers import Tokenizer
+
+    t, w = Tokenizer.from_file(BPE), WordIds(BPE)
+    texts = ["one <|endoftext|> two", "<|startoftext|>", "a<|endoftext|>b's <|ENDOFTEXT|>", "é<|endoftext|><|startoftext|>́x \n <|endoftext|", "<|endoftext|>\x1c<|endoftext|>. <|end oftext|>"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [637, 49407, 1237]
+    assert [np.frombuffer(w.ids(x), "<u4").tolist() for x in texts * 2] == want * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = read_token_files(spark, write_token_files(docs, new_path(spark, "t"), BPE)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == {i: [*x, 1] for i, x in enumerate(want)}
+    assert sum(r.length for r in packing.pack_documents(docs, BPE, capacity=512).collect()) == sum(len(x) + 1 for x in want)
+
+
 def test_rans_round_trip_parts_and_damage():
     rng = np.random.default_rng(0)
     ids = (rng.zipf(1.4, 200_000) % 3000).astype(np.uint32)
