@@ -30,7 +30,7 @@ from .crf import Chain, train
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(3, 7)
 SAMPLE = 1500  # labelled documents of either kind, at most
-TEXT_LIMIT = 40_000_000  # characters of the sample, at most: whole documents are left out beyond
+TEXT_LIMIT = 40_000_000  # characters of the sample, at most: a document that no longer fits is left out, later ones that fit are not
 LIFT, SEEN = 20.0, 4  # how much more frequent, and in how many toxic documents, a cue is
 WORDS = 400_000  # entries that a worker keeps
 _CACHE: dict = {}
@@ -146,8 +146,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_kind: int = SAMPLE)
     toxic: list[int] = []
     size = 0
     for r in got:
-        size += len(r.text or "")
-        if size <= TEXT_LIMIT:
+        if size + len(r.text or "") <= TEXT_LIMIT:
+            size += len(r.text or "")
             texts.append(r.text or "")
             toxic.append(r.toxic)
     return texts, toxic

@@ -168,3 +168,14 @@ def test_nearest_of_odd_rows(spark):
 @pytest.mark.parametrize("token,want", [("THE", "THE"), ("hello", "xx"), ("Hello", "Xx"), ("HELLO", "XX"), ("123456", "9999"), ("!!!!!!", "!!!!"), ("heLLo", "xX")])
 def test_shapes(token, want):
     assert quality.shape(token) == want
+
+
+def test_an_over_long_text_does_not_end_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts, toxic = toxicity.training_sample(docs, labels)
+    assert len(texts) > 30
+    monkeypatch.setattr(toxicity, "TEXT_LIMIT", 1000)
+    for k in (0, 3):
+        longer = docs.withColumn("text", F.when(F.col("text") == texts[k], F.repeat(F.lit("x"), 1001)).otherwise(F.col("text")))
+        assert toxicity.training_sample(longer, labels) == (texts[:k] + texts[k + 1 :], toxic[:k] + toxic[k + 1 :])
