@@ -7,8 +7,11 @@ within RADIUS // substrings bits (pigeonhole), so probing those values finds eve
 the radius, and these are reranked by the inner product of the original vectors in double
 precision. The radius is the distance within which the sample holds a COVER share of its own
 nearest neighbours; true neighbours among more vectors are nearer, so recall only grows.
-Vectors of different lengths are searched by direction and length: codes see one more
-coordinate that makes all lengths equal.
+Vectors of different norms are searched by direction and norm: codes see one more
+coordinate that makes all norms equal.
+
+Vectors with different numbers of components have no inner product: each number of components
+is searched for itself, and a query's candidates are the vectors that have as many as it has.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; neither do
 rows without an id. Rows that repeat an id are candidates of their own, but never a query's
@@ -138,15 +141,26 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score for every row that is_query (a condition on vec_id) selects."""
     spark = vectors.sparkSession
     rows = _usable(vectors)
-    n, top, size = rows.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("embedding"))).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("embedding") == size)
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.count_if(is_query).alias("asked"))
+    found = None
+    for r in sizes.where("asked > 0").orderBy("size").collect():  # one row for each number of components
+        own = F.size("embedding") == r["size"]
+        one = _near(rows.where(own), asked.where(own), r["size"], r["n"], r["top"], r["asked"], k)
+        found = one if found is None else found.union(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _near(rows: DataFrame, asked: DataFrame, size: int, n: int, top: float, n_asked: int, k: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest of every block of n rows of `size` components, for each vector asked."""
+    spark = rows.sparkSession
     sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])  # at most SAMPLE vectors
     codes = spark.sparkContext.broadcast(Codes(sample, k, float(np.sqrt(top))))
-    groups = max(1, -(-rows.where(is_query).count() // QUERIES))
-    queries = _packed(rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "g", [])
+    groups = max(1, -(-n_asked // QUERIES))
+    queries = _packed(asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "g", [])
     blocks = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-n // BLOCK)))).cast("int")), "block", [])
     # The stated queries meet all rows block by block: an equi-join on the query group.
     meet = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(queries.select("g", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")), "g")
@@ -172,9 +186,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
                     out.append((np.full(len(order), q), i[near[order]], s[order]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], names=["query_id", "vec_id", "score"])
 
-    found = written(meet.select("ids", "vectors", "qids", "qvectors").repartition(F.xxhash64("qids", "ids")).mapInArrow(run, "query_id long, vec_id long, score double"), "near")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return written(meet.select("ids", "vectors", "qids", "qvectors").repartition(F.xxhash64("qids", "ids")).mapInArrow(run, "query_id long, vec_id long, score double"), "near")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

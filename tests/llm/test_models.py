@@ -179,3 +179,17 @@ def test_an_over_long_text_does_not_end_the_sample(spark, monkeypatch):
     for k in (0, 3):
         longer = docs.withColumn("text", F.when(F.col("text") == texts[k], F.repeat(F.lit("x"), 1001)).otherwise(F.col("text")))
         assert toxicity.training_sample(longer, labels) == (texts[:k] + texts[k + 1 :], toxic[:k] + toxic[k + 1 :])
+
+
+def test_nearest_among_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(60)]
+    rows += [(i, rng.normal(size=5).tolist()) for i in range(60, 75)] + [(100, rng.normal(size=40).tolist()), (40, [1.0] * 5), (7, [0.5] * 5)]
+    got = {}
+    for r in mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 70).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = {}
+    for q in (0, 20, 40, 60):
+        v = min(x for i, x in rows if i == q)
+        want[q] = [i for _, i in sorted((-float(np.dot(x, v)), i) for i, x in rows if i != q and len(x) == len(v))]
+    assert got == want
