@@ -166,12 +166,12 @@ def ged_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None = None) -
     return d.join(q, "s1").join(g, "s2").select("qid", "gid", F.when(F.col("qid") == F.col("gid"), 0).otherwise(F.col("ged")).alias("ged"))
 
 
-def verify(candidates: DataFrame, queries: DataFrame, graphs: DataFrame, bound: int) -> DataFrame:
-    """(qid, gid, ged) of the candidates (qid, gid) within bound."""
+def verify(candidates: DataFrame, queries: DataFrame, graphs: DataFrame, bound: int, steps: int = STEPS) -> DataFrame:
+    """(qid, gid, ged) of the candidates (qid, gid) within bound, and of the undecided ones, whose ged is null."""
     q = queries.select(F.col("gid").alias("qid"), F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1"))
     g = graphs.select("gid", F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2"))
     rows = candidates.select("qid", "gid").join(q, "qid").join(g, "gid")
-    return with_distance(rows, bound).where("ged >= 0").select("qid", "gid", "ged")
+    return with_distance(rows, bound, steps).where("ged is null or ged >= 0").select("qid", "gid", "ged")
 
 
 def mapping_cost(nodes1: list, edges1: list, nodes2: list, edges2: list, mapping: list[int]) -> int:

@@ -417,7 +417,7 @@ def ged_range_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within distance 2: the cheap bounds go first, the search has a bound."""
     _, w = _weighted_pairs(spark, sf_dir)
     d = ged.with_distance(w.where("lb <= 2").select("nodes1", "edges1", "nodes2", "edges2", "w").repartition(F.hash("nodes1", "edges1", "nodes2", "edges2")), 2)
-    return d.where("ged >= 0").groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
+    return d.where("ged is null or ged >= 0").groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
 
 
 @query()

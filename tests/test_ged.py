@@ -152,3 +152,12 @@ def test_small_functions():
     nodes, edges = ged.reorder([5, 6, 7, 8], [(0, 1, 1), (1, 2, 1), (1, 3, 1)])
     assert sorted(nodes) == [5, 6, 7, 8] and nodes[0] == 5 and len(edges) == 3
     assert ged.edit_distance(nodes, edges, [5, 6, 7, 8], [(0, 1, 1), (1, 2, 1), (1, 3, 1)]) == 0
+
+
+def test_verification_keeps_undecided_pairs(spark):
+    schema = "gid long, nodes array<int>, edges array<struct<src: int, dst: int, label: int>>"
+    graph = lambda gid, label: (gid, [0] * 6, [(i, i + 1, label) for i in range(5)] + [(0, 3, 2)])
+    g = spark.createDataFrame([graph(1, 1), (2, [0] * 6, [(i, j, 1) for i in range(6) for j in range(i + 1, 6) if (i + j) % 2])], schema)
+    pairs = spark.createDataFrame([(1, 2)], "qid long, gid long")
+    assert [tuple(r) for r in ged.verify(pairs, g, g, 9, steps=1).collect()] == [(1, 2, None)]
+    assert ged.verify(pairs, g, g, 9).first().ged >= 0
