@@ -15,8 +15,8 @@ nearest first. Only links that join what is not yet connected come out, so a gro
 makes no row for each pair, and no link between different components is lost.
 
 A document without words has n_shingles 0 and no link. Null texts are empty. A row without an
-id takes no part: its component_id is null, and it is kept. Rows that repeat an id repeat the
-document: each gets the same result (of different texts under one id, one stands for all links). Other columns are ignored; an empty table gives an empty one.
+id takes no part: its component_id is null, and it is kept. Rows that repeat an id are
+one document, which has the links of all its texts: each gets the same component. Other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ TILE = 2048
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (the set's 128-bit digest), sig."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary())])
+    """doc_id, n_shingles, d1 and d2 (the set's 128-bit digest), sig, text_hash."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = odd("minhash", CHUNKS * WIDE)
@@ -52,9 +52,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sigs.append(signature(s, factors).tobytes())
             d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-            yield arrow([column(b, "doc_id"), n, d[:, 0], d[:, 1], sigs], schema)
+            yield arrow([column(b, "doc_id"), n, d[:, 0], d[:, 1], sigs, column(b, "text_hash")], schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary, text_hash long")
 
 
 def bucket_keys(sigs: np.ndarray) -> np.ndarray:
@@ -142,9 +142,9 @@ def _links(reps: DataFrame, clusters: DataFrame, docs: DataFrame, size: int, per
 
     A cluster of more than TILE members is dealt by a hash in stripes, and every pair of
     stripes is a group of its own, so no task holds more than two stripes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(clusters, "cid").dropDuplicates(["cid"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(clusters, "cid").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["cid", "text_hash"])
     stripes = F.ceil(F.col("size") / TILE).cast("int")
-    rows = texts.join(reps, "cid").withColumn("stripe", F.pmod(F.xxhash64("cid"), stripes).cast("int"))
+    rows = texts.join(reps, ["cid", "text_hash"]).withColumn("stripe", F.pmod(F.xxhash64("cid"), stripes).cast("int"))
     tile = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.struct(F.least(k, "stripe").alias("a"), F.greatest(k, "stripe").alias("b")))
     dealt = rows.select("cluster", "cid", "n_shingles", "sig", "text", "stripe", F.explode(tile).alias("t")).select("cluster", "t.a", "t.b", "stripe", "cid", "n_shingles", "sig", "text")
     dealt = dealt.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "cid")
@@ -177,12 +177,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     """doc_id, n_shingles, component_id, kept: links are 100 * intersection >= percent * union."""
     sigs = written(signatures(docs, size), "signatures")
     classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"))
-    members = written(sigs.select("doc_id", "n_shingles", "d1", "d2").where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "cid"), "classes")
-    reps = written(sigs.join(members.where("doc_id = cid").select("doc_id", "cid").distinct(), "doc_id").dropDuplicates(["cid"]).select("cid", "n_shingles", "sig"), "representatives")
+    found = sigs.select("doc_id", "n_shingles", "d1", "d2").where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2"])
+    empty = sigs.where("n_shingles = 0 and doc_id is not null").select("d1", "d2", "doc_id", "n_shingles", F.col("doc_id").alias("cid"))
+    members = written(found.select(empty.columns).union(empty), "classes")
+    # A smallest id may stand for several sets, each with its signature and text.
+    chosen = members.where("doc_id = cid and n_shingles > 0").select("doc_id", "cid", "d1", "d2").distinct()
+    reps = written(sigs.join(chosen, ["doc_id", "d1", "d2"]).dropDuplicates(["cid", "d1", "d2"]).select("cid", "n_shingles", "sig", "text_hash"), "representatives")
+    # An id with several sets ties their classes.
+    several = members.groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("high")).where("u <> high")
+    ties = members.join(several, "doc_id").where("cid <> u").select("u", F.col("cid").alias("v")).distinct()
     clusters = written(_clusters(_keys(reps)), "clusters")
-    labels = components(written(_links(reps, clusters, docs, size, percent), "links"))
+    labels = components(written(_links(reps, clusters, docs, size, percent).union(ties), "links"))
     grouped = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
-    alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = sigs.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

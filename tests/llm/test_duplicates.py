@@ -71,6 +71,19 @@ def test_near_duplicates_of_odd_rows(spark, edge_docs, clashing_docs, empty_docs
     assert neardup.near_duplicates(empty_docs).count() == 0
 
 
+def test_near_duplicates_of_ids_with_different_texts(spark):
+    """Every text under a repeated id links, and ties what the id's other texts are linked to."""
+    f = [family(300 + k, 4, 3) for k in range(12)]
+    rows = []
+    for k in range(0, 12, 2):
+        rows += [(10 * k, f[k][0]), (10 * k, f[k + 1][0]), (10 * k + 1, f[k][1]), (10 * k + 2, f[k + 1][1]), (10 * k + 3, f[k + 1][2])]
+    rows += [(500, f[0][2]), (500, f[2][2]), (501, f[0][1]), (502, None), (502, f[4][2]), (10, f[6][0]), (503, None), (503, "")]
+    random.Random(4).shuffle(rows)
+    want = groups(rows, 85)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted((i, len(sets(t)), want[i], want[i] == i) for i, t in rows)
+
+
 def test_tiles_of_large_clusters_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 7)
     texts = family(55, 40, 3) + family(56, 25, 4)
