@@ -13,9 +13,12 @@ ROWS = 256  # rows handled at once inside a Python worker; texts can be long
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset a temporary one serves a
+    local master alone: the executors of a cluster could not read it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -35,6 +38,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def kept_path(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df, which reads the table of written() named by `of` and is dropped with it."""
+    df._kindred_path = of._kindred_path
+    return df
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table of written() that nothing reads any more."""
     path = getattr(df, "_kindred_path", None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, kept_path, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         far = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         new = written(low.join(far, "low").select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved")), "labels")
         drop(labels)
-        labels = new.select("node", "label")
-        labels._kindred_path = new._kindred_path
+        labels = kept_path(new.select("node", "label"), new)
         if new.where("moved").isEmpty():
             drop(both)
             return labels

@@ -8,11 +8,14 @@ of similarity 0.85 differ in 9 on average, and in more than 23 in about 3 of a m
 (0.8: 12, and 3 of 10 000; most copies have more than one link).
 Every candidate is confirmed on its full shingle sets.
 
-Documents with equal sets are one class, of which only a representative is indexed. Buckets tie
-representatives into clusters; each representative goes once, with its text, to its cluster (to
-each pair of stripes of a large one), where near signatures are compared and confirmed, the
-nearest first. Only links that join what is not yet connected come out, so a group of copies
-makes no row for each pair, and no link between different components is lost.
+Documents with equal sets are one class, of which only a representative is indexed. Each
+representative is first compared with one other, the smallest that it shares a bucket with: this
+connects a group of near copies with work linear in its size. Buckets that then still hold
+different components tie their members into clusters; each member goes, with its text, to its
+cluster (to each pair of stripes of a large one), where near signatures are compared and
+confirmed, the nearest first, unless they are connected already. Only links that join what is
+not yet connected come out, so a group of copies makes no row for each pair, and no link
+between different components is lost.
 
 A document without words has n_shingles 0 and no link. Null texts are empty. A row without an
 id takes no part: its component_id is null, and it is kept. Rows that repeat an id are
@@ -30,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, column, documents, drop, slices, written
+from .common import arrow, column, documents, drop, kept_path, slices, written
 from .components import components
 from .shingles import common, mix, odd, shingle_set, signature
 
 CHUNKS, WIDE, ERRORS = 12, 5, 1
 TILE = 2048
+SPREAD = 1024  # members that one copy of their hub's text is compared with
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -82,16 +86,88 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("cid", "sig").mapInArrow(run, "key long, cid long")
 
 
-def _clusters(keys: DataFrame) -> DataFrame:
-    """(cid, cluster, size): representatives that buckets connect, whether or not they are similar.
-
-    In a bucket all are tied to its smallest member, so its work is linear in its size."""
-    buckets = written(keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), "buckets")
-    stars = keys.join(buckets, "key").where("hub <> cid").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct()
-    labels = components(stars)
-    drop(buckets)
+def _live(reps: DataFrame) -> DataFrame:
+    """(key, cid, hub) of the buckets that hold several representatives; hub is the smallest of a bucket."""
+    keys = _keys(reps)
+    buckets = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    return keys.join(buckets, "key").select("key", "cid", "hub")
+
+
+def _roots(up: DataFrame) -> DataFrame:
+    """(label, root) of a forest (label, parent) whose roots are their own parents, by pointer jumping."""
+    now = written(up.select("label", "parent"), "forest")
+    while True:
+        above = now.select(F.col("label").alias("parent"), F.col("parent").alias("top"))
+        new = written(now.select("label", "parent").join(above, "parent").select("label", F.col("top").alias("parent"), (F.col("top") < F.col("parent")).alias("moved")), "forest")
+        drop(now)
+        now = new
+        if now.where("moved").isEmpty():
+            return kept_path(now.select("label", F.col("parent").alias("root")), now)
+
+
+def _clusters(rest: DataFrame) -> DataFrame:
+    """(cid, cluster, size): representatives that the buckets of (key, cid) connect, whether or not they are similar.
+
+    In each round every label ties itself to the smallest label of its buckets, so a round has one edge for
+    each label; buckets that then hold one label are done with. The rounds end when no bucket holds two."""
+    live = written(rest.select("key", F.col("cid").alias("label")).distinct(), "buckets")
+    labels = written(rest.select("cid").distinct().select("cid", F.col("cid").alias("label")), "labels")
+    while True:
+        hubs = live.groupBy("key").agg(F.min("label").alias("hub"))
+        roots = _roots(live.join(hubs, "key").groupBy("label").agg(F.min("hub").alias("parent")))
+        new_labels = written(labels.join(roots, "label", "left").select("cid", F.coalesce("root", "label").alias("label")), "labels")
+        moved = live.join(roots, "label").select("key", F.col("root").alias("label")).distinct()
+        several = moved.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+        new_live = written(moved.join(several, "key"), "buckets")
+        for done in (live, labels, roots):
+            drop(done)
+        live, labels = new_live, new_labels
+        if live.isEmpty():
+            drop(live)
+            break
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    return labels.join(sizes, "label").select(F.col("node").alias("cid"), F.col("label").alias("cluster"), "size")
+    return labels.join(sizes, "label").select("cid", F.col("label").alias("cluster"), "size")
+
+
+def _bodies(reps: DataFrame, live: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cid, n_shingles, sig, text) of the representatives in buckets."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(live.select("cid").distinct(), "cid").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["cid", "text_hash"])
+    return texts.join(reps, ["cid", "text_hash"]).select("cid", "n_shingles", "sig", "text")
+
+
+def _hub_links(live: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): links of representatives to the smallest hub of their buckets, confirmed on full sets.
+
+    A hub's members are dealt by a hash in parts of about SPREAD, each with a copy of the hub's text
+    in front, and compared as they stream by: no group of copies is held or compared with itself."""
+    own = written(live.where("hub < cid").groupBy("cid").agg(F.min("hub").alias("hub")), "hubs")
+    parts = written(own.groupBy("hub").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")), "parts")
+    members = own.join(parts, "hub").select("hub", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "cid")
+    heads = parts.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("hub").alias("cid"))
+    dealt = members.union(heads).join(bodies.select("cid", "text"), "cid").select("hub", "part", "role", "cid", "text")
+    dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, head = None, np.zeros(0, np.uint64)
+        for b in slices(batches):
+            us, vs = [], []
+            for hub, part, role, cid, text in zip(*(column(b, c) for c in ("hub", "part", "role", "cid", "text"))):
+                if role:
+                    if similar(head, shingle_set(text, size), percent):
+                        us.append(hub)
+                        vs.append(cid)
+                elif at != (hub, part):  # another text under the hub's id waits for the tiles
+                    at, head = (hub, part), shingle_set(text, size)
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = common(x, y)
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 class _Union(dict):
@@ -101,15 +177,17 @@ class _Union(dict):
         return x
 
 
-def linked(cid: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left: np.ndarray, right: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all similar pairs between rows `left` and rows `right` (each pair once): near pairs by
-    signature, the nearest first, confirmed on full sets unless links already connect them."""
+def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left: np.ndarray, right: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
+    """Links that connect all similar pairs of different labels between rows `left` and rows `right` (each pair once):
+    near pairs by signature, the nearest first, confirmed on full sets unless links or labels already connect them."""
     us, vs, ds = [], [], []
     for i in range(0, len(left), 64):
         x = left[i : i + 64]
         d = (sigs[x][:, None, :] != sigs[right][None, :, :]).sum(axis=2)
         nx, ny = n[x][:, None], n[right][None, :]
-        ok = (d < CHUNKS * (ERRORS + 1)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((cid[x][:, None] < cid[right][None, :]) | (left is not right) & (cid[x][:, None] != cid[right][None, :]))
+        ok = (d < CHUNKS * (ERRORS + 1)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (label[x][:, None] != label[right][None, :])
+        if left is right:
+            ok &= x[:, None] < right[None, :]
         p, q = np.nonzero(ok)
         us.append(x[p])
         vs.append(right[q])
@@ -127,40 +205,38 @@ def linked(cid: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left:
         return sets[i]
 
     for i, j in zip(u[order].tolist(), v[order].tolist()):
-        a, b = union.find(i), union.find(j)
-        if a != b:
-            x, y = full(i), full(j)
-            both = common(x, y)
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                union[a] = b
-                out.append((int(cid[i]), int(cid[j])))
+        a, b = union.find(int(label[i])), union.find(int(label[j]))
+        if a != b and similar(full(i), full(j), percent):
+            union[a] = b
+            out.append((int(cid[i]), int(cid[j])))
     return out
 
 
-def _links(reps: DataFrame, clusters: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v): confirmed links that connect all similar representatives of each cluster.
+def _links(bodies: DataFrame, clusters: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): confirmed links that connect all similar representatives of each cluster that labels do not connect.
 
     A cluster of more than TILE members is dealt by a hash in stripes, and every pair of
     stripes is a group of its own, so no task holds more than two stripes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("cid"), "text").join(clusters, "cid").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["cid", "text_hash"])
     stripes = F.ceil(F.col("size") / TILE).cast("int")
-    rows = texts.join(reps, ["cid", "text_hash"]).withColumn("stripe", F.pmod(F.xxhash64("cid"), stripes).cast("int"))
+    rows = bodies.join(clusters, "cid").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    rows = rows.withColumn("stripe", F.pmod(F.xxhash64("cid"), stripes).cast("int"))
     tile = F.transform(F.sequence(F.lit(0), stripes - 1), lambda k: F.struct(F.least(k, "stripe").alias("a"), F.greatest(k, "stripe").alias("b")))
-    dealt = rows.select("cluster", "cid", "n_shingles", "sig", "text", "stripe", F.explode(tile).alias("t")).select("cluster", "t.a", "t.b", "stripe", "cid", "n_shingles", "sig", "text")
+    names = ["cluster", "a", "b", "stripe", "cid", "label", "n_shingles", "sig", "text"]
+    dealt = rows.select("*", F.explode(tile).alias("t")).select("*", "t.a", "t.b").select(*names)
     dealt = dealt.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "cid")
 
     def group(rows: list[tuple]) -> list[tuple[int, int]]:
         a, b = rows[0][1:3]
-        stripe, cid, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        sigs = np.frombuffer(b"".join([r[6] for r in rows]), np.uint16).reshape(len(rows), -1)
+        stripe, cid, label, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        sigs = np.frombuffer(b"".join([r[7] for r in rows]), np.uint16).reshape(len(rows), -1)
         left = np.flatnonzero(stripe == a)
-        return linked(cid, n, sigs, [r[7] for r in rows], left, left if a == b else np.flatnonzero(stripe == b), size, percent)
+        return linked(cid, label, n, sigs, [r[8] for r in rows], left, left if a == b else np.flatnonzero(stripe == b), size, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for b in slices(batches):
             out = []
-            for r in zip(*(column(b, c) for c in ("cluster", "a", "b", "stripe", "cid", "n_shingles", "sig", "text"))):
+            for r in zip(*(column(b, c) for c in names)):
                 if held and held[0][:3] != r[:3]:
                     out += group(held)
                     held = []
@@ -176,18 +252,28 @@ def _links(reps: DataFrame, clusters: DataFrame, docs: DataFrame, size: int, per
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are 100 * intersection >= percent * union."""
     sigs = written(signatures(docs, size), "signatures")
-    classes = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("cid"))
-    found = sigs.select("doc_id", "n_shingles", "d1", "d2").where("n_shingles > 0 and doc_id is not null").join(classes, ["d1", "d2"])
-    empty = sigs.where("n_shingles = 0 and doc_id is not null").select("d1", "d2", "doc_id", "n_shingles", F.col("doc_id").alias("cid"))
-    members = written(found.select(empty.columns).union(empty), "classes")
+    named = sigs.where("doc_id is not null")
+    # A table of its own, so that the join's large classes can be split between tasks.
+    classes = written(named.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "low"), "copies")
+    members = written(named.join(classes, ["d1", "d2"], "left").select("d1", "d2", "doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("cid")), "classes")
     # A smallest id may stand for several sets, each with its signature and text.
     chosen = members.where("doc_id = cid and n_shingles > 0").select("doc_id", "cid", "d1", "d2").distinct()
     reps = written(sigs.join(chosen, ["doc_id", "d1", "d2"]).dropDuplicates(["cid", "d1", "d2"]).select("cid", "n_shingles", "sig", "text_hash"), "representatives")
     # An id with several sets ties their classes.
     several = members.groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("high")).where("u <> high")
     ties = members.join(several, "doc_id").where("cid <> u").select("u", F.col("cid").alias("v")).distinct()
-    clusters = written(_clusters(_keys(reps)), "clusters")
-    labels = components(written(_links(reps, clusters, docs, size, percent).union(ties), "links"))
+    live = written(_live(reps), "live")
+    bodies = written(_bodies(reps, live, docs), "bodies")
+    links = written(_hub_links(live, bodies, size, percent).union(ties), "links")
+    labels = components(links)
+    # Every similar pair meets in a bucket; those of different labels in one that still holds two.
+    now = live.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
+    mixed = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = written(now.join(mixed, "key").select("key", "cid"), "rest")
+    if not rest.isEmpty():
+        clusters = written(_clusters(rest), "clusters")
+        more = written(_links(bodies, clusters, labels, size, percent).union(links), "links")
+        labels = components(more)
     grouped = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
     alone = sigs.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -86,6 +86,7 @@ def test_near_duplicates_of_ids_with_different_texts(spark):
 
 def test_tiles_of_large_clusters_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TILE", 7)
+    monkeypatch.setattr(neardup, "SPREAD", 5)
     texts = family(55, 40, 3) + family(56, 25, 4)
     rows = list(enumerate(texts))
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
