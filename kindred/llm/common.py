@@ -38,6 +38,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def written_in_buckets(df: DataFrame, name: str, column: str, buckets: int, codec: str = "zstd") -> DataFrame:
+    """df as a table in the shared folder, dealt by a hash of a column without a shuffle: joins on that column move
+    only their other side, if it has the same number of partitions."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"kindred_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("compression", codec).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved: it reads the files by their paths from here on
+    spark.sql(f"DROP TABLE {table}")  # the name alone; the files stay
+    out._kindred_path = path
+    return out
+
+
 def kept_path(df: DataFrame, of: DataFrame) -> DataFrame:
     """df, which reads the table of written() named by `of` and is dropped with it."""
     df._kindred_path = of._kindred_path

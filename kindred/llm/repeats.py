@@ -13,7 +13,7 @@ Documents lie in homes, rows of a stored table of about HOME bytes of text each.
    suffixes.py) puts equal windows side by side, and each learns its first document.
 3. Homes learn for each context which windows started in an earlier document, and remove.
 A home sends a context once, whatever number of its documents hold it: hot passages cost one
-row per home. All is exact but for equality of 64-bit hashes of contexts.
+row per home. Hashes only sort contexts; their bytes decide whether they are equal.
 
 Null texts are empty; texts under SPAN bytes lose nothing. A row without an id loses nothing
 and takes nothing from others. Rows that repeat an id do not affect each other.
@@ -21,7 +21,6 @@ and takes nothing from others. Rows that repeat an id do not affect each other.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop, slices, written
+from .common import column, documents, drop, slices, written, written_in_buckets
 from .shingles import mix
 from .suffixes import suffix_array
 
@@ -53,19 +52,25 @@ def _sliding(x: np.ndarray, f) -> np.ndarray:
     return f(x[: -(WINDOWS - n)], x[WINDOWS - n :]) if n < WINDOWS else x
 
 
+def _gram(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Hashes of grams from their three words."""
+    h = x * A
+    h ^= h >> np.uint64(31)
+    h += y * B
+    h ^= h >> np.uint64(29)
+    h += z * C
+    h ^= h >> np.uint64(32)
+    h *= A
+    return h
+
+
 def anchors(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the grams that are the smallest of some window."""
     n = len(raw)
     if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     x = np.ndarray((n - 7,), "<u8", raw, 0, (1,)).copy()
-    h = x[: n - 23] * A
-    h ^= h >> np.uint64(31)
-    h += x[8 : n - 15] * B
-    h ^= h >> np.uint64(29)
-    h += x[16:] * C
-    h ^= h >> np.uint64(32)
-    h *= A
+    h = _gram(x[: n - 23], x[8 : n - 15], x[16:])
     low = np.zeros(n - SPAN + 1 + 2 * SIDE, np.uint64)
     low[SIDE : len(low) - SIDE] = _sliding(h, np.minimum)
     at = np.flatnonzero(_sliding(low, np.maximum) == h)
@@ -93,6 +98,27 @@ def contexts(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.lib.stride_tricks.sliding_window_view(pad, CTX)[at], lo.astype(np.uint8), hi.astype(np.uint8)
 
 
+def of_contexts(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors and the text's ranges, from the bytes alone."""
+    x = np.ascontiguousarray(ctx[:, SIDE:SPAN]).view("<u8").astype(np.uint64)
+    lo, hi = (ctx[:, :SIDE] == 255).sum(axis=1), CTX - (ctx[:, SPAN:] == 255).sum(axis=1)
+    return mix(_gram(x[:, 0], x[:, 1], x[:, 2])), lo.astype(np.uint8), hi.astype(np.uint8)
+
+
+def planes(*fields: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: it compresses better."""
+    return b"".join(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1).T.tobytes() for f in fields)
+
+
+def unplanes(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, at, out = len(raw) // sum(sizes), 0, []
+    for k, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out
+
+
 def window_bits(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Bit t is set if the window from byte t of the context lies between lo and hi."""
     lo, n = lo.astype(np.uint64), np.maximum(hi.astype(np.int64) - SPAN + 1 - lo.astype(np.int64), 0).astype(np.uint64)
@@ -119,6 +145,15 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def _forms(g: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    """Where a new anchor or other bytes start. Rows sorted by hash that share it without being equal
+    are new forms each: the suffix array then finds what they have in common."""
+    new = _runs(g)
+    if len(new):
+        new[1:] |= (ctx[1:] != ctx[:-1]).any(axis=1)
+    return new
+
+
 def first_documents(strings: list[bytes], shift: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(strings, WINDOWS): for the window at each place the smallest first document of equal windows.
 
@@ -147,7 +182,7 @@ def settle(g: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx:
     h = _hash(ctx, lo, hi)
     order = np.lexsort((doc, h, g))
     gs, ds = g[order], doc[order]
-    newc, newg = _runs(gs, h[order]), _runs(gs)
+    newc, newg = _forms(gs, ctx[order]), _runs(gs)
     cid = np.cumsum(newc) - 1  # distinct contexts
     rep = order[newc]
     cdoc = doc[rep]
@@ -170,7 +205,7 @@ def settle(g: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, ctx:
     c = np.where((place >= a[:, None]) & (place < z[:, None]), c, 255).astype(np.uint8)
     th = _hash(c, a, z)
     torder = np.lexsort((cdoc[m], th, mg))
-    newt = _runs(mg[torder], th[torder])
+    newt = _forms(mg[torder], c[torder])
     trep = torder[newt]  # distinct cuts, each with its first document
     tid = np.empty(len(m), np.int64)
     tid[torder] = np.cumsum(newt) - 1
@@ -226,7 +261,8 @@ def _bounds(g: np.ndarray, buckets: int) -> np.ndarray:
 
 
 ENTRY = np.dtype([("g", "<u8"), ("doc", "<i8"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", CTX)])
-SEEN = np.dtype([("doc", "<i4"), ("at", "<i8"), ("entry", "<i4"), ("lo", "u1"), ("hi", "u1"), ("later", "?")])
+SEEN = {"doc": "<i4", "at": "<i8", "entry": "<i4", "lo": "u1", "hi": "u1", "later": "?"}  # of every anchor asked for
+ROW = 8 + CTX  # bytes sent for a context: its first document here, and itself
 
 
 def make_homes(docs: DataFrame, home_bytes: int = HOME) -> DataFrame:
@@ -257,12 +293,6 @@ def make_homes(docs: DataFrame, home_bytes: int = HOME) -> DataFrame:
     return docs.mapInArrow(run, "home long, " + ", ".join(f"`{c}` array<{k}>" for c, k in docs.dtypes))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", home_bytes: int = HOME) -> DataFrame:
     """Columns of docs but the text, then kept (binary: the bytes left), n_bytes, n_removed, n_spans, spans (starts
     and ends) and kept_text (the bytes left as text, without characters that lost some of their bytes; null for null).
@@ -271,10 +301,17 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     spark, given_names = docs.sparkSession, docs.columns
     docs = docs.toDF(*(f"_{k}" for k in range(len(given_names))))  # no name of theirs meets one of ours
     id_column, text_column = (f"_{given_names.index(c)}" for c in (id_column, text_column))
-    homes = written(make_homes(docs, home_bytes), "homes")
-    here = homes.select("home", F.col(id_column).alias("ids"), F.col(text_column).alias("texts"))
-    total = homes.select(F.sum(F.aggregate(text_column, F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
+    total = docs.select(F.sum(F.octet_length(text_column).cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (24 << 20) + 1)
+    # Homes lie in files by their hash: what others say of them comes to them, their texts never move.
+    homes = written_in_buckets(make_homes(docs, home_bytes), "homes", "home", buckets)
+    here = homes.select("home", F.col(id_column).alias("ids"), F.col(text_column).alias("texts"))
+
+    def by_home(said: DataFrame) -> DataFrame:
+        """What is said of a home as one row: at most buckets + 1 of its columns' structs."""
+        rest = [c for c in said.columns if c != "home"]
+        return said.repartition(buckets, "home").groupBy("home").agg(F.collect_list(F.struct(*rest)).alias("replies")).hint("shuffle_hash")
+
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -299,9 +336,6 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return pa.table({"home": t.column("home"), "bucket": t.column("bucket"), "flags": pa.array([np.packbits(f).tobytes() for f in np.split(flags, cut)], pa.binary())})
 
     flags = written(here.mapInArrow(send, "home long, bucket int, low binary, several binary").groupBy("bucket").applyInArrow(meet, "home long, bucket int, flags binary"), "flags")
-    replies = flags.groupBy("home").agg(F.collect_list(F.struct("bucket", "flags")).alias("replies"))  # at most `buckets` a home
-
-    release(spark)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -313,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             at = np.searchsorted(shared, home.g)
             at[at == len(shared)] = 0
             keep = np.flatnonzero(shared[at] == home.g) if len(shared) else np.zeros(0, np.int64)
-            seen, entry = np.zeros(len(keep), SEEN), np.zeros(len(keep), ENTRY)
+            entry = np.zeros(len(keep), ENTRY)
             doc = home.doc[keep]
             for d, s, e in zip(*_spans(doc)):
                 entry["ctx"][s:e], entry["lo"][s:e], entry["hi"][s:e] = contexts(home.raw[d], home.at[keep[s:e]])
@@ -322,42 +356,43 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             entry["doc"] = ids[doc]
             h = _hash(entry["ctx"], entry["lo"], entry["hi"])
             order = np.lexsort((entry["doc"], h, entry["g"]))
-            new = _runs(entry["g"][order], h[order])
+            new = _forms(entry["g"][order], entry["ctx"][order])
             sent = entry[order[new]]
             which = np.empty(len(keep), np.int64)
             which[order] = np.cumsum(new) - 1
-            seen["doc"], seen["at"], seen["entry"], seen["lo"], seen["hi"] = doc, home.at[keep], which, entry["lo"], entry["hi"]
-            seen["later"] = entry["doc"] > sent["doc"][which]
+            seen = {"doc": doc, "at": home.at[keep], "entry": which, "lo": entry["lo"], "hi": entry["hi"], "later": entry["doc"] > sent["doc"][which]}
             cut = _bounds(sent["g"], buckets)
             own = [k for k in range(buckets) if cut[k] < cut[k + 1]]
             name = column(b, "home")[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * (len(own) + 1), pa.int64()), pa.array([*own, -1], pa.int32()), pa.array([*(zip_.compress(sent[cut[k] : cut[k + 1]].tobytes()) for k in own), zip_.compress(seen.tobytes())], pa.binary())], names=["home", "bucket", "data"]
+                [pa.array([name] * (len(own) + 1), pa.int64()), pa.array([*own, -1], pa.int32()), pa.array([*(zip_.compress(planes(sent["doc"][cut[k] : cut[k + 1]]) + sent["ctx"][cut[k] : cut[k + 1]].tobytes()) for k in own), zip_.compress(planes(*(seen[c].astype(t) for c, t in SEEN.items())))], pa.binary())],
+                names=["home", "bucket", "data"],
             )
 
-    asked = written(here.join(replies, "home", "left").mapInArrow(ask, "home long, bucket int, data binary"), "contexts")
+    asked = written(here.join(by_home(flags), "home", "left").mapInArrow(ask, "home long, bucket int, data binary"), "contexts")
     drop(flags)
-    release(spark)
 
     def answer(t: pa.Table) -> pa.Table:
         unzip = zstandard.ZstdDecompressor()
         rows = [unzip.decompress(x) for x in t.column("data").to_pylist()]
-        e = np.frombuffer(b"".join(rows), ENTRY)
-        order = np.argsort(e["g"], kind="stable")
-        ends = np.append(np.flatnonzero(_runs(e["g"][order])), len(e))
-        bits, start = np.zeros(len(e), np.uint32), 0
+        sizes = [len(x) // ROW for x in rows]
+        doc = np.concatenate([unplanes(x[: 8 * n], "<i8")[0] for x, n in zip(rows, sizes)])
+        ctx = np.concatenate([np.frombuffer(x, np.uint8, n * CTX, 8 * n).reshape(n, CTX) for x, n in zip(rows, sizes)])
+        del rows
+        g, lo, hi = of_contexts(ctx)
+        order = np.argsort(g, kind="stable")
+        ends = np.append(np.flatnonzero(_runs(g[order])), len(g))
+        bits, start = np.zeros(len(g), np.uint32), 0
         for end in ends[1:]:  # pieces end between anchors
-            if end - start >= PIECE or end == len(e):
-                x = e[order[start:end]]
-                bits[order[start:end]] = settle(x["g"], x["doc"], x["lo"], x["hi"], np.ascontiguousarray(x["ctx"]))
+            if end - start >= PIECE or end == len(g):
+                x = order[start:end]
+                bits[x] = settle(g[x], doc[x], lo[x], hi[x], ctx[x])
                 start = end
-        cut = np.cumsum([len(x) // ENTRY.itemsize for x in rows])[:-1]
+        cut = np.cumsum(sizes)[:-1]
         return pa.table({"home": t.column("home"), "bucket": t.column("bucket"), "data": pa.array([x.astype("<u4").tobytes() for x in np.split(bits, cut)], pa.binary())})
 
     answers = written(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(answer, "home long, bucket int, data binary").union(asked.where("bucket < 0")), "answers")
     drop(asked)
-    release(spark)
-    replies = answers.groupBy("home").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
     results = ["kept", "n_bytes", "n_removed", "n_spans", "spans", "kept_text"]
     back = {f"_{k}": c for k, c in enumerate(given_names) if c.lower() not in results}
     rest = [c for c in docs.columns if c != text_column and c in back]
@@ -366,11 +401,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for b in slices(batches, 1):
             said = {r["bucket"]: r["data"] for r in column(b, "replies")[0] or []}
             bits = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(said[k], "<u4") for k in sorted(said) if k >= 0)])
-            seen = np.frombuffer(zstandard.ZstdDecompressor().decompress(said[-1]) if -1 in said else b"", SEEN)
+            seen = dict(zip(SEEN, unplanes(zstandard.ZstdDecompressor().decompress(said[-1]) if -1 in said else b"", *SEEN.values())))
             raw = [(t or "").encode() for t in column(b, text_column)[0]]
             sizes = np.array([len(r) for r in raw], np.int64)
             begin = np.cumsum(np.concatenate([[0], sizes]))
-            mine = np.where(seen["later"], window_bits(seen["lo"], seen["hi"]), bits[seen["entry"]] if len(seen) else 0).astype(np.uint32)
+            mine = np.where(seen["later"], window_bits(seen["lo"], seen["hi"]), bits[seen["entry"]] if len(bits) else 0).astype(np.uint32)
             starts = np.zeros(begin[-1] + 1, np.int32)
             base = begin[seen["doc"]] + seen["at"] - SIDE
             for t in range(WINDOWS):
@@ -392,7 +427,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             )
 
     kinds = dict(docs.dtypes)
-    out = homes.join(replies, "home", "left").mapInArrow(cut_out, "".join(f"`{c}` {kinds[c]}, " for c in rest) + "kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_text string")
+    out = homes.join(by_home(answers), "home", "left").mapInArrow(cut_out, "".join(f"`{c}` {kinds[c]}, " for c in rest) + "kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>, kept_text string")
     return out.select(*(F.col(c).alias(back[c]) for c in rest), *results)
 
 
