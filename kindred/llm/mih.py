@@ -2,8 +2,9 @@
 
 A rotation (principal directions turned by iterative quantization) is learned on a bounded
 sample; the signs of a rotated, centred vector are its code. Blocks of vectors keep an index of
-each 8-bit substring of their codes. A code within RADIUS bits of a query's has a substring
-within RADIUS // substrings bits (pigeonhole), so probing those values finds every code within
+each 16-bit substring of their codes. Thresholds of the substrings add up so that a code within
+the radius lies within its threshold of some substring's value (general pigeonhole principle:
+the sum of threshold + 1 exceeds the radius), so probing those values finds every code within
 the radius, and these are reranked by the inner product of the original vectors in double
 precision. The radius is the distance within which the sample holds a COVER share of its own
 nearest neighbours; true neighbours among more vectors are nearer, so recall only grows.
@@ -16,14 +17,14 @@ is searched for itself, and a query's candidates are the vectors that have as ma
 Vectors that are null, zero, or hold null or non-finite components take no part; neither do
 rows without an id. Rows that repeat an id are candidates of their own, but never a query's
 own id; a query id that repeats is answered once, for its first vector in byte order. With
-fewer candidates than k all are returned that the radius reaches, and where it reaches fewer
-than k a query is compared with all vectors of the block. Other columns are ignored.
+fewer candidates than k all are returned; a query whose radius reaches fewer than k in all
+blocks together is searched again with a radius that holds every code. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,15 @@ from pyspark.sql import functions as F
 
 from .common import column, written
 
-SAMPLE, PROBES, COVER = 8000, 400, 0.985
-BLOCK, QUERIES = 8192, 4096
-SUB = 8
+SAMPLE, PROBES, COVER = 8000, 400, 0.94
+BLOCK, QUERIES, GROUPS = 32768, 512, 16  # vectors of a block, queries of a group, most groups that meet a block at once
+SUB = 16
+
+
+def _packed_bits(x: np.ndarray) -> np.ndarray:
+    """Rows of at most 64 truth values as integers, the first value lowest."""
+    b = np.packbits(x, axis=1, bitorder="little")
+    return np.pad(b, ((0, 0), (0, 8 - b.shape[1]))).view("<u8").ravel()
 
 
 class Codes:
@@ -46,7 +53,7 @@ class Codes:
         y = self._even(x)
         self.mean = y.mean(axis=0)
         y = y - self.mean
-        bits = min(bits or -(-x.shape[1] // SUB) * SUB, 64)
+        bits = min(bits or 64, 64)
         _, vectors = np.linalg.eigh(y.T @ y)
         basis = vectors[:, ::-1][:, : min(bits, y.shape[1])]
         v = y @ basis
@@ -64,7 +71,7 @@ class Codes:
             s = x @ x[q]
             s[q] = -np.inf
             near = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
-            found.append(np.bitwise_count(c[near] ^ c[q]))
+            found.append(np.bitwise_count(c[near] ^ self.of_queries(x[q : q + 1])))
         found = np.concatenate(found) if found else np.zeros(1)
         self.radius = int(np.quantile(found, COVER, method="higher")) if len(found) else self.bits
 
@@ -74,39 +81,74 @@ class Codes:
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """64-bit codes of rows."""
-        b = np.packbits((self._even(x) - self.mean) @ self.rotation >= 0, axis=1)
-        return np.pad(b, ((0, 0), (0, 8 - b.shape[1]))).view(np.uint64).ravel()
+        return _packed_bits((self._even(x) - self.mean) @ self.rotation >= 0)
 
     def of_queries(self, x: np.ndarray) -> np.ndarray:
         """A query's length does not order its candidates: it is coded at full length, without the extra coordinate."""
         x = x / np.linalg.norm(x, axis=1, keepdims=True) * self.top
-        b = np.packbits((np.concatenate([x, np.zeros((len(x), 1))], axis=1) - self.mean) @ self.rotation >= 0, axis=1)
-        return np.pad(b, ((0, 0), (0, 8 - b.shape[1]))).view(np.uint64).ravel()
+        return _packed_bits((np.concatenate([x, np.zeros((len(x), 1))], axis=1) - self.mean) @ self.rotation >= 0)
+
+
+@lru_cache
+def masks(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All changes of a substring, the fewest bits first, and how many change at most 0, 1, 2 ... bits."""
+    every = np.arange(1 << width)
+    n = np.bitwise_count(every)
+    return every[np.argsort(n, kind="stable")].astype(np.int32), np.cumsum(np.bincount(n, minlength=width + 1))
+
 
+@lru_cache
+def thresholds(bits: int, radius: int) -> tuple[int, ...]:
+    """For each substring the errors to probe (-1: none): the sum of threshold + 1 exceeds the radius.
 
-def masks(errors: int) -> np.ndarray:
-    """All changes of up to `errors` bits of a substring."""
-    return np.array([sum(1 << i for i in c) for e in range(errors + 1) for c in combinations(range(SUB), e)], np.uint8)
+    Each step goes where the share of values probed grows least."""
+    widths = [min(SUB, bits - i) for i in range(0, bits, SUB)]
+    out = [-1] * len(widths)
+
+    def more(s: int) -> float:
+        sizes = masks(widths[s])[1]
+        return float("inf") if out[s] == widths[s] else (sizes[out[s] + 1] - (sizes[out[s]] if out[s] >= 0 else 0)) / sizes[-1]
+
+    for _ in range(min(radius, bits) + 1):
+        out[min(range(len(out)), key=more)] += 1
+    return tuple(out)
 
 
 class Index:
     """Multi-index over one block: for every substring the rows of each value."""
 
     def __init__(self, codes: np.ndarray, bits: int):
-        self.codes, self.subs = codes, bits // SUB or 1
-        parts = codes.view(np.uint8).reshape(-1, 8)
-        self.order = [np.argsort(parts[:, s], kind="stable") for s in range(self.subs)]
-        self.cut = [np.searchsorted(parts[o, s], np.arange(257)) for s, o in enumerate(self.order)]
+        self.codes, self.bits = codes, bits
+        self.widths = [min(SUB, bits - i) for i in range(0, bits, SUB)]
+        self.order, self.cut = [], []
+        for s, w in enumerate(self.widths):
+            part = self._part(codes, s)
+            self.order.append(np.argsort(part, kind="stable").astype(np.int32))
+            self.cut.append(np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << w))]).astype(np.int32))
+
+    def _part(self, codes: np.ndarray, s: int) -> np.ndarray:
+        return ((codes >> np.uint64(s * SUB)) & np.uint64((1 << self.widths[s]) - 1)).astype(np.int32)
+
+    def probed(self, code: np.uint64, radius: int) -> np.ndarray:
+        """Rows that probing touches."""
+        hit = np.zeros(len(self.codes), bool)
+        own = np.array([code], np.uint64)
+        for s, t in enumerate(thresholds(self.bits, radius)):
+            if t < 0:
+                continue
+            change, sizes = masks(self.widths[s])
+            values = self._part(own, s) ^ change[: sizes[t]]
+            start, end = self.cut[s][values], self.cut[s][values + 1]
+            some = end > start
+            start, n = start[some], (end - start)[some]
+            if len(n):  # the lists of all these values, one after the other
+                at = np.repeat(start - (np.cumsum(n) - n).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+                hit[self.order[s][at]] = True
+        return np.flatnonzero(hit)
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """Rows whose codes differ in at most radius bits."""
-        hit = np.zeros(len(self.codes), bool)
-        own = np.array([code], np.uint64).view(np.uint8)
-        change = masks(min(SUB, radius // self.subs))
-        for s in range(self.subs):
-            for v in (own[s] ^ change).tolist():
-                hit[self.order[s][self.cut[s][v] : self.cut[s][v + 1]]] = True
-        rows = np.flatnonzero(hit)
+        rows = self.probed(code, radius)
         return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
 
 
@@ -159,34 +201,51 @@ def _near(rows: DataFrame, asked: DataFrame, size: int, n: int, top: float, n_as
     spark = rows.sparkSession
     sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])  # at most SAMPLE vectors
     codes = spark.sparkContext.broadcast(Codes(sample, k, float(np.sqrt(top))))
-    groups = max(1, -(-n_asked // QUERIES))
+    found = _searched(rows, asked, size, n, n_asked, codes, k, None)
+    # Queries that found fewer than they could are searched with a radius that holds all codes.
+    most = F.least(F.lit(k), F.lit(n) - F.col("own"))
+    held = rows.join(asked.select("vec_id"), "vec_id").groupBy("vec_id").agg(F.count("*").alias("own"))
+    few = held.join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got")), "vec_id", "left").where(F.coalesce("got", F.lit(0)) < most)
+    again = written(asked.join(few.select("vec_id"), "vec_id", "left_semi"), "again")
+    n_again = again.count()
+    if not n_again:
+        return found
+    return found.join(again.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").union(_searched(rows, again, size, n, n_again, codes, k, 64))
+
+
+def _searched(rows: DataFrame, asked: DataFrame, size: int, n: int, n_asked: int, codes, k: int, radius: int | None) -> DataFrame:
+    groups, n_blocks = max(1, -(-n_asked // QUERIES)), max(1, -(-n // BLOCK))
+    at_once = max(1, min(GROUPS, groups * n_blocks // 64))
     queries = _packed(asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")), "g", [])
-    blocks = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-n // BLOCK)))).cast("int")), "block", [])
-    # The stated queries meet all rows block by block: an equi-join on the query group.
-    meet = blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(queries.select("g", F.col("ids").alias("qids"), F.col("vectors").alias("qvectors")), "g")
+    queries = queries.groupBy(F.floor(F.col("g") / at_once).alias("chunk")).agg(F.collect_list(F.struct("ids", "vectors")).alias("asked"))  # at_once each
+    blocks = _packed(rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).cast("int")), "block", [])
+    # The stated queries meet all rows block by block: an equi-join on the chunk of query groups.
+    chunks = F.sequence(F.lit(0), F.lit((groups - 1) // at_once)).cast("array<long>")
+    meet = blocks.withColumn("chunk", F.explode(chunks)).join(queries, "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codes.value
+        reach = c.radius if radius is None else min(radius, c.bits)
         for b in batches:
-            for ids, vecs, qids, qvecs in zip(*(column(b, x) for x in ("ids", "vectors", "qids", "qvectors"))):
+            for ids, vecs, asked in zip(*(column(b, x) for x in ("ids", "vectors", "asked"))):
                 i, x = np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, size)
-                qi, qx = np.frombuffer(qids, "<i8"), np.frombuffer(qvecs, "<f8").reshape(-1, size)
-                index, out = Index(c.of(x), c.bits), []
-                for q, v, code in zip(qi, qx, c.of_queries(qx)):
-                    near = index.within(code, c.radius)
-                    near = near[i[near] != q]
-                    if len(near) < k:
-                        near = np.flatnonzero(i != q)
-                    s = inner(x[near], v)
-                    if len(s) > k:
-                        least = -np.partition(-s, k - 1)[k - 1]
-                        keep = np.flatnonzero(s >= least)
-                        near, s = near[keep], s[keep]
-                    order = np.lexsort((i[near], -s))[:k]
-                    out.append((np.full(len(order), q), i[near[order]], s[order]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], names=["query_id", "vec_id", "score"])
-
-    return written(meet.select("ids", "vectors", "qids", "qvectors").repartition(F.xxhash64("qids", "ids")).mapInArrow(run, "query_id long, vec_id long, score double"), "near")
+                index = Index(c.of(x), c.bits)
+                for group in asked:
+                    qi, qx = np.frombuffer(group["ids"], "<i8"), np.frombuffer(group["vectors"], "<f8").reshape(-1, size)
+                    out = []
+                    for q, v, code in zip(qi, qx, c.of_queries(qx)):
+                        near = index.within(code, reach)
+                        near = near[i[near] != q]
+                        if len(near) > k:  # rounding can move what is as near as this to the last
+                            rough = x[near] @ v
+                            least = -np.partition(-rough, k - 1)[k - 1]
+                            near = near[rough >= least - 1e-9 * max(1.0, np.abs(rough).max())]
+                        s = inner(x[near], v)
+                        order = np.lexsort((i[near], -s))[:k]
+                        out.append((np.full(len(order), q), i[near[order]], s[order]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in zip(*out)], names=["query_id", "vec_id", "score"])
+
+    return written(meet.select("chunk", "ids", "vectors", "asked").repartition(F.xxhash64("chunk", "ids")).mapInArrow(run, "query_id long, vec_id long, score double"), "near")
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
