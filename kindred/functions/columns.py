@@ -25,6 +25,21 @@ def pack_code(bits: Column) -> Column:
     return F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def pack_positions(positions: Column) -> Column:
+    """A long with the bits at these positions set."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    return F.aggregate(F.array_distinct(positions), F.lit(0).cast("long"), lambda a, i: a + bit(i))
+
+
+def structure_code(nodes: Column, edges: Column) -> Column:
+    """32 bits of a small graph without a model: labels that occur (8), edges by their ends (16), the number of vertices (8).
+
+    Equal graphs have equal codes; an edit changes a few bits."""
+    n = F.least(F.size(nodes), F.lit(8))
+    count = F.when(n > 0, F.sequence(F.lit(24), 23 + n)).otherwise(F.array().cast("array<int>"))
+    return pack_positions(F.concat(F.transform(nodes, lambda x: F.pmod(x, F.lit(8))), F.transform(edges, lambda e: 8 + F.pmod(e["src"] * 5 + e["dst"], F.lit(16))), count))
+
+
 def set_bits(code: Column, width: int = 64) -> Column:
     """Positions of the bits that are set, ascending."""
     at = F.sequence(F.lit(0), F.lit(width - 1))

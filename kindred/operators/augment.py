@@ -73,8 +73,8 @@ def similar(graphs: DataFrame, copies: int, most: int, labels: int, seed: int =
     return graphs.select("gid", "nodes", "edges").mapInArrow(run, "gid long, copy int, ops int, v int, e int, nodes array<int>, edges array<struct<src:int,dst:int,label:int>>")
 
 
-def preferential_graphs(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """n graphs by preferential attachment: sizes Poisson(10) within 7..15, 1 <= m < size, labels by fixed shares."""
+def preferential_graphs(spark: SparkSession, n: int, seed: int = 1, sizes: tuple[int, int] = (7, 15), mean: float = 10, most_links: int | None = None) -> DataFrame:
+    """n graphs by preferential attachment: sizes Poisson(mean) within sizes, 1 <= m < size (m <= most_links), labels by fixed shares."""
     share = [0.8, 0.1, 0.05, 0.025, 0.025]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +83,9 @@ def preferential_graphs(spark: SparkSession, n: int, seed: int = 1) -> DataFrame
             for gid in b["id"].to_pylist():
                 rng = np.random.default_rng([seed, gid])
                 size = 0
-                while not 7 <= size <= 15:
-                    size = int(rng.poisson(10))
-                m = int(rng.integers(1, size))
+                while not sizes[0] <= size <= sizes[1]:
+                    size = int(rng.poisson(mean))
+                m = int(rng.integers(1, min(size, (most_links or size) + 1)))
                 edges, ends = [], list(range(m))
                 for v in range(m, size):
                     to: set[int] = set()

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CONV, DENSE, EMB, CODE = (256, 128, 64), (348, 256), 256, (128, 32)
 
@@ -53,7 +54,7 @@ def laplacian(n: int, edges: list) -> np.ndarray:
 
 def attention_pool(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Sum of rows weighted by the sigmoid of their product with relu(w . mean)."""
-    h = np.maximum(x.mean(axis=0) @ w, 0)
+    h = np.maximum(w @ x.mean(axis=0), 0)
     return (1 / (1 + np.exp(-(x @ h)))) @ x
 
 
@@ -76,7 +77,17 @@ def encode_graph(nodes: list[int], edges: list, w: dict[str, np.ndarray]) -> tup
 
 
 def encode(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """(gid, code, emb): bit i of the code is whether activation i is positive. Empty graphs have null for both."""
+    """(gid, code, emb): bit i of the code is whether activation i is positive. Empty graphs have null for both.
+
+    Equal structures are encoded once and joined back."""
+    from .ged import structures
+
+    own, of = structures(graphs)
+    found = _encoded(own.select(F.col("sid").alias("gid"), "nodes", "edges"), weights)
+    return of.join(found.withColumnRenamed("gid", "sid"), "sid").select("gid", "code", "emb")
+
+
+def _encoded(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     shared = graphs.sparkSession.sparkContext.broadcast(weights)  # fixed by the model's shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,7 +191,7 @@ def with_distance(pairs: DataFrame, bound: int | None = None, steps: int | None
 
 def structures(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct graphs with sid, gid to sid): equal graphs are compared once."""
-    s = graphs.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"))
+    s = graphs.groupBy("nodes", "edges").agg(F.min("gid").alias("sid")).withColumns({"v": F.size("nodes"), "e": F.size("edges")})
     return s, graphs.select("gid", "nodes", "edges").join(s.select("sid", "nodes", "edges"), ["nodes", "edges"]).select("gid", "sid")
 
 
@@ -226,11 +226,18 @@ def ged_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None = None) -
 
 
 def verify(candidates: DataFrame, queries: DataFrame, graphs: DataFrame, bound: int, steps: int | None = STEPS) -> DataFrame:
-    """(qid, gid, ged) of the candidates (qid, gid) within bound, and of the undecided ones, whose ged is null."""
-    q = queries.select(F.col("gid").alias("qid"), F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1"))
-    g = graphs.select("gid", F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2"))
-    rows = candidates.select("qid", "gid").join(q, "qid").join(g, "gid")
-    return with_distance(rows, bound, steps).where("ged is null or ged >= 0").select("qid", "gid", "ged")
+    """(qid, gid, ged) of the candidates (qid, gid) within bound, and of the undecided ones, whose ged is null.
+
+    Pairs of equal structures are searched once; pairs that the cheap bounds exclude not at all."""
+    qs, qmap = structures(queries)
+    gs, gmap = structures(graphs)
+    rows = candidates.select("qid", "gid").join(qmap.select(F.col("gid").alias("qid"), F.col("sid").alias("s1")), "qid").join(gmap.select("gid", F.col("sid").alias("s2")), "gid")
+    side = lambda g, k: g.select(F.col("sid").alias(f"s{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
+    pairs = rows.select("s1", "s2").distinct().join(side(qs, 1), "s1").join(side(gs, 2), "s2")
+    c, lab = F.col, lambda e: F.transform(e, lambda x: x["label"])
+    low = label_bound(F.size("nodes1"), c("nodes1"), lab("edges1"), F.size("nodes2"), c("nodes2"), lab("edges2"))
+    d = with_distance(pairs.where(low <= bound).repartition("s1", "s2"), bound, steps).where("ged is null or ged >= 0").select("s1", "s2", "ged")
+    return rows.join(d, ["s1", "s2"]).select("qid", "gid", "ged")
 
 
 def mapping_cost(nodes1: list, edges1: list, nodes2: list, edges2: list, mapping: list[int]) -> int:

@@ -29,28 +29,33 @@ def from_parts(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def transition_graphs(events: DataFrame) -> DataFrame:
     """A graph for each user and day: vertices are the event types in order of name, edges join types that follow each other.
 
-    gid = user_id * 100000 + days since 1970-01-01."""
+    gid = user_id * 100000 + days since 1970-01-01. One shuffle by gid: a window that can spill finds the steps, and
+    what is collected is bounded by the number of types."""
+    from ..plans.planner import small_enough
+
     ev = events.where("user_id is not null and ts is not null and event_type is not null").select(
         (F.col("user_id") * 100000 + F.unix_date(F.to_date("ts"))).alias("gid"), "ts", "event_id", F.col("event_type").alias("t")
     )
-    types = ev.select("t").distinct()  # a handful of rows
-    ids = types.select("t", (F.row_number().over(W.orderBy("t")) - 1).alias("label"))
-    ev = ev.join(F.broadcast(ids), "t")
-    kinds = ev.select("gid", "label").distinct()
-    vertices = kinds.withColumn("vid", F.row_number().over(W.partitionBy("gid").orderBy("label")) - 1)
-    step = ev.select("gid", "label", F.lag("label").over(W.partitionBy("gid").orderBy("ts", "event_id")).alias("before")).where("before is not null and before <> label").select("gid", F.least("label", "before").alias("a"), F.greatest("label", "before").alias("b")).distinct()
-    pos = vertices.select("gid", "vid", "label")
-    edges = step.join(pos.select("gid", F.col("label").alias("a"), F.col("vid").alias("src")), ["gid", "a"]).join(pos.select("gid", F.col("label").alias("b"), F.col("vid").alias("dst")), ["gid", "b"])
-    return from_parts(vertices, edges.select("gid", "src", "dst", F.lit(1).alias("label")))
+    types = ev.select("t").distinct()
+    ids = types.select("t", (F.row_number().over(W.orderBy("t")) - 1).cast("int").alias("label"))
+    ev = ev.join(F.broadcast(ids) if small_enough(types) else ids, "t")
+    seq = ev.select("gid", "label", F.lag("label").over(W.partitionBy("gid").orderBy("ts", "event_id")).alias("before"))
+    step = F.when(F.col("before") != F.col("label"), F.struct(F.least("label", "before").alias("a"), F.greatest("label", "before").alias("b")))
+    g = seq.groupBy("gid").agg(F.sort_array(F.collect_set("label")).alias("nodes"), F.sort_array(F.collect_set(step)).alias("steps"))
+    at = lambda x: (F.array_position("nodes", x) - 1).cast("int")
+    edges = F.transform("steps", lambda s: F.struct(at(s["a"]).alias("src"), at(s["b"]).alias("dst"), F.lit(1).alias("label")))
+    return g.select("gid", F.size("nodes").alias("v"), F.size("steps").alias("e"), "nodes", edges.alias("edges"))
 
 
 def order_graphs(lineitem: DataFrame) -> DataFrame:
     """A path for each order: vertices are its lines in order of (line number, part, supplier), labelled by return flag and status."""
     labels = F.array(*[F.lit(x) for x in ("AF", "NF", "NO", "RF", "AO", "RO")])
-    key = F.concat("l_returnflag", "l_linestatus")
-    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
-    v = lineitem.select(F.col("l_orderkey").alias("gid"), (F.row_number().over(w) - 1).alias("vid"), (F.array_position(labels, key) - 1).cast("int").alias("label"))
-    return from_parts(v, v.where("vid > 0").select("gid", (F.col("vid") - 1).alias("src"), F.col("vid").alias("dst"), F.lit(1).alias("label")))
+    label = (F.array_position(labels, F.concat("l_returnflag", "l_linestatus")) - 1).cast("int")
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", label.alias("label"))
+    g = lineitem.groupBy(F.col("l_orderkey").alias("gid")).agg(F.sort_array(F.collect_list(line)).alias("x"))
+    n = F.size("x")
+    edges = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((i - 1).alias("src"), i.alias("dst"), F.lit(1).alias("label")))).otherwise(F.array().cast("array<struct<src:int,dst:int,label:int>>"))
+    return g.select("gid", n.alias("v"), (n - 1).alias("e"), F.transform("x", lambda s: s["label"]).alias("nodes"), edges.alias("edges"))
 
 
 def vertices(graphs: DataFrame) -> DataFrame:
@@ -67,9 +72,13 @@ def label_histogram(graphs: DataFrame) -> DataFrame:
 
 
 def degrees(graphs: DataFrame) -> DataFrame:
-    """(gid, vid, degree) of every vertex, self-loops not counted."""
-    ends = edges(graphs).where("src <> dst").select("gid", F.explode(F.array("src", "dst")).alias("vid")).groupBy("gid", "vid").agg(F.count("*").alias("degree"))
-    return vertices(graphs).select("gid", "vid").join(ends, ["gid", "vid"], "left").select("gid", "vid", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    """(gid, vid, degree) of every vertex, self-loops not counted; an expression of the row, without a shuffle."""
+    return graphs.select("gid", F.posexplode(degree_array()).alias("vid", "degree")).withColumn("degree", F.col("degree").cast("long"))
+
+
+def edge_label_histogram(graphs: DataFrame) -> DataFrame:
+    """(gid, label, n) of edge labels."""
+    return edges(graphs).groupBy("gid", "label").agg(F.count("*").alias("n"))
 
 
 def degree_array() -> F.Column:
@@ -89,24 +98,36 @@ def isolated_vertices(graphs: DataFrame) -> DataFrame:
 
 def twin_classes(graphs: DataFrame) -> DataFrame:
     """(gid, n_classes, product): classes of vertices with one label and the same neighbours by the same edge labels, and the product of their sizes."""
-    both = edges(graphs).select("gid", F.explode(F.array(F.struct(F.col("src").alias("vid"), F.col("dst").alias("nb"), "label"), F.struct(F.col("dst").alias("vid"), F.col("src").alias("nb"), "label"))).alias("x"))
-    nbs = both.select("gid", "x.vid", F.struct("x.nb", F.col("x.label").alias("el")).alias("n")).groupBy("gid", "vid").agg(F.sort_array(F.collect_set("n")).alias("nbs"))
-    v = vertices(graphs).join(nbs, ["gid", "vid"], "left")
-    sizes = v.groupBy("gid", "label", "nbs").agg(F.count("*").alias("n"))
-    return sizes.groupBy("gid").agg(F.count("*").alias("n_classes"), F.aggregate(F.collect_list("n"), F.lit(1).cast("long"), lambda a, x: a * x).alias("product"))
+    nbs = lambda i: F.concat(
+        F.transform(F.filter("edges", lambda e: e["src"] == i), lambda e: F.struct(e["dst"].alias("nb"), e["label"].alias("el"))),
+        F.transform(F.filter("edges", lambda e: e["dst"] == i), lambda e: F.struct(e["src"].alias("nb"), e["label"].alias("el"))),
+    )
+    kind = F.transform(F.sequence(F.lit(0), F.col("v") - 1), lambda i: F.struct(F.get("nodes", i).alias("label"), F.array_sort(F.array_distinct(nbs(i))).alias("nbs")))
+    g = graphs.where("v > 0").select("gid", kind.alias("kinds")).select("gid", "kinds", F.array_distinct("kinds").alias("classes"))
+    sizes = F.transform("classes", lambda c: F.size(F.filter("kinds", lambda k: k == c)).cast("long"))
+    return g.select("gid", F.size("classes").cast("long").alias("n_classes"), F.aggregate(sizes, F.lit(1).cast("long"), lambda a, x: a * x).alias("product"))
 
 
 def laplacian(graphs: DataFrame) -> DataFrame:
-    """(gid, row, col, val) of D^-1/2 (A + I) D^-1/2, the entries that are not zero."""
-    deg = degrees(graphs).withColumn("s", 1 / F.sqrt(F.col("degree") + 1))
-    e = edges(graphs).where("src <> dst").select("gid", F.explode(F.array(F.struct(F.col("src").alias("r"), F.col("dst").alias("c")), F.struct(F.col("dst").alias("r"), F.col("src").alias("c")))).alias("x")).select("gid", "x.r", "x.c").distinct()
-    off = e.join(deg.select("gid", F.col("vid").alias("r"), F.col("s").alias("sr")), ["gid", "r"]).join(deg.select("gid", F.col("vid").alias("c"), F.col("s").alias("sc")), ["gid", "c"])
-    return off.select("gid", F.col("r").alias("row"), F.col("c").alias("col"), (F.col("sr") * F.col("sc")).alias("val")).union(deg.select("gid", "vid", "vid", F.col("s") * F.col("s")))
+    """(gid, row, col, val) of D^-1/2 (A + I) D^-1/2, the entries that are not zero; expressions of the row, without a shuffle."""
+    pairs = F.array_distinct(F.transform(F.filter("edges", lambda e: e["src"] != e["dst"]), lambda e: F.struct(e["src"].alias("row"), e["dst"].alias("col"))))
+    g = graphs.where("v > 0").select("gid", "v", degree_array().alias("d"), pairs.alias("p"))
+    scale = lambda i: 1 / F.sqrt(F.get("d", i) + 1)
+    entry = lambda i, j: F.struct(i.alias("row"), j.alias("col"), (scale(i) * scale(j)).alias("val"))
+    own = F.transform(F.sequence(F.lit(0), F.col("v") - 1), lambda i: entry(i, i))
+    return g.select("gid", F.inline(F.concat(own, F.transform("p", lambda x: entry(x["row"], x["col"])), F.transform("p", lambda x: entry(x["col"], x["row"])))))
+
+
+def row_normalized(features: F.Column) -> F.Column:
+    """A vertex's features over their sum; all 0 where the sum is 0."""
+    x = F.transform(features, lambda y: y.cast("double"))
+    total = F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    return F.transform(x, lambda y: F.when(total != 0, y / total).otherwise(F.lit(0.0)))
 
 
-def row_normalized_features(graphs: DataFrame) -> DataFrame:
-    """(gid, vid, label, value): one-hot features over their row sum, the entries that are not zero."""
-    return vertices(graphs).select("gid", "vid", "label", F.lit(1.0).alias("value"))
+def constant_features(width: int) -> F.Column:
+    """Features of vertices without labels: width times 2.0."""
+    return F.array_repeat(F.lit(2.0), width)
 
 
 def subsample_every_second(graphs: DataFrame, order: str = "gid", ranges: int = 4096) -> DataFrame:

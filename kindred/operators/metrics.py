@@ -27,17 +27,16 @@ def macro(per: DataFrame, only_relevant: bool = False) -> DataFrame:
     )
 
 
-def precision_at_k(truth: DataFrame, results: DataFrame, k: int) -> DataFrame:
-    """(qid, p_at_k): truth (qid, gid, d) goes to the k-th distance with its ties; results (qid, gid, rank)."""
-    best = truth.withColumn("rk", F.rank().over(W.partitionBy("qid").orderBy("d"))).where(F.col("rk") <= k).select("qid", "gid")
-    hits = results.where(F.col("rank") <= k).join(best, ["qid", "gid"]).groupBy("qid").agg(F.count("*").alias("n"))
-    return truth.select("qid").distinct().join(hits, "qid", "left").select("qid", (F.coalesce("n", F.lit(0)) / k).alias("p_at_k"))
+def precision_at_k(queries: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """(qid, p_at_k): the share of the first k results whose competition rank rk in the truth is at most k, so that ties
+    with the k-th distance count. ranked: (qid, gid, rank, rk) of results."""
+    hits = ranked.where((F.col("rank") <= k) & (F.col("rk") <= k)).groupBy("qid").agg(F.count("*").alias("n"))
+    return queries.select("qid").distinct().join(hits, "qid", "left").select("qid", (F.coalesce("n", F.lit(0)) / k).alias("p_at_k"))
 
 
-def tie_adjusted(truth: DataFrame, results: DataFrame) -> DataFrame:
-    """(qid, pos, arank): the truth's competition rank of each result, its k-th repetition raised by k - 1 in result order."""
-    rk = truth.withColumn("rk", F.rank().over(W.partitionBy("qid").orderBy("d"))).select("qid", "gid", "rk")
-    j = results.select("qid", "gid", F.col("rank").alias("pos")).join(rk, ["qid", "gid"])
+def tie_adjusted(ranked: DataFrame) -> DataFrame:
+    """(qid, pos, arank): the competition rank rk of each result, its k-th repetition raised by k - 1 in result order."""
+    j = ranked.select("qid", F.col("rank").alias("pos"), "rk")
     return j.select("qid", "pos", (F.col("rk") + F.row_number().over(W.partitionBy("qid", "rk").orderBy("pos")) - 1).alias("arank"))
 
 

@@ -6,6 +6,7 @@ Tables: codes (gid long, code long, emb array). Queries are codes with qid for g
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -89,6 +90,13 @@ def range_candidates(queries: DataFrame, codes: DataFrame, radius: int, width: i
     return (rows if fine is None else rows.where(F.col("sq_l2") <= fine)).select("qid", "gid", "h", "sq_l2")
 
 
+def all_pairs(queries: DataFrame, codes: DataFrame, width: int) -> DataFrame:
+    """(qid, gid, h, sq_l2) of the stated queries against all rows, in blocks."""
+    q = queries.select(F.col("gid").alias("qid"), F.col("code").alias("qcode"), F.col("emb").alias("qemb"))
+    q = F.broadcast(q) if small_enough(q) else q
+    return codes.join(q).select("qid", "gid", hamming(F.col("qcode"), F.col("code"), width).alias("h"), sq_l2(F.col("qemb"), F.col("emb")).alias("sq_l2"))
+
+
 def range_weighted(queries: DataFrame, codes: DataFrame, limit: float, weights: list[float]) -> DataFrame:
     """(qid, gid, wh): weighted Hamming distance at most limit."""
     q, c = _distinct(queries, "qcode"), _distinct(codes, "code")
@@ -111,17 +119,51 @@ def _ranked(d: DataFrame, k: int) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "gid", "sq_l2")
 
 
-def multi_probe(queries: DataFrame, codes: DataFrame, k: int, width: int, limit: int = 11, factor: int = 5) -> DataFrame:
+def multi_probe(queries: DataFrame, codes: DataFrame, k: int, width: int, limit: int = 11, factor: int = 5, fall_back: bool = False) -> DataFrame:
     """(qid, rank, gid, sq_l2): nearest embeddings among the Hamming rings up to the first with factor * k candidates.
 
-    Rings are whole. Where not even limit holds that many, all rings up to limit count."""
-    hits = ball(queries, codes, min(limit, width), width, "scan")
+    Rings are whole. Near rings are probed; only codes that they leave short are compared with all codes. Where not
+    even limit holds that many, all rings up to limit count. With fall_back a query is compared with all embeddings
+    if no ring has a hit, or if it is still short when the next ring has more codes than there are graphs."""
+    from ..plans.planner import PROBES, ball_size
+
+    limit = min(limit, width)
+    near = max(r for r in range(limit + 1) if ball_size(r, width) <= PROBES)
     sizes = codes.groupBy("code").agg(F.count("*").alias("n"))
-    rings = hits.join(sizes, "code").groupBy("qcode", "h").agg(F.sum("n").alias("n"))
+    hits = ball_probe(queries, codes, near, width).join(sizes, "code")
+    if near < limit:
+        done = hits.groupBy("qcode").agg(F.sum("n").alias("all")).where(F.col("all") >= factor * k)
+        short = queries.join(done.select(F.col("qcode").alias("code")), "code", "left_anti")
+        hits = hits.union(ball_scan(short, codes, limit, width).where(F.col("h") > near).join(sizes, "code").select(*hits.columns))
+    rings = hits.groupBy("qcode", "h").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("qcode").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     kept = rings.withColumn("before", before).where(F.col("before") < factor * k).select("qcode", "h")
-    rows = expand(hits.join(kept, ["qcode", "h"]), queries, codes)
-    return _ranked(rows.select("qid", "gid", sq_l2(F.col("qemb"), F.col("emb")).alias("sq_l2")), k)
+    rest = None
+    if fall_back:
+        n = codes.count()
+        large = next((d for d in range(1, limit + 1) if comb(width, d) > n), limit + 1)
+        inside = rings.where(F.col("h") < large).groupBy("qcode").agg(F.sum("n").alias("all"))
+        inside = inside.where(F.col("all") >= (factor * k if large <= limit else 1)).select(F.col("qcode").alias("code"))
+        rest = top_k(queries.join(inside, "code", "left_anti"), codes, k)
+        queries = queries.join(inside, "code", "left_semi")
+    rows = expand(hits.select("qcode", "code", "h").join(kept, ["qcode", "h"]), queries, codes)
+    out = _ranked(rows.select("qid", "gid", sq_l2(F.col("qemb"), F.col("emb")).alias("sq_l2")), k)
+    return out if rest is None else out.union(rest)
+
+
+def competition_ranks(queries: DataFrame, codes: DataFrame, results: DataFrame, distance) -> DataFrame:
+    """results (qid, gid, rank, d) with rk: 1 and the number of vectors whose distance(qemb, emb) from the query is under d.
+
+    A query carries its results' distances; a pair adds to the count of the first distance above its own, so
+    what is shuffled is a row for each query and distance, not a pair."""
+    cuts = results.groupBy("qid").agg(F.sort_array(F.collect_set("d")).alias("cuts"))
+    q = queries.select(F.col("gid").alias("qid"), F.col("emb").alias("qemb")).join(cuts, "qid")
+    q = F.broadcast(q) if small_enough(q) else q
+    pairs = codes.select("gid", "emb").join(q).withColumn("d", distance(F.col("qemb"), F.col("emb")))
+    below = pairs.select("qid", F.size(F.filter("cuts", lambda c: c <= F.col("d"))).alias("at")).groupBy("qid", "at").agg(F.count("*").alias("n"))
+    own = results.join(cuts, "qid").select("qid", "gid", "rank", (F.array_position("cuts", F.col("d")) - 1).alias("place"))
+    counts = own.join(below.withColumnRenamed("qid", "of"), (F.col("qid") == F.col("of")) & (F.col("at") <= F.col("place")), "left")
+    return counts.groupBy("qid", "gid", "rank").agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("rk"))
 
 
 def thresholds(vectors: DataFrame, kind: str) -> DataFrame:

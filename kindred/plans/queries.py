@@ -7,6 +7,7 @@ vectors, or graphs, whose id is divisible by 50; everything else is the database
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import comb
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import assignment, augment, encode, ged, graphs, metrics, search
 from ..sources import formats
+from ..sources.scratch import scratch_path
 from ..streaming.queries import range_stream
+from . import lifecycle
 
 Query = Callable[[SparkSession, str], DataFrame]
 WIDTH = 12
@@ -43,8 +46,8 @@ def codes(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> DataFrame:
     return e.select(F.col("vec_id").alias("gid"), C.pack_code(C.binarize(F.col("embedding"), width=width)).alias("code"), F.col("embedding").alias("emb"))
 
 
-def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = codes(spark, sf_dir)
+def sides(spark: SparkSession, sf_dir: str, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+    c = codes(spark, sf_dir, width)
     return c.where("gid % 50 = 0"), c.where("gid % 50 <> 0")
 
 
@@ -52,11 +55,15 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
-CODES = f"""codes AS (SELECT vec_id AS gid, CAST(list_sum(list_transform(range({WIDTH}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)) AS BIGINT) AS code, embedding AS emb FROM embeddings),
+def _codes_sql(width: int) -> str:
+    return f"""codes AS (SELECT vec_id AS gid, CAST(list_sum(list_transform(range({width}), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)) AS BIGINT) AS code, embedding AS emb FROM embeddings),
 q AS (SELECT gid AS qid, code AS qcode, emb AS qemb FROM codes WHERE gid % 50 = 0), d AS (SELECT * FROM codes WHERE gid % 50 <> 0),
 pairs AS (SELECT qid, gid, CAST(bit_count(xor(qcode, code)) AS BIGINT) AS h, list_sum(list_transform(range(1, len(emb) + 1), lambda i: (qemb[i]::DOUBLE - emb[i]::DOUBLE) * (qemb[i]::DOUBLE - emb[i]::DOUBLE))) AS sq, xor(qcode, code) AS x FROM q, d)"""
 
 
+CODES, CODES32 = _codes_sql(WIDTH), _codes_sql(32)
+
+
 # Index and code queries
 
 
@@ -65,6 +72,11 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.build_index(codes(spark, sf_dir)).select("code", "n", F.array_join(F.transform("gids", lambda x: x.cast("string")), ",").alias("gids"))
 
 
+@query(f"WITH {CODES32} SELECT code, count(*) AS n, array_to_string(list(gid ORDER BY gid), ',') AS gids FROM codes GROUP BY code")
+def index_build_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.build_index(codes(spark, sf_dir, 32)).select("code", "n", F.array_join(F.transform("gids", lambda x: x.cast("string")), ",").alias("gids"))
+
+
 @query(f"WITH {CODES}, n AS (SELECT code, count(*) AS n FROM codes GROUP BY code) SELECT code, n, CAST(coalesce(sum(n) OVER (ORDER BY code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM n")
 def index_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.index_offsets(codes(spark, sf_dir))
@@ -142,8 +154,6 @@ def topk_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(BALL)
 def range_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query codes arrive as a stream and meet the stored index; the sink is a table that is then read."""
-    import uuid
-
     jvm, path = spark._jvm, f"{sf_dir}/embeddings.parquet"
     p = jvm.org.apache.hadoop.fs.Path(path)
     folder = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -151,18 +161,39 @@ def range_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = source.parquet(path) if folder else source.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("gid"), C.pack_code(C.binarize(F.col("embedding"), width=WIDTH)).alias("code"))
     _, d = sides(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "stream")
     w = range_stream(q, d, 2, WIDTH).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     w.awaitTermination()
     return spark.read.schema("qid long, gid long, h int").parquet(f"{out}/rows").select("qid", "gid", F.col("h").cast("long").alias("h"))
 
 
+@query(f"WITH {CODES32} SELECT qid, gid, h, round(sq, 6) AS sq_l2 FROM pairs WHERE h <= 9")
+def range_hamming_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32-bit codes within 9 bits, by the strategy that the planner chooses."""
+    return search.range_candidates(*sides(spark, sf_dir, 32), 9, 32).select("qid", "gid", F.col("h").cast("long").alias("h"), r6("sq_l2").alias("sq_l2"))
+
+
+@query(f"WITH {CODES32}, w AS (SELECT qid, gid, list_sum(list_transform(range(32), lambda i: log2(i + 2) * ((x >> i) & 1))) AS wh FROM pairs) SELECT qid, gid, round(wh, 6) AS wh FROM w WHERE wh <= 30.05")
+def range_weighted_32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.range_weighted(*sides(spark, sf_dir, 32), 30.05, C.bit_weights("log", 32)).select("qid", "gid", r6("wh").alias("wh"))
+
+
+_RINGS = ", ".join(f"({d}, {comb(32, d)})" for d in range(1, 12))
+TOPK_FULL = f"""WITH {CODES32}, large AS (SELECT coalesce(min(dist), 12) AS dist FROM (VALUES {_RINGS}) t(dist, n) WHERE n > (SELECT count(*) FROM d)),
+rings AS (SELECT qid, h, count(*) AS n FROM pairs WHERE h <= 11 GROUP BY qid, h),
+cum AS (SELECT qid, h, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rings),
+inside AS (SELECT r.qid FROM rings r, large l WHERE r.h < l.dist GROUP BY r.qid HAVING sum(n) >= max(CASE WHEN l.dist <= 11 THEN 50 ELSE 1 END)),
+cand AS (SELECT qid, gid, sq FROM pairs JOIN cum USING (qid, h) WHERE before < 50 AND qid IN (SELECT qid FROM inside) UNION ALL SELECT qid, gid, sq FROM pairs WHERE qid NOT IN (SELECT qid FROM inside))
+SELECT qid, CAST(rank AS BIGINT) AS rank, gid, round(sq, 6) AS sq_l2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sq, gid) AS rank FROM cand) WHERE rank <= 10"""
+
+
+@query(TOPK_FULL)
+def topk_query_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top-k driver on 32-bit codes: rings of the code index, or all embeddings where rings cost more or have no hit."""
+    q, d = sides(spark, sf_dir, 32)
+    return lifecycle.top_k_query(d, q, 10).select("qid", F.col("rank").cast("long").alias("rank"), "gid", r6("sq_l2").alias("sq_l2"))
+
+
 # Metrics of code search against exact neighbours
 
 TRUTH = f"{CODES}, truth AS (SELECT qid, gid, sq FROM pairs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sq, gid) <= 20)"
@@ -195,30 +226,30 @@ res AS (SELECT qid, gid, row_number() OVER (PARTITION BY qid ORDER BY h, gid) AS
 adj AS (SELECT qid, pos, rk + row_number() OVER (PARTITION BY qid, rk ORDER BY pos) - 1 AS arank FROM res JOIN rk USING (qid, gid))"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's first ten results by code distance with their ranks in the truth, which is rounded so that it has ties."""
     q, d = sides(spark, sf_dir)
-    truth = search.top_k(q, d, 1 << 30).select("qid", "gid", F.round("sq_l2", 1).alias("d"))
-    near = search.range_candidates(q, d, 5, WIDTH)
-    return truth, near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("h", "gid"))).where("rank <= 10").select("qid", "gid", "rank")
+    near = search.range_candidates(q, d, 5, WIDTH).withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("h", "gid"))).where("rank <= 10")
+    return search.competition_ranks(q, d, near.select("qid", "gid", "rank", F.round("sq_l2", 1).alias("d")), lambda a, b: F.round(C.sq_l2(a, b), 1))
 
 
 @query(f"WITH {RANKED} SELECT q.qid, round(count(r.gid) / 10.0::DOUBLE, 6) AS p_at_k FROM q LEFT JOIN (SELECT res.qid, res.gid FROM res JOIN rk USING (qid, gid) WHERE rk <= 10) r ON q.qid = r.qid GROUP BY q.qid")
 def p_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.precision_at_k(*_ranked(spark, sf_dir), 10).select("qid", r6("p_at_k").alias("p_at_k"))
+    return metrics.precision_at_k(sides(spark, sf_dir)[0].select(F.col("gid").alias("qid")), _ranked(spark, sf_dir), 10).select("qid", r6("p_at_k").alias("p_at_k"))
 
 
 @query(f"WITH {RANKED}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pos) AS x, row_number() OVER (PARTITION BY qid ORDER BY arank, pos) AS y FROM adj) SELECT qid, round(CASE WHEN count(*) > 1 THEN corr(x, y) END, 6) AS rho FROM r GROUP BY qid")
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.spearman(metrics.tie_adjusted(*_ranked(spark, sf_dir))).select("qid", r6("rho").alias("rho"))
+    return metrics.spearman(metrics.tie_adjusted(_ranked(spark, sf_dir))).select("qid", r6("rho").alias("rho"))
 
 
 @query(f"WITH {RANKED} SELECT a.qid, round(sum(sign(b.arank - a.arank))::DOUBLE / count(*), 6) AS tau FROM adj a JOIN adj b ON a.qid = b.qid AND a.pos < b.pos GROUP BY a.qid")
 def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.kendall(metrics.tie_adjusted(*_ranked(spark, sf_dir))).select("qid", r6("tau").alias("tau"))
+    return metrics.kendall(metrics.tie_adjusted(_ranked(spark, sf_dir))).select("qid", r6("tau").alias("tau"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.range_candidates(*sides(spark, sf_dir), WIDTH, WIDTH, strategy="scan")
+    return search.all_pairs(*sides(spark, sf_dir), WIDTH)
 
 
 @query(f"WITH {CODES} SELECT CAST(floor(sq * 4) AS BIGINT) AS ged, least(h, 11) AS ham, count(*) AS n FROM pairs WHERE floor(sq * 4) BETWEEN 0 AND 11 GROUP BY ALL")
@@ -226,6 +257,16 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(_pairs(spark, sf_dir).select(F.floor(F.col("sq_l2") * 4).alias("ged"), F.col("h").cast("long").alias("h")))
 
 
+_CELLS = " || ' ' || ".join(f"count(CASE WHEN h IS NOT NULL AND least(h, 11) = {j} THEN 1 END)" for j in range(12))
+
+
+@query(f"WITH {CODES} SELECT CAST(r.i AS BIGINT) AS ged, {_CELLS} AS value FROM range(12) r(i) LEFT JOIN pairs ON floor(sq * 4) = r.i GROUP BY r.i")
+def confusion_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 x 12 matrix as the lines of its text file."""
+    m = metrics.confusion(_pairs(spark, sf_dir).select(F.floor(F.col("sq_l2") * 4).alias("ged"), F.col("h").cast("long").alias("h")))
+    return formats.matrix_lines(m, "ged", "ham", "n").select(F.col("row").cast("long").alias("ged"), "value")
+
+
 @query(f"WITH {CODES} SELECT CAST(floor(sq * 4) AS BIGINT) AS ged, count(*) AS n FROM pairs GROUP BY ALL")
 def ged_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).groupBy(F.floor(F.col("sq_l2") * 4).alias("ged")).agg(F.count("*").alias("n"))
@@ -328,10 +369,17 @@ def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.laplacian(transitions(spark, sf_dir)).select("gid", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), r6("val").alias("val"))
 
 
-@query(f"WITH {GRAPHS} SELECT gid, vid, label, 1.0::DOUBLE AS value FROM vx")
+@query(f"WITH {GRAPHS} SELECT gid, vid, CASE WHEN degree + label = 0 THEN 0.0 ELSE round(degree / (degree + label)::DOUBLE, 6) END AS x0, CASE WHEN degree + label = 0 THEN 0.0 ELSE round(label / (degree + label)::DOUBLE, 6) END AS x1 FROM deg")
 def row_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = graphs.row_normalized_features(transitions(spark, sf_dir))
-    return f.select("gid", F.col("vid").cast("long").alias("vid"), F.col("label").cast("long").alias("label"), "value")
+    """Vertices' features (degree, label) over their sum; both are 0 for an isolated vertex with label 0."""
+    rows = transitions(spark, sf_dir).select("gid", F.posexplode(F.arrays_zip(graphs.degree_array().alias("d"), F.col("nodes").alias("l"))).alias("vid", "x"))
+    f = rows.select("gid", F.col("vid").cast("long").alias("vid"), graphs.row_normalized(F.array("x.d", "x.l")).alias("f"))
+    return f.select("gid", "vid", r6(F.col("f")[0]).alias("x0"), r6(F.col("f")[1]).alias("x1"))
+
+
+@query(f"WITH {GRAPHS} SELECT gid, 1::BIGINT AS label, count(*) AS n FROM ed GROUP BY gid")
+def edge_label_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.edge_label_histogram(transitions(spark, sf_dir)).select("gid", F.col("label").cast("long").alias("label"), "n")
 
 
 @query("WITH l AS (SELECT l_orderkey AS gid, list(l_returnflag || l_linestatus ORDER BY l_returnflag || l_linestatus, l_partkey) AS x FROM lineitem GROUP BY 1), d AS (SELECT gid, x, list_sort(list_distinct(x)) AS u FROM l) SELECT gid, array_to_string(list_transform(x, lambda y: list_position(u, y) - 1), ' ') AS labels FROM d")
@@ -357,7 +405,7 @@ pr AS (SELECT a.nq * b.n AS w, a.v AS v1, b.v AS v2, a.e AS e1, b.e AS e2, a.ls
 def _weighted_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(structures, weights of structure pairs): graphs of the queries against all graphs."""
     g = transitions(spark, sf_dir)
-    s = g.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"), F.count("*").alias("n"), F.sum((F.col("gid") % 50 == 0).cast("long")).alias("nq")).cache()  # read four times; far fewer rows than graphs
+    s = g.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"), F.count("*").alias("n"), F.sum((F.col("gid") % 50 == 0).cast("long")).alias("nq"))
     pairs = ged.bounded_pairs(s.where("nq > 0"), s, None)
     w = pairs.join(s.select(F.col("sid").alias("s1"), "nq"), "s1").join(s.select(F.col("sid").alias("s2"), "n"), "s2").withColumn("w", F.col("nq") * F.col("n"))
     return s, w
@@ -387,7 +435,7 @@ def _degrees(n: str, e: str) -> F.Column:
     return F.transform(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.size(F.filter(ends, lambda x: x == i)))
 
 
-_GAPS = "list_transform(range(1, 6), lambda i: coalesce(d1[i], 0) - coalesce(d2[i], 0))"
+_GAPS = "list_transform(range(1, greatest(v1, v2) + 1), lambda i: coalesce(d1[i], 0) - coalesce(d2[i], 0))"
 _named(
     "degree_lb",
     f"""WITH {STRUCT}, gp AS (SELECT *, CAST(ceil(list_sum(list_transform({_GAPS}, lambda x: greatest(-x, 0))) / 2) AS BIGINT) AS ie, CAST(ceil(list_sum(list_transform({_GAPS}, lambda x: greatest(x, 0))) / 2) AS BIGINT) AS de FROM pr)
@@ -420,11 +468,47 @@ def ged_range_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where("ged is null or ged >= 0").groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
 
 
-@query()
+def _listed_sql(condition: str, limit: int, more: str = "") -> str:
+    """(qid, gid, ged) of graph pairs within limit, from the structure pairs that satisfy a condition."""
+    return f"""{STRUCT}{more}, perm AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM range(5) a(i), range(5) b(i), range(5) c(i), range(5) d(i), range(5) e(i) WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+fl AS (SELECT row_number() OVER () AS k, n1, n2, x1, x2, l1, l2, {_FLAGS1} AS f1, {_FLAGS2} AS f2 FROM pr WHERE {condition}),
+gd AS (SELECT k, any_value(n1) AS n1, any_value(x1) AS x1, any_value(n2) AS n2, any_value(x2) AS x2, min({_COST}) AS ged FROM fl, perm GROUP BY k HAVING min({_COST}) <= {limit})
+SELECT a.gid AS qid, b.gid, CAST(ged AS BIGINT) AS ged FROM gd JOIN gr a ON a.nodes = n1 AND a.edges = x1 AND a.gid % 50 = 0 JOIN gr b ON b.nodes = n2 AND b.edges = x2"""
+
+
+@query(f"WITH {_listed_sql('abs(v1 - v2) <= 1', 1)}")
 def ged_pairs_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, gid, ged) of the query graphs' neighbours within distance 1."""
     g = transitions(spark, sf_dir)
-    return ged.ged_pairs(g.where("gid % 50 = 0"), g, 1)
+    return ged.ged_pairs(g.where("gid % 50 = 0"), g, 1).select("qid", "gid", F.col("ged").cast("long").alias("ged"))
+
+
+_CODE = "CAST(list_sum(list_transform(list_distinct(list_concat(list_concat(list_transform({l}, lambda y: y % 8), list_transform(list_filter(string_split({x}, ' '), lambda y: y <> ''), lambda y: 8 + (string_split(y, '-')[1]::INT * 5 + string_split(y, '-')[2]::INT) % 16)), list_transform(range(24, 24 + least({v}, 8)), lambda y: y::INT))), lambda y: 1::BIGINT << y)) AS BIGINT)"
+_NEAR = f"bit_count(xor({_CODE.format(l='l1', x='x1', v='v1')}, {_CODE.format(l='l2', x='x2', v='v2')})) <= 2 AND ((v1 - v2) ** 2 + (e1 - e2) ** 2) / 4.0 <= 1.5"
+
+
+@query(f"WITH {_listed_sql(_NEAR, 1)}")
+def range_query_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole range query at threshold 1: 32-bit codes of the structure, Hamming ball, embedding filter, exact distance."""
+    g = transitions(spark, sf_dir)
+    emb = F.array((F.col("v") / 2).cast("double"), (F.col("e") / 2).cast("double"))
+    c = g.select("gid", C.structure_code(F.col("nodes"), F.col("edges")).alias("code"), emb.alias("emb"))
+    mine = F.col("gid") % 50 == 0
+    return lifecycle.range_query(g, g.where(mine), c, c.where(mine), 1, fine=True).select("qid", "gid", F.col("ged").cast("long").alias("ged"))
+
+
+@query("SELECT 2 * count(*) AS n, 0::BIGINT AS undecided_3, 0::BIGINT AS far, 0::BIGINT AS undecided_6 FROM customer")
+def ged_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of 20 to 30 vertices against copies with at most three edits: distances at bounds 3 and 6.
+
+    No copy may be farther than its edits, and no pair may be left undecided."""
+    n = table(spark, sf_dir, "customer").count()
+    g = augment.preferential_graphs(spark, n, sizes=(20, 30), mean=25, most_links=3)
+    c = augment.similar(g, 2, 3, 5).select("gid", "ops", F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2"))
+    p = g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(c, "gid").drop("gid")
+    d = ged.with_distance(ged.with_distance(p, 3).withColumnRenamed("ged", "ged3"), 6)
+    far = (F.col("ged3") < 0) | (F.col("ged3") > F.col("ops")) | (F.col("ged") != F.col("ged3"))
+    return d.agg(F.count("*").alias("n"), F.count_if(F.col("ged3").isNull()).alias("undecided_3"), F.count_if(far).alias("far"), F.count_if(F.col("ged").isNull()).alias("undecided_6"))
 
 
 @query()
@@ -455,7 +539,46 @@ def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return augment.preferential_graphs(spark, n).select("gid", "v", "e", F.size("nodes").alias("n_nodes"))
 
 
-@query()
+@query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT n, n AS good FROM n")
+def generated_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the generated graphs: all have 7 to 15 vertices with labels 0..4, a label for each, simple ascending edges inside, and each
+    vertex but the first ones an edge to an earlier one."""
+    g = augment.preferential_graphs(spark, table(spark, sf_dir, "customer").count())
+    ends = F.forall("edges", lambda e: (e["src"] >= 0) & (e["src"] < e["dst"]) & (e["dst"] < F.col("v")))
+    later = F.size(F.array_distinct(F.transform("edges", lambda e: e["dst"])))
+    m = F.array_min(F.transform("edges", lambda e: e["dst"]))
+    good = F.col("v").between(7, 15) & (F.size("nodes") == F.col("v")) & F.forall("nodes", lambda x: (x >= 0) & (x < 5)) & (F.size(F.array_distinct("edges")) == F.col("e")) & ends & (later == F.col("v") - m)
+    return g.agg(F.count("*").alias("n"), F.count_if(good).alias("good"))
+
+
+@query(f"WITH {GRAPHS}, n AS (SELECT 2 * count(*) AS n FROM gr) SELECT n, n AS good FROM n")
+def augmented_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the edited copies: all lie within as many edits of their graph as were counted, and at most three."""
+    g = transitions(spark, sf_dir)
+    c = augment.similar(g, 2, 3, 5).select("gid", "ops", F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2"))
+    d = ged.with_distance(g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(c, "gid"), 8)
+    return d.agg(F.count("*").alias("n"), F.count_if((F.col("ops") <= 3) & F.col("ged").between(0, F.col("ops"))).alias("good"))
+
+
+@query(f"WITH {GRAPHS} SELECT count(*) AS n, count(*) AS good, 0::BIGINT AS split FROM gr")
+def encoder_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the encoder: every graph has a 32-bit code and 256 numbers, and equal graphs have equal codes."""
+    g = transitions(spark, sf_dir)
+    e = g.select("gid", "nodes", "edges").join(encode.encode(g, encode.make_weights(5)), "gid")
+    per = e.groupBy("nodes", "edges").agg(F.count("*").alias("n"), F.count_if((F.size("emb") == 256) & F.col("code").between(0, (1 << 32) - 1)).alias("good"), (F.min("code") != F.max("code")).cast("long").alias("split"))
+    return per.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("split").alias("split"))
+
+
+_AROUND = "list_contains(string_split(edges, ' '), least(i, j) || '-' || greatest(i, j))"
+PAGERANK = f"""WITH RECURSIVE {GRAPHS}, s AS (SELECT DISTINCT nodes, edges, v FROM gr),
+ad AS (SELECT *, list_transform(range(v), lambda i: len(list_filter(range(v), lambda j: i <> j AND {_AROUND}))) AS d FROM s),
+m AS (SELECT nodes, edges, v, list_transform(range(v), lambda j: list_transform(range(v), lambda i: CASE WHEN d[i + 1] = 0 THEN 1.0::DOUBLE / v WHEN i <> j AND {_AROUND} THEN 1.0::DOUBLE / d[i + 1] ELSE 0.0::DOUBLE END)) AS p FROM ad),
+r AS (SELECT nodes, edges, v, p, 0 AS k, list_transform(range(v), lambda i: 1.0::DOUBLE / v) AS x FROM m
+ UNION ALL SELECT nodes, edges, v, p, k + 1, list_transform(range(v), lambda j: 0.1::DOUBLE / v + 0.9::DOUBLE * list_inner_product(p[j + 1], x)) FROM r WHERE k < 20)
+SELECT gr.gid, CAST(t.i AS INTEGER) AS vid, round(r.x[t.i + 1], 6) AS rank FROM gr JOIN r ON r.nodes = gr.nodes AND r.edges = gr.edges AND k = 20, range(5) t(i) WHERE t.i < gr.v"""
+
+
+@query(PAGERANK)
 def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.pagerank(transitions(spark, sf_dir)).select("gid", "vid", r6("rank").alias("rank"))
 
@@ -491,7 +614,13 @@ def cost_node_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("p_partkey", r6(c).alias("cost"))
 
 
-@query()
+SED = f"""WITH RECURSIVE {PARTS}, s AS (SELECT p_partkey, coalesce(p_name, '') AS a, coalesce(n0, '') AS b FROM pp WHERE b0 IS NOT NULL),
+r AS (SELECT p_partkey, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda j: 0::BIGINT) AS x FROM s
+ UNION ALL SELECT p_partkey, a, b, i + 1, list_prepend(0::BIGINT, list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda h: greatest(x[h + 1], CASE WHEN b[h:h] = a[i + 1:i + 1] THEN x[h] + 1 ELSE 0 END))))) FROM r WHERE i < length(a))
+SELECT p_partkey, CAST(length(a) + length(b) - 2 * x[length(b) + 1] AS BIGINT) AS cost FROM r WHERE i = length(a)"""
+
+
+@query(SED)
 def cost_node_sed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert-delete distance of names: a substitution costs two."""
     @F.pandas_udf("long")
@@ -563,3 +692,81 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id AS gid, vec_id % 10 < 2 AS valid FROM embeddings")
 def split_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("gid"), (F.col("vec_id") % 10 < 2).alias("valid"))
+
+
+# Formats: what is written and read again is what was there
+
+
+@query(f"WITH {GRAPHS} SELECT deg.gid, vid, label, degree FROM deg")
+def gxl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs with an int and a string attribute as GXL, parsed again."""
+    g = transitions(spark, sf_dir)
+    nodes = F.transform("nodes", lambda x, i: F.struct(F.concat(F.lit("_"), i.cast("string")).alias("id"), F.create_map(F.lit("label"), x.cast("string"), F.lit("kind"), F.concat(F.lit("k"), x.cast("string"))).alias("attrs")))
+    name = lambda x: F.concat(F.lit("_"), x.cast("string"))
+    edges = F.transform("edges", lambda e: F.struct(name(e["src"]).alias("src"), name(e["dst"]).alias("dst"), F.create_map(F.lit("valence"), e["label"].cast("string")).alias("attrs")))
+    texts = formats.gxl_text(g.select(F.col("gid").cast("string").alias("name"), F.lit(False).alias("directed"), nodes.alias("nodes"), edges.alias("edges")))
+    back = formats.gxl_graphs(texts).where("not directed")
+    v = back.select(F.col("name").cast("long").alias("gid"), F.explode("nodes").alias("n"), "edges")
+    own = F.filter("edges", lambda e: ((e["src"] == F.col("n.id")) | (e["dst"] == F.col("n.id"))) & (e["attrs"]["valence"] == "1"))
+    return v.where(F.col("n.attrs")["kind"] == F.concat(F.lit("k"), F.col("n.attrs")["label"])).select("gid", F.substring("n.id", 2, 9).cast("long").alias("vid"), F.col("n.attrs")["label"].cast("long").alias("label"), F.size(own).cast("long").alias("degree"))
+
+
+@query("SELECT s_name || '.gxl' AS name, CASE WHEN s_nationkey = 0 THEN 'NO_CLASS' ELSE 'n' || s_nationkey END AS class FROM supplier")
+def cxl_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections, one of each nation's suppliers, read; the first nation's entries have no class."""
+    kind = F.when(F.col("s_nationkey") == 0, F.lit("")).otherwise(F.concat(F.lit(' class="n'), F.col("s_nationkey").cast("string"), F.lit('"')))
+    entry = F.concat(F.lit('<print file="'), F.col("s_name"), F.lit('.gxl"'), kind, F.lit("/>"))
+    texts = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(entry), "").alias("x"))
+    return formats.cxl_entries(texts.select(F.concat(F.lit("<GraphCollection><p>"), "x", F.lit("</p></GraphCollection>")).alias("value")))
+
+
+@query(f"WITH {GRAPHS} SELECT * FROM gr")
+def gexf_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs as GEXF with the label as an attribute, parsed again; labels of one digit keep their rank."""
+    g = transitions(spark, sf_dir)
+    node = F.transform("nodes", lambda x, i: F.concat(F.lit('<node id="v'), i.cast("string"), F.lit('"><attvalues><attvalue for="0" value="t'), x.cast("string"), F.lit('"/></attvalues></node>')))
+    edge = F.transform("edges", lambda e: F.concat(F.lit('<edge source="v'), e["dst"].cast("string"), F.lit('" target="v'), e["src"].cast("string"), F.lit('"/>')))
+    head = '<gexf xmlns="http://www.gexf.net/1.2draft"><graph><attributes class="node"><attribute id="0" title="type" type="string"/></attributes><nodes>'
+    text = F.concat(F.lit(head), F.array_join(node, ""), F.lit("</nodes><edges>"), F.array_join(edge, ""), F.lit("</edges></graph></gexf>"))
+    return _flat(formats.gexf_graphs(g.select(F.concat(F.col("gid").cast("string"), F.lit(".gexf")).alias("name"), text.alias("value")), "type"))
+
+
+@query("SELECT vec_id AS gid, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000000) AS BIGINT))) AS BIGINT) AS total, CAST(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)) AS BIGINT) AS code FROM embeddings")
+def index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index as text files with their header lines, read again."""
+    path = scratch_path(spark, "index")
+    formats.write_index(codes(spark, sf_dir, 32), path)
+    return formats.read_index(spark, path).select("gid", "code", F.aggregate("emb", F.lit(0).cast("long"), lambda a, x: a + F.round(x * 1000000).cast("long")).alias("total"))
+
+
+@query("SELECT CAST(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END)) AS BIGINT) AS code, vec_id AS gid FROM embeddings")
+def index_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index as Parquet, sorted by code, read again."""
+    path = scratch_path(spark, "index")
+    formats.write_index_table(codes(spark, sf_dir, 32), path)
+    return spark.read.parquet(path).select("code", "gid")
+
+
+@query("SELECT l_orderkey AS gid, l_suppkey AS qid, CAST(l_linenumber AS INTEGER) AS ged FROM lineitem")
+def truth_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth lines written and read."""
+    path = scratch_path(spark, "truth")
+    c = lambda x: F.col(x).cast("string")
+    table(spark, sf_dir, "lineitem").select(F.concat_ws(" ", c("l_orderkey"), c("l_suppkey"), c("l_linenumber")).alias("value")).write.text(path)
+    return formats.read_truth(spark, path)
+
+
+@query(f"WITH {CODES} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY sq, gid) AS rank, gid FROM pairs WHERE h <= 2")
+def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results in order of distance as lines, written and read again: ranks are places in a line."""
+    path = scratch_path(spark, "results")
+    formats.result_lines(search.range_candidates(*sides(spark, sf_dir), 2, WIDTH), "sq_l2").select("value").write.text(path)
+    return formats.read_results(spark, path).select("qid", F.col("rank").cast("long").alias("rank"), "gid")
+
+
+@query("SELECT CAST(i AS INTEGER) AS pos, round(log2(i + 2), 6) AS x FROM range(32) t(i)")
+def weight_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bit weights written and read again."""
+    path = scratch_path(spark, "weights")
+    formats.write_numbers(spark.createDataFrame(list(enumerate(C.bit_weights("log", 32))), "pos int, x double"), path)
+    return formats.read_numbers(spark, path).select("pos", r6("x").alias("x"))

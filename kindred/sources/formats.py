@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graphs import GRAPH
+from ..plans.planner import small_enough
 
 SCHEMA = pa.schema(
     [("gid", pa.int64()), ("v", pa.int32()), ("e", pa.int32()), ("nodes", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("label", pa.int32())])))]
@@ -68,10 +70,35 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value")
 
 
-def read_gexf(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
-    """One graph a file, its id the number in the name; vertex labels 1, or dense ranks of the attribute `label`.
+def read_gexf(spark: SparkSession, path: str, label: str | None = None, words: DataFrame | None = None) -> DataFrame:
+    """One graph a file, see gexf_graphs()."""
+    return gexf_graphs(_files(spark, path), label, words)
 
-    Files that are no GEXF are left out."""
+
+def gexf_labels(texts: DataFrame, label: str) -> DataFrame:
+    """(w, rank): the distinct values of the attribute `label` and their dense ranks, to be kept for later files."""
+    w = _gexf(texts, label).select(F.explode("labels").alias("w")).where("w is not null").distinct()
+    return w.select("w", (F.row_number().over(W.orderBy("w")) - 1).alias("rank"))
+
+
+def gexf_graphs(texts: DataFrame, label: str | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Graphs of GEXF texts (name, value), each graph's id the number in its name; vertex labels 1, or the ranks of the
+    values of attribute `label` in words (by default those of these texts; a value that is not there has rank null).
+
+    Texts that are no GEXF are left out."""
+    raw = _gexf(texts, label)
+    if label is None:
+        ranked = raw.select("gid", "src", "dst", F.transform("ids", lambda _: F.lit(1)).alias("nodes"))
+    else:
+        words = gexf_labels(texts, label) if words is None else words
+        at = raw.select("gid", F.posexplode("labels").alias("i", "w")).join(F.broadcast(words) if small_enough(words) else words, "w", "left")
+        nodes = at.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("i", F.col("rank").cast("int").alias("rank")))).alias("x"))
+        ranked = raw.join(nodes, "gid", "left").select("gid", "src", "dst", F.coalesce(F.transform("x", lambda s: s["rank"]), F.array().cast("array<int>")).alias("nodes"))
+    edges = F.transform(F.arrays_zip("src", "dst"), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(1).alias("label")))
+    return ranked.select("gid", F.size("nodes").alias("v"), F.size("src").alias("e"), "nodes", edges.alias("edges"))
+
+
+def _gexf(texts: DataFrame, label: str | None) -> DataFrame:
     schema = pa.schema([("gid", pa.int64()), ("ids", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("src", pa.list_(pa.int32())), ("dst", pa.list_(pa.int32()))])
 
     def local(e: ET.Element) -> str:
@@ -93,15 +120,16 @@ def read_gexf(spark: SparkSession, path: str, label: str | None = None) -> DataF
                 rows.append((int("".join(c for c in name if c.isdigit()) or 0), list(place), values, [s for s, _ in ends], [d for _, d in ends]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
-    raw = _files(spark, path).mapInArrow(run, "gid long, ids array<string>, labels array<string>, src array<int>, dst array<int>")
-    words = raw.select(F.explode("labels").alias("w")).distinct().agg(F.sort_array(F.collect_set("w")).alias("words")) if label else spark.range(1).select(F.array(F.lit("0"), F.lit("1")).alias("words"))
-    nodes = F.transform("labels", lambda x: (F.array_position("words", x) - 1).cast("int"))
-    edges = F.transform(F.arrays_zip("src", "dst"), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(1).alias("label")))
-    return raw.join(F.broadcast(words)).select("gid", F.size("labels").alias("v"), F.size("src").alias("e"), nodes.alias("nodes"), edges.alias("edges"))
+    return texts.select("name", "value").mapInArrow(run, "gid long, ids array<string>, labels array<string>, src array<int>, dst array<int>")
 
 
 def read_gxl(spark: SparkSession, path: str) -> DataFrame:
     """(name, class, directed, nodes, edges) of GXL files; attributes are strings."""
+    return gxl_graphs(_files(spark, path))
+
+
+def gxl_graphs(texts: DataFrame) -> DataFrame:
+    """(name, class, directed, nodes, edges) of GXL texts (name, value)."""
     struct = pa.struct
     attrs = pa.map_(pa.string(), pa.string())
     schema = pa.schema([("name", pa.string()), ("class", pa.string()), ("directed", pa.bool_()), ("nodes", pa.list_(struct([("id", pa.string()), ("attrs", attrs)]))), ("edges", pa.list_(struct([("src", pa.string()), ("dst", pa.string()), ("attrs", attrs)])))])
@@ -119,18 +147,23 @@ def read_gxl(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, None, g.get("edgemode", "undirected") == "directed", nodes, edges))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
-    return _files(spark, path).mapInArrow(run, ATTRIBUTED)
+    return texts.select("name", "value").mapInArrow(run, ATTRIBUTED)
 
 
 def read_cxl(spark: SparkSession, path: str) -> DataFrame:
     """(name, class) of a collection; a missing class is NO_CLASS."""
+    return cxl_entries(_files(spark, path))
+
+
+def cxl_entries(texts: DataFrame) -> DataFrame:
+    """(name, class) of the collections in texts (value)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(p.get("file"), p.get("class") or "NO_CLASS") for text in b["value"].to_pylist() for p in ET.fromstring(text).iter("print")]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["name", "class"])
 
-    return _files(spark, path).mapInArrow(run, "name string, class string")
+    return texts.select("value").mapInArrow(run, "name string, class string")
 
 
 def collection(graphs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -138,12 +171,17 @@ def collection(graphs: DataFrame, entries: DataFrame) -> DataFrame:
     return graphs.drop("class").join(entries, "name")
 
 
-def gxl_text(graphs: DataFrame) -> DataFrame:
-    """(name, value): attributed graphs as GXL; an attribute is float, int, bool or string by what its text is."""
+def gxl_text(graphs: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(name, value): attributed graphs as GXL; an attribute is float, int, bool or string by what its text is.
+
+    Attributes named in ignore are written without their value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(parent: ET.Element, attrs: list) -> None:
             for k, v in sorted(attrs or ()):
+                if k in ignore:
+                    ET.SubElement(parent, "attr", name=k)
+                    continue
                 kind = "bool" if v in ("true", "false") else "int" if v.lstrip("-").isdigit() else "float" if _is_float(v) else "string"
                 ET.SubElement(ET.SubElement(parent, "attr", name=k), kind).text = v
 
@@ -194,8 +232,26 @@ def index_lines(codes: DataFrame) -> DataFrame:
     return codes.select("code", "gid", row.alias("row")).groupBy("code").agg(F.sort_array(F.collect_list(F.struct("gid", "row"))).alias("rows")).select("code", F.concat_ws("\n", F.concat_ws(" ", F.col("code").cast("string"), F.size("rows").cast("string")), F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("value"))
 
 
+def write_index(codes: DataFrame, path: str) -> None:
+    """Inverted-index text: every part file is an index of its own, its first line `codes length`."""
+    size = F.size("emb")
+    lines = index_lines(codes).join(codes.select("code", size.alias("size")).distinct(), "code")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b["size"].to_pylist(), b["value"].to_pylist())]
+        if rows:
+            yield pa.record_batch([pa.array(["\n".join([f"{len(rows)} {rows[0][0]}", *(v for _, v in rows)])])], ["value"])
+
+    lines.repartition("code").sortWithinPartitions("code").mapInArrow(run, "value string").write.text(path)
+
+
+def write_index_table(codes: DataFrame, path: str) -> None:
+    """The index as Parquet, postings of neighbouring codes together, so that a probe reads few row groups."""
+    codes.select("code", "gid", "emb").repartitionByRange("code").sortWithinPartitions("code", "gid").write.parquet(path)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(code, gid, emb) of an index file `codes length`, then the codes as index_lines() writes them."""
+    """(code, gid, emb) of index files: `codes length`, then the codes as index_lines() writes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,6 +281,15 @@ def matrix_values(distances: DataFrame) -> DataFrame:
     return distances.select("src", "tgt", F.format_string("%.5f", F.col("d").cast("double")).alias("value")).orderBy("src", "tgt")
 
 
+def matrix_lines(counts: DataFrame, row: str, column: str, n: str, size: int = 12) -> DataFrame:
+    """(row, value): a line for each row 0..size - 1 with its count in each column 0..size - 1, and 0 where there is none."""
+    at = F.map_from_entries(F.collect_list(F.struct(F.col(column).cast("int"), F.col(n).cast("string"))))
+    rows = counts.where(F.col(row).between(0, size - 1) & F.col(column).between(0, size - 1)).groupBy(F.col(row).cast("int").alias("row")).agg(at.alias("m"))
+    all_rows = counts.sparkSession.range(size).select(F.col("id").cast("int").alias("row"))
+    cell = lambda j: F.coalesce(F.try_element_at("m", j), F.lit("0"))
+    return all_rows.join(rows, "row", "left").select("row", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), cell), " ").alias("value"))
+
+
 def mapping_column(distance: Column, mapping: tuple[int, ...]) -> Column:
     """The code distance for a graph distance; null outside the mapping."""
     out = F.lit(None).cast("int")

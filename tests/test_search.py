@@ -59,12 +59,32 @@ def test_metrics_of_empty_sides(spark):
 
 
 def test_rank_metrics(spark):
-    truth = spark.createDataFrame([(1, g, d) for g, d in ((10, 1), (11, 1), (12, 2), (13, 3))], "qid long, gid long, d int")
-    res = spark.createDataFrame([(1, 11, 1), (1, 13, 2), (1, 10, 3)], "qid long, gid long, rank int")
-    adj = metrics.tie_adjusted(truth, res)
+    codes = spark.createDataFrame([(g, 0, [d]) for g, d in ((10, 1.0), (11, 1.0), (12, 2.0), (13, 3.0))], "gid long, code long, emb array<double>")
+    q = spark.createDataFrame([(1, 0, [0.0])], codes.schema)
+    res = spark.createDataFrame([(1, 11, 1, 1.0), (1, 13, 2, 9.0), (1, 10, 3, 1.0)], "qid long, gid long, rank int, d double")
+    ranked = search.competition_ranks(q, codes, res, C.sq_l2)
+    assert sorted((r.gid, r.rk) for r in ranked.collect()) == [(10, 1), (11, 1), (13, 4)]
+    adj = metrics.tie_adjusted(ranked)
     assert sorted((r.pos, r.arank) for r in adj.collect()) == [(1, 1), (2, 4), (3, 2)]
     assert metrics.spearman(adj).first().rho == 0.5 and abs(metrics.kendall(adj).first().tau - 1 / 3) < 1e-9
-    assert metrics.precision_at_k(truth, res, 1).first().p_at_k == 1.0
+    assert metrics.precision_at_k(res, ranked, 1).first().p_at_k == 1.0
+
+
+def test_multi_probe_falls_back_to_all_embeddings(spark):
+    d = spark.createDataFrame([(g, c, [float(g)]) for g, c in ((1, 0), (2, 0), (3, 7), (4, 0xFFFF))], "gid long, code long, emb array<double>")
+    q = spark.createDataFrame([(9, 0, [2.4]), (8, 0xFF0, [4.0])], d.schema)
+    got = {}
+    for r in search.multi_probe(q, d, 1, 16, limit=2, factor=1, fall_back=True).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.gid)
+    assert got == {9: [2], 8: [4]}  # the second has no hit at all
+    assert {r.qid for r in search.multi_probe(q, d, 1, 16, limit=2, factor=1).collect()} == {9}
+
+
+def test_attention_pools_by_weight_times_mean():
+    x, w = np.array([[1.0, 0.0], [0.0, 2.0]]), np.array([[1.0, 2.0], [0.0, -1.0]])
+    h = np.array([0.5 + 2.0, 0.0])  # relu(w . mean)
+    want = (1 / (1 + np.exp(-(x @ h)))) @ x
+    assert np.allclose(encode.attention_pool(x, w), want)
 
 
 def test_column_functions(spark):
