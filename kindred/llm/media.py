@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images as numpy arrays, resized by area, as NPY tiles with hashes.
 
-Decoders take 8-bit PGM and PPM (P5, P6, and plain P2, P3), PBM (P4) and uncompressed 8- and
-24-bit BMP. The resize is the exact mean over each target cell's area, from an integral image
+Decoders take Netpbm (PBM, PGM and PPM, raw and plain, with comments, samples of 8 or 16 bits
+scaled to 8) and uncompressed 8- and 24-bit BMP. The resize is the exact mean over each target cell's area, from an integral image
 with bilinear reading at fractional borders. The difference hash compares horizontal neighbours.
 
 Null media give null columns; bytes that no decoder takes raise ValueError in the functions
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import arrow, column, documents, drop, slices, written
 
 WIDTH, THUMB, TILE = 64, 16, 8
-HEADER = re.compile(rb"(P[1-6])" + rb"(?:\s+(?:#[^\n]*\n\s*)*)(\d+)\s+(\d+)(?:\s+(\d+))?\s")
+# A number of a Netpbm header, after white space and comments.
+NUMBER = re.compile(rb"(?:\s+|#[^\r\n]*[\r\n])+(\d{1,9})")
 
 
 def encode_netpbm(a: np.ndarray) -> bytes:
@@ -49,25 +50,47 @@ def decode(media: bytes) -> np.ndarray:
     """The image as uint8, (h, w) or (h, w, 3)."""
     if media[:2] == b"BM":
         return _bmp(media)
-    head = HEADER.match(media[:4096])
-    if not head:
+    return _netpbm(media)
+
+
+def _netpbm(media: bytes) -> np.ndarray:
+    kind, at, numbers = media[:2], 2, []
+    if not re.fullmatch(rb"P[1-6]", kind):
         raise ValueError("neither Netpbm nor BMP")
-    kind, w, h = head[1], int(head[2]), int(head[3])
-    if kind in (b"P1", b"P4"):
-        head = re.match(rb"P[14](?:\s+(?:#[^\n]*\n\s*)*)\d+\s+\d+\s", media[:4096])
-        if kind == b"P1":
-            bits = np.array([c - 48 for c in media[head.end() :] if c in b"01"][: w * h], np.uint8)
-        else:
-            bits = np.unpackbits(np.frombuffer(media, np.uint8, (w + 7) // 8 * h, head.end()).reshape(h, -1), axis=1)[:, :w]
-        return ((1 - bits.reshape(h, w)) * 255).astype(np.uint8)
-    if not head[4] or int(head[4]) != 255:
-        raise ValueError("only 8-bit samples up to 255")
-    n = w * h * (3 if kind in (b"P3", b"P6") else 1)
-    if kind in (b"P2", b"P3"):
-        a = np.array(media[head.end() :].split()[:n], np.int64).astype(np.uint8)
+    bits, plain = kind in (b"P1", b"P4"), kind in (b"P1", b"P2", b"P3")
+    for _ in range(2 if bits else 3):
+        m = NUMBER.match(media, at)
+        if not m:
+            raise ValueError("broken Netpbm header")
+        numbers.append(int(m[1]))
+        at = m.end()
+    # One white space ends the header; a comment may stand before it.
+    m = re.compile(rb"(?:#[^\r\n]*)?\s").match(media, at)
+    if not m and at < len(media):
+        raise ValueError("broken Netpbm header")
+    at = m.end() if m else at
+    w, h = numbers[:2]
+    most = 1 if bits else numbers[2]
+    if not 1 <= most <= 65535:
+        raise ValueError("the largest sample must lie in 1..65535")
+    colours = 3 if kind in (b"P3", b"P6") else 1
+    n = w * h * colours
+    if plain:
+        body = re.sub(rb"#[^\r\n]*", b" ", media[at:])
+        words = [body[i : i + 1] for i in range(len(body)) if not body[i : i + 1].isspace()] if bits else body.split()
+        if len(words) < n or not all(x.isdigit() and len(x) < 10 for x in words[:n]):
+            raise ValueError("a plain raster holds other than its samples")
+        a = np.array([int(x) for x in words[:n]], np.int64)
+    elif bits:
+        a = np.unpackbits(np.frombuffer(media, np.uint8, (w + 7) // 8 * h, at).reshape(h, -1), axis=1)[:, :w].ravel() if n else np.zeros(0, np.uint8)
     else:
-        a = np.frombuffer(media, np.uint8, n, head.end())
-    return a.reshape((h, w, 3) if kind in (b"P3", b"P6") else (h, w))
+        a = np.frombuffer(media, np.uint8 if most < 256 else ">u2", n, at)
+    if n and a.max() > most:
+        raise ValueError("a sample is over the largest")
+    if bits:
+        a = 1 - a
+    a = a.astype(np.uint8) if most == 255 else ((a.astype(np.int64) * 255 + most // 2) // most).astype(np.uint8)
+    return a.reshape((h, w, 3) if colours == 3 else (h, w))
 
 
 def _bmp(media: bytes) -> np.ndarray:
@@ -75,12 +98,16 @@ def _bmp(media: bytes) -> np.ndarray:
     bits, packed = struct.unpack_from("<HI", media, 28)
     if packed or bits not in (8, 24):
         raise ValueError("only uncompressed 8- and 24-bit BMP")
+    if w <= 0 or h == 0:
+        raise ValueError("a BMP without pixels")
     row = (w * bits // 8 + 3) // 4 * 4
     a = np.frombuffer(media, np.uint8, row * abs(h), at).reshape(abs(h), row)[:, : w * bits // 8]
     a = a[::-1] if h > 0 else a
     if bits == 24:
         return a.reshape(abs(h), w, 3)[:, :, ::-1].copy()
     palette = np.frombuffer(media, np.uint8, at - 14 - size, 14 + size).reshape(-1, 4)[:, 2::-1]
+    if a.max() >= len(palette):
+        raise ValueError("a pixel beyond the palette")
     rgb = palette[a]
     return rgb[:, :, 0].copy() if (palette == palette[:, :1]).all() else rgb
 

@@ -116,6 +116,24 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: no packing has fewer bins.
+
+    For a small size a: lengths over capacity - a have bins of their own, those over half have one each, whose
+    space the lengths from a to half may fill; what does not fit there fills further bins."""
+    n = np.zeros(capacity + 2, np.int64)
+    for size, c in counts.items():
+        n[size] = c
+    many, tokens = np.cumsum(n), np.cumsum(n * np.arange(capacity + 2))
+    half, best = capacity // 2, 0
+    for a in range(half + 1):
+        large = int(many[capacity] - many[half])  # over half, those over capacity - a among them
+        free = int(many[capacity - a] - many[half]) * capacity - int(tokens[capacity - a] - tokens[half]) if capacity - a > half else 0
+        small = int(tokens[half] - (tokens[a - 1] if a else 0))
+        best = max(best, large + max(0, -(-(small - free) // capacity)))
+    return best
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
     fixed, rest = reduce_instance(counts, capacity)
     return fixed + best_fit(rest, capacity)

@@ -17,13 +17,16 @@ equal results. All other columns stay, whatever their names.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
 
 ROUNDS = 8
-KEY = "kindred"
+KEY = "kindred"  # for tests alone: who knows the key can turn pseudonyms back
+KEY_CONF = "spark.kindred.pii.key"
 # Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
@@ -50,6 +53,14 @@ def _pattern() -> str:
     return "|".join(out)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key named in spark.kindred.pii.key; where that is unset the published one, with a warning."""
+    key = spark.conf.get(KEY_CONF, None)
+    if not key:
+        warnings.warn(f"{KEY_CONF} is not set: pseudonyms use a published key and can be turned back", stacklevel=3)
+    return key or KEY
+
+
 def let(value: Column, f) -> Column:
     """f(value) with value written, and evaluated, once."""
     return F.transform(F.array(value), f)[0]
@@ -267,9 +278,9 @@ def pseudonym(key: str, m: Column) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with its text column rewritten; nothing else changes, and no row moves."""
-    return docs.withColumn(text, _parts(F.col(text), key)[0])
+def pseudonymize(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """docs with its text column rewritten; nothing else changes, and no row moves. Without a key the session's counts."""
+    return docs.withColumn(text, _parts(F.col(text), key or session_key(docs.sparkSession))[0])
 
 
 def _parts(text: Column, key: str) -> tuple[Column, Column]:
@@ -289,6 +300,6 @@ def _parts(text: Column, key: str) -> tuple[Column, Column]:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, n = _parts(F.col("text"), KEY)
+    text, n = _parts(F.col("text"), session_key(spark))
     done = documents(spark, sf_dir).select("doc_id", F.struct(text.alias("text"), n.alias("n")).alias("r"))
     return done.select("doc_id", F.col("r.text").alias("text"), F.col("r.n").alias("n_replaced"))

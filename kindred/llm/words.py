@@ -8,6 +8,7 @@ by the tokenizers library; its ids are kept as bytes, and a text is a join of th
 from __future__ import annotations
 
 import re
+from struct import pack
 
 import numpy as np
 import regex
@@ -26,6 +27,20 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class _Known(dict):
+    """Chunks to their ids; what is new is asked of make()."""
+
+    def __init__(self, make):
+        super().__init__({"": b""})
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        v = self.make(chunk)
+        if len(self) < CHUNKS:
+            self[chunk] = v
+        return v
+
+
 class WordIds:
     """ids(text): little-endian unsigned 32-bit ids, as the library gives them by default without adding special tokens.
 
@@ -42,36 +57,34 @@ class WordIds:
         if any(t.normalized or t.lstrip or t.rstrip or " " in t.content for t in added):
             raise ValueError("added tokens must be found in chunks as they are")
         self.special = [t.content for t in added]
-        self.chunks: dict[str, bytes] = {"": b""}
+        if any(c.isalpha() or c[:-1].isalpha() for c in self.special):
+            raise ValueError("words must not be added tokens")
+        self.chunks = _Known(self._chunk)
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, p: str) -> bytes:
         v = self.pieces.get(p)
         if v is None:
             s = p if p.isascii() else "".join([self.letters[b] for b in p.encode()])
-            v = np.array([t.id for t in self.model.tokenize(s)], "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(s)]
+            v = pack(f"<{len(ids)}I", *ids)
             if len(self.pieces) < PIECES:
                 self.pieces[p] = v
         return v
 
     def _chunk(self, c: str) -> bytes:
-        if PLAIN.fullmatch(c) and not any([s in c for s in self.special]):
-            # Most chunks are a word, perhaps with one sign behind: no pattern is needed for them.
+        # Most chunks are a word, perhaps with one sign behind: no pattern is needed for them.
+        if c.isascii():
             if c.isalpha():
-                v = self._piece(c.lower())
-            elif c[-1] in ",.!?;:" and c[:-1].isalpha():
-                v = self._piece(c[:-1].lower()) + self._piece(c[-1])
-            else:
-                v = b"".join([self._piece(p) for p in SPLIT.findall(c.lower())])
-        else:
-            v = np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) < CHUNKS:
-            self.chunks[c] = v
-        return v
+                return self._piece(c.lower())
+            if c[-1] in ",.!?;:" and c[:-1].isalpha():
+                return self._piece(c[:-1].lower()) + self._piece(c[-1])
+        if PLAIN.fullmatch(c) and not any([s in c for s in self.special]):
+            return b"".join([self._piece(p) for p in SPLIT.findall(c.lower())])
+        return np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        get, make = self.chunks.get, self._chunk
-        return b"".join([v if (v := get(c)) is not None else make(c) for c in (text or "").replace("\n", " ").split(" ")])
+        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 _CACHE: dict = {}

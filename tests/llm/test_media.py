@@ -28,7 +28,11 @@ def test_plain_and_bit_netpbm():
     # Samples that look like space or a comment start right after the header.
     a = np.frombuffer(b"  #\n", np.uint8).reshape(1, 4)
     assert (media.decode(media.encode_netpbm(a)) == a).all()
-    for bad in (b"", b"GIF89a", b"P5\n2 2\n65535\n" + bytes(8)):
+    assert media.decode(b"P5\n# a\n2 # b\n2\n#c\n255\n" + bytes([1, 2, 3, 4])).tolist() == [[1, 2], [3, 4]]
+    assert media.decode(b"P2\n2 1\n255\n7 # seven\n8\n").tolist() == [[7, 8]]
+    assert media.decode(b"P2 2 1 4 0 4 ").tolist() == [[0, 255]] and media.decode(b"P1 2 1\n10").tolist() == [[0, 255]]
+    assert media.decode(b"P5\n2 1\n65535\n" + bytes([255, 255, 0, 0])).tolist() == [[255, 0]]
+    for bad in (b"", b"GIF89a", b"P5\n2 2\n65535\n" + bytes(7), b"P2 1 1 255 300 ", b"P2 1 1 255 -1 ", b"P5 1 1 0 \0", b"P5 9 9", b"P5 1 1 3 \xff", b"P6x"):
         with pytest.raises(ValueError):
             media.decode(bad)
 
@@ -64,7 +68,15 @@ def test_features_of_texts(spark, edge_docs, clashing_docs, empty_docs):
     assert media.media_features(media.text_media(empty_docs), ["doc_id"]).count() == 0
 
 
+def broken_bmps():
+    """A pixel beyond the palette, cut short, no width, and offsets beyond the file."""
+    good = media.encode_bmp(np.full((2, 4), 200, np.uint8))
+    small = good[:10] + (54 + 4 * 10).to_bytes(4, "little") + good[14:94] + good[-8:]  # ten colours
+    return [small, good[:-3], good[:18] + bytes(4) + good[22:], good[:10] + b"\xff" * 4 + good[14:], good[:20], b"BM"]
+
+
 def test_media_that_is_null_or_broken(spark):
-    rows = spark.createDataFrame([(1, None), (2, bytearray(b"nothing")), (3, bytearray(b"P5\n0 0\n255\n"))], "id int, media binary")
+    rows = spark.createDataFrame([(1, None), (2, bytearray(b"nothing")), (3, bytearray(b"P5\n0 0\n255\n")), *((4 + k, bytearray(x)) for k, x in enumerate(broken_bmps()))], "id int, media binary")
     got = {r.id: r for r in media.media_features(rows, ["id"]).collect()}
     assert got[1].media_bytes is None and got[2].feature is None and got[2].media_bytes == 7 and got[3].feature is None
+    assert all(got[k].feature is None and got[k].media_bytes is not None for k in got if k >= 4) and len(got) == 9

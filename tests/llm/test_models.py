@@ -1,12 +1,15 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kindred.llm import mih, quality, toxicity
+from kindred.llm.shingles import mix
 from kindred.llm.crf import Chain, train
 
 from .conftest import SCHEMA, prose
@@ -217,3 +220,30 @@ def test_thresholds_hold_every_code_of_the_radius():
         for radius in range(bits + 1):
             t = mih.thresholds(bits, radius)
             assert sum(x + 1 for x in t) == min(radius, bits) + 1 and all(x <= min(16, bits - 16 * s) for s, x in enumerate(t))
+
+
+def test_quality_equals_a_naive_version(spark):
+    """Counts, ratios, boundary and the k largest keys, written out plainly."""
+    docs, labels = quality_table(spark, 120)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+
+    def grams(text):
+        h = [int.from_bytes(xxhash.xxh3_64_digest(quality.shape(t)), "big") for w in text.split() for t in quality.TOKEN.findall(w)]
+        both = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:])]
+        return [x % quality.BUCKETS for x in h] + [int(mix(np.array([x], np.uint64))[0]) % quality.BUCKETS for x in both]
+
+    own = {r.doc_id: grams(r.text) for r in docs.collect()}
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    bad = {r.doc_id for r in labels.where("quality = 0").collect()}
+    raw, target = Counter(x for g in own.values() for x in g), Counter(x for i in good for x in own[i])
+    n_raw, n_target = sum(raw.values()) + 0.1 * quality.BUCKETS, sum(target.values())
+    p = lambda x: (raw[x] + 0.1) / n_raw
+    ratio = lambda x: math.log((target[x] + 1000 * p(x)) / (n_target + 1000)) - math.log(p(x))
+    per = {i: sum(map(ratio, g)) / max(len(g), 1) for i, g in own.items()}
+    assert all(abs(got[i].per_gram - per[i]) < 1e-9 for i in own)
+    tried = sorted(per[i] for i in good | bad)
+    cuts = [tried[0] - 1, *((a + b) / 2 for a, b in zip(tried, tried[1:])), tried[-1] + 1]
+    lost = lambda c: sum(per[i] < c for i in good) / len(good) + sum(per[i] >= c for i in bad) / len(bad)
+    assert abs(lost(quality.boundary(np.array([per[i] for i in good]), np.array([per[i] for i in bad]))) - min(map(lost, cuts))) < 1e-9
+    k = sum(r.kept for r in got.values())
+    assert {i for i, r in got.items() if r.kept} == {r.doc_id for r in sorted(got.values(), key=lambda r: (-r.key, r.doc_id))[:k]}

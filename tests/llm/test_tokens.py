@@ -157,3 +157,16 @@ def test_agenda_equals_the_library(spark, edge_docs, empty_docs):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(a.sp.decode(ids).encode()).hexdigest()
     assert piece_digests(empty_docs, PIECES).count() == 0
+
+
+def test_lower_bound_of_bins():
+    r = random.Random(12)
+    for _ in range(300):
+        capacity = r.choice([7, 10, 31, 64])
+        counts = {}
+        for _ in range(r.randint(0, 12)):
+            counts[r.randint(1, capacity)] = r.randint(1, 9)
+        used = sum(bins for bins, _ in packing.plan(counts, capacity))
+        low = packing.lower_bound(counts, capacity)
+        assert -(-sum(n * c for n, c in counts.items()) // capacity) <= low <= used
+    assert packing.lower_bound({6: 3, 4: 2}, 10) == 3 and packing.lower_bound({6: 4}, 10) == 4
