@@ -55,7 +55,7 @@ def flips(radius: int, width: int) -> list[int]:
 
 def ball_probe(queries: DataFrame, codes: DataFrame, radius: int, width: int) -> DataFrame:
     """(qcode, code, h) by enumerating each query's ball and an equi-join on the code."""
-    masks = F.array(*[F.lit(m).cast("long") for m in flips(radius, width)])
+    masks = F.split(F.lit(",".join(map(str, flips(radius, width)))), ",").cast("array<bigint>")  # folded to one literal
     q = _distinct(queries, "qcode").select("qcode", F.explode(masks).alias("mask"))
     q = q.select("qcode", F.col("qcode").bitwiseXOR(F.col("mask")).alias("code"), F.bit_count("mask").alias("h"))
     return q.join(_distinct(codes, "code"), "code").select("qcode", "code", "h")
@@ -128,9 +128,10 @@ def multi_probe(queries: DataFrame, codes: DataFrame, k: int, width: int, limit:
     from ..plans.planner import PROBES, ball_size
 
     limit = min(limit, width)
-    near = max(r for r in range(limit + 1) if ball_size(r, width) <= PROBES)
     sizes = codes.groupBy("code").agg(F.count("*").alias("n"))
-    hits = ball_probe(queries, codes, near, width).join(sizes, "code")
+    few = small_enough(sizes, 2 * PROBES)  # comparing all codes costs no more than probing
+    near = limit if few else max(r for r in range(limit + 1) if ball_size(r, width) <= PROBES)
+    hits = (ball_scan if few else ball_probe)(queries, codes, near, width).join(sizes, "code")
     if near < limit:
         done = hits.groupBy("qcode").agg(F.sum("n").alias("all")).where(F.col("all") >= factor * k)
         short = queries.join(done.select(F.col("qcode").alias("code")), "code", "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import columns as C
 from kindred.operators import encode, metrics, search
+from kindred.plans import planner
 from kindred.plans.lifecycle import range_query, top_k_query
 from kindred.plans.planner import ball_size, ball_strategy
 
@@ -80,6 +81,15 @@ def test_multi_probe_falls_back_to_all_embeddings(spark):
     assert {r.qid for r in search.multi_probe(q, d, 1, 16, limit=2, factor=1).collect()} == {9}
 
 
+def test_multi_probe_probes_near_rings_first(spark, codes, monkeypatch):
+    """With many codes the near rings are probed and only queries that they leave short are compared with all codes."""
+    q = spark.createDataFrame([(1000, 5, [0.0] * 4), (1001, 255, [0.5] * 4), (1002, 1 << 20, [0.1] * 4)], codes.schema)
+    run = lambda: sorted(tuple(r) for r in search.multi_probe(q, codes, 3, 32, 11, 5).collect())
+    want = run()
+    monkeypatch.setattr(planner, "PROBES", 40)
+    assert run() == want and len(want) >= 6
+
+
 def test_attention_pools_by_weight_times_mean():
     x, w = np.array([[1.0, 0.0], [0.0, 2.0]]), np.array([[1.0, 2.0], [0.0, -1.0]])
     h = np.array([0.5 + 2.0, 0.0])  # relu(w . mean)
