@@ -175,6 +175,22 @@ def test_copies_whose_anchor_another_document_holds(spark):
     assert got.tolist() == [0, full, 0]
 
 
+def test_equal_hashes_of_different_contexts_change_nothing(monkeypatch):
+    """Bytes decide what is equal: with one hash for everything the windows found are the same."""
+    r = random.Random(31)
+    gram = "".join(r.choices("klmno", k=24))
+    sides = ["".join(r.choices("abcd", k=26)) for _ in range(3)]
+    texts = [a[: r.randint(13, 26)][::-1].rjust(26, "#")[::-1] + gram + b for a in sides for b in sides for _ in range(3)]
+    ctx = np.stack([np.frombuffer(t.encode(), np.uint8) for t in texts])
+    n = len(ctx)
+    args = np.full(n, 5, np.uint64), np.array(r.sample(range(100), n)), np.zeros(n, np.uint8), np.full(n, 76, np.uint8), ctx
+    want = repeats.settle(*args)
+    firsts = [sum(1 << t for t in range(27) if any(args[1][j] < args[1][i] and (ctx[j][t : t + 50] == ctx[i][t : t + 50]).all() for j in range(n))) for i in range(n)]
+    assert want.tolist() == firsts and any(firsts)
+    monkeypatch.setattr(repeats, "_hash", lambda m, *more: np.zeros(len(m), np.uint64))
+    assert repeats.settle(*args).tolist() == firsts
+
+
 def test_repeats_of_odd_rows(spark, edge_docs, clashing_docs, empty_docs):
     rows = [(r.doc_id, r.text) for r in edge_docs.select("doc_id", "text").collect()]
     check_repeats(edge_docs, rows, 4000)
