@@ -52,28 +52,41 @@ def laplacian(n: int, edges: list) -> np.ndarray:
     return a * r[:, None] * r[None, :]
 
 
+def mean_pool(x: np.ndarray) -> np.ndarray:
+    """The mean of rows; 0 where there is none."""
+    return x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+
+
 def attention_pool(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Sum of rows weighted by the sigmoid of their product with relu(w . mean)."""
     h = np.maximum(w @ x.mean(axis=0), 0)
     return (1 / (1 + np.exp(-(x @ h)))) @ x
 
 
-def encode_graph(nodes: list[int], edges: list, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(embedding, code activations in -0.5..0.5) of one graph; labels beyond the features' width have none."""
+def forward(nodes: list[int], edges: list, w: dict[str, np.ndarray]) -> dict:
+    """All layers' values of one graph: lap, x (features, then each convolution), dense (their inputs and emb), emb, hidden, act.
+
+    Labels beyond the features' width have no feature; emb is the embedding, act the code activations in -0.5..0.5."""
     width = w["conv0"].shape[0]
     x = np.zeros((len(nodes), width))
     for i, label in enumerate(nodes):
         if 0 <= label < width:
             x[i, label] = 1
-    lap, pooled = laplacian(len(nodes), edges), []
+    lap, xs = laplacian(len(nodes), [e[:2] for e in edges]), [x]
     for k in range(len(CONV)):
-        x = np.maximum(lap @ x @ w[f"conv{k}"], 0)
-        pooled.append(attention_pool(x, w[f"pool{k}"]))
-    e = np.concatenate(pooled)
+        xs.append(np.maximum(lap @ xs[-1] @ w[f"conv{k}"], 0))
+    dense = [np.concatenate([attention_pool(x, w[f"pool{k}"]) for k, x in enumerate(xs[1:])])]
     for k in range(len(DENSE)):
-        e = e @ w[f"dense{k}"]
-        e = np.maximum(e, 0) if k < len(DENSE) - 1 else e
-    return e, 0.5 * np.tanh(np.maximum(e @ w["code0"], 0) @ w["code1"])
+        e = dense[-1] @ w[f"dense{k}"]
+        dense.append(np.maximum(e, 0) if k < len(DENSE) - 1 else e)
+    hidden = np.maximum(dense[-1] @ w["code0"], 0)
+    return {"lap": lap, "x": xs, "dense": dense, "emb": dense[-1], "hidden": hidden, "act": 0.5 * np.tanh(hidden @ w["code1"])}
+
+
+def encode_graph(nodes: list[int], edges: list, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(embedding, code activations) of one graph."""
+    kept = forward(nodes, edges, w)
+    return kept["emb"], kept["act"]
 
 
 def encode(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
@@ -109,7 +122,7 @@ def _encoded(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
 
 def pair_loss(emb: np.ndarray, codes: np.ndarray, truth: np.ndarray, limit: float, a: float = 0.05) -> dict[str, float]:
     """Training losses of a batch: squared error of embedding distances, weighted squared error of code distances, and
-    the codes' distance from +-0.5; over pairs i < j, predictions clipped at limit."""
+    the codes' distance from +-0.5; means over pairs i < j, predictions clipped at limit. train.batch_loss is what training descends."""
     i, j = np.triu_indices(len(emb), 1)
     d_emb, d_code, t = ((emb[i] - emb[j]) ** 2).sum(axis=1), ((codes[i] - codes[j]) ** 2).sum(axis=1), truth[i, j]
     p_emb, p_code = np.minimum(d_emb, limit), np.minimum(d_code, limit)
