@@ -12,6 +12,7 @@ without a limit (steps None) every pair is decided.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 
@@ -295,3 +296,31 @@ def reorder(nodes: list, edges: list) -> tuple[list, list]:
     order = dfs_order(len(nodes), edges)
     new = {v: k for k, v in enumerate(order)}
     return [nodes[v] for v in order], sorted((min(new[s], new[d]), max(new[s], new[d]), label) for s, d, label in edges)
+
+
+def beam_distance(nodes1: list, edges1: list, nodes2: list, edges2: list, width: int = 15) -> int:
+    """An upper bound of the distance: vertices are mapped in order, layer by layer, and of each layer only the `width` least
+    (cost so far and label bound of what is left, then cost) go on. Exact where no layer is cut."""
+    if len(nodes1) > len(nodes2):
+        nodes1, edges1, nodes2, edges2 = nodes2, edges2, nodes1, edges1
+    a1, a2, n2 = _adjacency(len(nodes1), edges1), _adjacency(len(nodes2), edges2), len(nodes2)
+    order = _order(a1, nodes1, Counter(nodes2))
+    layer: list[tuple[int, int, tuple[int, ...]]] = [(0, 0, ())]
+    for k, i in enumerate(order):
+        left = Counter(nodes1[x] for x in order[k + 1 :])
+        grown = []
+        for _, cost, image in layer:
+            for j in (*(x for x in range(n2) if x not in image), -1):
+                c = cost + (1 if j < 0 else nodes1[i] != nodes2[j])
+                for p, q in zip(order, image):
+                    c += a1[i].get(p) != (a2[j].get(q) if j >= 0 and q >= 0 else None)
+                gap = Counter(left)
+                gap.subtract(Counter(nodes2[x] for x in range(n2) if x not in image and x != j))
+                grown.append((c + _apart(gap), c, (*image, j)))
+        layer = heapq.nsmallest(width, grown)
+
+    def whole(cost: int, image: tuple[int, ...]) -> int:
+        met = {j: i for i, j in zip(order, image) if j >= 0}
+        return cost + sum(j not in met for j in range(n2)) + sum(1 for x in range(n2) for y in a2[x] if x < y and not (x in met and y in met))
+
+    return min(whole(cost, image) for _, cost, image in layer)
