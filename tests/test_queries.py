@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from kindred.plans import model_queries  # noqa: F401, registers its queries
 from kindred.plans.queries import QUERIES, SQL
 
 DATA = Path("/root/testdata/sf0.001")
