@@ -274,6 +274,14 @@ def star_distance(label1, neighbours1: list, label2, neighbours2: list) -> int:
     return int(label1 != label2) + abs(n1 - n2) + max(n1, n2) - common
 
 
+def star_matrix(stars1: list[tuple], stars2: list[tuple]) -> list[list[int]]:
+    """Square matrix of star distances of two graphs' (label, neighbour labels); a star without a partner costs its own size."""
+    n = max(len(stars1), len(stars2))
+    size = lambda star: 1 + len(star[1])
+    at = lambda i, j: star_distance(*stars1[i], *stars2[j]) if i < len(stars1) and j < len(stars2) else size(stars1[i]) if i < len(stars1) else size(stars2[j])
+    return [[at(i, j) for j in range(n)] for i in range(n)]
+
+
 def dfs_order(n: int, edges: list) -> list[int]:
     """Depth-first order from the vertex of least (degree, id), to unvisited neighbours by (degree, id), component by component."""
     adj = _adjacency(n, edges)

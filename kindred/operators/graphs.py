@@ -130,18 +130,28 @@ def constant_features(width: int) -> F.Column:
     return F.array_repeat(F.lit(2.0), width)
 
 
-def subsample_every_second(graphs: DataFrame, order: str = "gid", ranges: int = 4096) -> DataFrame:
-    """The first, third, fifth ... by an integer column, without a global sort in one task.
+def positions(rows: DataFrame, order: str = "gid", ranges: int = 4096) -> DataFrame:
+    """rows with pos: 0-based places by an integer column that has no repeats, without a global sort in one task.
 
-    Ranks are counted inside equal ranges of the column; only the ranges' totals are summed in one task."""
-    low, high = graphs.agg(F.min(order), F.max(order)).first()
+    Places are counted inside equal ranges of the column; only the ranges' totals are summed in one task."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
     if low is None:
-        return graphs
+        return rows.withColumn("pos", F.lit(0).cast("long"))
     r = F.floor((F.col(order) - low) / ((high - low) // ranges + 1))
-    local = graphs.withColumn("_range", r).withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy(order)))
-    sizes = graphs.groupBy(r.alias("_range")).agg(F.count("*").alias("_n"))
+    local = rows.withColumn("_range", r).withColumn("_r", F.row_number().over(W.partitionBy("_range").orderBy(order)))
+    sizes = rows.groupBy(r.alias("_range")).agg(F.count("*").alias("_n"))
     before = sizes.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return local.join(F.broadcast(before), "_range").where((F.col("_b") + F.col("_r")) % 2 == 1).drop("_range", "_r", "_b")
+    return local.join(F.broadcast(before), "_range").withColumn("pos", F.col("_b") + F.col("_r") - 1).drop("_range", "_r", "_b")
+
+
+def subsample_every_second(graphs: DataFrame, order: str = "gid", ranges: int = 4096) -> DataFrame:
+    """The first, third, fifth ... by an integer column."""
+    return positions(graphs, order, ranges).where("pos % 2 = 0").drop("pos")
+
+
+def lookup(graphs: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
+    """The graphs of given ids: a filter that reaches the scan for a list, a semi-join for a table with gid."""
+    return graphs.where(F.col("gid").isin(ids)) if isinstance(ids, list) else graphs.join(ids.select("gid"), "gid", "left_semi")
 
 
 def pagerank(graphs: DataFrame, alpha: float = 0.1, rounds: int = 20) -> DataFrame:

@@ -106,12 +106,12 @@ def range_weighted(queries: DataFrame, codes: DataFrame, limit: float, weights:
     return expand(hits, queries, codes).select("qid", "gid", F.col("h").alias("wh"))
 
 
-def top_k(queries: DataFrame, codes: DataFrame, k: int) -> DataFrame:
-    """(qid, rank, gid, sq_l2): exact nearest embeddings; ties to the smaller gid."""
+def top_k(queries: DataFrame, codes: DataFrame, k: int, others: bool = False) -> DataFrame:
+    """(qid, rank, gid, sq_l2): exact nearest embeddings; ties to the smaller gid. others leaves out the query's own id."""
     q = queries.select(F.col("gid").alias("qid"), F.col("emb").alias("qemb"))
     q = F.broadcast(q) if small_enough(q) else q
     d = codes.select("gid", "emb").join(q, F.lit(True)).select("qid", "gid", sq_l2(F.col("qemb"), F.col("emb")).alias("sq_l2"))
-    return _ranked(d, k)
+    return _ranked(d.where("qid <> gid") if others else d, k)
 
 
 def _ranked(d: DataFrame, k: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assignment, encode, ged, graphs, refine, scoring, train
-from .queries import _COST, _FLAGS1, _FLAGS2, GED, GRAPHS, STRUCT, _attributed, _weighted_pairs, query, r6, transitions
+from ..operators import assignment, encode, ged, graphs, refine, scoring, search, train
+from .queries import _COST, _FLAGS1, _FLAGS2, CODES32, GED, GRAPHS, STRUCT, _attributed, _weighted_pairs, codes, query, r6, table, transitions
 
 # A user's graphs are a batch: there is one graph a day.
 
@@ -157,3 +157,38 @@ SELECT gr.gid, CAST(t.i AS INTEGER) AS vid, round(r.x[t.i + 1], 6) AS hub, round
 @query(HITS)
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.centralities(transitions(spark, sf_dir)).select("gid", "vid", r6("hub").alias("hub"), r6("authority").alias("authority"))
+
+
+# Places and lookups
+
+
+@query(f"WITH {GRAPHS} SELECT gid, row_number() OVER (ORDER BY gid) - 1 AS pos FROM gr")
+def gid_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.positions(transitions(spark, sf_dir).select("gid"))
+
+
+@query(f"WITH {GRAPHS} SELECT gid, v, e FROM gr WHERE gid IN (SELECT c_custkey * 100000 + date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) FROM customer JOIN orders ON o_custkey = c_custkey)")
+def gid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of the days on which a customer of the user's number ordered."""
+    ids = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    ids = ids.select((F.col("c_custkey") * 100000 + F.unix_date(F.to_date("o_orderdate"))).alias("gid"))
+    return graphs.lookup(transitions(spark, sf_dir), ids).select("gid", F.col("v").cast("long").alias("v"), F.col("e").cast("long").alias("e"))
+
+
+# The stated queries against every other vector, those whose id is divisible by 50 among them
+
+EVERY = CODES32.replace("d AS (SELECT * FROM codes WHERE gid % 50 <> 0)", "d AS (SELECT * FROM codes)").replace("FROM q, d)", "FROM q, d WHERE qid <> gid)")
+
+
+@query(f"WITH {EVERY} SELECT qid, gid, h, round(sq, 6) AS sq_l2 FROM pairs WHERE h <= 9 AND sq <= 1.75")
+def range_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """32-bit codes within 9 bits and embeddings within 1.75, among all rows but the query's own."""
+    c = codes(spark, sf_dir, 32)
+    found = search.range_candidates(c.where("gid % 50 = 0"), c, 9, 32, fine=1.75).where("qid <> gid")
+    return found.select("qid", "gid", F.col("h").cast("long").alias("h"), r6("sq_l2").alias("sq_l2"))
+
+
+@query(f"WITH {EVERY} SELECT qid, CAST(rank AS BIGINT) AS rank, gid, round(sq, 6) AS sq_l2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sq, gid) AS rank FROM pairs) WHERE rank <= 10")
+def topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = codes(spark, sf_dir, 32)
+    return search.top_k(c.where("gid % 50 = 0"), c, 10, others=True).select("qid", F.col("rank").cast("long").alias("rank"), "gid", r6("sq_l2").alias("sq_l2"))

@@ -72,3 +72,32 @@ def test_beam_distance_is_a_bound_and_exact_when_wide():
         assert d >= exact
         narrow += d > exact
     assert narrow  # cutting costs something
+
+
+def test_star_matrix_pads_with_sizes():
+    a, b = [(1, [2, 2]), (2, [1])], [(1, [2])]
+    assert ged.star_matrix(a, b) == [[ged.star_distance(1, [2, 2], 1, [2]), 3], [ged.star_distance(2, [1], 1, [2]), 2]]
+    assert ged.star_matrix(b, a) == [[ged.star_distance(1, [2], 1, [2, 2]), ged.star_distance(1, [2], 2, [1])], [3, 2]] and ged.star_matrix([], []) == []
+
+
+def test_positions_and_lookups(spark):
+    g = spark.createDataFrame([(i * 7 % 101,) for i in range(50)], "gid long")
+    got = {r.gid: r.pos for r in graphs.positions(g, ranges=4).collect()}
+    assert got == {x: k for k, x in enumerate(sorted(got))} and len(got) == 50
+    assert graphs.positions(g.limit(0)).collect() == []
+    assert {r.gid for r in graphs.lookup(g, [0, 7, 2]).collect()} == {0, 7} | ({2} & set(got))
+    assert graphs.lookup(g, g.where("gid = 7").union(g.where("gid = 7"))).count() == 1
+
+
+def test_kernel_and_latencies(spark):
+    from kindred.operators.assignment import Attribute, CostModel, with_attributed_distance
+    from kindred.plans.lifecycle import stage_latencies
+
+    node, edge = "array<map<string,string>>", "array<struct<src: int, dst: int, attrs: map<string,string>>>"
+    p = spark.createDataFrame([([{"l": "1"}], [], [{"l": "2"}, {"l": "1"}], [])], f"nodes1 {node}, edges1 {edge}, nodes2 {node}, edges2 {edge}")
+    model = CostModel(2, 2, 0.5, [Attribute("l", "discrete", 1, 0, 2)], kernel=4)
+    row = with_attributed_distance(p, model, kernel=True).first()
+    assert row.d == 1 and row.s == pytest.approx(math.exp(-1))
+    g = frame(spark, [([i % 2, 1], [(0, 1, 1)]) for i in range(6)])
+    out = stage_latencies(g, g.where("gid = 0"), lambda x: encode.encode(x, encode.make_weights(2)), [0, 1]).collect()
+    assert [r.ub for r in out] == [0, 1] and all(r.total > 0 and r.total == pytest.approx(r.encode + r.search + r.verify) for r in out)
