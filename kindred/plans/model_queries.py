@@ -167,11 +167,11 @@ def gid_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.positions(transitions(spark, sf_dir).select("gid"))
 
 
-@query(f"WITH {GRAPHS} SELECT gid, v, e FROM gr WHERE gid IN (SELECT c_custkey * 100000 + date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) FROM customer JOIN orders ON o_custkey = c_custkey)")
+@query(f"WITH {GRAPHS} SELECT gid, v, e FROM gr WHERE gid IN (SELECT max(gid) FROM ev GROUP BY gid // 100000)")
 def gid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs of the days on which a customer of the user's number ordered."""
-    ids = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    ids = ids.select((F.col("c_custkey") * 100000 + F.unix_date(F.to_date("o_orderdate"))).alias("gid"))
+    """The graph of each user's last day, by ids from the events."""
+    ev = table(spark, sf_dir, "events").where("user_id is not null and ts is not null and event_type is not null")
+    ids = ev.groupBy("user_id").agg(F.max(F.unix_date(F.to_date("ts"))).alias("day")).select((F.col("user_id") * 100000 + F.col("day")).alias("gid"))
     return graphs.lookup(transitions(spark, sf_dir), ids).select("gid", F.col("v").cast("long").alias("v"), F.col("e").cast("long").alias("e"))
 
 
