@@ -107,7 +107,7 @@ def of_contexts(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def planes(*fields: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first: it compresses better."""
-    return b"".join(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1).T.tobytes() for f in fields)
+    return b"".join(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), f.dtype.itemsize).T.tobytes() for f in fields)
 
 
 def unplanes(raw: bytes, *kinds: str) -> list[np.ndarray]:

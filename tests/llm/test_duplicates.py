@@ -199,3 +199,19 @@ def test_repeats_of_odd_rows(spark, edge_docs, clashing_docs, empty_docs):
     kept = repeats.remove_repeats(clashing_docs)
     assert set(clashing_docs.columns) - {"text", "kept"} <= set(kept.columns)
     assert SCHEMA and F
+
+
+UNLIKE = [prose(41, 40), prose(42, 60)]
+
+
+@pytest.mark.parametrize("texts", [UNLIKE[:1], [None], [""], UNLIKE, ["too short", "also", None, ""]], ids=["one", "null", "empty", "unlike", "short"])
+def test_repeats_where_nothing_is_shared(spark, texts):
+    rows = list(enumerate(texts))
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rows, 1 << 20)
+
+
+def test_repeats_of_a_home_without_shared_anchors(spark):
+    """The last home of a partition shares nothing, others do."""
+    shared = prose(43, 50)
+    rows = list(enumerate([f"{UNLIKE[0]} {shared}"] * 17 + [prose(44 + k, 40) for k in range(31)]))
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), rows, 1)

@@ -1,9 +1,12 @@
 import random
+from itertools import groupby
+
+import pytest
 
 import corpus_pipeline
 import __spark_entry__
 
-from .conftest import SCHEMA, prose
+from .conftest import SCHEMA, edge_rows, prose
 from .test_duplicates import covered, groups
 
 
@@ -57,3 +60,17 @@ def test_registered_queries():
     names = __spark_entry__.queries()
     for n in range(1, 11):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
+
+
+@pytest.mark.parametrize("rows", [[], edge_rows(), [(1, None, None, None, None)], [(1, "short", "en", "s", 5)], [(None, prose(1, 80), "en", "s", 5), (2, prose(1, 80), None, "s", 5)]], ids=["empty", "odd", "null", "short", "no id"])
+def test_run_on_odd_rows(spark, tmp_path, rows):
+    """Nulls, empty and repeated documents and ids, ids that are missing: the pipeline ends, and what it keeps is packed whole."""
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} <= {i for i, *_ in rows} and bool(got) == bool(rows)
+    for (doc, _), pieces in groupby(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.piece)), key=lambda r: (r.doc_id, 0)):
+        pieces = list(pieces)
+        assert all(0 < p.length <= 4096 for p in pieces)
+        if sum(i == doc for i, *_ in rows) == 1:
+            assert [p.start for p in pieces] == [sum(q.length for q in pieces[:k]) for k in range(len(pieces))]
