@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .importance import OP12_SQL, op12_importance
 from .media import op1_media
 from .mih import op8_nearest
+from .mixing import OP11_SQL, op11_mix
 from .neardup import op7_near_duplicates
 from .packing import op5_pack
 from .pieces import op6_pieces
@@ -16,6 +18,7 @@ from .quality import op10_quality
 from .repeats import op9_repeats
 from .token_files import op3_token_files
 from .toxicity import op2_toxicity
+from .whitening import op13_whiten
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nearest": op8_nearest,
         "op9_repeats": op9_repeats,
         "op10_quality": op10_quality,
+        "op11_mix": op11_mix,
+        "op12_importance": op12_importance,
+        "op13_whiten": op13_whiten,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_mix": OP11_SQL, "op12_importance": OP12_SQL}

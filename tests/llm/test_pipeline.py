@@ -58,7 +58,7 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_registered_queries():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
 
 

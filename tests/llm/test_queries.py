@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from kindred.llm.queries import queries
+from kindred.llm.queries import oracle_sql, queries
 
 DATA = Path("/root/testdata/sf0.001")
 ID = "doc_id bigint"
@@ -19,6 +19,9 @@ WANT = {
     "op8_nearest": "query_id bigint, rank int, vec_id bigint, score double",
     "op9_repeats": f"{ID}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
     "op10_quality": f"{ID}, kept boolean",
+    "op11_mix": f"{ID}, size bigint, source_size bigint, target double, taken bigint",
+    "op12_importance": f"{ID}, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_whiten": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
 }
 
 
@@ -30,11 +33,27 @@ def test_contract(spark, name):
     for c in WANT[name].split(", "):
         column, kind = c.split(" ")
         assert kinds[column] == kind
-    if name not in ("op5_pack", "op8_nearest"):  # these give a row a piece, and a row a query and neighbour
+    if name not in ("op5_pack", "op8_nearest", "op13_whiten"):  # these give a row a piece, a query and neighbour, a vector and component
         assert df.count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
     else:
         assert df.count() > 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the tables are not here")
+@pytest.mark.parametrize("name", oracle_sql())
+def test_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    want = con.execute(oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    df = queries()[name](spark, str(DATA))
+    assert sorted(df.columns) == sorted(columns)
+    key = lambda row: tuple((x is None, x or 0) for x in row)
+    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=key) == sorted(want.fetchall(), key=key)
+
+
 def test_all_are_here():
     assert set(WANT) == set(queries())
