@@ -3,18 +3,23 @@
 The distance is the least number of vertex and edge insertions, deletions and relabellings.
 An optimal mapping never needs to delete a vertex of the smaller graph, so the search assigns
 its vertices, one by one, to vertices of the larger graph: depth first on a stack of its own,
-the most promising branch first. A branch is cut by what labels alone say of the rest: labels of
-the vertices not yet mapped, of the edges among them, and, for every mapped pair, of their edges
-to them. Twins of the larger graph (vertices that can be exchanged) are tried once. A search that
-weighs more than `steps` assignments is undecided and gives null, never a wrong number;
-without a limit (steps None) every pair is decided.
+the most promising branch first. A branch is cut by what labels and degrees say of the rest: labels of
+the vertices not yet mapped, labels of the edges among them, their degrees there, and, for every mapped pair,
+their edges to them. Twins of the larger graph (vertices that can be exchanged) are tried once.
+
+A search that weighs more than `steps` assignments stops and hands back its open branches, each a
+partial mapping with its bound. decided() writes those as rows and goes on in rounds: the least distance found
+for a pair so far is shared by all its branches, branches that cannot beat it go, and the rest are
+searched in parallel, each for `steps` assignments, so that a hard pair is spread over all tasks. It
+ends when no branch is open: every pair is decided, whatever `steps` is.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import zip_longest
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,9 +27,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import degree_bound, label_bound
 from ..plans.planner import small_enough
+from ..sources.scratch import written
 from .graphs import degree_array
 
-STEPS = 2_000_000
+STEPS = 100_000  # assignments that a task weighs at once for a pair or a branch; it decides nothing
 
 
 class Undecided(Exception):
@@ -62,125 +68,185 @@ def _apart(gap: dict) -> int:
     return more if more > less else less
 
 
-def edit_distance(nodes1: list, edges1: list, nodes2: list, edges2: list, bound: int | None = None, steps: int | None = STEPS) -> int:
+def _degree_gap(d1: list[int], d2: list[int]) -> int:
+    """Least edges inserted and deleted between two graphs of such degrees: both in falling order, missing vertices have none."""
+    d1, d2 = sorted(d1, reverse=True), sorted(d2, reverse=True)
+    more = less = 0
+    for x, y in zip_longest(d1, d2, fillvalue=0):
+        if x > y:
+            more += x - y
+        else:
+            less += y - x
+    return (more + 1) // 2 + (less + 1) // 2
+
+
+class Search:
+    """The distance of two graphs, in as many parts as one likes. edges: (src, dst, label) with 0-based ends."""
+
+    def __init__(self, nodes1: list, edges1: list, nodes2: list, edges2: list):
+        if len(nodes1) > len(nodes2):
+            nodes1, edges1, nodes2, edges2 = nodes2, edges2, nodes1, edges1
+        self.nodes1, self.nodes2, self.n1, self.n2 = nodes1, nodes2, len(nodes1), len(nodes2)
+        self.a1, self.a2 = _adjacency(self.n1, edges1), _adjacency(self.n2, edges2)
+        self.most = self.n2 + sum(map(len, self.a1)) + sum(map(len, self.a2))  # at least the distance
+        self.order = _order(self.a1, nodes1, Counter(nodes2))
+        place = {v: k for k, v in enumerate(self.order)}
+        self.back = [[(place[x], label) for x, label in self.a1[u].items() if place[x] < k] for k, u in enumerate(self.order)]
+        self.ahead = [Counter(label for x, label in self.a1[u].items() if place[x] > k) for k, u in enumerate(self.order)]
+        # Degrees among the vertices of graph 1 that are not yet mapped, after each step.
+        self.rest1 = [[sum(place[x] > k for x in self.a1[u]) for u in self.order[k + 1 :]] for k in range(self.n1)]
+        # Vertices of graph 2 with one label and the same neighbours can be exchanged.
+        self.twin = [(nodes2[j], tuple(sorted(self.a2[j].items()))) for j in range(self.n2)]
+
+    def start(self) -> tuple[int, dict, dict]:
+        """The bound of the whole, the gaps of edge labels and of vertex labels."""
+        inner: Counter = Counter()
+        for a, sign in ((self.a1, 1), (self.a2, -1)):
+            for i, row in enumerate(a):
+                for j, label in row.items():
+                    if i < j:
+                        inner[label] += sign
+        labels: Counter = Counter(self.nodes1)
+        labels.subtract(Counter(self.nodes2))
+        edges = max(_apart(inner), _degree_gap([len(x) for x in self.a1], [len(x) for x in self.a2]))
+        return edges + _apart(labels), dict(inner), dict(labels)
+
+    def run(self, best: int, steps: int | None = None, image: Sequence[int] = ()) -> tuple[int, list[tuple[int, list[int]]]]:
+        """(best, open): the least distance under best of mappings that begin with image, or best; what `steps` left open as (bound, image).
+
+        Equal arguments walk the same way, so that an image that was handed back is found again."""
+        nodes1, nodes2, n1, n2, order = self.nodes1, self.nodes2, self.n1, self.n2, self.order
+        low, inner, labels = self.start()
+        if n1 == 0:
+            return min(best, low), []
+        at = [-1] * n2  # the step that took a vertex of graph 2
+        count = 0
+
+        def options(k: int, cost: int, cross: list[dict], inner: dict, labels: dict, only: int = -1) -> list[tuple]:
+            """(bound, vertex of graph 2, cost, changed gaps, gaps of the new pair), the worst first; cross: gaps of mapped pairs' edges to the unmapped."""
+            u, out, tried = order[k], [], set()
+            base = sum(map(_apart, cross))
+            for w in range(n2) if only < 0 else (only,):
+                if at[w] >= 0 or self.twin[w] in tried:
+                    continue
+                tried.add(self.twin[w])
+                c = cost + (nodes1[u] != nodes2[w])
+                new, met = dict(self.ahead[k]), {}
+                for x, label in self.a2[w].items():
+                    if at[x] >= 0:
+                        met[at[x]] = label
+                    else:
+                        new[label] = new.get(label, 0) - 1
+                changed, part = {}, base
+                for p, label in self.back[k]:
+                    other = met.pop(p, None)
+                    if other == label:
+                        continue
+                    c += 1
+                    gap = dict(cross[p])
+                    gap[label] = gap.get(label, 0) - 1
+                    if other is not None:
+                        gap[other] = gap.get(other, 0) + 1
+                    changed[p] = gap
+                for p, label in met.items():
+                    c += 1
+                    gap = dict(cross[p])
+                    gap[label] = gap.get(label, 0) + 1
+                    changed[p] = gap
+                if c >= best:
+                    continue
+                for p, gap in changed.items():
+                    part += _apart(gap) - _apart(cross[p])
+                rest = dict(inner)
+                for label, x in new.items():
+                    rest[label] = rest.get(label, 0) - x
+                names = labels
+                if nodes1[u] != nodes2[w]:
+                    names = dict(labels)
+                    names[nodes1[u]] -= 1
+                    names[nodes2[w]] += 1
+                sure, own = c + part + _apart(new) + _apart(names), _apart(rest)
+                if sure + own < best:
+                    out.append((sure + own, w, c, changed, new, rest, names, sure))
+            out.sort(key=lambda o: (-o[0], -o[2], o[1]))
+            return out
+
+        cross: list[dict] = []
+        cost = 0
+        for k, w in enumerate(image):  # the way to the branch
+            step = options(k, cost, cross, inner, labels, w)
+            if not step:
+                return best, []
+            low, _, cost, changed, new, inner, labels, _ = step[0]
+            if k + 1 == n1:
+                return min(best, low), []
+            at[w] = k
+            cross = [*(changed.get(p, gap) for p, gap in enumerate(cross)), new]
+        if low >= best:
+            return best, []
+        first = len(image)
+        taken: list[int] = []
+        stack = [(first, cross, options(first, cost, cross, inner, labels))]
+        while stack:
+            k, cross, left = stack[-1]
+            if len(taken) > k - first:
+                at[taken.pop()] = -1
+            if not left or left[-1][0] >= best:
+                stack.pop()
+                continue
+            low, w, c, changed, new, rest, names, sure = left.pop()
+            if k + 1 == n1:  # nothing of graph 1 is left, so the bound is the cost
+                best = low
+                continue
+            at[w] = k
+            taken.append(w)
+            if n1 - k > 3 and sure + _degree_gap(self.rest1[k], [sum(at[x] < 0 for x in self.a2[j]) for j in range(n2) if at[j] < 0]) >= best:
+                continue
+            count += n2 - k
+            if steps is not None and count > steps:
+                at[taken.pop()] = -1
+                left.append((low, w))
+                way = [*image, *taken]
+                return best, [(o[0], [*way[:j], o[1]]) for j, _, rows in stack for o in reversed(rows) if o[0] < best]
+            below = [changed.get(p, gap) for p, gap in enumerate(cross)]
+            below.append(new)
+            stack.append((k + 1, below, options(k + 1, c, below, rest, names)))
+        return best, []
+
+
+def edit_distance(nodes1: list, edges1: list, nodes2: list, edges2: list, bound: int | None = None, steps: int | None = None) -> int:
     """The distance if it is at most bound (no bound: always), else -1; raises Undecided beyond steps.
 
     edges: (src, dst, label) with 0-based ends."""
-    if len(nodes1) > len(nodes2):
-        nodes1, edges1, nodes2, edges2 = nodes2, edges2, nodes1, edges1
-    n1, n2 = len(nodes1), len(nodes2)
-    a1, a2 = _adjacency(n1, edges1), _adjacency(n2, edges2)
-    best = n2 + sum(map(len, a1)) + sum(map(len, a2)) + 1 if bound is None else bound + 1
-    order = _order(a1, nodes1, Counter(nodes2))
-    place = {v: k for k, v in enumerate(order)}
-    back = [[(place[x], label) for x, label in a1[u].items() if place[x] < k] for k, u in enumerate(order)]
-    ahead = [Counter(label for x, label in a1[u].items() if place[x] > k) for k, u in enumerate(order)]
-    # Vertices of graph 2 with one label and the same neighbours can be exchanged.
-    twin = [(nodes2[j], tuple(sorted(a2[j].items()))) for j in range(n2)]
-    inner: Counter = Counter()  # by label: edges among unmapped vertices of graph 1, less those of graph 2
-    for a, sign in ((a1, 1), (a2, -1)):
-        for i, row in enumerate(a):
-            for j, label in row.items():
-                if i < j:
-                    inner[label] += sign
-    labels: Counter = Counter(nodes1)
-    labels.subtract(Counter(nodes2))
-    at = [-1] * n2  # the step that took a vertex of graph 2
-    count = 0
-
-    def options(k: int, cost: int, cross: list[dict], inner: dict, labels: dict) -> list[tuple]:
-        """(bound, vertex of graph 2, cost, changed gaps, gaps of the new pair), the worst first; cross: gaps of mapped pairs' edges to the unmapped."""
-        u, out, tried = order[k], [], set()
-        base = sum(map(_apart, cross))
-        for w in range(n2):
-            if at[w] >= 0 or twin[w] in tried:
-                continue
-            tried.add(twin[w])
-            c = cost + (nodes1[u] != nodes2[w])
-            new, met = dict(ahead[k]), {}
-            for x, label in a2[w].items():
-                if at[x] >= 0:
-                    met[at[x]] = label
-                else:
-                    new[label] = new.get(label, 0) - 1
-            changed, part = {}, base
-            for p, label in back[k]:
-                other = met.pop(p, None)
-                if other == label:
-                    continue
-                c += 1
-                gap = dict(cross[p])
-                gap[label] = gap.get(label, 0) - 1
-                if other is not None:
-                    gap[other] = gap.get(other, 0) + 1
-                changed[p] = gap
-            for p, label in met.items():
-                c += 1
-                gap = dict(cross[p])
-                gap[label] = gap.get(label, 0) + 1
-                changed[p] = gap
-            if c >= best:
-                continue
-            for p, gap in changed.items():
-                part += _apart(gap) - _apart(cross[p])
-            rest = dict(inner)
-            for label, x in new.items():
-                rest[label] = rest.get(label, 0) - x
-            names = labels
-            if nodes1[u] != nodes2[w]:
-                names = dict(labels)
-                names[nodes1[u]] -= 1
-                names[nodes2[w]] += 1
-            low = c + part + _apart(new) + _apart(rest) + _apart(names)
-            if low < best:
-                out.append((low, w, c, changed, new, rest, names))
-        out.sort(key=lambda o: (-o[0], -o[2], o[1]))
-        return out
-
-    low = _apart(inner) + _apart(labels)
-    if n1 == 0:
-        best = min(best, low)
-    stack = [(0, [], options(0, 0, [], dict(inner), dict(labels)))] if n1 and low < best else []
-    taken: list[int] = []
-    while stack:
-        k, cross, left = stack[-1]
-        if len(taken) > k:
-            at[taken.pop()] = -1
-        if not left or left[-1][0] >= best:
-            stack.pop()
-            continue
-        low, w, c, changed, new, rest, names = left.pop()
-        if k + 1 == n1:  # nothing of graph 1 is left, so the bound is the cost
-            best = low
-            continue
-        count += n2 - k
-        if steps is not None and count > steps:
-            raise Undecided
-        at[w] = k
-        taken.append(w)
-        below = [changed.get(p, gap) for p, gap in enumerate(cross)]
-        below.append(new)
-        stack.append((k + 1, below, options(k + 1, c, below, rest, names)))
+    s = Search(nodes1, edges1, nodes2, edges2)
+    best, left = s.run(s.most + 1 if bound is None else bound + 1, steps)
+    if left:
+        raise Undecided
     return best if bound is None or best <= bound else -1
 
 
+def _graphs(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(nodes1, edges1, nodes2, edges2) of the rows of a batch, as tuples."""
+    cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("nodes1", "edges1", "nodes2", "edges2")]
+    for x1, y1, x2, y2 in zip(*cols):
+        e1, e2 = (tuple((e["src"], e["dst"], e["label"]) for e in y or ()) for y in (y1, y2))
+        yield tuple(x1 or ()), e1, tuple(x2 or ()), e2
+
+
 def with_distance(pairs: DataFrame, bound: int | None = None, steps: int | None = STEPS) -> DataFrame:
-    """pairs with nodes1, edges1, nodes2, edges2 and a column ged: the distance, -1 beyond bound, null if undecided."""
+    """pairs with nodes1, edges1, nodes2, edges2 and a column ged: the distance, -1 beyond bound, null if undecided after `steps`."""
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
             out = []
-            cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("nodes1", "edges1", "nodes2", "edges2")]
-            for x1, y1, x2, y2 in zip(*cols):
-                e1, e2 = (tuple((e["src"], e["dst"], e["label"]) for e in y or ()) for y in (y1, y2))
-                key = (tuple(x1 or ()), e1, tuple(x2 or ()), e2)
+            for key in _graphs(b):
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
                     try:
-                        known[key] = edit_distance(list(key[0]), list(e1), list(key[2]), list(e2), bound, steps)
+                        known[key] = edit_distance(*map(list, key), bound, steps)
                     except Undecided:
                         known[key] = None
                 out.append(known[key])
@@ -190,17 +256,64 @@ def with_distance(pairs: DataFrame, bound: int | None = None, steps: int | None
     return pairs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", ged int")
 
 
+OPEN = pa.schema([("pid", pa.int64()), ("best", pa.int32()), ("low", pa.int32()), ("image", pa.list_(pa.int32()))])
+
+
+def _searched(branches: DataFrame, steps: int) -> DataFrame:
+    """(pid, best, low, image) of branches (pid, best, image, graphs): for each a row with what was found (image null), and its open branches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for pid, best, image, graphs in zip(b["pid"].to_pylist(), b["best"].to_pylist(), b["image"].to_pylist(), _graphs(b)):
+                s = Search(*map(list, graphs))
+                found, left = s.run(s.most + 1 if best is None else best, steps, image)
+                rows += [(pid, found, None, None), *((pid, found, low, way) for low, way in left)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, OPEN)], schema=OPEN)
+
+    return branches.select("pid", "best", "image", "nodes1", "edges1", "nodes2", "edges2").mapInArrow(run, "pid long, best int, low int, image array<int>")
+
+
+def decided(pairs: DataFrame, bound: int | None = None, steps: int = STEPS) -> DataFrame:
+    """pairs with nodes1, edges1, nodes2, edges2 and a column ged: the distance, or -1 beyond bound; no pair is left undecided.
+
+    Pairs are searched once for `steps` assignments each; open branches of the others are rows of a stored table, and
+    each round searches every branch that can still beat its pair's best for `steps` assignments more."""
+    rows = written(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
+    graphs = rows.select("pid", "nodes1", "edges1", "nodes2", "edges2")
+    least = F.lit(None if bound is None else bound + 1).cast("int")
+    state = written(_searched(graphs.withColumns({"best": least, "image": F.array().cast("array<int>")}).repartition("pid"), steps), "searched")
+    found, rounds = state.where("image is null").select("pid", "best"), 0
+    while True:
+        best = state.groupBy("pid").agg(F.min("best").alias("least"), F.count("image").alias("open"))
+        hard = best.where("open > 0").select("pid", "least")
+        left = state.where("image is not null").join(hard, "pid").where(F.col("low") < F.col("least"))
+        if left.isEmpty():
+            break
+        branches = left.select("pid", F.col("least").alias("best"), "image").join(graphs, "pid").repartition(F.hash("pid", "image"))
+        state = written(_searched(branches, steps), "searched")
+        found = found.union(state.where("image is null").select("pid", "best"))
+        rounds += 1
+        if rounds % 8 == 0:
+            found = written(found.groupBy("pid").agg(F.min("best").alias("best")), "found")
+    best = found.groupBy("pid").agg(F.min("best").alias("ged"))
+    ged = F.col("ged") if bound is None else F.when(F.col("ged") <= bound, F.col("ged")).otherwise(-1)
+    return rows.join(best, "pid").withColumn("ged", ged).select(*pairs.columns, "ged")
+
+
 def structures(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct graphs with sid, gid to sid): equal graphs are compared once."""
-    s = graphs.groupBy("nodes", "edges").agg(F.min("gid").alias("sid")).withColumns({"v": F.size("nodes"), "e": F.size("edges")})
+    """(distinct graphs with sid, as a stored table; gid to sid): equal graphs are compared once."""
+    s = written(graphs.groupBy("nodes", "edges").agg(F.min("gid").alias("sid")).withColumns({"v": F.size("nodes"), "e": F.size("edges")}), "structures")
     return s, graphs.select("gid", "nodes", "edges").join(s.select("sid", "nodes", "edges"), ["nodes", "edges"]).select("gid", "sid")
 
 
 def bounded_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None) -> DataFrame:
     """Distinct structures of the stated queries against all distinct structures that the cheap bounds let pass.
 
-    (s1, s2, nodes1, edges1, nodes2, edges2, lb)"""
+    (s1, s2, nodes1, edges1, nodes2, edges2, lb), and for either k what the bounds see: vk, elk (edge labels), dk (degrees).
+    Both sides should be stored tables: they are counted, and read once more."""
     side = lambda g, k: g.select(F.col("sid").alias(f"s{k}"), F.col("v").alias(f"v{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"), F.transform("edges", lambda e: e["label"]).alias(f"el{k}"), degree_array().alias(f"d{k}"))
+    seen = [f"{c}{k}" for k in (1, 2) for c in ("v", "el", "d")]
     q, g = side(queries, 1), side(graphs, 2)
     q = F.broadcast(q) if small_enough(q, 20_000) else q
     c = F.col
@@ -212,32 +325,31 @@ def bounded_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None) -> D
         pairs = g.join(q).withColumn("lb", lb)
     else:  # sizes that differ by no more than the bound meet by an equi-join
         pairs = g.join(q.withColumn("v2", F.explode(F.sequence(c("v1") - bound, c("v1") + bound))), "v2").withColumn("lb", lb)
-    return (pairs if bound is None else pairs.where(c("lb") <= bound)).select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2", "lb")
+    return (pairs if bound is None else pairs.where(c("lb") <= bound)).select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2", "lb", *seen)
 
 
-def ged_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None = None) -> DataFrame:
+def ged_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None = None, steps: int = STEPS) -> DataFrame:
     """(qid, gid, ged) of all pairs, or of those within bound; the same id has distance 0 without a search."""
     qs, qmap = structures(queries)
     gs, gmap = structures(graphs)
-    d = with_distance(bounded_pairs(qs, gs, bound).repartition(F.col("s1"), F.col("s2")), bound).select("s1", "s2", "ged")
-    d = d if bound is None else d.where("ged is null or ged >= 0")
+    d = decided(bounded_pairs(qs, gs, bound).select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2"), bound, steps).where("ged >= 0").select("s1", "s2", "ged")
     q = qmap.select(F.col("gid").alias("qid"), F.col("sid").alias("s1"))
     g = gmap.select("gid", F.col("sid").alias("s2"))
     return d.join(q, "s1").join(g, "s2").select("qid", "gid", F.when(F.col("qid") == F.col("gid"), 0).otherwise(F.col("ged")).alias("ged"))
 
 
-def verify(candidates: DataFrame, queries: DataFrame, graphs: DataFrame, bound: int, steps: int | None = STEPS) -> DataFrame:
-    """(qid, gid, ged) of the candidates (qid, gid) within bound, and of the undecided ones, whose ged is null.
+def verify(candidates: DataFrame, queries: DataFrame, graphs: DataFrame, bound: int, steps: int = STEPS) -> DataFrame:
+    """(qid, gid, ged) of the candidates (qid, gid) within bound.
 
     Pairs of equal structures are searched once; pairs that the cheap bounds exclude not at all."""
     qs, qmap = structures(queries)
     gs, gmap = structures(graphs)
-    rows = candidates.select("qid", "gid").join(qmap.select(F.col("gid").alias("qid"), F.col("sid").alias("s1")), "qid").join(gmap.select("gid", F.col("sid").alias("s2")), "gid")
+    rows = written(candidates.select("qid", "gid").join(qmap.select(F.col("gid").alias("qid"), F.col("sid").alias("s1")), "qid").join(gmap.select("gid", F.col("sid").alias("s2")), "gid"), "candidates")
     side = lambda g, k: g.select(F.col("sid").alias(f"s{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
     pairs = rows.select("s1", "s2").distinct().join(side(qs, 1), "s1").join(side(gs, 2), "s2")
     c, lab = F.col, lambda e: F.transform(e, lambda x: x["label"])
     low = label_bound(F.size("nodes1"), c("nodes1"), lab("edges1"), F.size("nodes2"), c("nodes2"), lab("edges2"))
-    d = with_distance(pairs.where(low <= bound).repartition("s1", "s2"), bound, steps).where("ged is null or ged >= 0").select("s1", "s2", "ged")
+    d = decided(pairs.where(low <= bound), bound, steps).where("ged >= 0").select("s1", "s2", "ged")
     return rows.join(d, ["s1", "s2"]).select("qid", "gid", "ged")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+LITERALS = 1000  # event types that are numbered by a literal list
 GRAPH = "gid long, v int, e int, nodes array<int>, edges array<struct<src:int,dst:int,label:int>>"
 
 
@@ -31,14 +32,17 @@ def transition_graphs(events: DataFrame) -> DataFrame:
 
     gid = user_id * 100000 + days since 1970-01-01. One shuffle by gid: a window that can spill finds the steps, and
     what is collected is bounded by the number of types."""
-    from ..plans.planner import small_enough
-
     ev = events.where("user_id is not null and ts is not null and event_type is not null").select(
         (F.col("user_id") * 100000 + F.unix_date(F.to_date("ts"))).alias("gid"), "ts", "event_id", F.col("event_type").alias("t")
     )
     types = ev.select("t").distinct()
-    ids = types.select("t", (F.row_number().over(W.orderBy("t")) - 1).cast("int").alias("label"))
-    ev = ev.join(F.broadcast(ids) if small_enough(types) else ids, "t")
+    names = sorted(r["t"] for r in types.limit(LITERALS + 1).collect())  # bounded, and then part of the plan
+    if len(names) <= LITERALS:
+        ev = ev.withColumn("label", (F.array_position(F.array(*map(F.lit, names)), F.col("t")) - 1).cast("int"))
+    else:
+        from .order import numbered
+
+        ev = ev.join(numbered(types, "label", F.asc("t")), "t").withColumn("label", (F.col("label") - 1).cast("int"))
     seq = ev.select("gid", "label", F.lag("label").over(W.partitionBy("gid").orderBy("ts", "event_id")).alias("before"))
     step = F.when(F.col("before") != F.col("label"), F.struct(F.least("label", "before").alias("a"), F.greatest("label", "before").alias("b")))
     g = seq.groupBy("gid").agg(F.sort_array(F.collect_set("label")).alias("nodes"), F.sort_array(F.collect_set(step)).alias("steps"))

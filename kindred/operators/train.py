@@ -264,13 +264,12 @@ class Pool:
         return (out + self.bias) % len(self.graphs)
 
 
-def batch_labels(graphs: DataFrame, batch: str, limit: int) -> DataFrame:
-    """(batch, qid, gid, ged) of all ordered pairs inside each batch: distances below limit, else limit; null if undecided.
+def batch_labels(graphs: DataFrame, batch: str, limit: int, steps: int = ged.STEPS) -> DataFrame:
+    """(batch, qid, gid, ged) of all ordered pairs inside each batch: distances below limit, else limit.
 
     Each unordered pair is searched once; a graph's distance to itself is 0. Batches are small by their meaning."""
     g = lambda k: graphs.select(F.col(batch).alias("batch"), F.col("gid").alias(f"g{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
-    pairs = g(1).join(g(2), "batch").where("g1 < g2").repartition("g1", "g2")
-    d = ged.with_distance(pairs, limit - 1).select("batch", "g1", "g2", F.when(F.col("ged") < 0, limit).otherwise(F.col("ged")).cast("int").alias("ged"))
+    d = ged.decided(g(1).join(g(2), "batch").where("g1 < g2"), limit - 1, steps).select("batch", "g1", "g2", F.when(F.col("ged") < 0, limit).otherwise(F.col("ged")).cast("int").alias("ged"))
     ends = F.array(F.struct(F.col("g1").alias("qid"), F.col("g2").alias("gid")), F.struct(F.col("g2").alias("qid"), F.col("g1").alias("gid")))
     both = d.select("batch", F.explode(ends).alias("x"), "ged").select("batch", "x.qid", "x.gid", "ged")
     return both.unionByName(graphs.select(F.col(batch).alias("batch"), F.col("gid").alias("qid"), "gid", F.lit(0).alias("ged")))
@@ -298,7 +297,7 @@ def stopped(losses: list[float], s: Settings) -> bool:
 
 
 def train(graphs: list[Graph], w: Weights, s: Settings | None = None, seed: int = 1, bits: np.ndarray | None = None) -> tuple[Weights, list[float]]:
-    """(weights, loss of each epoch). Pairs that the distance search leaves undecided count as beyond the limit."""
+    """(weights, loss of each epoch). Labels are exact below the limit: the search of a batch's pair has no step limit."""
     s = s or Settings()
     if not graphs:
         return w, []
@@ -311,10 +310,7 @@ def train(graphs: list[Graph], w: Weights, s: Settings | None = None, seed: int
             return 0.0
         key = min(i, j), max(i, j)
         if key not in known:
-            try:
-                found = ged.edit_distance(*graphs[key[0]], *graphs[key[1]], int(s.limit) - 1)
-            except ged.Undecided:
-                found = -1
+            found = ged.edit_distance(*graphs[key[0]], *graphs[key[1]], int(s.limit) - 1, None)
             known[key] = s.limit if found < 0 else float(found)
         return known[key]
 

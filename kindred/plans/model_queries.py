@@ -63,8 +63,8 @@ def search_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each mapping search on the pairs within distance 2: never under the exact distance, and those that start from the
     assignment never over its bound."""
     p, model = _attributed(spark, sf_dir)
-    _, w = _weighted_pairs(spark, sf_dir)
-    near = ged.with_distance(w.where("lb <= 2").select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2").repartition("s1", "s2"), 2).where("ged >= 0").select("s1", "s2", "ged")
+    w = _weighted_pairs(spark, sf_dir)
+    near = ged.decided(w.where("lb <= 2").select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2"), 2).where("ged >= 0").select("s1", "s2", "ged")
     d = assignment.with_attributed_distance(p.join(near, ["s1", "s2"]).repartition("s1", "s2"), model).withColumnRenamed("d", "one")
     for method, options in _SEARCHES.items():
         d = assignment.with_attributed_distance(d, model, method, **options).withColumnRenamed("d", method)
@@ -85,9 +85,9 @@ def beam_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         edges = lambda es: [(x["src"], x["dst"], x["label"]) for x in es]
         return pd.Series([ged.beam_distance(list(a), edges(b), list(c), edges(d), 3) for a, b, c, d in zip(n1, e1, n2, e2)], dtype="int64")
 
-    _, w = _weighted_pairs(spark, sf_dir)
+    w = _weighted_pairs(spark, sf_dir)
     w = w.select("w", "nodes1", "edges1", "nodes2", "edges2").repartition(F.hash("nodes1", "edges1", "nodes2", "edges2"))
-    d = ged.with_distance(w.withColumn("ub", beam("nodes1", "edges1", "nodes2", "edges2")))
+    d = ged.decided(w.withColumn("ub", beam("nodes1", "edges1", "nodes2", "edges2")))
     return d.agg(F.sum("w").alias("n"), F.coalesce(F.sum(F.when(F.col("ub") < F.col("ged"), F.col("w"))), F.lit(0)).cast("long").alias("below"))
 
 
@@ -117,7 +117,7 @@ WHERE exp(-2 * (greatest(v1, v2) - common + abs(e1 - e2)) / (v1 + v2)) >= exp(-2
 @query(_similarity(1))
 def range_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure pairs whose similarity, from the label bound, is at least that of distance 1.5: the score join's predicate."""
-    _, w = _weighted_pairs(spark, sf_dir)
+    w = _weighted_pairs(spark, sf_dir)
     v1, v2, e1, e2 = F.size("nodes1"), F.size("nodes2"), F.size("edges1"), F.size("edges2")
     bound = F.greatest(v1, v2) - F.size(F.array_intersect("nodes1", "nodes2")) + F.abs(e1 - e2)  # labels are distinct in these graphs
     s = w.select("w", v1.cast("long").alias("size1"), v2.cast("long").alias("size2"), F.exp(-2 * bound / (v1 + v2)).alias("score"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import assignment, augment, encode, ged, graphs, metrics, search
 from ..sources import formats
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, written
 from ..streaming.queries import range_stream
 from . import lifecycle
 
@@ -402,22 +402,20 @@ sx AS (SELECT *, list_transform(string_split(nodes, ' '), lambda x: x::INT) AS l
 pr AS (SELECT a.nq * b.n AS w, a.v AS v1, b.v AS v2, a.e AS e1, b.e AS e2, a.ls AS l1, b.ls AS l2, a.ds AS d1, b.ds AS d2, len(list_intersect(a.ls, b.ls)) AS common, a.nodes AS n1, b.nodes AS n2, a.edges AS x1, b.edges AS x2 FROM sx a, sx b WHERE a.nq > 0)"""
 
 
-def _weighted_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(structures, weights of structure pairs): graphs of the queries against all graphs."""
+def _weighted_pairs(spark: SparkSession, sf_dir: str, bound: int | None = None) -> DataFrame:
+    """Structure pairs with their weights: graphs of the queries against all graphs, within what the cheap bounds allow.
+
+    The structures are a stored table: pairs and weights read it."""
     g = transitions(spark, sf_dir)
     s = g.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"), F.count("*").alias("n"), F.sum((F.col("gid") % 50 == 0).cast("long")).alias("nq"))
-    pairs = ged.bounded_pairs(s.where("nq > 0"), s, None)
-    w = pairs.join(s.select(F.col("sid").alias("s1"), "nq"), "s1").join(s.select(F.col("sid").alias("s2"), "n"), "s2").withColumn("w", F.col("nq") * F.col("n"))
-    return s, w
+    s = written(s, "structures")
+    pairs = ged.bounded_pairs(s.where("nq > 0"), s, bound)
+    return pairs.join(s.select(F.col("sid").alias("s1"), "nq"), "s1").join(s.select(F.col("sid").alias("s2"), "n"), "s2").withColumn("w", F.col("nq") * F.col("n"))
 
 
 def _bound(f) -> DataFrame:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, w = _weighted_pairs(spark, sf_dir)
-        c = F.col
-        lab = lambda e: F.transform(e, lambda x: x["label"])
-        w = w.withColumns({"v1": F.size("nodes1"), "v2": F.size("nodes2"), "el1": lab("edges1"), "el2": lab("edges2")})
-        return w.groupBy(f(c).cast("long").alias("lb")).agg(F.sum("w").alias("n"))
+        return _weighted_pairs(spark, sf_dir).groupBy(f(F.col).cast("long").alias("lb")).agg(F.sum("w").alias("n"))
 
     return run
 
@@ -430,17 +428,12 @@ def _named(name: str, sql: str, f) -> None:
 _named("label_lb", f"WITH {STRUCT} SELECT greatest(v1, v2) - common + abs(e1 - e2) AS lb, CAST(sum(w) AS BIGINT) AS n FROM pr GROUP BY lb", _bound(lambda c: C.label_bound(c("v1"), c("nodes1"), c("el1"), c("v2"), c("nodes2"), c("el2"))))
 
 
-def _degrees(n: str, e: str) -> F.Column:
-    ends = F.flatten(F.transform(e, lambda x: F.array(x["src"], x["dst"])))
-    return F.transform(F.sequence(F.lit(0), F.size(n) - 1), lambda i: F.size(F.filter(ends, lambda x: x == i)))
-
-
 _GAPS = "list_transform(range(1, greatest(v1, v2) + 1), lambda i: coalesce(d1[i], 0) - coalesce(d2[i], 0))"
 _named(
     "degree_lb",
     f"""WITH {STRUCT}, gp AS (SELECT *, CAST(ceil(list_sum(list_transform({_GAPS}, lambda x: greatest(-x, 0))) / 2) AS BIGINT) AS ie, CAST(ceil(list_sum(list_transform({_GAPS}, lambda x: greatest(x, 0))) / 2) AS BIGINT) AS de FROM pr)
 SELECT greatest(v1, v2) - common + greatest(2 * ie + e1 - e2, 2 * de + e2 - e1, e2 - least(e1, e2) + de) AS lb, CAST(sum(w) AS BIGINT) AS n FROM gp GROUP BY lb""",
-    _bound(lambda c: C.degree_bound(c("v1"), c("nodes1"), _degrees("nodes1", "edges1"), c("el1"), c("v2"), c("nodes2"), _degrees("nodes2", "edges2"), c("el2"))),
+    _bound(lambda c: C.degree_bound(c("v1"), c("nodes1"), c("d1"), c("el1"), c("v2"), c("nodes2"), c("d2"), c("el2"))),
 )
 
 # A graph of at most 5 vertices as 5 label slots (-1 where there is none) and 10 edge flags; the
@@ -455,17 +448,37 @@ fl AS (SELECT row_number() OVER () AS k, w, l1, l2, {_FLAGS1} AS f1, {_FLAGS2} A
 
 @query(f"WITH {GED} SELECT CAST(ged AS BIGINT) AS ged, CAST(sum(w) AS BIGINT) AS n FROM gd GROUP BY ALL")
 def ged_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, w = _weighted_pairs(spark, sf_dir)
-    d = ged.with_distance(w.select("nodes1", "edges1", "nodes2", "edges2", "w").repartition(F.hash("nodes1", "edges1", "nodes2", "edges2")))
-    return d.groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
+    w = _weighted_pairs(spark, sf_dir).select("nodes1", "edges1", "nodes2", "edges2", "w")
+    return ged.decided(w).groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
 
 
 @query(f"WITH {GED} SELECT CAST(ged AS BIGINT) AS ged, CAST(sum(w) AS BIGINT) AS n FROM gd WHERE ged <= 2 GROUP BY ALL")
 def ged_range_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs within distance 2: the cheap bounds go first, the search has a bound."""
-    _, w = _weighted_pairs(spark, sf_dir)
-    d = ged.with_distance(w.where("lb <= 2").select("nodes1", "edges1", "nodes2", "edges2", "w").repartition(F.hash("nodes1", "edges1", "nodes2", "edges2")), 2)
-    return d.where("ged is null or ged >= 0").groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
+    w = _weighted_pairs(spark, sf_dir, 2).select("nodes1", "edges1", "nodes2", "edges2", "w")
+    return ged.decided(w, 2).where("ged >= 0").groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
+
+
+@query(f"WITH {GED} SELECT CAST(ged AS BIGINT) AS ged, CAST(sum(w) AS BIGINT) AS n FROM gd GROUP BY ALL")
+def ged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distances of ged_all_pairs with so few assignments a task that most pairs are split into branches and decided in rounds."""
+    w = _weighted_pairs(spark, sf_dir).select("nodes1", "edges1", "nodes2", "edges2", "w")
+    return ged.decided(w, steps=12).groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
+
+
+@query()
+def ged_next_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid, after, ged): the exact distance, without a bound, of each order's path to that of the same customer's next order.
+
+    Equal pairs of paths are searched once; those that 100 assignments do not decide are split into branches."""
+    g = graphs.order_graphs(table(spark, sf_dir, "lineitem"))
+    after = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    pairs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("gid"), after.alias("after"))
+    side = lambda name, k: g.select(F.col("gid").alias(name), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
+    rows = written(pairs.where("after is not null").join(side("gid", 1), "gid").join(side("after", 2), "after"), "next")
+    names = ["nodes1", "edges1", "nodes2", "edges2"]
+    d = ged.decided(rows.select(*names).distinct(), steps=100)
+    return rows.join(d, names).select("gid", "after", F.col("ged").cast("long").alias("ged"))
 
 
 def _listed_sql(condition: str, limit: int, more: str = "") -> str:
@@ -479,7 +492,7 @@ SELECT a.gid AS qid, b.gid, CAST(ged AS BIGINT) AS ged FROM gd JOIN gr a ON a.no
 @query(f"WITH {_listed_sql('abs(v1 - v2) <= 1', 1)}")
 def ged_pairs_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, gid, ged) of the query graphs' neighbours within distance 1."""
-    g = transitions(spark, sf_dir)
+    g = written(transitions(spark, sf_dir), "graphs")
     return ged.ged_pairs(g.where("gid % 50 = 0"), g, 1).select("qid", "gid", F.col("ged").cast("long").alias("ged"))
 
 
@@ -490,7 +503,7 @@ _NEAR = f"bit_count(xor({_CODE.format(l='l1', x='x1', v='v1')}, {_CODE.format(l=
 @query(f"WITH {_listed_sql(_NEAR, 1)}")
 def range_query_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole range query at threshold 1: 32-bit codes of the structure, Hamming ball, embedding filter, exact distance."""
-    g = transitions(spark, sf_dir)
+    g = written(transitions(spark, sf_dir), "graphs")
     emb = F.array((F.col("v") / 2).cast("double"), (F.col("e") / 2).cast("double"))
     c = g.select("gid", C.structure_code(F.col("nodes"), F.col("edges")).alias("code"), emb.alias("emb"))
     mine = F.col("gid") % 50 == 0
@@ -506,14 +519,14 @@ def ged_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = augment.preferential_graphs(spark, n, sizes=(20, 30), mean=25, most_links=3)
     c = augment.similar(g, 2, 3, 5).select("gid", "ops", F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2"))
     p = g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(c, "gid").drop("gid")
-    d = ged.with_distance(ged.with_distance(p, 3).withColumnRenamed("ged", "ged3"), 6)
+    d = ged.decided(ged.decided(p, 3).withColumnRenamed("ged", "ged3"), 6)
     far = (F.col("ged3") < 0) | (F.col("ged3") > F.col("ops")) | (F.col("ged") != F.col("ged3"))
     return d.agg(F.count("*").alias("n"), F.count_if(F.col("ged3").isNull()).alias("undecided_3"), F.count_if(far).alias("far"), F.count_if(F.col("ged").isNull()).alias("undecided_6"))
 
 
 def _attributed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, assignment.CostModel]:
     """Structure pairs with labels as discrete attributes, and costs that make the edit cost the unit-cost distance."""
-    _, w = _weighted_pairs(spark, sf_dir)
+    w = _weighted_pairs(spark, sf_dir)
     nodes = lambda c: F.transform(c, lambda x: F.create_map(F.lit("label"), x.cast("string")))
     edges = lambda c: F.transform(c, lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.map_from_arrays(F.array(F.lit("label")), F.array(e["label"].cast("string"))).alias("attrs")))
     model = assignment.CostModel(2, 2, 0.5, [assignment.Attribute("label", "discrete", 1, 0, 2)], [assignment.Attribute("label", "discrete", 1, 0, 2)])
@@ -532,8 +545,8 @@ def upper_bound_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smaller of assignment and beam bounds: never under the exact distance, never over the assignment's alone."""
     p, model = _attributed(spark, sf_dir)
     d = assignment.with_attributed_distance(assignment.with_attributed_distance(p, model).withColumnRenamed("d", "one"), model, "upper")
-    _, w = _weighted_pairs(spark, sf_dir)
-    exact = ged.with_distance(w.select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2").repartition("s1", "s2")).select("s1", "s2", "ged")
+    w = _weighted_pairs(spark, sf_dir)
+    exact = ged.decided(w.select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2")).select("s1", "s2", "ged")
     j = d.select("s1", "s2", "w", "one", "d").join(exact, ["s1", "s2"])
     over = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0)).cast("long")
     return j.agg(F.sum("w").alias("n"), over(F.col("d") < F.col("ged") - 1e-9).alias("below"), over(F.col("d") > F.col("one") + 1e-9).alias("above_assignment"))
@@ -573,7 +586,7 @@ def augmented_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the edited copies: all lie within as many edits of their graph as were counted, and at most three."""
     g = transitions(spark, sf_dir)
     c = augment.similar(g, 2, 3, 5).select("gid", "ops", F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2"))
-    d = ged.with_distance(g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(c, "gid"), 8)
+    d = ged.decided(g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(c, "gid"), 8)
     return d.agg(F.count("*").alias("n"), F.count_if((F.col("ops") <= 3) & F.col("ged").between(0, F.col("ops"))).alias("good"))
 
 

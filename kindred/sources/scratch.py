@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -21,3 +21,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="kindred-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in that folder: it is computed once, cuts lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_in_buckets(df: DataFrame, name: str, columns: list[str], buckets: int) -> DataFrame:
+    """df as a table in that folder, dealt and sorted by columns: joins on them move only their other side."""
+    spark, path, table = df.sparkSession, scratch_path(df.sparkSession, name), f"kindred_{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *columns)
+    dealt.write.bucketBy(buckets, *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # resolved: it reads the files by their paths from here on
+    spark.sql(f"DROP TABLE {table}")  # the name alone; the files stay
+    return out

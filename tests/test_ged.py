@@ -154,10 +154,55 @@ def test_small_functions():
     assert ged.edit_distance(nodes, edges, [5, 6, 7, 8], [(0, 1, 1), (1, 2, 1), (1, 3, 1)]) == 0
 
 
-def test_verification_keeps_undecided_pairs(spark):
+def test_verification_decides_every_pair(spark):
     schema = "gid long, nodes array<int>, edges array<struct<src: int, dst: int, label: int>>"
     graph = lambda gid, label: (gid, [0] * 6, [(i, i + 1, label) for i in range(5)] + [(0, 3, 2)])
     g = spark.createDataFrame([graph(1, 1), (2, [0] * 6, [(i, j, 1) for i in range(6) for j in range(i + 1, 6) if (i + j) % 2])], schema)
     pairs = spark.createDataFrame([(1, 2)], "qid long, gid long")
-    assert [tuple(r) for r in ged.verify(pairs, g, g, 9, steps=1).collect()] == [(1, 2, None)]
-    assert ged.verify(pairs, g, g, 9).first().ged >= 0
+    want = [tuple(r) for r in ged.verify(pairs, g, g, 9).collect()]
+    assert [tuple(r) for r in ged.verify(pairs, g, g, 9, steps=1).collect()] == want and want[0][2] >= 0
+
+
+def molecule(r, n):
+    """A tree with a few rings, few labels: many mappings are nearly as good as the best."""
+    nodes = [r.choice([0, 0, 0, 0, 1, 2]) for _ in range(n)]
+    edges = {(r.randint(max(0, i - 3), i - 1), i): r.choice([1, 1, 2]) for i in range(1, n)}
+    for _ in range(n // 5):
+        edges.setdefault(tuple(sorted(r.sample(range(n), 2))), 1)
+    return nodes, [(*e, x) for e, x in edges.items()]
+
+
+EDGES = "array<struct<src:int,dst:int,label:int>>"
+PAIRS = f"k int, nodes1 array<int>, edges1 {EDGES}, nodes2 array<int>, edges2 {EDGES}"
+
+
+def test_branches_of_a_search_cover_it():
+    """Whatever is left open when the steps run out, searched on, gives the same distance."""
+    r = random.Random(11)
+    for k in range(120):
+        a, b = random_graph(r), random_graph(r)
+        s, want = ged.Search(*a, *b), brute(a, b)
+        best, open_ = s.most + 1, [(0, [])]
+        while open_:
+            branches, open_ = open_, []
+            for _, image in branches:
+                best, left = s.run(best, 1 + k % 9, image)
+                open_ += left
+        assert best == want
+
+
+def test_hard_pairs_are_split_until_decided(spark):
+    r = random.Random(12)
+    pairs = [(*molecule(r, n), *molecule(r, n + r.randint(0, 2))) for n in [r.randint(9, 14) for _ in range(16)]]
+    rows = [(k, n1, e1, n2, e2) for k, (n1, e1, n2, e2) in enumerate(pairs)] + [(100, None, None, [1], []), (101, [], [], [], None), (102, *pairs[0])]
+    df = spark.createDataFrame(rows, PAIRS).repartition(3)
+    whole = {k: ged.edit_distance(n1 or [], e1 or [], n2 or [], e2 or [], 9, None) for k, n1, e1, n2, e2 in rows}
+    got = {x.k: x.ged for x in ged.decided(df, 9, steps=400).collect()}
+    assert got == whole and None not in got.values()
+    first = ged._searched(df.where("k < 16").selectExpr("cast(k as long) as pid", "nodes1", "edges1", "nodes2", "edges2", "10 as best", "cast(array() as array<int>) as image"), 400)
+    assert first.where("image is not null").count() > 16  # there was something to split
+    assert ged.decided(df.where("k < 0"), 9).count() == 0
+
+
+def test_degree_gaps():
+    assert ged._degree_gap([2, 2, 2], [2, 1, 1]) == 1 and ged._degree_gap([3, 1, 1, 1], [2, 2, 1, 1]) == 2 and ged._degree_gap([], [1, 1]) == 1 and ged._degree_gap([], []) == 0
