@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import hamming, sq_l2, weighted_hamming
+from ..functions.columns import hamming, sq_l2
 from ..plans.planner import small_enough
+from ..sources.scratch import written
+from . import multi_index
 
 # Hamming radius for each edit distance: one more than the distance.
 DEFAULT_MAPPING = tuple(d + 1 for d in range(10))
@@ -71,11 +73,18 @@ def ball_bands(queries: DataFrame, codes: DataFrame, radius: int, width: int) ->
     return q.join(c, "band").where(h <= radius).select("qcode", "code", h.alias("h")).distinct()
 
 
-def ball(queries: DataFrame, codes: DataFrame, radius: int, width: int, strategy: str | None = None) -> DataFrame:
+def ball_index(queries: DataFrame, codes: DataFrame, radius: int, width: int, index: multi_index.MultiIndex | None = None) -> DataFrame:
+    """(qcode, code, h) by a multi-index, which is built and stored here if none is given."""
+    return multi_index.probe(queries, index or multi_index.build(codes, width, radius), radius)
+
+
+def ball(queries: DataFrame, codes: DataFrame, radius: int, width: int, strategy: str | None = None, index: multi_index.MultiIndex | None = None) -> DataFrame:
     from ..plans.planner import ball_strategy
 
+    if index:
+        return multi_index.probe(queries, index, radius)
     strategy = strategy or ball_strategy(codes, radius, width)
-    return {"scan": ball_scan, "probe": ball_probe, "bands": ball_bands}[strategy](queries, codes, radius, width)
+    return {"scan": ball_scan, "probe": ball_probe, "bands": ball_bands, "index": ball_index}[strategy](queries, codes, radius, width)
 
 
 def expand(hits: DataFrame, queries: DataFrame, codes: DataFrame) -> DataFrame:
@@ -84,9 +93,9 @@ def expand(hits: DataFrame, queries: DataFrame, codes: DataFrame) -> DataFrame:
     return hits.join(codes, "code").join(q, "qcode").select("qid", "gid", "h", "qemb", "emb")
 
 
-def range_candidates(queries: DataFrame, codes: DataFrame, radius: int, width: int, fine: float | None = None, strategy: str | None = None) -> DataFrame:
+def range_candidates(queries: DataFrame, codes: DataFrame, radius: int, width: int, fine: float | None = None, strategy: str | None = None, index: multi_index.MultiIndex | None = None) -> DataFrame:
     """(qid, gid, h, sq_l2): codes within radius; with fine also squared distance of embeddings at most that."""
-    rows = expand(ball(queries, codes, radius, width, strategy), queries, codes).withColumn("sq_l2", sq_l2(F.col("qemb"), F.col("emb")))
+    rows = expand(ball(queries, codes, radius, width, strategy, index), queries, codes).withColumn("sq_l2", sq_l2(F.col("qemb"), F.col("emb")))
     return (rows if fine is None else rows.where(F.col("sq_l2") <= fine)).select("qid", "gid", "h", "sq_l2")
 
 
@@ -97,12 +106,12 @@ def all_pairs(queries: DataFrame, codes: DataFrame, width: int) -> DataFrame:
     return codes.join(q).select("qid", "gid", hamming(F.col("qcode"), F.col("code"), width).alias("h"), sq_l2(F.col("qemb"), F.col("emb")).alias("sq_l2"))
 
 
-def range_weighted(queries: DataFrame, codes: DataFrame, limit: float, weights: list[float]) -> DataFrame:
-    """(qid, gid, wh): weighted Hamming distance at most limit."""
-    q, c = _distinct(queries, "qcode"), _distinct(codes, "code")
-    q = F.broadcast(q) if small_enough(q) else q
-    wh = weighted_hamming(F.col("qcode"), F.col("code"), weights)
-    hits = c.join(q, wh <= limit).withColumn("h", wh)
+def range_weighted(queries: DataFrame, codes: DataFrame, limit: float, weights: list[float], index: multi_index.MultiIndex | None = None) -> DataFrame:
+    """(qid, gid, wh): weighted Hamming distance at most limit, by a multi-index."""
+    if index is None:
+        few = codes.select(F.approx_count_distinct("code")).first()[0]
+        index = multi_index.build(codes, len(weights), parts=multi_index.weighted_parts(few, limit, weights))
+    hits = multi_index.weighted_probe(queries, index, limit, weights)
     return expand(hits, queries, codes).select("qid", "gid", F.col("h").alias("wh"))
 
 
@@ -119,23 +128,24 @@ def _ranked(d: DataFrame, k: int) -> DataFrame:
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "gid", "sq_l2")
 
 
-def multi_probe(queries: DataFrame, codes: DataFrame, k: int, width: int, limit: int = 11, factor: int = 5, fall_back: bool = False) -> DataFrame:
+def multi_probe(queries: DataFrame, codes: DataFrame, k: int, width: int, limit: int = 11, factor: int = 5, fall_back: bool = False, index: multi_index.MultiIndex | None = None) -> DataFrame:
     """(qid, rank, gid, sq_l2): nearest embeddings among the Hamming rings up to the first with factor * k candidates.
 
-    Rings are whole. Near rings are probed; only codes that they leave short are compared with all codes. Where not
+    Rings are whole. Near rings are probed; queries that they leave short are searched on in the multi-index. Where not
     even limit holds that many, all rings up to limit count. With fall_back a query is compared with all embeddings
     if no ring has a hit, or if it is still short when the next ring has more codes than there are graphs."""
     from ..plans.planner import PROBES, ball_size
 
     limit = min(limit, width)
-    sizes = codes.groupBy("code").agg(F.count("*").alias("n"))
-    few = small_enough(sizes, 2 * PROBES)  # comparing all codes costs no more than probing
-    near = limit if few else max(r for r in range(limit + 1) if ball_size(r, width) <= PROBES)
-    hits = (ball_scan if few else ball_probe)(queries, codes, near, width).join(sizes, "code")
+    sizes = written(codes.groupBy("code").agg(F.count("*").alias("n")), "sizes")
+    index = index or multi_index.build(sizes, width, limit)
+    near = limit if index.n <= 2 * PROBES else max(r for r in range(limit + 1) if ball_size(r, width) <= PROBES)
+    hits = written((ball_probe(queries, sizes, near, width) if near < limit else multi_index.probe(queries, index, limit)).join(sizes, "code"), "hits")
     if near < limit:
         done = hits.groupBy("qcode").agg(F.sum("n").alias("all")).where(F.col("all") >= factor * k)
         short = queries.join(done.select(F.col("qcode").alias("code")), "code", "left_anti")
-        hits = hits.union(ball_scan(short, codes, limit, width).where(F.col("h") > near).join(sizes, "code").select(*hits.columns))
+        far = written(multi_index.probe(short, index, limit).where(F.col("h") > near).join(sizes, "code").select(*hits.columns), "hits")
+        hits = hits.union(far)
     rings = hits.groupBy("qcode", "h").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("qcode").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     kept = rings.withColumn("before", before).where(F.col("before") < factor * k).select("qcode", "h")
@@ -144,7 +154,7 @@ def multi_probe(queries: DataFrame, codes: DataFrame, k: int, width: int, limit:
         n = codes.count()
         large = next((d for d in range(1, limit + 1) if comb(width, d) > n), limit + 1)
         inside = rings.where(F.col("h") < large).groupBy("qcode").agg(F.sum("n").alias("all"))
-        inside = inside.where(F.col("all") >= (factor * k if large <= limit else 1)).select(F.col("qcode").alias("code"))
+        inside = written(inside.where(F.col("all") >= (factor * k if large <= limit else 1)).select(F.col("qcode").alias("code")), "inside")
         rest = top_k(queries.join(inside, "code", "left_anti"), codes, k)
         queries = queries.join(inside, "code", "left_semi")
     rows = expand(hits.select("qcode", "code", "h").join(kept, ["qcode", "h"]), queries, codes)

@@ -177,7 +177,7 @@ def gid_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The stated queries against every other vector, those whose id is divisible by 50 among them
 
-EVERY = CODES32.replace("d AS (SELECT * FROM codes WHERE gid % 50 <> 0)", "d AS (SELECT * FROM codes)").replace("FROM q, d)", "FROM q, d WHERE qid <> gid)")
+EVERY = CODES32.replace("FROM q, d)", "FROM q, d WHERE qid <> gid)")
 
 
 @query(f"WITH {EVERY} SELECT qid, gid, h, round(sq, 6) AS sq_l2 FROM pairs WHERE h <= 9 AND sq <= 1.75")

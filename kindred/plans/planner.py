@@ -20,11 +20,6 @@ def ball_size(radius: int, width: int) -> int:
 
 
 def ball_strategy(codes: DataFrame, radius: int, width: int) -> str:
-    """probe where the ball has fewer codes than the index and fits an explode; scan for few codes; bands otherwise."""
-    n = codes.select("code").distinct().count()
+    """probe where the ball has fewer codes than the table and fits an explode; else a multi-index, built for this search."""
     size = ball_size(radius, width)
-    if size <= min(n, PROBES):
-        return "probe"
-    if n <= BROADCAST_ROWS or (radius + 1) * 4 > width:
-        return "scan"
-    return "bands"
+    return "probe" if size <= PROBES and not small_enough(codes.select("code").distinct(), size) else "index"

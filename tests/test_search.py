@@ -31,7 +31,7 @@ def test_strategies_agree_also_on_bit_31(spark, codes):
 
 def test_planner(codes):
     assert ball_size(2, 12) == 1 + 12 + math.comb(12, 2)
-    assert ball_strategy(codes, 1, 32) == "probe" and ball_strategy(codes, 3, 32) == "scan"
+    assert ball_strategy(codes, 1, 32) == "probe" and ball_strategy(codes, 3, 32) == "index"
 
 
 def test_offsets_and_index(codes):
