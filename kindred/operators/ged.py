@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import degree_bound, label_bound
 from ..plans.planner import small_enough
 from ..sources.scratch import written
+from . import prefix_join
 from .graphs import degree_array
 
 STEPS = 100_000  # assignments that a task weighs at once for a pair or a branch; it decides nothing
@@ -256,6 +257,7 @@ def with_distance(pairs: DataFrame, bound: int | None = None, steps: int | None
     return pairs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", ged int")
 
 
+FEW = 20_000  # structures that are compared by size alone
 OPEN = pa.schema([("pid", pa.int64()), ("best", pa.int32()), ("low", pa.int32()), ("image", pa.list_(pa.int32()))])
 
 
@@ -311,20 +313,33 @@ def bounded_pairs(queries: DataFrame, graphs: DataFrame, bound: int | None) -> D
     """Distinct structures of the stated queries against all distinct structures that the cheap bounds let pass.
 
     (s1, s2, nodes1, edges1, nodes2, edges2, lb), and for either k what the bounds see: vk, elk (edge labels), dk (degrees).
-    Both sides should be stored tables: they are counted, and read once more."""
-    side = lambda g, k: g.select(F.col("sid").alias(f"s{k}"), F.col("v").alias(f"v{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"), F.transform("edges", lambda e: e["label"]).alias(f"el{k}"), degree_array().alias(f"d{k}"))
-    seen = [f"{c}{k}" for k in (1, 2) for c in ("v", "el", "d")]
-    q, g = side(queries, 1), side(graphs, 2)
-    q = F.broadcast(q) if small_enough(q, 20_000) else q
-    c = F.col
-    lb = F.greatest(
+    With a bound, pairs come from the prefix-filter join on labels, or, where so few structures are there that comparing
+    all of about one size costs less, from a join on the number of vertices; without a bound all are compared.
+    Both sides should be stored tables: they are read more than once."""
+    c, seen = F.col, [f"{x}{k}" for k in (1, 2) for x in ("v", "el", "d")]
+
+    def side(g: DataFrame, k: int, stars: bool) -> DataFrame:
+        own = {"s": c("sid"), "v": c("v"), "nodes": c("nodes"), "edges": c("edges"), "el": F.transform("edges", lambda e: e["label"]), "d": degree_array()}
+        return g.select(*(x.alias(f"{n}{k}") for n, x in (own | ({"st": prefix_join.star_tokens()} if stars else {})).items()))
+
+    q, g = side(queries, 1, bound is not None), side(graphs, 2, bound is not None)
+    few = bound is None or small_enough(graphs, FEW)
+    if few:
+        q = F.broadcast(q) if small_enough(q, FEW) else q
+    if bound is None:
+        pairs = g.join(q)
+    elif few:
+        pairs = g.join(q.withColumn("v2", F.explode(F.sequence(c("v1") - bound, c("v1") + bound))), "v2")
+    else:
+        pairs = prefix_join.label_join(queries, graphs, bound).select("s1", "s2").join(q, "s1").join(g, "s2")
+    bounds = [
         label_bound(c("v1"), c("nodes1"), c("el1"), c("v2"), c("nodes2"), c("el2")),
         degree_bound(c("v1"), c("nodes1"), c("d1"), c("el1"), c("v2"), c("nodes2"), c("d2"), c("el2")),
-    )
-    if bound is None:
-        pairs = g.join(q).withColumn("lb", lb)
-    else:  # sizes that differ by no more than the bound meet by an equi-join
-        pairs = g.join(q.withColumn("v2", F.explode(F.sequence(c("v1") - bound, c("v1") + bound))), "v2").withColumn("lb", lb)
+    ]
+    if bound is not None:
+        top = lambda d: F.coalesce(F.array_max(d), F.lit(0))
+        bounds.append(prefix_join.star_bound(c("v1"), c("st1"), top("d1"), c("v2"), c("st2"), top("d2")))
+    pairs = pairs.withColumn("lb", F.greatest(*bounds))
     return (pairs if bound is None else pairs.where(c("lb") <= bound)).select("s1", "s2", "nodes1", "edges1", "nodes2", "edges2", "lb", *seen)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import assignment, augment, encode, ged, graphs, metrics, search
+from ..operators import assignment, augment, encode, ged, graphs, metrics, prefix_join, search
 from ..sources import formats
 from ..sources.scratch import scratch_path, written
 from ..streaming.queries import range_stream
@@ -404,14 +404,17 @@ pr AS (SELECT a.nq * b.n AS w, a.v AS v1, b.v AS v2, a.e AS e1, b.e AS e2, a.ls
 
 
 def _weighted_pairs(spark: SparkSession, sf_dir: str, bound: int | None = None) -> DataFrame:
-    """Structure pairs with their weights: graphs of the queries against all graphs, within what the cheap bounds allow.
+    """Structure pairs with their weights: graphs of the queries against all graphs, within what the cheap bounds allow."""
+    s = _structures(spark, sf_dir)
+    pairs = ged.bounded_pairs(s.where("nq > 0"), s, bound)
+    return pairs.join(s.select(F.col("sid").alias("s1"), "nq"), "s1").join(s.select(F.col("sid").alias("s2"), "n"), "s2").withColumn("w", F.col("nq") * F.col("n"))
 
-    The structures are a stored table: pairs and weights read it."""
+
+def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct structures, how many graphs have each, and how many of these are queries: a stored table, which pairs and weights read."""
     g = transitions(spark, sf_dir)
     s = g.groupBy("nodes", "edges").agg(F.min("gid").alias("sid"), F.first("v").alias("v"), F.first("e").alias("e"), F.count("*").alias("n"), F.sum((F.col("gid") % 50 == 0).cast("long")).alias("nq"))
-    s = written(s, "structures")
-    pairs = ged.bounded_pairs(s.where("nq > 0"), s, bound)
-    return pairs.join(s.select(F.col("sid").alias("s1"), "nq"), "s1").join(s.select(F.col("sid").alias("s2"), "n"), "s2").withColumn("w", F.col("nq") * F.col("n"))
+    return written(s, "structures")
 
 
 def _bound(f) -> DataFrame:
@@ -460,6 +463,15 @@ def ged_range_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ged.decided(w, 2).where("ged >= 0").groupBy(F.col("ged").cast("long").alias("ged")).agg(F.sum("w").alias("n"))
 
 
+@query(f"WITH {STRUCT} SELECT v1, v2, greatest(v1, v2) - common + abs(e1 - e2) AS lb, count(*) AS pairs, CAST(sum(w) AS BIGINT) AS n FROM pr WHERE greatest(v1, v2) - common + abs(e1 - e2) <= 2 GROUP BY ALL")
+def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure pairs whose label bound is at most 2, by the prefix-filter join: how many, and how many graph pairs they stand for."""
+    s = _structures(spark, sf_dir)
+    own = lambda k, n: s.select(F.col("sid").alias(f"s{k}"), F.col("v").cast("long").alias(f"v{k}"), n)
+    pairs = prefix_join.label_join(s.where("nq > 0"), s, 2).join(own(1, "nq"), "s1").join(own(2, "n"), "s2")
+    return pairs.groupBy("v1", "v2", F.col("lb").cast("long").alias("lb")).agg(F.count("*").alias("pairs"), F.sum(F.col("nq") * F.col("n")).alias("n"))
+
+
 @query(f"WITH {GED} SELECT CAST(ged AS BIGINT) AS ged, CAST(sum(w) AS BIGINT) AS n FROM gd GROUP BY ALL")
 def ged_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distances of ged_all_pairs with so few assignments a task that most pairs are split into branches and decided in rounds."""
