@@ -281,10 +281,11 @@ def decided(pairs: DataFrame, bound: int | None = None, steps: int = STEPS) -> D
 
     Pairs are searched once for `steps` assignments each; open branches of the others are rows of a stored table, and
     each round searches every branch that can still beat its pair's best for `steps` assignments more."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given is not made smaller for small rows
     rows = written(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
     graphs = rows.select("pid", "nodes1", "edges1", "nodes2", "edges2")
     least = F.lit(None if bound is None else bound + 1).cast("int")
-    state = written(_searched(graphs.withColumns({"best": least, "image": F.array().cast("array<int>")}).repartition("pid"), steps), "searched")
+    state = written(_searched(graphs.withColumns({"best": least, "image": F.array().cast("array<int>")}).repartition(tasks, "pid"), steps), "searched")
     found, rounds = state.where("image is null").select("pid", "best"), 0
     while True:
         best = state.groupBy("pid").agg(F.min("best").alias("least"), F.count("image").alias("open"))
@@ -292,7 +293,7 @@ def decided(pairs: DataFrame, bound: int | None = None, steps: int = STEPS) -> D
         left = state.where("image is not null").join(hard, "pid").where(F.col("low") < F.col("least"))
         if left.isEmpty():
             break
-        branches = left.select("pid", F.col("least").alias("best"), "image").join(graphs, "pid").repartition(F.hash("pid", "image"))
+        branches = left.select("pid", F.col("least").alias("best"), "image").join(graphs, "pid").repartition(tasks, F.hash("pid", "image"))
         state = written(_searched(branches, steps), "searched")
         found = found.union(state.where("image is null").select("pid", "best"))
         rounds += 1
