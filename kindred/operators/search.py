@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hamming, sq_l2
 from ..plans.planner import small_enough
 from ..sources.scratch import written
-from . import multi_index
+from . import multi_index, pivots
 
 # Hamming radius for each edit distance: one more than the distance.
 DEFAULT_MAPPING = tuple(d + 1 for d in range(10))
@@ -115,8 +115,15 @@ def range_weighted(queries: DataFrame, codes: DataFrame, limit: float, weights:
     return expand(hits, queries, codes).select("qid", "gid", F.col("h").alias("wh"))
 
 
-def top_k(queries: DataFrame, codes: DataFrame, k: int, others: bool = False) -> DataFrame:
-    """(qid, rank, gid, sq_l2): exact nearest embeddings; ties to the smaller gid. others leaves out the query's own id."""
+def top_k(queries: DataFrame, codes: DataFrame, k: int, others: bool = False, strategy: str | None = None, index: pivots.Pivots | None = None) -> DataFrame:
+    """(qid, rank, gid, sq_l2): exact nearest embeddings; ties to the smaller gid. others leaves out the query's own id.
+
+    strategy: scan compares the stated queries with all rows, pivots only with what cells around pivots do not rule out; by
+    default scan for few rows. index: stored cells, for many searches."""
+    from ..plans.planner import SCAN_ROWS
+
+    if index or (strategy or ("scan" if small_enough(codes, SCAN_ROWS) else "pivots")) == "pivots":
+        return pivots.nearest(queries, index or pivots.build(codes), k, others)
     q = queries.select(F.col("gid").alias("qid"), F.col("emb").alias("qemb"))
     q = F.broadcast(q) if small_enough(q) else q
     d = codes.select("gid", "emb").join(q, F.lit(True)).select("qid", "gid", sq_l2(F.col("qemb"), F.col("emb")).alias("sq_l2"))

@@ -190,5 +190,6 @@ def range_every(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVERY} SELECT qid, CAST(rank AS BIGINT) AS rank, gid, round(sq, 6) AS sq_l2 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sq, gid) AS rank FROM pairs) WHERE rank <= 10")
 def topk_every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours among all rows but the query's own, by cells around pivots."""
     c = codes(spark, sf_dir, 32)
-    return search.top_k(c.where("gid % 50 = 0"), c, 10, others=True).select("qid", F.col("rank").cast("long").alias("rank"), "gid", r6("sq_l2").alias("sq_l2"))
+    return search.top_k(c.where("gid % 50 = 0"), c, 10, others=True, strategy="pivots").select("qid", F.col("rank").cast("long").alias("rank"), "gid", r6("sq_l2").alias("sq_l2"))

@@ -7,6 +7,7 @@ from math import comb
 from pyspark.sql import DataFrame
 
 BROADCAST_ROWS = 100_000  # of a few numbers each; beyond that a side is not broadcast
+SCAN_ROWS = 200_000  # vectors that stated queries are compared with one by one
 PROBES = 2048  # masks that a query may be exploded into
 
 
