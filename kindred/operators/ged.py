@@ -29,7 +29,7 @@ from ..functions.columns import degree_bound, label_bound
 from ..plans.planner import small_enough
 from ..sources.scratch import written
 from . import prefix_join
-from .graphs import degree_array
+from .graphs import GRAPH, degree_array
 
 STEPS = 100_000  # assignments that a task weighs at once for a pair or a branch; it decides nothing
 
@@ -434,6 +434,18 @@ def reorder(nodes: list, edges: list) -> tuple[list, list]:
     return [nodes[v] for v in order], sorted((min(new[s], new[d]), max(new[s], new[d]), label) for s, d, label in edges)
 
 
+def reordered(graphs: DataFrame) -> DataFrame:
+    """graphs (gid, v, e, nodes, edges) with vertices renumbered depth first, as reorder() does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [reorder(n or [], [(e["src"], e["dst"], e["label"]) for e in x or ()]) for n, x in zip(b["nodes"].to_pylist(), b["edges"].to_pylist())]
+            edges = [[{"src": s, "dst": d, "label": x} for s, d, x in e] for _, e in new]
+            yield pa.record_batch([b["gid"], b["v"], b["e"], pa.array([n for n, _ in new], b.schema.field("nodes").type), pa.array(edges, b.schema.field("edges").type)], ["gid", "v", "e", "nodes", "edges"])
+
+    return graphs.select("gid", "v", "e", "nodes", "edges").mapInArrow(run, GRAPH)
+
+
 def beam_distance(nodes1: list, edges1: list, nodes2: list, edges2: list, width: int = 15) -> int:
     """An upper bound of the distance: vertices are mapped in order, layer by layer, and of each layer only the `width` least
     (cost so far and label bound of what is left, then cost) go on. Exact where no layer is cut."""

@@ -316,17 +316,10 @@ def graph_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRAPHS} SELECT * FROM gr")
 def bss_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graphs written as BSS text and parsed again, each text a file of one graph."""
-    texts = formats.bss_text(transitions(spark, sf_dir))
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = [(g, len(n), len(e), n, [{"src": s, "dst": d, "label": x} for s, d, x in e]) for t in b["value"].to_pylist() for g, n, e in formats.parse_bss(t)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, formats.SCHEMA)], schema=formats.SCHEMA)
-
-    return _flat(texts.select("value").mapInArrow(run, graphs.GRAPH))
+    """Graphs written as BSS text files and read again, splits of a file by tasks of their own."""
+    path = scratch_path(spark, "bss_files")
+    formats.write_bss(transitions(spark, sf_dir), path)
+    return _flat(formats.read_bss(spark, path))
 
 
 ORDERS = """ln AS (SELECT l_orderkey AS gid, list_position(['AF', 'NF', 'NO', 'RF', 'AO', 'RO'], l_returnflag || l_linestatus) - 1 AS label FROM lineitem)"""

@@ -1,14 +1,14 @@
 """Readers and writers of graph and result formats, all through Spark's own readers.
 
 BSS text holds graphs one after another without a delimiter: id, `v e`, v vertex labels (one a
-line), e lines `src dst label`. A file is therefore one unit of work; shard large collections
-over many files, then keep them as Parquet.
+line), e lines `src dst label`. A line of two numbers stands only in a graph's head, below its id, so a reader
+that starts anywhere in a file finds the next graph: large files are read by many tasks.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graphs import GRAPH
 from ..plans.planner import small_enough
+from .scratch import written
 
 SCHEMA = pa.schema(
     [("gid", pa.int64()), ("v", pa.int32()), ("e", pa.int32()), ("nodes", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("label", pa.int32())])))]
@@ -37,14 +38,103 @@ def parse_bss(text: str) -> Iterator[tuple[int, list[int], list[tuple[int, int,
         yield int(gid), nodes, edges
 
 
-def read_bss(spark: SparkSession, path: str) -> DataFrame:
+def _rows(graphs: Iterable[tuple]) -> pa.RecordBatch:
+    rows = [(g, len(n), len(e), n, [{"src": min(s, d), "dst": max(s, d), "label": x} for s, d, x in e]) for g, n, e in graphs]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, SCHEMA)], schema=SCHEMA)
+
+
+class _Split:
+    """The lines of one split of a file, in order: whole graphs, and the lines before the first and after the last of them."""
+
+    def __init__(self, path: str, start: int):
+        self.path, self.start, self.head, self.found = path, start, [], False
+        self.lines: list[str] = []  # of the graph that is being read
+        self.left = -1  # its lines still to come; -1: its size is not yet known
+
+    def add(self, line: str) -> str | None:
+        """The text of a graph that this line completes."""
+        words = line.split()
+        if not words:
+            return None
+        if not self.found:  # inside a graph that began before this split, until a line of two numbers has its id above it
+            if len(words) != 2 or not self.head or len(self.head[-1].split()) != 1:
+                self.head.append(line)
+                return None
+            self.found, self.lines = True, [self.head.pop()]
+        self.lines.append(line)
+        if len(self.lines) == 2:
+            if len(words) != 2:
+                raise ValueError(f"{self.path}: no `v e` below the id {self.lines[0]!r}")
+            self.left = int(words[0]) + int(words[1])
+        elif len(self.lines) > 2:
+            self.left -= 1
+        if self.left == 0:
+            text, self.lines, self.left = "\n".join(self.lines), [], -1
+            return text
+        return None
+
+
+PARSED = pa.schema([("path", pa.string()), ("start", pa.int64()), ("whole", pa.bool_()), ("text", pa.string()), ("rest", pa.string())])
+
+
+def _bss_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start, whole, text, rest): graphs' texts (whole), and of each split the lines before its first graph (text) and of
+    the one it does not hold to the end (rest; null if no graph starts in it)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split: _Split | None = None
+
+        def ends() -> list[tuple]:
+            if split is None or not (split.head or split.lines):
+                return []
+            return [(split.path, split.start, False, "\n".join(split.head), "\n".join(split.lines) if split.found else None)]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, PARSED)], schema=PARSED)
+
         for b in batches:
-            for text in b["value"].to_pylist():
-                rows = [(g, len(n), len(e), n, [{"src": min(s, d), "dst": max(s, d), "label": x} for s, d, x in e]) for g, n, e in parse_bss(text)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, SCHEMA)], schema=SCHEMA)
+            rows = []
+            for line, file, start in zip(b["value"].to_pylist(), b["path"].to_pylist(), b["start"].to_pylist()):
+                if split is None or (file, start) != (split.path, split.start):
+                    rows += ends()
+                    split = _Split(file, start)
+                if (text := split.add(line)) is not None:
+                    rows.append((file, start, True, text, None))
+            yield out(rows)
+        yield out(ends())
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.mapInArrow(run, "path string, start long, whole boolean, text string, rest string")
+
+
+def read_bss(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Graphs of BSS files, each split of a file read by a task of its own; graphs that splits cut are put together by file.
 
-    return spark.read.text(path, wholetext=True).mapInArrow(run, GRAPH)
+    whole_files: for texts whose lines are not those of the format; then a file is one unit of work. A graph that is cut
+    short raises ValueError. Reading goes through a stored table of the graphs' texts."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows(g for text in b["text"].to_pylist() for g in parse_bss(text))
+
+    if whole_files:
+        return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text").mapInArrow(parse, GRAPH)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for parts in b["parts"].to_pylist():
+                open_, graphs = "", []
+                for x in parts:  # in order of their place in the file
+                    open_ = f"{open_}\n{x['text']}"
+                    if x["rest"] is not None:
+                        graphs += parse_bss(open_)
+                        open_ = x["rest"]
+                yield _rows([*graphs, *parse_bss(open_)])
+
+    pieces = written(_bss_pieces(spark, path), "bss")
+    # What splits of a file leave over: about two graphs' lines a split.
+    cut = pieces.where("not whole").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "text", "rest"))).alias("parts"))
+    return pieces.where("whole").select("text").mapInArrow(parse, GRAPH).union(cut.select("parts").mapInArrow(join, GRAPH))
 
 
 def bss_text(graphs: DataFrame) -> DataFrame:

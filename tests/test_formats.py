@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from kindred.operators import ged
 from kindred.operators.graphs import GRAPH
 from kindred.sources import formats
 
@@ -15,6 +18,45 @@ def test_bss_files(spark, tmp_path):
         list(formats.parse_bss("1\n3 1\n0\n"))
 
 
+@pytest.mark.parametrize("block, graphs, most", [(9, 6, 4), (60, 30, 12), (100_000, 60, 30)])
+def test_bss_splits_of_one_file(spark, tmp_path, block, graphs, most):
+    """Wherever a file is cut, between and inside graphs, every graph is read once."""
+    r = random.Random(block)
+    rows = []
+    for gid in range(graphs):
+        n = r.choice([0, 1, 2, most])
+        rows.append((gid * 7, n, [r.randrange(400) for _ in range(n)], [(i, i + 1, r.randrange(3)) for i in range(n - 1)]))
+    text = "".join(f"{g}\n{v} {len(e)}\n" + "".join(f"{x}\n" for x in n) + "".join(f"{a} {b} {x}\n" for a, b, x in e) for g, v, n, e in rows)
+    (tmp_path / "all.txt").write_text(text)
+    (tmp_path / "more.txt").write_text("\n5000\n2 1\n3\n4\n0 1 9")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = formats.read_bss(spark, str(tmp_path))
+        n = formats._bss_pieces(spark, str(tmp_path)).rdd.getNumPartitions()
+        back = sorted((g.gid, g.v, g.nodes, [tuple(e) for e in g.edges]) for g in got.collect())
+        assert back == sorted([*rows, (5000, 2, [3, 4], [(0, 1, 9)])])
+        (tmp_path / "cut.txt").write_text("1\n3 1\n0\n")
+        with pytest.raises(Exception, match="cut short"):
+            formats.read_bss(spark, f"{tmp_path}/cut.txt").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert n > len(text) // (2 * block) or block == 100_000
+    whole = formats.read_bss(spark, f"{tmp_path}/all.txt", whole_files=True)
+    assert sorted(x.gid for x in whole.collect()) == [x[0] for x in rows]
+
+
+def test_reordered_graphs_are_the_same_graphs(spark):
+    rows = [(1, 4, 3, [5, 6, 7, 8], [(0, 1, 1), (1, 2, 1), (1, 3, 2)]), (2, 0, 0, [], []), (3, 2, 0, [1, 2], [])]
+    got = {r.gid: r for r in ged.reordered(spark.createDataFrame(rows, GRAPH)).collect()}
+    for gid, v, e, nodes, edges in rows:
+        own = got[gid]
+        assert (own.v, own.e) == (v, e) and (own.nodes, [tuple(x) for x in own.edges]) == ged.reorder(nodes, edges)
+        assert ged.edit_distance(nodes, edges, own.nodes, [tuple(x) for x in own.edges]) == 0
+
+
 def test_gxl_and_cxl(spark, tmp_path):
     gxl = '<gxl><graph id="g" edgeids="false" edgemode="undirected"><node id="_1"><attr name="x"><float>1.5</float></attr></node><node id="_0"/><edge from="_0" to="_1"><attr name="v"><int>2</int></attr></edge></graph></gxl>'
     (tmp_path / "a.gxl").write_text(gxl)
