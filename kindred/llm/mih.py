@@ -8,8 +8,10 @@ the sum of threshold + 1 exceeds the radius), so probing those values finds ever
 the radius, and these are reranked by the inner product of the original vectors in double
 precision. The radius is the distance within which the sample holds a COVER share of its own
 nearest neighbours; true neighbours among more vectors are nearer, so recall only grows.
-Vectors of different norms are searched by direction and norm: codes see one more
-coordinate that makes all norms equal.
+Vectors of different lengths are searched by direction and length: codes see one more
+coordinate that makes all lengths equal. Lengths of very different size would leave nothing of the
+direction then, so each class of lengths, at most a factor of four wide, has codes and an index of its own: a few
+vectors of extreme length do not change the search of the others.
 
 Vectors with different numbers of components have no inner product: each number of components
 is searched for itself, and a query's candidates are the vectors that have as many as it has.
@@ -37,6 +39,7 @@ from .common import column, written
 SAMPLE, PROBES, COVER = 8000, 400, 0.94
 BLOCK, QUERIES, GROUPS = 32768, 512, 16  # vectors of a block, queries of a group, most groups that meet a block at once
 SUB = 16
+MOST = 1e300  # lengths beyond it count as this
 
 
 def _packed_bits(x: np.ndarray) -> np.ndarray:
@@ -46,10 +49,12 @@ def _packed_bits(x: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Learned on a sample (rows of equal length): mean, rotation, and the radius for the share of neighbours."""
+    """Learned on a sample (rows of equal number of components): mean, rotation, and the radius for the share of neighbours.
+
+    top: the largest length of any vector; all is done with vectors divided by it."""
 
     def __init__(self, x: np.ndarray, k: int, top: float, bits: int | None = None, rounds: int = 30, seed: int = 5):
-        self.top = top  # largest length of any vector
+        self.top = top
         y = self._even(x)
         self.mean = y.mean(axis=0)
         y = y - self.mean
@@ -66,7 +71,7 @@ class Codes:
         self.bits = self.rotation.shape[1]
         c = self.of(x)
         step = max(1, len(x) // PROBES)
-        found = []
+        x, found = x / top, []
         for q in range(0, len(x), step):
             s = x @ x[q]
             s[q] = -np.inf
@@ -76,8 +81,9 @@ class Codes:
         self.radius = int(np.quantile(found, COVER, method="higher")) if len(found) else self.bits
 
     def _even(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.top**2 - (x * x).sum(axis=1), 0))
-        return np.concatenate([x, rest[:, None]], axis=1) if rest.max(initial=0) > 1e-3 * self.top else np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+        x = x / self.top
+        rest = np.sqrt(np.maximum(1 - (x * x).sum(axis=1), 0))
+        return np.concatenate([x, rest[:, None] if rest.max(initial=0) > 1e-3 else np.zeros((len(x), 1))], axis=1)
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """64-bit codes of rows."""
@@ -85,7 +91,8 @@ class Codes:
 
     def of_queries(self, x: np.ndarray) -> np.ndarray:
         """A query's length does not order its candidates: it is coded at full length, without the extra coordinate."""
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) * self.top
+        x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of what is left neither overflow nor vanish
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         return _packed_bits((np.concatenate([x, np.zeros((len(x), 1))], axis=1) - self.mean) @ self.rotation >= 0)
 
 
@@ -184,12 +191,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     rows = _usable(vectors)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = rows.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.count_if(is_query).alias("asked"))
+    most = F.nullif(F.array_max(F.transform("embedding", F.abs)), F.lit(0.0))  # zero vectors are out, but filters have no order
+    length = F.least(most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))), F.lit(MOST))
+    octave = F.floor(F.log2(length)).cast("int")
+    sizes = rows.groupBy(F.size("embedding").alias("size"), octave.alias("octave")).agg(F.count("*").alias("n"), F.max(length).alias("top")).collect()  # at most 2200 rows for each number of components
+    queries = {r["size"]: r["n"] for r in asked.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect()}
     found = None
-    for r in sizes.where("asked > 0").orderBy("size").collect():  # one row for each number of components
-        own = F.size("embedding") == r["size"]
-        one = _near(rows.where(own), asked.where(own), r["size"], r["n"], r["top"], r["asked"], k)
-        found = one if found is None else found.union(one)
+    for size in sorted(queries):
+        classes: list[list] = []
+        for r in sorted((r for r in sizes if r["size"] == size), key=lambda r: r["octave"]):
+            if classes and r["octave"] <= classes[-1][0]["octave"] + 1:
+                classes[-1].append(r)
+            else:
+                classes.append([r])
+        for c in classes:
+            own = rows.where((F.size("embedding") == size) & octave.between(c[0]["octave"], c[-1]["octave"]))
+            one = _near(own, asked.where(F.size("embedding") == size), size, sum(r["n"] for r in c), max(r["top"] for r in c), queries[size], k)
+            found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
@@ -200,12 +218,12 @@ def _near(rows: DataFrame, asked: DataFrame, size: int, n: int, top: float, n_as
     """query_id, vec_id, score: the nearest of every block of n rows of `size` components, for each vector asked."""
     spark = rows.sparkSession
     sample = np.array([r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])  # at most SAMPLE vectors
-    codes = spark.sparkContext.broadcast(Codes(sample, k, float(np.sqrt(top))))
+    codes = spark.sparkContext.broadcast(Codes(sample, k, top))
     found = _searched(rows, asked, size, n, n_asked, codes, k, None)
     # Queries that found fewer than they could are searched with a radius that holds all codes.
-    most = F.least(F.lit(k), F.lit(n) - F.col("own"))
+    most = F.least(F.lit(k), F.lit(n) - F.coalesce("own", F.lit(0)))
     held = rows.join(asked.select("vec_id"), "vec_id").groupBy("vec_id").agg(F.count("*").alias("own"))
-    few = held.join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got")), "vec_id", "left").where(F.coalesce("got", F.lit(0)) < most)
+    few = asked.select("vec_id").join(held, "vec_id", "left").join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("got")), "vec_id", "left").where(F.coalesce("got", F.lit(0)) < most)
     again = written(asked.join(few.select("vec_id"), "vec_id", "left_semi"), "again")
     n_again = again.count()
     if not n_again:

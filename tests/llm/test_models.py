@@ -247,3 +247,27 @@ def test_quality_equals_a_naive_version(spark):
     assert abs(lost(quality.boundary(np.array([per[i] for i in good]), np.array([per[i] for i in bad]))) - min(map(lost, cuts))) < 1e-9
     k = sum(r.kept for r in got.values())
     assert {i for i, r in got.items() if r.kept} == {r.doc_id for r in sorted(got.values(), key=lambda r: (-r.key, r.doc_id))[:k]}
+
+
+def test_a_vector_of_extreme_length_changes_nothing(spark):
+    """The other vectors keep codes, radius and recall; the long ones are found where they are nearest."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    kinds = "vec_id long, embedding array<double>"
+    plain = {(r.query_id, r.vec_id) for r in mih.nearest(spark.createDataFrame(rows, kinds), F.col("vec_id") % 100 == 0, 20).collect()}
+    far = [(5001, (1e20 * x[7]).tolist()), (5002, (1e-20 * x[8]).tolist()), (5003, (-1e120 * x[9]).tolist())]
+    got = mih.nearest(spark.createDataFrame(rows + far, kinds), F.col("vec_id") % 100 == 0, 20).collect()
+    found = {(r.query_id, r.vec_id) for r in got}
+    every = np.concatenate([x, [v for _, v in far]])
+    ids = np.array([*range(len(x)), 5001, 5002, 5003])
+    hits = 0
+    for q in range(0, 2000, 100):
+        s = (every * every[q]).sum(axis=1)
+        best = [int(ids[i]) for i in np.lexsort((ids, -s)) if ids[i] != q][:20]
+        hits += sum((q, i) in found for i in best)
+        for i in (5001, 5003):
+            assert ((q, i) in found) == (i in best)
+    assert hits >= 0.9 * 20 * 20
+    assert len({(q, i) for q, i in plain if i < 5000} - found) <= 3 * 20  # those that the far ones push out
