@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-ROWS = 256  # rows handled at once inside a Python worker; texts can be long
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir. Where that is unset a temporary one serves a
-    local master alone: the executors of a cluster could not read it."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="kindred-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+from ..sources.scratch import scratch_path as new_path
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+ROWS = 256  # rows handled at once inside a Python worker; texts can be long
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

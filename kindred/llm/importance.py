@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
 from .common import arrow, column, documents, per_worker, slices, written
-from .order import numbered
 
 BUCKETS = 10_000
 RUN = 3  # words of the longest feature

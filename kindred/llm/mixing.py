@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered, ranges
 from .common import documents, drop, written
-from .order import numbered, ranges
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
@@ -80,7 +80,6 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     named = numbered(levels.groupBy("source").agg(F.sum("words").alias("source_size")), "place", F.asc_nulls_last("source"))
     cycle = F.array(*map(F.lit, weights))
     sources = written(targets(named.withColumn("weight", F.element_at(cycle, (F.pmod(F.col("place") - 1, F.lit(len(weights))) + 1).cast("int"))), cap), "sources")
-    drop(named)
     by_source = lambda left, right, how="inner": left.join(right.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
     known = written(expected_copies(by_source(levels.where("measure > 0"), sources.select("source", "place", "target")), cap).withColumn("certain", F.floor("copies")), "copies")
     drop(levels)

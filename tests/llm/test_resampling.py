@@ -10,7 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kindred.llm import importance, mixing, order, whitening
+from kindred.llm import importance, mixing, whitening
+from kindred.operators import order
 
 from .conftest import SCHEMA, prose
 
