@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 LITERALS = 1000  # event types that are numbered by a literal list
 GRAPH = "gid long, v int, e int, nodes array<int>, edges array<struct<src:int,dst:int,label:int>>"
 
@@ -112,6 +114,33 @@ def twin_classes(graphs: DataFrame) -> DataFrame:
     return g.select("gid", F.size("classes").cast("long").alias("n_classes"), F.aggregate(sizes, F.lit(1).cast("long"), lambda a, x: a * x).alias("product"))
 
 
+def twins(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(gid, vid, twin): for each vertex (gid, vid, label) the smallest vertex with its label and its neighbours by the same edge labels.
+
+    For graphs of any size, as tables: edges (gid, src, dst, label), loops left out. Vertices meet by label, degree and sums of hashes of
+    their neighbours; then their edges are compared with those of the smallest of a group, and a vertex that differs (equal
+    sums of other neighbours) meets the rest of its group again. What moves is a row an edge; none holds a vertex's neighbours."""
+    e = edges.where("src <> dst").select("gid", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("label").alias("el"))
+    around = written(e.select("gid", F.col("src").alias("vid"), F.col("dst").alias("nb"), "el").union(e.select("gid", F.col("dst").alias("vid"), F.col("src").alias("nb"), "el")).distinct(), "around")
+    prime = (1 << 61) - 1
+    hashed = lambda seed: F.pmod(F.sum(F.pmod(F.xxhash64(F.lit(seed), "nb", "el"), F.lit(prime)).cast("decimal(20,0)")), F.lit(prime).cast("decimal(20,0)"))
+    sums = around.groupBy("gid", "vid").agg(F.count("*").alias("degree"), hashed(1).alias("h1"), hashed(2).alias("h2"))
+    v = vertices.select("gid", F.col("vid").cast("long").alias("vid"), F.coalesce(F.col("label").cast("long"), F.lit(-(1 << 40))).alias("label")).join(sums, ["gid", "vid"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    kind = F.xxhash64("label", "degree", "h1", "h2")
+    left, out = written(v.select("gid", "vid", "label", "degree", kind.alias("kind")), "kinds"), None
+    while True:
+        first = left.groupBy("gid", "kind", "label", "degree").agg(F.min("vid").alias("twin"))
+        pairs = written(left.join(first, ["gid", "kind", "label", "degree"]), "pairs")
+        theirs = around.select("gid", F.col("vid").alias("twin"), "nb", "el")
+        met = around.join(pairs.where("vid <> twin").select("gid", "vid", "twin"), ["gid", "vid"]).join(theirs, ["gid", "twin", "nb", "el"]).groupBy("gid", "vid").agg(F.count("*").alias("met"))
+        seen = written(pairs.join(met, ["gid", "vid"], "left").withColumn("same", (F.col("vid") == F.col("twin")) | (F.coalesce("met", F.lit(0)) == F.col("degree"))), "seen")
+        good = seen.where("same").select("gid", "vid", "twin")
+        out = good if out is None else out.union(good)
+        left = seen.where("not same").select("gid", "vid", "label", "degree", "kind")
+        if left.isEmpty():
+            return out
+
+
 def laplacian(graphs: DataFrame) -> DataFrame:
     """(gid, row, col, val) of D^-1/2 (A + I) D^-1/2, the entries that are not zero; expressions of the row, without a shuffle."""
     pairs = F.array_distinct(F.transform(F.filter("edges", lambda e: e["src"] != e["dst"]), lambda e: F.struct(e["src"].alias("row"), e["dst"].alias("col"))))

@@ -17,6 +17,7 @@ from ..plans.planner import small_enough
 from ..sources.scratch import written
 from . import multi_index, pivots
 
+BINS = 64  # that a pass over the values cuts each position's range into
 # Hamming radius for each edit distance: one more than the distance.
 DEFAULT_MAPPING = tuple(d + 1 for d in range(10))
 
@@ -184,8 +185,44 @@ def competition_ranks(queries: DataFrame, codes: DataFrame, results: DataFrame,
     return counts.groupBy("qid", "gid", "rank").agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("rk"))
 
 
+def medians(values: DataFrame) -> DataFrame:
+    """(pos, threshold): the exact median of the finite x of each pos, in passes that only count.
+
+    Each pass cuts what may still hold a middle value into BINS; a row for each bin in use reaches the driver, however many
+    values there are. Bins shrink to the least and largest value in them, so a pass always rules some out."""
+    v = values.select("pos", F.col("x").cast("double").alias("x")).where("x is not null and not isnan(x) and abs(x) < double('inf')")
+    open_ = {}  # (pos, which middle): rank among the values from lo on, lo, hi
+    for r in v.groupBy("pos").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():  # a row a position
+        for k in {(r.n - 1) // 2, r.n // 2}:
+            open_[r.pos, k] = (k, r.lo, r.hi)
+    done = {}
+    while True:
+        done |= {key: lo for key, (_, lo, hi) in open_.items() if lo == hi}
+        open_ = {key: x for key, x in open_.items() if key not in done}
+        if not open_:
+            break
+        at = values.sparkSession.createDataFrame([(pos, k, lo, hi) for (pos, k), (_, lo, hi) in open_.items()], "pos int, k long, lo double, hi double")
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)  # halves: no overflow
+        inside = v.join(F.broadcast(at), "pos").where(F.col("x").between(F.col("lo"), F.col("hi")))  # two rows a position
+        bins = inside.groupBy("pos", "k", F.least(F.lit(BINS - 1), F.floor(share * BINS)).alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        narrower = {}
+        for r in sorted(bins, key=lambda r: r.bin):
+            key = r.pos, r.k
+            if key not in narrower:
+                rank = open_[key][0]
+                if rank < r.n:
+                    narrower[key] = (rank, r.lo, r.hi)
+                else:
+                    open_[key] = (rank - r.n, r.lo, r.hi)
+        open_ = narrower
+    middle: dict = {}
+    for (pos, _), x in done.items():
+        middle.setdefault(pos, []).append(x)
+    rows = [(pos, x[0] if len(x) == 1 else (x[0] + x[1]) / 2) for pos, x in sorted(middle.items())]
+    return values.sparkSession.createDataFrame(rows, "pos int, threshold double")
+
+
 def thresholds(vectors: DataFrame, kind: str) -> DataFrame:
     """(pos, threshold): median or mean of each position."""
     v = vectors.select(F.posexplode("emb").alias("pos", "x"))
-    agg = F.median(F.col("x").cast("double")) if kind == "median" else F.avg(F.col("x").cast("double"))
-    return v.groupBy("pos").agg(agg.alias("threshold"))
+    return medians(v) if kind == "median" else v.groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("threshold"))
