@@ -188,15 +188,19 @@ def lookup(graphs: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
 
 
 def pagerank(graphs: DataFrame, alpha: float = 0.1, rounds: int = 20) -> DataFrame:
-    """(gid, vid, rank) inside each graph: alpha is the chance of a jump; ranks of isolated vertices spread evenly."""
+    """(gid, vid, rank) inside each graph: alpha is the chance of a jump; ranks of isolated vertices spread evenly. Equal structures are scored once."""
     import pyarrow as pa
 
+    from .ged import structures
+
+    own, of = structures(graphs)
+
     def run(batches):
         import numpy as np
 
         for b in batches:
             out = []
-            for gid, v, es in zip(b["gid"].to_pylist(), b["v"].to_pylist(), b["edges"].to_pylist()):
+            for sid, v, es in zip(b["sid"].to_pylist(), b["v"].to_pylist(), b["edges"].to_pylist()):
                 if not v:
                     continue
                 a = np.zeros((v, v))
@@ -208,11 +212,11 @@ def pagerank(graphs: DataFrame, alpha: float = 0.1, rounds: int = 20) -> DataFra
                 r = np.full(v, 1 / v)
                 for _ in range(rounds):
                     r = alpha / v + (1 - alpha) * (r @ p)
-                out += [(gid, i, x) for i, x in enumerate(r.tolist())]
+                out += [(sid, i, x) for i, x in enumerate(r.tolist())]
             cols = list(zip(*out)) if out else [(), (), ()]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], ["gid", "vid", "rank"])
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], ["sid", "vid", "rank"])
 
-    return graphs.select("gid", "v", "edges").mapInArrow(run, "gid long, vid int, rank double")
+    return of.join(own.select("sid", "v", "edges").mapInArrow(run, "sid long, vid int, rank double"), "sid").select("gid", "vid", "rank")
 
 
 def _vertex_scores(v: int, edges: list, rounds: int) -> list[tuple]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import assignment, encode, ged, graphs, refine, scoring, search, train
-from .queries import _COST, _FLAGS1, _FLAGS2, CODES32, GED, GRAPHS, STRUCT, _attributed, _weighted_pairs, codes, query, r6, table, transitions
+from ..operators import assignment, encode, ged, graphs, large_graphs, refine, scoring, search, train
+from ..sources.scratch import written
+from .queries import _COST, _FLAGS1, _FLAGS2, CODES32, GED, GRAPHS, PAGERANK, STRUCT, _attributed, _weighted_pairs, codes, query, r6, table, transitions
 
 # A user's graphs are a batch: there is one graph a day.
 
@@ -159,6 +160,14 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.centralities(transitions(spark, sf_dir)).select("gid", "vid", r6("hub").alias("hub"), r6("authority").alias("authority"))
 
 
+@query(PAGERANK)
+def pagerank_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks of pagerank from tables of vertices and edges, as for graphs larger than a row."""
+    g = written(transitions(spark, sf_dir), "graphs")
+    ranks = large_graphs.pagerank(graphs.vertices(g), graphs.edges(g))
+    return ranks.select("gid", F.col("vid").cast("int").alias("vid"), r6("rank").alias("rank"))
+
+
 # Places and lookups
 
 

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import graphs, search
+from kindred.operators import graphs, large_graphs, search
 
 from .test_ged import random_graph
 
@@ -49,3 +49,25 @@ def test_equal_sums_of_other_neighbours_are_told_apart(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 0, 4, 1), (1, 1, 5, 1), (1, 2, 4, 1), (1, 3, 5, 1)], "gid long, src int, dst int, label int")
     got = {x.vid: x.twin for x in graphs.twins(vertices, edges).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 4, 5: 5}
+
+
+def score_tables(spark):
+    r = random.Random(8)
+    made = [random_graph(r, 6) for _ in range(25)] + [([1] * 40, [(0, i, 1) for i in range(1, 40)]), ([3], [(0, 0, 1)]), ([], []), ([1] * 12, [(i, i + 1, 1) for i in range(11)])]
+    g = spark.createDataFrame([(k, len(n), len(e), n, [tuple(x) for x in e]) for k, (n, e) in enumerate(made)], graphs.GRAPH)
+    return g, graphs.vertices(g), graphs.edges(g)
+
+
+def near(a, b):
+    assert a.keys() == b.keys()
+    for k, x in a.items():
+        assert all((p is None) == (q is None) and (p is None or abs(p - q) < 1e-9) for p, q in zip(x, b[k])), (k, x, b[k])
+
+
+def test_scores_on_tables_equal_those_of_rows(spark):
+    g, v, e = score_tables(spark)
+    rows = {(x.gid, x.vid): x for x in graphs.centralities(g, 3).collect()}
+    near({(x.gid, x.vid): (x.rank,) for x in large_graphs.pagerank(v, e, rounds=3).collect()}, {(x.gid, x.vid): (x.rank,) for x in graphs.pagerank(g, rounds=3).collect()})
+    near({(x.gid, x.vid): (x.closeness, x.barycenter) for x in large_graphs.closeness(v, e).collect()}, {k: (x.closeness, x.barycenter) for k, x in rows.items()})
+    near({(x.gid, x.vid): (x.hub, x.authority) for x in large_graphs.hits(v, e, 3).collect()}, {k: (x.hub, x.authority) for k, x in rows.items()})
+    assert large_graphs.waves(v.where("gid < 0"), e).count() == 0
