@@ -278,7 +278,7 @@ def mse_ged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean_squared_error(_pairs(spark, sf_dir).select(F.col("sq_l2").alias("t"), (F.col("h") / 4.0).alias("est")), 2.5).select(r6("mse").alias("mse"), "n")
 
 
-@query(f"WITH {CODES} SELECT qid, gid, round(sq, 6) AS k0, round(-(sq * sq), 6) AS k1, round(-sq, 6) AS k2, round(tanh(-sq), 6) AS k3, round(exp(-sq), 6) AS k4 FROM pairs")
+@query(f"WITH {CODES} SELECT qid, gid, round(sq, 6) AS k0, round(0 - sq * sq, 6) AS k1, round(0 - sq, 6) AS k2, round(tanh(0 - sq), 6) AS k3, round(exp(-sq), 6) AS k4 FROM pairs")
 def sim_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("qid", "gid", *(r6(C.similarity(F.col("sq_l2"), k)).alias(f"k{k}") for k in range(5)))
 
