@@ -103,9 +103,14 @@ def preferential_graphs(spark: SparkSession, n: int, seed: int = 1, sizes: tuple
 def cumulative_sample(weights: DataFrame, draws: DataFrame) -> DataFrame:
     """draws (draw, u in 0..1) with the first id whose cumulative share of weight exceeds u.
 
-    weights (id, w): a batch's handful of rows."""
+    weights (id, w): a batch's handful of rows, at most 10 000: they meet each draw by a range, in one table sent to all tasks."""
     from pyspark.sql import Window as W
 
+    from ..plans.planner import small_enough
+
+    if not small_enough(weights, 10_000):
+        raise ValueError("more weights than a batch has")
+
     total = weights.agg(F.sum("w").alias("total"))
     cum = weights.join(F.broadcast(total)).select("id", (F.sum("w").over(W.orderBy("id")) / F.col("total")).alias("hi"), "w", "total")
     cum = cum.select("id", "hi", (F.col("hi") - F.col("w") / F.col("total")).alias("lo"))

@@ -12,10 +12,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graphs import GRAPH
+from ..operators.order import numbered
 from ..plans.planner import small_enough
 from .scratch import written
 
@@ -168,14 +168,30 @@ def read_gexf(spark: SparkSession, path: str, label: str | None = None, words: D
 def gexf_labels(texts: DataFrame, label: str) -> DataFrame:
     """(w, rank): the distinct values of the attribute `label` and their dense ranks, to be kept for later files."""
     w = _gexf(texts, label).select(F.explode("labels").alias("w")).where("w is not null").distinct()
-    return w.select("w", (F.row_number().over(W.orderBy("w")) - 1).alias("rank"))
+    return numbered(w, "rank", F.asc("w")).select("w", (F.col("rank") - 1).alias("rank"))
+
+
+def broken_xml(texts: DataFrame) -> DataFrame:
+    """(name, error) of the texts (name, value) that are no XML, which the readers of GEXF leave out: count them before a conversion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = []
+            for name, text in zip(b["name"].to_pylist(), b["value"].to_pylist()):
+                try:
+                    ET.fromstring(text or "")
+                except ET.ParseError as e:
+                    bad.append((name, str(e)))
+            yield pa.record_batch([pa.array([x[0] for x in bad], pa.string()), pa.array([x[1] for x in bad], pa.string())], ["name", "error"])
+
+    return texts.select("name", "value").mapInArrow(run, "name string, error string")
 
 
 def gexf_graphs(texts: DataFrame, label: str | None = None, words: DataFrame | None = None) -> DataFrame:
     """Graphs of GEXF texts (name, value), each graph's id the number in its name; vertex labels 1, or the ranks of the
     values of attribute `label` in words (by default those of these texts; a value that is not there has rank null).
 
-    Texts that are no GEXF are left out."""
+    Texts that are no XML are left out; broken_xml() names them."""
     raw = _gexf(texts, label)
     if label is None:
         ranked = raw.select("gid", "src", "dst", F.transform("ids", lambda _: F.lit(1)).alias("nodes"))

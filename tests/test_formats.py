@@ -79,6 +79,7 @@ def test_gexf(spark, tmp_path):
     r = formats.read_gexf(spark, f"{tmp_path}/*.gexf", "atom").collect()
     assert [(x.gid, x.v, x.e, x.nodes, [tuple(e) for e in x.edges]) for x in r] == [(12, 2, 1, [1, 0], [(0, 1, 1)])]
     assert formats.read_gexf(spark, f"{tmp_path}/*.gexf").first().nodes == [1, 1]
+    assert [x.name for x in formats.broken_xml(formats._files(spark, f"{tmp_path}/*.gexf")).collect()] == ["13.gexf"]
 
 
 def test_result_truth_index_and_number_files(spark, tmp_path):

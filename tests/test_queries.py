@@ -38,5 +38,5 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["qid", "gid", "h", "sq_l2"]
+    assert __spark_entry__.entry(spark).columns == ["qid", "gid", "ged"]
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
