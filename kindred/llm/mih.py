@@ -191,8 +191,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     spark = vectors.sparkSession
     rows = _usable(vectors)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    most = F.nullif(F.array_max(F.transform("embedding", F.abs)), F.lit(0.0))  # zero vectors are out, but filters have no order
-    length = F.least(most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))), F.lit(MOST))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    # Where squares vanish or overflow the largest entry tells the size well enough.
+    length = F.when((length > 0) & (length < MOST), length).otherwise(F.least(F.array_max(F.transform("embedding", F.abs)), F.lit(MOST)))
     octave = F.floor(F.log2(length)).cast("int")
     sizes = rows.groupBy(F.size("embedding").alias("size"), octave.alias("octave")).agg(F.count("*").alias("n"), F.max(length).alias("top")).collect()  # at most 2200 rows for each number of components
     queries = {r["size"]: r["n"] for r in asked.groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")).collect()}
@@ -205,7 +206,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
             else:
                 classes.append([r])
         for c in classes:
-            own = rows.where((F.size("embedding") == size) & octave.between(c[0]["octave"], c[-1]["octave"]))
+            own = rows.where(F.size("embedding") == size)
+            own = own.where(octave.between(c[0]["octave"], c[-1]["octave"])) if len(classes) > 1 else own
             one = _near(own, asked.where(F.size("embedding") == size), size, sum(r["n"] for r in c), max(r["top"] for r in c), queries[size], k)
             found = one if found is None else found.union(one)
     if found is None:
