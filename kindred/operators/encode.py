@@ -92,7 +92,8 @@ def encode_graph(nodes: list[int], edges: list, w: dict[str, np.ndarray]) -> tup
 def encode(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     """(gid, code, emb): bit i of the code is whether activation i is positive. Empty graphs have null for both.
 
-    Equal structures are encoded once and joined back."""
+    Equal structures are encoded once and joined back, many of an Arrow batch in one product a layer. A null label has no feature;
+    an edge to a vertex that is not there raises ValueError."""
     from .ged import structures
 
     own, of = structures(graphs)
@@ -100,22 +101,100 @@ def encode(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     return of.join(found.withColumnRenamed("gid", "sid"), "sid").select("gid", "code", "emb")
 
 
+class Block:
+    """Several graphs as one: vertices numbered on, and the block-diagonal D^-1/2 (A + I) D^-1/2 as sorted sparse rows."""
+
+    def __init__(self, sizes: np.ndarray, labels: np.ndarray, counts: np.ndarray, src: np.ndarray, dst: np.ndarray):
+        """sizes, counts: vertices (one or more) and edges of each graph; labels, src, dst: those of all graphs in order."""
+        n, self.sizes, self.labels = int(sizes.sum()), sizes, labels
+        self.starts = np.cumsum(sizes) - sizes
+        first, size = np.repeat(self.starts, counts), np.repeat(sizes, counts)
+        if ((src < 0) | (dst < 0) | (src >= size) | (dst >= size)).any():
+            raise ValueError("an edge names a vertex that its graph does not have")
+        s, d, own = src + first, dst + first, np.arange(n, dtype=np.int64) * (n + 1)
+        at = np.unique(np.concatenate([s * n + d, d * n + s, own]))  # each row holds its own place, none is empty
+        row, self.column = np.divmod(at, n)
+        self.rows = np.searchsorted(row, np.arange(n))
+        r = 1 / np.sqrt(np.diff(np.append(self.rows, len(at))))
+        self.weight = (r[row] * r[self.column])[:, None]
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        """The block-diagonal matrix times x."""
+        return np.add.reduceat(self.weight * x[self.column], self.rows, axis=0)
+
+    def pooled(self, w: dict[str, np.ndarray]) -> np.ndarray:
+        """(graphs, sum of CONV): the attention-pooled convolutions, as forward() computes them one by one."""
+        w0, out = w["conv0"], []
+        known = (self.labels >= 0) & (self.labels < len(w0))
+        x = np.where(known[:, None], w0[np.where(known, self.labels, 0)], 0)  # one-hot features times conv0
+        for k in range(len(CONV)):
+            x = np.maximum(self.spread(x if k == 0 else x @ w[f"conv{k}"]), 0)
+            mean = np.add.reduceat(x, self.starts, axis=0) / self.sizes[:, None]
+            h = np.repeat(np.maximum(mean @ w[f"pool{k}"].T, 0), self.sizes, axis=0)
+            share = (1 + np.tanh((x * h).sum(axis=1) / 2)) / 2  # the sigmoid
+            out.append(np.add.reduceat(share[:, None] * x, self.starts, axis=0))
+        return np.concatenate(out, axis=1)
+
+
+def blocks(b: pa.RecordBatch, vertices: int = 4096) -> Iterator[tuple[np.ndarray, Block]]:
+    """(rows, block) of a batch's graphs (nodes, edges), about so many vertices a block; graphs without vertices are in none."""
+
+    def column(name: str) -> tuple[np.ndarray, pa.Array]:
+        lists = b[name]
+        sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+        return sizes, lists.flatten()
+
+    sizes, labels = column("nodes")
+    counts, edges = column("edges")
+    labels = np.asarray(labels.fill_null(-1), dtype=np.int64)
+    src, dst = (np.asarray(edges.field(f), dtype=np.int64) for f in ("src", "dst"))
+    if counts[sizes == 0].any():
+        raise ValueError("an edge names a vertex that its graph does not have")
+    rows = np.flatnonzero(sizes)
+    upto, edge_upto = np.cumsum(sizes), np.cumsum(counts)
+    while len(rows):
+        n = max(1, int(np.searchsorted(upto[rows], upto[rows[0]] - sizes[rows[0]] + vertices, side="right")))
+        now, rows = rows[:n], rows[n:]
+        v = slice(upto[now[0]] - sizes[now[0]], upto[now[-1]])
+        e = slice(edge_upto[now[0]] - counts[now[0]], edge_upto[now[-1]])
+        yield now, Block(sizes[now], labels[v], counts[now], src[e], dst[e])
+
+
+def encode_block(block: Block, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(embeddings, code activations), a row for each graph."""
+    x = block.pooled(w)
+    for k in range(len(DENSE)):
+        x = x @ w[f"dense{k}"]
+        x = np.maximum(x, 0) if k < len(DENSE) - 1 else x
+    return x, 0.5 * np.tanh(np.maximum(x @ w["code0"], 0) @ w["code1"])
+
+
+def listed(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """n lists: those of rows (ascending) hold the rows of values, the others are null."""
+    held = np.zeros(n, dtype=bool)
+    held[rows] = True
+    offsets = np.concatenate([[0], np.cumsum(held * values.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(~held))
+
+
 def _encoded(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     shared = graphs.sparkSession.sparkContext.broadcast(weights)  # fixed by the model's shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            codes, embs = [], []
-            for nodes, edges in zip(b["nodes"].to_pylist(), b["edges"].to_pylist()):
-                if not nodes:
-                    codes.append(None)
-                    embs.append(None)
-                    continue
-                e, c = encode_graph(nodes, [(x["src"], x["dst"]) for x in edges or ()], w)
-                codes.append(int(sum(1 << i for i in np.flatnonzero(c > 0).tolist())))
-                embs.append(e.tolist())
-            yield pa.record_batch([b["gid"], pa.array(codes, pa.int64()), pa.array(embs, pa.list_(pa.float64()))], ["gid", "code", "emb"])
+            rows, embs, acts = [np.zeros(0, np.int64)], [np.zeros((0, EMB))], [np.zeros((0, CODE[-1]))]
+            for now, block in blocks(b):
+                e, c = encode_block(block, w)
+                rows.append(now)
+                embs.append(e)
+                acts.append(c)
+            at = np.concatenate(rows)
+            codes = np.zeros(b.num_rows, np.int64)
+            codes[at] = (np.concatenate(acts) > 0) @ (1 << np.arange(CODE[-1], dtype=np.int64))
+            none = np.ones(b.num_rows, dtype=bool)
+            none[at] = False
+            yield pa.record_batch([b["gid"], pa.array(codes, mask=none), listed(at, np.concatenate(embs), b.num_rows)], ["gid", "code", "emb"])
 
     return graphs.select("gid", "nodes", "edges").mapInArrow(run, "gid long, code long, emb array<double>")
 

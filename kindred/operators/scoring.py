@@ -45,11 +45,10 @@ def graph_vectors(graphs: DataFrame, weights: dict[str, np.ndarray]) -> tuple[Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vecs = [
-                encode.forward(nodes, [(e["src"], e["dst"]) for e in edges or ()], shared.value)["dense"][0].tolist() if nodes else None
-                for nodes, edges in zip(b["nodes"].to_pylist(), b["edges"].to_pylist())
-            ]
-            yield pa.record_batch([b["sid"], b["size"], pa.array(vecs, pa.list_(pa.float64()))], ["sid", "size", "vec"])
+            found = [(now, block.pooled(shared.value)) for now, block in encode.blocks(b)]
+            at = np.concatenate([np.zeros(0, np.int64), *(now for now, _ in found)])
+            vecs = encode.listed(at, np.concatenate([np.zeros((0, DIM)), *(x for _, x in found)]), b.num_rows)
+            yield pa.record_batch([b["sid"], b["size"], vecs], ["sid", "size", "vec"])
 
     return own.select("sid", F.col("v").alias("size"), "nodes", "edges").mapInArrow(run, "sid long, size int, vec array<double>"), of
 

@@ -129,3 +129,42 @@ def test_range_query_is_a_subset_of_the_full_scan(spark):
     assert got <= full and {x for x in full if x[2] == 0} <= got
     with pytest.raises(ValueError):
         range_query(g, q, c, qc, 10)
+
+
+def test_blocks_of_graphs_equal_graphs_one_by_one(spark):
+    import random
+
+    import pyarrow as pa
+    from kindred.operators.graphs import GRAPH
+
+    r, graphs = random.Random(4), []
+    for i in range(60):
+        n = r.choice([0, 1, 2, 7, 40])
+        # loops, repeated and reversed edges, labels beyond the width or null
+        edges = [(r.randrange(n), r.randrange(n), r.randrange(3)) for _ in range(r.randrange(2 * n))] if n else []
+        graphs.append(([r.choice([0, 1, 2, 9, -1, None]) for _ in range(n)], edges + edges[:1]))
+    w = encode.make_weights(3)
+    rows = [{"nodes": n, "edges": [{"src": s, "dst": d} for s, d, _ in e] if e or i % 2 else None} for i, (n, e) in enumerate(graphs)]
+    b = pa.RecordBatch.from_pylist(rows, pa.schema([("nodes", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32())])))]))
+    for vertices in (1, 50, 10_000):
+        seen = []
+        for first in (0, 23):
+            for at, block in encode.blocks(b.slice(first, 23 if first == 0 else None), vertices):
+                emb, act = encode.encode_block(block, w)
+                for i, e, a in zip(at, emb, act):
+                    nodes, edges = graphs[first + i]
+                    want = encode.encode_graph([-1 if x is None else x for x in nodes], edges, w)
+                    assert np.allclose(e, want[0]) and np.allclose(a, want[1])
+                    seen.append(i)
+        assert len(seen) == sum(1 for n, _ in graphs if n)
+    g = spark.createDataFrame([(i, len(n), len(e), n, e) for i, (n, e) in enumerate(graphs)], GRAPH)
+    got = {x.gid: x for x in encode.encode(g, w).collect()}
+    for i, (nodes, edges) in enumerate(graphs):
+        if not nodes:
+            assert got[i].code is None and got[i].emb is None
+            continue
+        e, a = encode.encode_graph([-1 if x is None else x for x in nodes], edges, w)
+        assert np.allclose(got[i].emb, e) and all((got[i].code >> k & 1) == (a[k] > 0) for k in range(32) if abs(a[k]) > 1e-9)
+    with pytest.raises(Exception, match="does not have"):
+        encode.encode(spark.createDataFrame([(1, 1, 1, [0], [(0, 1, 1)])], GRAPH), w).collect()
+    assert encode.encode(g.limit(0), w).collect() == []
