@@ -101,8 +101,12 @@ def encode(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     return of.join(found.withColumnRenamed("gid", "sid"), "sid").select("gid", "code", "emb")
 
 
+SMALL = 64  # vertices up to which graphs of one size are multiplied as dense matrices
+
+
 class Block:
-    """Several graphs as one: vertices numbered on, and the block-diagonal D^-1/2 (A + I) D^-1/2 as sorted sparse rows."""
+    """Several graphs as one: vertices numbered on, and D^-1/2 (A + I) D^-1/2 of each, as a stack of dense matrices where
+    all have the same small size, else block-diagonal as sorted sparse rows."""
 
     def __init__(self, sizes: np.ndarray, labels: np.ndarray, counts: np.ndarray, src: np.ndarray, dst: np.ndarray):
         """sizes, counts: vertices (one or more) and edges of each graph; labels, src, dst: those of all graphs in order."""
@@ -111,6 +115,15 @@ class Block:
         first, size = np.repeat(self.starts, counts), np.repeat(sizes, counts)
         if ((src < 0) | (dst < 0) | (src >= size) | (dst >= size)).any():
             raise ValueError("an edge names a vertex that its graph does not have")
+        self.stack = None
+        if sizes[0] <= SMALL and (sizes == sizes[0]).all():
+            self.stack = np.zeros((len(sizes), sizes[0], sizes[0]))
+            graph, i = np.repeat(np.arange(len(sizes)), counts), np.arange(sizes[0])
+            self.stack[graph, src, dst] = self.stack[graph, dst, src] = 1
+            self.stack[:, i, i] = 1
+            r = 1 / np.sqrt(self.stack.sum(axis=2))
+            self.stack *= r[:, :, None] * r[:, None, :]
+            return
         s, d, own = src + first, dst + first, np.arange(n, dtype=np.int64) * (n + 1)
         at = np.unique(np.concatenate([s * n + d, d * n + s, own]))  # each row holds its own place, none is empty
         row, self.column = np.divmod(at, n)
@@ -120,8 +133,16 @@ class Block:
 
     def spread(self, x: np.ndarray) -> np.ndarray:
         """The block-diagonal matrix times x."""
+        if self.stack is not None:
+            return (self.stack @ x.reshape(*self.stack.shape[:2], -1)).reshape(x.shape)
         return np.add.reduceat(self.weight * x[self.column], self.rows, axis=0)
 
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """The sum of x over each graph's vertices."""
+        if self.stack is not None:
+            return x.reshape(*self.stack.shape[:2], -1).sum(axis=1)
+        return np.add.reduceat(x, self.starts, axis=0)
+
     def pooled(self, w: dict[str, np.ndarray]) -> np.ndarray:
         """(graphs, sum of CONV): the attention-pooled convolutions, as forward() computes them one by one."""
         w0, out = w["conv0"], []
@@ -129,20 +150,24 @@ class Block:
         x = np.where(known[:, None], w0[np.where(known, self.labels, 0)], 0)  # one-hot features times conv0
         for k in range(len(CONV)):
             x = np.maximum(self.spread(x if k == 0 else x @ w[f"conv{k}"]), 0)
-            mean = np.add.reduceat(x, self.starts, axis=0) / self.sizes[:, None]
-            h = np.repeat(np.maximum(mean @ w[f"pool{k}"].T, 0), self.sizes, axis=0)
-            share = (1 + np.tanh((x * h).sum(axis=1) / 2)) / 2  # the sigmoid
-            out.append(np.add.reduceat(share[:, None] * x, self.starts, axis=0))
+            h = np.repeat(np.maximum(self.total(x) / self.sizes[:, None] @ w[f"pool{k}"].T, 0), self.sizes, axis=0)
+            share = (1 + np.tanh(np.einsum("ij,ij->i", x, h) / 2)) / 2  # the sigmoid
+            out.append(self.total(share[:, None] * x))
         return np.concatenate(out, axis=1)
 
 
-def blocks(b: pa.RecordBatch, vertices: int = 4096) -> Iterator[tuple[np.ndarray, Block]]:
-    """(rows, block) of a batch's graphs (nodes, edges), about so many vertices a block; graphs without vertices are in none."""
+def blocks(b: pa.RecordBatch, vertices: int = 1024) -> Iterator[tuple[np.ndarray, Block]]:
+    """(rows, block) of a batch's graphs (nodes, edges), at most so many vertices a block unless one graph has more; small
+    graphs of one size together. Graphs without vertices are in none."""
 
     def column(name: str) -> tuple[np.ndarray, pa.Array]:
         lists = b[name]
-        sizes = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-        return sizes, lists.flatten()
+        return np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64), lists.flatten()
+
+    def places(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of the values of rows' lists, where they are in the flat column."""
+        n = sizes[rows]
+        return np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[rows] - (np.cumsum(n) - n), n)
 
     sizes, labels = column("nodes")
     counts, edges = column("edges")
@@ -150,13 +175,16 @@ def blocks(b: pa.RecordBatch, vertices: int = 4096) -> Iterator[tuple[np.ndarray
     src, dst = (np.asarray(edges.field(f), dtype=np.int64) for f in ("src", "dst"))
     if counts[sizes == 0].any():
         raise ValueError("an edge names a vertex that its graph does not have")
-    rows = np.flatnonzero(sizes)
-    upto, edge_upto = np.cumsum(sizes), np.cumsum(counts)
-    while len(rows):
-        n = max(1, int(np.searchsorted(upto[rows], upto[rows[0]] - sizes[rows[0]] + vertices, side="right")))
-        now, rows = rows[:n], rows[n:]
-        v = slice(upto[now[0]] - sizes[now[0]], upto[now[-1]])
-        e = slice(edge_upto[now[0]] - counts[now[0]], edge_upto[now[-1]])
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    while len(order):
+        size = sizes[order[0]]
+        upto = np.cumsum(sizes[order[: vertices // size + 1]])
+        n = max(1, int(np.searchsorted(upto, vertices, side="right")))
+        if size <= SMALL:
+            n = min(n, int(np.searchsorted(sizes[order[:n]], size, side="right")))
+        now, order = order[:n], order[n:]
+        v, e = places(now, sizes), places(now, counts)
         yield now, Block(sizes[now], labels[v], counts[now], src[e], dst[e])
 
 
@@ -170,11 +198,11 @@ def encode_block(block: Block, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np
 
 
 def listed(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """n lists: those of rows (ascending) hold the rows of values, the others are null."""
+    """n lists: the i-th of rows holds the i-th row of values, others are null."""
     held = np.zeros(n, dtype=bool)
     held[rows] = True
     offsets = np.concatenate([[0], np.cumsum(held * values.shape[1])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(~held))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[np.argsort(rows)].ravel()), mask=pa.array(~held))
 
 
 def _encoded(graphs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:

@@ -139,14 +139,14 @@ def test_blocks_of_graphs_equal_graphs_one_by_one(spark):
 
     r, graphs = random.Random(4), []
     for i in range(60):
-        n = r.choice([0, 1, 2, 7, 40])
+        n = r.choice([0, 1, 2, 7, 40, 70, 80])
         # loops, repeated and reversed edges, labels beyond the width or null
         edges = [(r.randrange(n), r.randrange(n), r.randrange(3)) for _ in range(r.randrange(2 * n))] if n else []
         graphs.append(([r.choice([0, 1, 2, 9, -1, None]) for _ in range(n)], edges + edges[:1]))
     w = encode.make_weights(3)
     rows = [{"nodes": n, "edges": [{"src": s, "dst": d} for s, d, _ in e] if e or i % 2 else None} for i, (n, e) in enumerate(graphs)]
     b = pa.RecordBatch.from_pylist(rows, pa.schema([("nodes", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32())])))]))
-    for vertices in (1, 50, 10_000):
+    for vertices in (1, 50, 90, 10_000):
         seen = []
         for first in (0, 23):
             for at, block in encode.blocks(b.slice(first, 23 if first == 0 else None), vertices):
