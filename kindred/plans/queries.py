@@ -757,11 +757,11 @@ def gxl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_name || '.gxl' AS name, CASE WHEN s_nationkey = 0 THEN 'NO_CLASS' ELSE 'n' || s_nationkey END AS class FROM supplier")
 def cxl_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collections, one of each nation's suppliers, read; the first nation's entries have no class."""
-    kind = F.when(F.col("s_nationkey") == 0, F.lit("")).otherwise(F.concat(F.lit(' class="n'), F.col("s_nationkey").cast("string"), F.lit('"')))
-    entry = F.concat(F.lit('<print file="'), F.col("s_name"), F.lit('.gxl"'), kind, F.lit("/>"))
-    texts = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(entry), "").alias("x"))
-    return formats.cxl_entries(texts.select(F.concat(F.lit("<GraphCollection><p>"), "x", F.lit("</p></GraphCollection>")).alias("value")))
+    """Collections of suppliers written as files and read by their elements; the first nation's entries have no class."""
+    path = scratch_path(spark, "collections")
+    kind = F.when(F.col("s_nationkey") != 0, F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))
+    formats.write_cxl(table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(".gxl")).alias("name"), kind.alias("class")), path)
+    return formats.read_cxl(spark, path)
 
 
 @query(f"WITH {GRAPHS} SELECT * FROM gr")

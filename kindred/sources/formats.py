@@ -7,7 +7,6 @@ that starts anywhere in a file finds the next graph: large files are read by man
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -156,13 +155,14 @@ def first_graphs(graphs: DataFrame, n: int) -> DataFrame:
     return graphs.orderBy("gid").limit(n)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, value): the files of a folder, each as one text."""
     return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value")
 
 
 def read_gexf(spark: SparkSession, path: str, label: str | None = None, words: DataFrame | None = None) -> DataFrame:
     """One graph a file, see gexf_graphs()."""
-    return gexf_graphs(_files(spark, path), label, words)
+    return gexf_graphs(read_texts(spark, path), label, words)
 
 
 def gexf_labels(texts: DataFrame, label: str) -> DataFrame:
@@ -172,19 +172,9 @@ def gexf_labels(texts: DataFrame, label: str) -> DataFrame:
 
 
 def broken_xml(texts: DataFrame) -> DataFrame:
-    """(name, error) of the texts (name, value) that are no XML, which the readers of GEXF leave out: count them before a conversion."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bad = []
-            for name, text in zip(b["name"].to_pylist(), b["value"].to_pylist()):
-                try:
-                    ET.fromstring(text or "")
-                except ET.ParseError as e:
-                    bad.append((name, str(e)))
-            yield pa.record_batch([pa.array([x[0] for x in bad], pa.string()), pa.array([x[1] for x in bad], pa.string())], ["name", "error"])
-
-    return texts.select("name", "value").mapInArrow(run, "name string, error string")
+    """(name, value): the texts that are null or no XML, which the readers of GEXF leave out: count them before a conversion."""
+    bad = F.from_xml("value", "_corrupt_record string", {"ignoreNamespace": "true"})["_corrupt_record"].isNotNull()
+    return texts.where(F.col("value").isNull() | bad).select("name", "value")
 
 
 def gexf_graphs(texts: DataFrame, label: str | None = None, words: DataFrame | None = None) -> DataFrame:
@@ -204,72 +194,91 @@ def gexf_graphs(texts: DataFrame, label: str | None = None, words: DataFrame | N
     return ranked.select("gid", F.size("nodes").alias("v"), F.size("src").alias("e"), "nodes", edges.alias("edges"))
 
 
+# The parts of the formats that are read; a struct within a list may be missing
+GEXF = """graph struct<
+    attributes:array<struct<_class:string,attribute:array<struct<_id:string,_title:string>>>>,
+    nodes:struct<node:array<struct<_id:string,attvalues:struct<attvalue:array<struct<_for:string,_value:string>>>,nodes:string>>>,
+    edges:struct<edge:array<struct<_source:string,_target:string>>>>"""
+KINDS = ("bool", "int", "float", "string", "enum")  # of a GXL attribute's value, its element's name
+_ATTRS = f"attr:array<struct<_name:string,_VALUE:string,{','.join(f'{k}:string' for k in KINDS)}>>"
+GXL = f"_id string, _edgemode string, node array<struct<_id:string,{_ATTRS}>>, edge array<struct<_from:string,_to:string,{_ATTRS}>>"
+
+
 def _gexf(texts: DataFrame, label: str | None) -> DataFrame:
-    schema = pa.schema([("gid", pa.int64()), ("ids", pa.list_(pa.string())), ("labels", pa.list_(pa.string())), ("src", pa.list_(pa.int32())), ("dst", pa.list_(pa.int32()))])
+    """(gid, ids, labels, src, dst). A vertex is found in its graph's list of ids, which is meant for small graphs; vertices
+    inside vertices are refused, and so are edges to a vertex that is not there."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    g = texts.select("name", F.from_xml("value", f"{GEXF}, _corrupt_record string", {"ignoreNamespace": "true"}).alias("x")).where("x is not null and x._corrupt_record is null")
+    nodes = F.coalesce(F.col("x.graph.nodes.node"), none("struct<_id:string,attvalues:struct<attvalue:array<struct<_for:string,_value:string>>>,nodes:string>"))
+    inner = F.exists(nodes, lambda n: n["nodes"].isNotNull())
+    nodes = F.when(inner, F.raise_error(F.concat(F.lit("vertices inside vertices are not read: "), F.col("name")))).otherwise(nodes)
+    about = F.filter(F.coalesce("x.graph.attributes", none("struct<_class:string,attribute:array<struct<_id:string,_title:string>>>")), lambda a: F.coalesce(a["_class"], F.lit("node")) == "node")
+    titles = F.flatten(F.transform(about, lambda a: F.coalesce(a["attribute"], none("struct<_id:string,_title:string>"))))
+    g = g.select("name", nodes.alias("nodes"), titles.alias("titles"), F.coalesce("x.graph.edges.edge", none("struct<_source:string,_target:string>")).alias("edges"))
+    if label is None:
+        labels = F.transform("nodes", lambda n: F.lit("1"))
+    else:
+        meant = F.transform(F.filter("titles", lambda t: t["_title"] == label), lambda t: t["_id"])
+        g = g.withColumns({"meant": meant, "known": F.transform("titles", lambda t: t["_id"])})
+        own = lambda v: F.array_contains("meant", v["_for"]) | ((v["_for"] == label) & ~F.coalesce(F.array_contains("known", v["_for"]), F.lit(False)))
+        labels = F.transform("nodes", lambda n: F.get(F.filter(n["attvalues"]["attvalue"], own), F.lit(0))["_value"])
+    g = g.select("name", F.transform("nodes", lambda n: n["_id"]).alias("ids"), labels.alias("labels"), "edges")
 
-    def local(e: ET.Element) -> str:
-        return e.tag.rpartition("}")[2]
+    def place(x: Column) -> Column:
+        at = F.array_position("ids", x).cast("int")
+        return F.when(at > 0, at - 1).otherwise(F.raise_error(F.concat(F.lit("an edge names a vertex that is not there: "), F.col("name"))).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for name, text in zip(b["name"].to_pylist(), b["value"].to_pylist()):
-                try:
-                    root = ET.fromstring(text)
-                except ET.ParseError:
-                    continue
-                titles = {x.get("id"): x.get("title") for x in root.iter() if local(x) == "attribute"}
-                nodes = [x for x in root.iter() if local(x) == "node"]
-                place = {x.get("id"): i for i, x in enumerate(nodes)}
-                values = [next((y.get("value") for y in x.iter() if local(y) == "attvalue" and titles.get(y.get("for"), y.get("for")) == label), None) if label else "1" for x in nodes]
-                ends = sorted({tuple(sorted((place[x.get("source")], place[x.get("target")]))) for x in root.iter() if local(x) == "edge"})
-                rows.append((int("".join(c for c in name if c.isdigit()) or 0), list(place), values, [s for s, _ in ends], [d for _, d in ends]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
-
-    return texts.select("name", "value").mapInArrow(run, "gid long, ids array<string>, labels array<string>, src array<int>, dst array<int>")
+    ends = F.transform("edges", lambda e: F.struct(place(e["_source"]).alias("s"), place(e["_target"]).alias("t")))
+    pairs = F.array_sort(F.array_distinct(F.transform(ends, lambda e: F.struct(F.least(e["s"], e["t"]).alias("src"), F.greatest(e["s"], e["t"]).alias("dst")))))
+    digits = F.regexp_replace("name", r"\D", "")
+    g = g.select(F.when(digits == "", 0).otherwise(digits.cast("long")).alias("gid"), "ids", "labels", pairs.alias("pairs"))
+    return g.select("gid", "ids", "labels", F.transform("pairs", lambda p: p["src"]).alias("src"), F.transform("pairs", lambda p: p["dst"]).alias("dst"))
 
 
-def read_gxl(spark: SparkSession, path: str) -> DataFrame:
-    """(name, class, directed, nodes, edges) of GXL files; attributes are strings."""
-    return gxl_graphs(_files(spark, path))
+def _attributed(found: DataFrame) -> DataFrame:
+    """(name, class, directed, nodes, edges) of (name, g), g one graph as GXL describes it."""
 
+    def attrs(x: Column) -> Column:
+        value = lambda a: F.trim(F.coalesce(*(a[k] for k in (*KINDS, "_VALUE")), F.lit("")))
+        pairs = F.transform(F.filter(x["attr"], lambda a: a["_name"].isNotNull()), lambda a: F.struct(a["_name"].alias("k"), value(a).alias("v")))
+        return F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<k:string,v:string>>")))
 
-def gxl_graphs(texts: DataFrame) -> DataFrame:
-    """(name, class, directed, nodes, edges) of GXL texts (name, value)."""
-    struct = pa.struct
-    attrs = pa.map_(pa.string(), pa.string())
-    schema = pa.schema([("name", pa.string()), ("class", pa.string()), ("directed", pa.bool_()), ("nodes", pa.list_(struct([("id", pa.string()), ("attrs", attrs)]))), ("edges", pa.list_(struct([("src", pa.string()), ("dst", pa.string()), ("attrs", attrs)])))])
+    nodes = F.transform("g.node", lambda n: F.struct(n["_id"].alias("id"), attrs(n).alias("attrs")))
+    edges = F.transform("g.edge", lambda e: F.struct(e["_from"].alias("src"), e["_to"].alias("dst"), attrs(e).alias("attrs")))
+    kind = {k.split(" ")[0]: k.split(" ")[1] for k in ATTRIBUTED.split(", ")}
+    listed = lambda c, k: F.coalesce(c.cast(kind[k]), F.array().cast(kind[k])).alias(k)
+    directed = F.coalesce(F.col("g._edgemode"), F.lit("undirected")) == "directed"
+    return found.select("name", F.lit(None).cast("string").alias("class"), directed.alias("directed"), listed(nodes, "nodes"), listed(edges, "edges"))
 
-    def values(e: ET.Element) -> list[tuple[str, str]]:
-        return [(a.get("name"), (a[0].text or "").strip() if len(a) else (a.text or "").strip()) for a in e.findall("attr")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for name, text in zip(b["name"].to_pylist(), b["value"].to_pylist()):
-                for g in ET.fromstring(text).iter("graph"):
-                    nodes = [{"id": n.get("id"), "attrs": values(n)} for n in g.findall("node")]
-                    edges = [{"src": e.get("from"), "dst": e.get("to"), "attrs": values(e)} for e in g.findall("edge")]
-                    rows.append((name, None, g.get("edgemode", "undirected") == "directed", nodes, edges))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+def _elements(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    """The elements `tag` of XML files, each file streamed by one task; a broken file fails the job."""
+    return spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True).option("mode", "FAILFAST").schema(schema).load(path)
 
-    return texts.select("name", "value").mapInArrow(run, ATTRIBUTED)
 
+def read_gxl(spark: SparkSession, path: str) -> DataFrame:
+    """(name, class, directed, nodes, edges) of the graphs in GXL files; attributes are strings, an attribute without a value is ''."""
+    own = _elements(spark, path, "graph", GXL)
+    return _attributed(own.select(F.col("_metadata.file_name").alias("name"), F.struct(*own.columns).alias("g")))
 
-def read_cxl(spark: SparkSession, path: str) -> DataFrame:
-    """(name, class) of a collection; a missing class is NO_CLASS."""
-    return cxl_entries(_files(spark, path))
 
+def gxl_graphs(texts: DataFrame) -> DataFrame:
+    """(name, class, directed, nodes, edges) of GXL texts (name, value); a broken text fails the job, a null one has no graph."""
+    fields = GXL.replace(" array", ":array").replace(" string", ":string")
+    found = F.from_xml("value", f"graph array<struct<{fields}>>", {"ignoreNamespace": "true", "mode": "FAILFAST"})
+    return _attributed(texts.select("name", F.explode(found["graph"]).alias("g")))
 
-def cxl_entries(texts: DataFrame) -> DataFrame:
-    """(name, class) of the collections in texts (value)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(p.get("file"), p.get("class") or "NO_CLASS") for text in b["value"].to_pylist() for p in ET.fromstring(text).iter("print")]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["name", "class"])
+def read_cxl(spark: SparkSession, path: str) -> DataFrame:
+    """(name, class) of the entries of collections; a missing class is NO_CLASS."""
+    entry = _elements(spark, path, "print", "_file string, _class string")
+    return entry.select(F.col("_file").alias("name"), F.coalesce(F.nullif("_class", F.lit("")), F.lit("NO_CLASS")).alias("class"))
+
 
-    return texts.select("value").mapInArrow(run, "name string, class string")
+def write_cxl(entries: DataFrame, path: str) -> None:
+    """Entries (name, class) as collections, every part file one of its own; a null class is left away."""
+    own = entries.select(F.col("name").alias("_file"), F.col("class").alias("_class"))
+    own.write.format("xml").option("rowTag", "print").option("rootTag", "GraphCollection").save(path)
 
 
 def collection(graphs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -280,38 +289,23 @@ def collection(graphs: DataFrame, entries: DataFrame) -> DataFrame:
 def gxl_text(graphs: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(name, value): attributed graphs as GXL; an attribute is float, int, bool or string by what its text is.
 
-    Attributes named in ignore are written without their value."""
+    Attributes named in ignore are written without their value; nodes, edges and attributes are in ascending order."""
+    number = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)$"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(parent: ET.Element, attrs: list) -> None:
-            for k, v in sorted(attrs or ()):
-                if k in ignore:
-                    ET.SubElement(parent, "attr", name=k)
-                    continue
-                kind = "bool" if v in ("true", "false") else "int" if v.lstrip("-").isdigit() else "float" if _is_float(v) else "string"
-                ET.SubElement(ET.SubElement(parent, "attr", name=k), kind).text = v
+    def attrs(entries: Column) -> Column:
+        def put(a: Column) -> Column:
+            v = F.when(~a["key"].isin(*ignore), a["value"]) if ignore else a["value"]
+            kind = F.when(v.isin("true", "false"), "bool").when(v.rlike(r"^-?\d+$"), "int").when(v.rlike(number), "float").otherwise("string")
+            return F.struct(a["key"].alias("_name"), *(F.when(kind == k, v).alias(k) for k in ("bool", "int", "float", "string")))
 
-        for b in batches:
-            out = []
-            for name, directed, nodes, edges in zip(*(b[c].to_pylist() for c in ("name", "directed", "nodes", "edges"))):
-                root = ET.Element("gxl")
-                g = ET.SubElement(root, "graph", id=name, edgeids="false", edgemode="directed" if directed else "undirected")
-                for n in sorted(nodes, key=lambda n: n["id"]):
-                    put(ET.SubElement(g, "node", id=n["id"]), n["attrs"])
-                for e in sorted(edges, key=lambda e: (e["src"], e["dst"])):
-                    put(ET.SubElement(g, "edge", {"from": e["src"], "to": e["dst"]}), e["attrs"])
-                out.append(ET.tostring(root, encoding="unicode"))
-            yield pa.record_batch([b["name"], pa.array(out)], ["name", "value"])
-
-    return graphs.select("name", "directed", "nodes", "edges").mapInArrow(run, "name string, value string")
-
-
-def _is_float(s: str) -> bool:
-    try:
-        float(s)
-    except ValueError:
-        return False
-    return True
+        return F.transform(F.array_sort(F.map_entries(entries)), put)
+
+    order = lambda column, *by: F.array_sort(F.transform(column, lambda x: F.struct(*(x[c].alias(c) for c in by), F.map_entries(x["attrs"]).alias("attrs"))))
+    nodes = F.transform(order("nodes", "id"), lambda n: F.struct(n["id"].alias("_id"), attrs(F.map_from_entries(n["attrs"])).alias("attr")))
+    edges = F.transform(order("edges", "src", "dst"), lambda e: F.struct(e["src"].alias("_from"), e["dst"].alias("_to"), attrs(F.map_from_entries(e["attrs"])).alias("attr")))
+    mode = F.when(F.col("directed"), "directed").otherwise("undirected")
+    graph = F.struct(F.col("name").alias("_id"), F.lit("false").alias("_edgeids"), mode.alias("_edgemode"), nodes.alias("node"), edges.alias("edge"))
+    return graphs.select("name", F.to_xml(F.struct(graph.alias("graph")), {"rowTag": "gxl"}).alias("value"))
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -79,7 +79,7 @@ def test_gexf(spark, tmp_path):
     r = formats.read_gexf(spark, f"{tmp_path}/*.gexf", "atom").collect()
     assert [(x.gid, x.v, x.e, x.nodes, [tuple(e) for e in x.edges]) for x in r] == [(12, 2, 1, [1, 0], [(0, 1, 1)])]
     assert formats.read_gexf(spark, f"{tmp_path}/*.gexf").first().nodes == [1, 1]
-    assert [x.name for x in formats.broken_xml(formats._files(spark, f"{tmp_path}/*.gexf")).collect()] == ["13.gexf"]
+    assert [x.name for x in formats.broken_xml(formats.read_texts(spark, f"{tmp_path}/*.gexf")).collect()] == ["13.gexf"]
 
 
 def test_result_truth_index_and_number_files(spark, tmp_path):
@@ -99,3 +99,84 @@ def test_result_truth_index_and_number_files(spark, tmp_path):
     assert n.select(formats.mapping_column(n.x.cast("int"), (5, 6, 7)).alias("h")).collect()[1].h == 7
     m = formats.matrix_values(spark.createDataFrame([(1, 2, 0.5), (0, 1, 1.0)], "src int, tgt int, d double")).collect()
     assert [r.value for r in m] == ["1.00000", "0.50000"]
+
+
+def test_gxl_of_odd_values(spark, tmp_path):
+    node = "array<struct<id:string,attrs:map<string,string>>>"
+    edge = "array<struct<src:string,dst:string,attrs:map<string,string>>>"
+    values = {"a": "-7", "b": "1e3", "c": "true", "d": 'x<&>"y', "e": "", "f": "1.", "g": "nan", "h": "ü 3"}
+    rows = [("g1", True, [("n2", values), ("n1", None)], [("n2", "n1", {}), ("n1", "n2", {"w": "2"})]), ("g0", False, [], None), ("g<2>", False, [("only", {})], [])]
+    g = spark.createDataFrame(rows, f"name string, directed boolean, nodes {node}, edges {edge}")
+    texts = formats.gxl_text(g)
+    back = {r.name: r for r in formats.gxl_graphs(texts).collect()}
+    assert set(back) == {"g1", "g0", "g<2>"} and back["g1"].directed and not back["g0"].directed
+    assert [(n.id, n.attrs) for n in back["g1"].nodes] == [("n1", {}), ("n2", values)]
+    assert [(e.src, e.dst, e.attrs) for e in back["g1"].edges] == [("n1", "n2", {"w": "2"}), ("n2", "n1", {})]
+    assert back["g0"].nodes == [] and back["g0"].edges == [] and back["g<2>"].nodes[0].id == "only"
+    text = texts.where("name = 'g1'").first().value
+    assert all(x in text for x in ("<int>-7</int>", "<float>1e3</float>", "<bool>true</bool>", "<float>1.</float>", "<float>nan</float>", "<string>ü 3</string>"))
+    hidden = formats.gxl_text(g, ignore=("a", "d")).where("name = 'g1'")
+    assert formats.gxl_graphs(hidden).first().nodes[1].attrs == values | {"a": "", "d": ""}
+    more = spark.createDataFrame([("two", '<gxl><graph id="a"><node id="1"><attr name="k">plain</attr></node></graph><graph id="b"/></gxl>'), ("none", None)], "name string, value string")
+    assert sorted((r.name, [n.attrs for n in r.nodes]) for r in formats.gxl_graphs(more).collect()) == [("two", []), ("two", [{"k": "plain"}])]
+    with pytest.raises(Exception, match="MALFORMED"):
+        formats.gxl_graphs(spark.createDataFrame([("x", "<gxl><graph>")], "name string, value string")).collect()
+    (tmp_path / "x.gxl").write_text("<gxl><graph><node></gxl>")
+    with pytest.raises(Exception, match="MALFORMED"):
+        formats.read_gxl(spark, f"{tmp_path}/x.gxl").collect()
+
+
+def test_files_of_many_elements(spark, tmp_path):
+    entry = '<print file="f{0}.gxl" class="k{1}"/>\n'
+    (tmp_path / "all.cxl").write_text('<?xml version="1.0"?>\n<!DOCTYPE x SYSTEM "http://nowhere.invalid/x.dtd">\n<GraphCollection><molecules>\n' + "".join(entry.format(i, i % 3) for i in range(4000)) + "</molecules></GraphCollection>")
+    graph = '<graph id="g{0}" edgemode="directed"><node id="_{0}"><attr name="x"><int>{0}</int></attr></node></graph>\n'
+    (tmp_path / "all.gxl").write_text("<gxl>\n" + "".join(graph.format(i) for i in range(2000)) + "</gxl>")
+    want = sorted((f"f{i}.gxl", f"k{i % 3}") for i in range(4000))
+    entries, graphs = formats.read_cxl(spark, f"{tmp_path}/all.cxl"), formats.read_gxl(spark, f"{tmp_path}/all.gxl")
+    assert sorted(tuple(r) for r in entries.collect()) == want
+    assert sorted(int(r.nodes[0].attrs["x"]) for r in graphs.where("directed").collect()) == list(range(2000))
+    odd = spark.createDataFrame([('a<&">.gxl', None), ("b.gxl", ""), (None, "c")], "name string, class string")
+    formats.write_cxl(entries.union(odd).repartition(3), f"{tmp_path}/again")
+    assert sorted(formats.read_cxl(spark, f"{tmp_path}/again").na.fill("-").collect()) == sorted([*want, ('a<&">.gxl', "NO_CLASS"), ("b.gxl", "NO_CLASS"), ("-", "c")])
+    formats.write_cxl(odd.limit(0), f"{tmp_path}/empty")
+    assert formats.read_cxl(spark, f"{tmp_path}/empty").count() == 0
+
+
+GEXF = '<gexf xmlns="http://x" xmlns:viz="http://y"><graph>{0}<nodes>{1}</nodes><edges>{2}</edges></graph></gexf>'
+
+
+def test_gexf_of_odd_files(spark):
+    about = '<attributes class="node"><attribute id="0" title="atom"/><attribute id="1" title="c"/></attributes><attributes class="edge"><attribute id="0" title="c"/></attributes>'
+    node = '<node id="{0}"><viz:size value="2"/><attvalues><attvalue for="1" value="z"/>{1}</attvalues></node>'
+    nodes = node.format("a", '<attvalue for="0" value="N"/>') + node.format("b", "") + '<node id="c"/>'
+    edges = '<edge source="c" target="a"/><edge source="a" target="c"/><edge source="b" target="b"/>'
+    texts = [("g7.gexf", GEXF.format(about, nodes, edges)), ("8.gexf", GEXF.format("", "", "")), ("x.gexf", "<gexf><graph/></gexf>"), ("9", "no XML"), ("10", None), ("11", "")]
+    df = spark.createDataFrame(texts, "name string, value string")
+    got = {r.gid: (r.v, r.e, r.nodes, [tuple(e) for e in r.edges]) for r in formats.gexf_graphs(df, "atom").collect()}
+    assert got == {7: (3, 2, [0, None, None], [(0, 2, 1), (1, 1, 1)]), 8: (0, 0, [], []), 0: (0, 0, [], [])}
+    assert formats.gexf_graphs(df, "c").where("gid = 7").first().nodes == [0, 0, None]  # the vertices' attribute, not the edges'
+    assert formats.gexf_graphs(df.where("name = 'g7.gexf'")).first().nodes == [1, 1, 1]
+    assert {r.name for r in formats.broken_xml(df).collect()} == {"9", "10", "11"}
+    for nodes, edges, said in (('<node id="a"><nodes><node id="b"/></nodes></node>', "", "inside"), ('<node id="a"/>', '<edge source="a" target="q"/>', "not there")):
+        with pytest.raises(Exception, match=said):
+            formats.gexf_graphs(spark.createDataFrame([("1", GEXF.format("", nodes, edges))], "name string, value string")).collect()
+
+
+def test_folder_to_codes(spark, tmp_path):
+    from kindred.operators import encode
+    from kindred.plans.lifecycle import encode_folder
+
+    node = '<node id="{0}"><attvalues><attvalue for="atom" value="{1}"/></attvalues></node>'
+    for i, labels in enumerate(["CN", "NC", "CC", "O"]):
+        body = "".join(node.format(k, x) for k, x in enumerate(labels))
+        (tmp_path / f"{i}.gexf").write_text(GEXF.format("", body, '<edge source="0" target="1"/>' if len(labels) > 1 else ""))
+    (tmp_path / "9.gexf").write_text("<gexf>")
+    words = spark.createDataFrame([("C", 0), ("N", 1)], "w string, rank int")
+    w = encode.make_weights(2)
+    codes, broken = encode_folder(spark, str(tmp_path), w, "atom", words)
+    got = {r.gid: r for r in codes.collect()}
+    assert set(got) == {0, 1, 2, 3} and [r.name for r in broken.collect()] == ["9.gexf"]
+    want = {0: [0, 1], 1: [1, 0], 2: [0, 0], 3: [-1]}
+    for gid, nodes in want.items():
+        emb, _ = encode.encode_graph(nodes, [(0, 1)] if len(nodes) > 1 else [], w)
+        assert got[gid].emb == pytest.approx(emb.tolist())

@@ -101,3 +101,7 @@ def test_kernel_and_latencies(spark):
     g = frame(spark, [([i % 2, 1], [(0, 1, 1)]) for i in range(6)])
     out = stage_latencies(g, g.where("gid = 0"), lambda x: encode.encode(x, encode.make_weights(2)), [0, 1]).collect()
     assert [r.ub for r in out] == [0, 1] and all(r.total > 0 and r.total == pytest.approx(r.encode + r.search + r.verify) for r in out)
+    assert all(r.encoded == 7 and r.candidates >= r.results >= 3 for r in out)  # three equal graphs are always found
+    assert out[0].results == 3 and out[1].results <= 6
+    none = stage_latencies(g.limit(0), g.limit(0), lambda x: encode.encode(x, encode.make_weights(2)), [1]).first()
+    assert (none.encoded, none.candidates, none.results) == (0, 0, 0)
