@@ -1,11 +1,11 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A document's signature is CHUNKS x WIDE values of 16 bits. Two signatures that differ in at
-most CHUNKS * (ERRORS + 1) - 1 places differ in at most ERRORS places of some chunk (pigeonhole),
-so each chunk is indexed once for every choice of ERRORS places left out: equal remainders meet
-in a bucket. With 12 chunks of 5 and 1 error all pairs within 23 of 60 places are found; sets
-of similarity 0.85 differ in 9 on average, and in more than 23 in about 3 of a million cases
-(0.8: 12, and 3 of 10 000; most copies have more than one link).
+most CHUNKS * (errors + 1) - 1 places differ in at most `errors` places of some chunk (pigeonhole),
+so each chunk is indexed once for every choice of `errors` places left out: equal remainders meet
+in a bucket. With 12 chunks of 5 and 2 errors all pairs within 35 of 60 places are found. A pair of
+similarity 0.85 differs in 9 on average and in more than 35 with probability 2e-15 (0.8: 12, and
+1e-11). One error halves the index: 23 places, missed by 2 pairs of a million at 0.85 and by 3 of 10 000 at 0.8.
 Every candidate is confirmed on its full shingle sets.
 
 Documents with equal sets are one class, of which only a representative is indexed. Each
@@ -37,7 +37,8 @@ from .common import arrow, column, documents, drop, kept_path, slices, written
 from .components import components
 from .shingles import common, mix, odd, shingle_set, signature
 
-CHUNKS, WIDE, ERRORS = 12, 5, 1
+CHUNKS, WIDE = 12, 5
+ERRORS = 2  # places of a chunk that may differ, unless an argument says otherwise
 TILE = 2048
 SPREAD = 1024  # members that one copy of their hub's text is compared with
 
@@ -61,12 +62,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sig binary, text_hash long")
 
 
-def bucket_keys(sigs: np.ndarray) -> np.ndarray:
-    """(documents, keys): a 64-bit key for each chunk and choice of ERRORS places left out."""
+def bucket_keys(sigs: np.ndarray, errors: int = ERRORS) -> np.ndarray:
+    """(documents, keys): a 64-bit key for each chunk and choice of `errors` places left out."""
     out = []
     for c in range(CHUNKS):
         own = sigs[:, c * WIDE : (c + 1) * WIDE].astype(np.uint64)
-        for left in combinations(range(WIDE), ERRORS):
+        for left in combinations(range(WIDE), errors):
             key = np.full(len(sigs), (c << 8) + sum(1 << i for i in left) + 1, np.uint64)
             for i in range(WIDE):
                 if i not in left:
@@ -75,20 +76,20 @@ def bucket_keys(sigs: np.ndarray) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def _keys(reps: DataFrame) -> DataFrame:
+def _keys(reps: DataFrame, errors: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2048):
             sigs = np.frombuffer(b"".join(column(b, "sig")), np.uint16).reshape(b.num_rows, -1)
-            keys = bucket_keys(sigs)
+            keys = bucket_keys(sigs, errors)
             cid = np.repeat(b.column(b.schema.get_field_index("cid")).to_numpy(), keys.shape[1])
             yield pa.record_batch([pa.array(keys.ravel()), pa.array(cid)], ["key", "cid"])
 
     return reps.select("cid", "sig").mapInArrow(run, "key long, cid long")
 
 
-def _live(reps: DataFrame) -> DataFrame:
+def _live(reps: DataFrame, errors: int) -> DataFrame:
     """(key, cid, hub) of the buckets that hold several representatives; hub is the smallest of a bucket."""
-    keys = _keys(reps)
+    keys = _keys(reps, errors)
     buckets = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     return keys.join(buckets, "key").select("key", "cid", "hub")
 
@@ -177,7 +178,7 @@ class _Union(dict):
         return x
 
 
-def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left: np.ndarray, right: np.ndarray, size: int, percent: int) -> list[tuple[int, int]]:
+def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left: np.ndarray, right: np.ndarray, size: int, percent: int, errors: int = ERRORS) -> list[tuple[int, int]]:
     """Links that connect all similar pairs of different labels between rows `left` and rows `right` (each pair once):
     near pairs by signature, the nearest first, confirmed on full sets unless links or labels already connect them."""
     us, vs, ds = [], [], []
@@ -185,7 +186,7 @@ def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray,
         x = left[i : i + 64]
         d = (sigs[x][:, None, :] != sigs[right][None, :, :]).sum(axis=2)
         nx, ny = n[x][:, None], n[right][None, :]
-        ok = (d < CHUNKS * (ERRORS + 1)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (label[x][:, None] != label[right][None, :])
+        ok = (d < CHUNKS * (errors + 1)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (label[x][:, None] != label[right][None, :])
         if left is right:
             ok &= x[:, None] < right[None, :]
         p, q = np.nonzero(ok)
@@ -212,7 +213,7 @@ def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray,
     return out
 
 
-def _links(bodies: DataFrame, clusters: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(bodies: DataFrame, clusters: DataFrame, labels: DataFrame, size: int, percent: int, errors: int) -> DataFrame:
     """(u, v): confirmed links that connect all similar representatives of each cluster that labels do not connect.
 
     A cluster of more than TILE members is dealt by a hash in stripes, and every pair of
@@ -230,7 +231,7 @@ def _links(bodies: DataFrame, clusters: DataFrame, labels: DataFrame, size: int,
         stripe, cid, label, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
         sigs = np.frombuffer(b"".join([r[7] for r in rows]), np.uint16).reshape(len(rows), -1)
         left = np.flatnonzero(stripe == a)
-        return linked(cid, label, n, sigs, [r[8] for r in rows], left, left if a == b else np.flatnonzero(stripe == b), size, percent)
+        return linked(cid, label, n, sigs, [r[8] for r in rows], left, left if a == b else np.flatnonzero(stripe == b), size, percent, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -249,8 +250,12 @@ def _links(bodies: DataFrame, clusters: DataFrame, labels: DataFrame, size: int,
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links are 100 * intersection >= percent * union."""
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, errors: int = ERRORS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links are 100 * intersection >= percent * union.
+
+    errors: places of a chunk that may differ, 0 to WIDE - 1; more find pairs that fewer miss, with more keys."""
+    if not 0 <= errors < WIDE:
+        raise ValueError(f"errors must lie in 0..{WIDE - 1}")
     sigs = written(signatures(docs, size), "signatures")
     named = sigs.where("doc_id is not null")
     # A table of its own, so that the join's large classes can be split between tasks.
@@ -262,7 +267,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     # An id with several sets ties their classes.
     several = members.groupBy("doc_id").agg(F.min("cid").alias("u"), F.max("cid").alias("high")).where("u <> high")
     ties = members.join(several, "doc_id").where("cid <> u").select("u", F.col("cid").alias("v")).distinct()
-    live = written(_live(reps), "live")
+    live = written(_live(reps, errors), "live")
     bodies = written(_bodies(reps, live, docs), "bodies")
     links = written(_hub_links(live, bodies, size, percent).union(ties), "links")
     labels = components(links)
@@ -272,8 +277,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     rest = written(now.join(mixed, "key").select("key", "cid"), "rest")
     if not rest.isEmpty():
         clusters = written(_clusters(rest), "clusters")
-        more = written(_links(bodies, clusters, labels, size, percent).union(links), "links")
+        more = written(_links(bodies, clusters, labels, size, percent, errors).union(links), "links")
+        drop(labels)
         labels = components(more)
+        drop(clusters)
+        drop(more)
+    for done in (rest, links, bodies, live, reps, classes):  # the labels are stored, only members and sigs are read on
+        drop(done)
     grouped = members.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").select("doc_id", "n_shingles", F.coalesce("label", "cid").alias("component_id"))
     alone = sigs.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

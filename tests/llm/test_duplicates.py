@@ -93,16 +93,49 @@ def test_tiles_of_large_clusters_lose_no_link(spark, monkeypatch):
     assert got == groups(rows, 85)
 
 
-def test_signatures_within_the_distance_share_a_bucket():
+@pytest.mark.parametrize("errors", [0, 1, 2, 3])
+def test_signatures_within_the_distance_share_a_bucket(errors):
     rng = np.random.default_rng(2)
     for _ in range(50):
         a = rng.integers(0, 1 << 16, 60).astype(np.uint16)
         b = a.copy()
-        b[rng.choice(60, 23, replace=False)] += 1
-        ka, kb = neardup.bucket_keys(np.stack([a, b]))
+        b[rng.choice(60, 12 * (errors + 1) - 1, replace=False)] += 1
+        ka, kb = neardup.bucket_keys(np.stack([a, b]), errors)
         assert set(ka.tolist()) & set(kb.tolist())
 
 
+def test_more_errors_find_pairs_that_fewer_miss(spark, monkeypatch):
+    """Equal sets but for the signature, which is made to differ in a given number of places."""
+    r, texts = random.Random(8), []
+    for differ in (5, 11, 12, 23, 24, 35, 36):
+        words = prose(100 + differ, 200).split()
+        texts += [(differ, " ".join(words)), (differ, " ".join([*words, f"w{differ}"]))]
+    marks = {text: (k, differ) for k, (differ, text) in enumerate(texts)}
+    assert len(marks) == len(texts)
+    base = [np.array([r.randrange(1 << 16) for _ in range(60)], np.uint16) for _ in texts[::2]]
+    places = [r.sample(range(60), 60) for _ in base]
+
+    def made(docs, size):
+        rows = []
+        for x in docs.collect():
+            k, differ = marks[x.text]
+            sig = base[k // 2].copy()
+            if k % 2:
+                sig[places[k // 2][:differ]] += 1
+            rows.append((x.doc_id, len(sets(x.text)), k, k, bytearray(sig.tobytes())))
+        out = spark.createDataFrame(rows, "doc_id long, n_shingles long, d1 long, d2 long, sig binary")
+        return out.join(docs.select("doc_id", F.xxhash64("text").alias("text_hash")), "doc_id")
+
+    monkeypatch.setattr(neardup, "signatures", made)
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for errors in (1, 2):
+        linked = {x.doc_id // 2 for x in neardup.near_duplicates(df, errors=errors).collect() if not x.kept}
+        surely = {k // 2 for k, (differ, _) in enumerate(texts) if differ < 12 * (errors + 1)}
+        assert linked >= surely
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(df, errors=5)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (200, 150)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
