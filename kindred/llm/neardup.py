@@ -3,9 +3,10 @@
 A document's signature is CHUNKS x WIDE values of 16 bits. Two signatures that differ in at
 most CHUNKS * (errors + 1) - 1 places differ in at most `errors` places of some chunk (pigeonhole),
 so each chunk is indexed once for every choice of `errors` places left out: equal remainders meet
-in a bucket. With 12 chunks of 5 and 2 errors all pairs within 35 of 60 places are found. A pair of
-similarity 0.85 differs in 9 on average and in more than 35 with probability 2e-15 (0.8: 12, and
-1e-11). One error halves the index: 23 places, missed by 2 pairs of a million at 0.85 and by 3 of 10 000 at 0.8.
+in a bucket. With 12 chunks of 5 and 1 error, the default, all pairs within 23 of 60 places are found:
+a pair of similarity 0.85 differs in 9 on average, and in more than 23 in 2 cases of a million (0.8: 12, and 3 of
+10 000; most copies have more than one link). With errors=2 it is 35 places, missed by 2 of 1e15 pairs (0.8: 1e-11),
+for 2.5 times as many rows in buckets.
 Every candidate is confirmed on its full shingle sets.
 
 Documents with equal sets are one class, of which only a representative is indexed. Each
@@ -38,7 +39,7 @@ from .components import components
 from .shingles import common, mix, odd, shingle_set, signature
 
 CHUNKS, WIDE = 12, 5
-ERRORS = 2  # places of a chunk that may differ, unless an argument says otherwise
+ERRORS = 1  # places of a chunk that may differ, unless an argument says otherwise
 TILE = 2048
 SPREAD = 1024  # members that one copy of their hub's text is compared with
 
