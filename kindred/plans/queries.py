@@ -808,9 +808,11 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_results(spark, path).select("qid", F.col("rank").cast("long").alias("rank"), "gid")
 
 
-@query("SELECT CAST(i AS INTEGER) AS pos, round(log2(i + 2), 6) AS x FROM range(32) t(i)")
+@query("SELECT vec_id AS gid, CAST(list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(round(log2(i + 2) * 1000000) AS BIGINT) ELSE 0::BIGINT END)) AS BIGINT) AS weight FROM embeddings")
 def weight_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bit weights written and read again."""
+    """The weight of each embedding's code, in millionths, by bit weights that were written and read again."""
     path = scratch_path(spark, "weights")
     formats.write_numbers(spark.createDataFrame(list(enumerate(C.bit_weights("log", 32))), "pos int, x double"), path)
-    return formats.read_numbers(spark, path).select("pos", r6("x").alias("x"))
+    weights = formats.read_numbers(spark, path).select("pos", F.round(F.col("x") * 1000000).cast("long").alias("w"))  # 32 rows
+    bits = codes(spark, sf_dir, 32).select("gid", F.explode_outer(C.set_bits(F.col("code"), 32)).alias("pos"))
+    return bits.join(F.broadcast(weights), "pos", "left").groupBy("gid").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("weight"))
