@@ -54,9 +54,9 @@ def kendall(adjusted: DataFrame) -> DataFrame:
     return a.join(b, "qid").where("p1 < p2").groupBy("qid").agg((F.sum(F.signum((F.col("r2") - F.col("r1")).cast("double"))) / F.count("*")).alias("tau"))
 
 
-def confusion(pairs: DataFrame, top: int = 11) -> DataFrame:
-    """(ged, ham, n): counts of distances against code distances clamped to top."""
-    return pairs.where(F.col("ged").between(0, top)).groupBy("ged", F.least(F.col("h"), F.lit(top)).alias("ham")).agg(F.count("*").alias("n"))
+def confusion(pairs: DataFrame, top: int = 11, n: str | None = None) -> DataFrame:
+    """(ged, ham, n): counts of distances against code distances clamped to top. n: a column of how many pairs a row stands for."""
+    return pairs.where(F.col("ged").between(0, top)).groupBy("ged", F.least(F.col("h"), F.lit(top)).alias("ham")).agg((F.sum(n) if n else F.count("*")).alias("n"))
 
 
 def mean_squared_error(pairs: DataFrame, limit: float) -> DataFrame:
