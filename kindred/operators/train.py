@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.planner import small_enough
+from ..sources.scratch import written
 from . import augment, encode, ged
 
 Weights = dict[str, np.ndarray]
@@ -264,15 +266,31 @@ class Pool:
         return (out + self.bias) % len(self.graphs)
 
 
+def structure_labels(graphs: DataFrame, batch: str, limit: int, steps: int = ged.STEPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((sid, nodes, edges) of distinct graphs; (batch, gid, sid); (s1, s2, n, ged) with s1 <= s2): n unordered pairs of graphs inside batches have
+    these structures. Distances below limit, else limit; each pair of structures is searched once. All are stored tables."""
+    own, _ = ged.structures(graphs)
+    rows = graphs.select(F.col(batch).alias("batch"), "gid", "nodes", "edges")
+    members = written(rows.join(own.select("sid", "nodes", "edges"), ["nodes", "edges"]).select("batch", "gid", "sid"), "members")
+    per = members.groupBy("batch", "sid").agg(F.count("*").alias("n"))
+    side = lambda k: per.select("batch", F.col("sid").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+    n = F.when(F.col("s1") == F.col("s2"), F.floor(F.col("n1") * (F.col("n1") - 1) / 2)).otherwise(F.col("n1") * F.col("n2"))
+    pairs = written(side(1).join(side(2), "batch").where("s1 <= s2").groupBy("s1", "s2").agg(F.sum(n).alias("n")), "pairs")
+    graph = lambda k: own.select(F.col("sid").alias(f"s{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
+    d = ged.decided(pairs.where("s1 < s2").join(graph(1), "s1").join(graph(2), "s2"), limit - 1, steps)
+    d = d.select("s1", "s2", "n", F.when(F.col("ged") < 0, limit).otherwise(F.col("ged")).cast("int").alias("ged"))
+    return own.select("sid", "nodes", "edges"), members, written(d.union(pairs.where("s1 = s2").select("s1", "s2", "n", F.lit(0).alias("ged"))), "labels")
+
+
 def batch_labels(graphs: DataFrame, batch: str, limit: int, steps: int = ged.STEPS) -> DataFrame:
     """(batch, qid, gid, ged) of all ordered pairs inside each batch: distances below limit, else limit.
 
-    Each unordered pair is searched once; a graph's distance to itself is 0. Batches are small by their meaning."""
-    g = lambda k: graphs.select(F.col(batch).alias("batch"), F.col("gid").alias(f"g{k}"), F.col("nodes").alias(f"nodes{k}"), F.col("edges").alias(f"edges{k}"))
-    d = ged.decided(g(1).join(g(2), "batch").where("g1 < g2"), limit - 1, steps).select("batch", "g1", "g2", F.when(F.col("ged") < 0, limit).otherwise(F.col("ged")).cast("int").alias("ged"))
-    ends = F.array(F.struct(F.col("g1").alias("qid"), F.col("g2").alias("gid")), F.struct(F.col("g2").alias("qid"), F.col("g1").alias("gid")))
-    both = d.select("batch", F.explode(ends).alias("x"), "ged").select("batch", "x.qid", "x.gid", "ged")
-    return both.unionByName(graphs.select(F.col(batch).alias("batch"), F.col("gid").alias("qid"), "gid", F.lit(0).alias("ged")))
+    Each unordered pair of structures is searched once; a graph's distance to itself is 0. Batches are small by their meaning."""
+    _, members, d = structure_labels(graphs, batch, limit, steps)
+    d = d.select(F.col("s1").alias("low"), F.col("s2").alias("high"), "ged")
+    pairs = members.select("batch", F.col("gid").alias("qid"), F.col("sid").alias("s1")).join(members.select("batch", "gid", F.col("sid").alias("s2")), "batch")
+    pairs = pairs.select("batch", "qid", "gid", F.least("s1", "s2").alias("low"), F.greatest("s1", "s2").alias("high"))
+    return pairs.join(F.broadcast(d) if small_enough(d) else d, ["low", "high"]).select("batch", "qid", "gid", "ged")
 
 
 def train_sample(graphs: DataFrame, most: int = 2000, seed: int = 1) -> list[Graph]:
