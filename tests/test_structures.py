@@ -56,3 +56,10 @@ def test_nearest_by_structure_equal_those_of_all_pairs(spark):
     key = lambda r: (r.qid, r.rank, r.gid)
     assert sorted(map(key, near.collect())) == sorted(map(key, want.collect()))
     assert found.count() == 9 and np.isfinite([r.score for r in found.collect()]).all()
+
+
+def test_decided_sends_no_table_of_pairs_through_the_driver(spark):
+    g = copies(spark, 30)
+    p = g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(g.select(F.col("gid").alias("other"), F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2")))
+    d = ged.decided(p.where("gid < other").repartition(2), 3, steps=1)
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString() and d.where("ged is null").count() == 0
