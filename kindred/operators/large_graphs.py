@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
+from ..sources.scratch import written, written_in_buckets
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -25,18 +25,25 @@ def _own(vertices: DataFrame) -> DataFrame:
 
 def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.1, rounds: int = 20) -> DataFrame:
     """(gid, vid, rank): alpha is the chance of a jump; ranks of vertices without edges spread evenly over their graph."""
-    both = both_ways(edges)
+    # Edges and vertices are dealt once by what rounds join on. Vertices without edges of a graph have one rank (lone), so that no sum over them is joined.
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = written_in_buckets(both_ways(edges), "both", ["gid", "src"], buckets)
     degree = both.groupBy("gid", F.col("src").alias("vid")).agg(F.count("*").alias("degree"))
-    n = vertices.groupBy("gid").agg(F.count("*").alias("n"))
-    v = written(_own(vertices).join(degree, ["gid", "vid"], "left").join(n, "gid").select("gid", "vid", "n", F.coalesce("degree", F.lit(0)).alias("degree")), "vertices")
-    rank = written(v.select("gid", "vid", "n", "degree", (1 / F.col("n")).alias("rank")), "rank")
+    own = written(_own(vertices).join(degree, ["gid", "vid"], "left").select("gid", "vid", F.coalesce("degree", F.lit(0)).alias("degree")), "degrees")
+    n = own.groupBy("gid").agg(F.count("*").alias("n"), F.count_if(F.col("degree") == 0).alias("zero"))
+    v = written_in_buckets(own.join(n, "gid").select("gid", "vid", "n", "zero", "degree"), "vertices", ["gid", "vid"], buckets)
+    # a rank is shared by a vertex's edges; lone is the rank of a vertex without any
+    row = lambda value: ("gid", "vid", value.alias("rank"), F.when(F.col("degree") > 0, value / F.col("degree")).alias("share"))
+    lone = 1 / F.col("n")
+    rank = written(v.select(*row(lone)), "rank")
     for _ in range(rounds):
-        sent = rank.where("degree > 0").select("gid", F.col("vid").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-        got = both.join(sent, ["gid", "src"]).groupBy("gid", F.col("dst").alias("vid")).agg(F.sum("share").alias("got"))
-        lost = rank.where("degree = 0").groupBy("gid").agg((F.sum("rank") / F.first("n")).alias("lost"))
-        new = v.join(got, ["gid", "vid"], "left").join(lost, "gid", "left")
-        value = alpha / F.col("n") + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)))
-        rank = written(new.select("gid", "vid", "n", "degree", value.alias("rank")), "rank")
+        sent = rank.where("share is not null").select("gid", F.col("vid").alias("src"), "share")
+        got = both.join(sent.hint("merge"), ["gid", "src"]).groupBy("gid", F.col("dst").alias("vid")).agg(F.sum("share").alias("got"))
+        new = v.join(got.hint("merge"), ["gid", "vid"], "left")
+        spread = F.col("zero") * lone / F.col("n")
+        value = alpha / F.col("n") + (1 - alpha) * (F.coalesce("got", F.lit(0.0)) + spread)
+        rank = written(new.select(*row(value)), "rank")
+        lone = alpha / F.col("n") + (1 - alpha) * spread
     return rank.select("gid", "vid", "rank")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 
 from kindred.functions import columns as C
-from kindred.operators import encode, ged, scoring, train
+from kindred.operators import encode, ged, graphs, large_graphs, scoring, train
 from kindred.operators.graphs import GRAPH
 from kindred.plans import lifecycle
 from pyspark.sql import functions as F
@@ -63,3 +63,19 @@ def test_decided_sends_no_table_of_pairs_through_the_driver(spark):
     p = g.select("gid", F.col("nodes").alias("nodes1"), F.col("edges").alias("edges1")).join(g.select(F.col("gid").alias("other"), F.col("nodes").alias("nodes2"), F.col("edges").alias("edges2")))
     d = ged.decided(p.where("gid < other").repartition(2), 3, steps=1)
     assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString() and d.where("ged is null").count() == 0
+
+
+def test_a_round_of_ranks_moves_ranks_only(spark, monkeypatch):
+    """Edges and vertices stay where they are: a round deals the shares and their sums; ranks equal those of whole rows."""
+    g = copies(spark, 40)
+    plans, real = [], large_graphs.written
+    monkeypatch.setattr(large_graphs, "written", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = large_graphs.pagerank(graphs.vertices(g), graphs.edges(g), rounds=3).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert [p.count("Exchange hashpartitioning") for name, p in plans if name == "rank"][1:] == [2, 2, 2]
+    want = {(r.gid, r.vid): r.rank for r in graphs.pagerank(g, rounds=3).collect()}
+    assert len(got) == len(want) and all(abs(r.rank - want[r.gid, r.vid]) < 1e-12 for r in got)
