@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graphs import GRAPH
+from ..operators.graphs import GRAPH, LITERALS
 from ..operators.order import numbered
 from ..plans.planner import small_enough
 from .scratch import written
@@ -167,7 +167,11 @@ def read_gexf(spark: SparkSession, path: str, label: str | None = None, words: D
 
 def gexf_labels(texts: DataFrame, label: str) -> DataFrame:
     """(w, rank): the distinct values of the attribute `label` and their dense ranks, to be kept for later files."""
-    w = _gexf(texts, label).select(F.explode("labels").alias("w")).where("w is not null").distinct()
+    return _ranks(_gexf(texts, label))
+
+
+def _ranks(raw: DataFrame) -> DataFrame:
+    w = raw.select(F.explode("labels").alias("w")).where("w is not null").distinct()
     return numbered(w, "rank", F.asc("w")).select("w", (F.col("rank") - 1).alias("rank"))
 
 
@@ -186,10 +190,18 @@ def gexf_graphs(texts: DataFrame, label: str | None = None, words: DataFrame | N
     if label is None:
         ranked = raw.select("gid", "src", "dst", F.transform("ids", lambda _: F.lit(1)).alias("nodes"))
     else:
-        words = gexf_labels(texts, label) if words is None else words
-        at = raw.select("gid", F.posexplode("labels").alias("i", "w")).join(F.broadcast(words) if small_enough(words) else words, "w", "left")
-        nodes = at.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("i", F.col("rank").cast("int").alias("rank")))).alias("x"))
-        ranked = raw.join(nodes, "gid", "left").select("gid", "src", "dst", F.coalesce(F.transform("x", lambda s: s["rank"]), F.array().cast("array<int>")).alias("nodes"))
+        if words is None:
+            raw = written(raw, "gexf")  # texts are parsed once, for the words and for the graphs
+            words = _ranks(raw)
+        few = words.select("w", F.col("rank").cast("int").alias("rank")).limit(LITERALS + 1).collect()  # bounded, and then part of the plan
+        if len(few) <= LITERALS:
+            keys, ranks = F.lit([r["w"] for r in few]).cast("array<string>"), F.lit([r["rank"] for r in few]).cast("array<int>")
+            ranked = raw.select("gid", "src", "dst", F.transform("labels", lambda w: F.get(ranks, (F.array_position(keys, w) - 1).cast("int"))).alias("nodes"))
+        else:  # names may have one number, so graphs are told apart by their rows
+            raw = written(raw.withColumn("row", F.monotonically_increasing_id()), "gexf_rows")
+            at = raw.select("row", F.posexplode("labels").alias("i", "w")).join(F.broadcast(words) if small_enough(words) else words, "w", "left")
+            nodes = at.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", F.col("rank").cast("int").alias("rank")))).alias("x"))
+            ranked = raw.join(nodes, "row", "left").select("gid", "src", "dst", F.coalesce(F.transform("x", lambda s: s["rank"]), F.array().cast("array<int>")).alias("nodes"))
     edges = F.transform(F.arrays_zip("src", "dst"), lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), F.lit(1).alias("label")))
     return ranked.select("gid", F.size("nodes").alias("v"), F.size("src").alias("e"), "nodes", edges.alias("edges"))
 
@@ -208,7 +220,9 @@ def _gexf(texts: DataFrame, label: str | None) -> DataFrame:
     """(gid, ids, labels, src, dst). A vertex is found in its graph's list of ids, which is meant for small graphs; vertices
     inside vertices are refused, and so are edges to a vertex that is not there."""
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    g = texts.select("name", F.from_xml("value", f"{GEXF}, _corrupt_record string", {"ignoreNamespace": "true"}).alias("x")).where("x is not null and x._corrupt_record is null")
+    parsed = F.from_xml("value", f"{GEXF}, _corrupt_record string", {"ignoreNamespace": "true"})
+    # exploded, so that the filter stays above it: a filter on the column itself would parse each text once more for each condition
+    g = texts.select("name", F.explode(F.array(parsed)).alias("x")).where("x is not null and x._corrupt_record is null")
     nodes = F.coalesce(F.col("x.graph.nodes.node"), none("struct<_id:string,attvalues:struct<attvalue:array<struct<_for:string,_value:string>>>,nodes:string>"))
     inner = F.exists(nodes, lambda n: n["nodes"].isNotNull())
     nodes = F.when(inner, F.raise_error(F.concat(F.lit("vertices inside vertices are not read: "), F.col("name")))).otherwise(nodes)

@@ -162,6 +162,21 @@ def test_gexf_of_odd_files(spark):
             formats.gexf_graphs(spark.createDataFrame([("1", GEXF.format("", nodes, edges))], "name string, value string")).collect()
 
 
+def test_gexf_texts_are_parsed_once(spark, monkeypatch):
+    node = '<node id="{0}"><attvalues><attvalue for="atom" value="{1}"/></attvalues></node>'
+    texts = [(name, GEXF.format("", "".join(node.format(k, x) for k, x in enumerate(labels)), "")) for name, labels in (("7.gexf", "CN"), ("7b.gexf", "OC"), ("8.gexf", "N"))]
+    df = spark.createDataFrame(texts, "name string, value string")
+    assert formats._gexf(df, "atom")._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
+    want = [(7, [0, 1]), (7, [2, 0]), (8, [1])]  # two names have one number
+    graphs = formats.gexf_graphs(df, "atom")
+    assert "from_xml" not in graphs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.gid, r.nodes) for r in graphs.collect()) == want
+    monkeypatch.setattr(formats, "LITERALS", 2)  # more words than that are joined
+    assert sorted((r.gid, r.nodes) for r in formats.gexf_graphs(df, "atom").collect()) == want
+    words = spark.createDataFrame([("C", 0), ("N", 1)], "w string, rank int")
+    assert sorted(str((r.gid, r.nodes)) for r in formats.gexf_graphs(df, "atom", words).collect()) == ["(7, [0, 1])", "(7, [None, 0])", "(8, [1])"]
+
+
 def test_folder_to_codes(spark, tmp_path):
     from kindred.operators import encode
     from kindred.plans.lifecycle import encode_folder
