@@ -5,7 +5,7 @@ import numpy as np
 from kindred.functions import columns as C
 from kindred.operators import encode, ged, graphs, large_graphs, scoring, train
 from kindred.operators.graphs import GRAPH
-from kindred.plans import lifecycle
+from kindred.plans import lifecycle, queries
 from pyspark.sql import functions as F
 
 
@@ -79,3 +79,18 @@ def test_a_round_of_ranks_moves_ranks_only(spark, monkeypatch):
     assert [p.count("Exchange hashpartitioning") for name, p in plans if name == "rank"][1:] == [2, 2, 2]
     want = {(r.gid, r.vid): r.rank for r in graphs.pagerank(g, rounds=3).collect()}
     assert len(got) == len(want) and all(abs(r.rank - want[r.gid, r.vid]) < 1e-12 for r in got)
+
+
+def test_next_orders_build_paths_once(spark, tmp_path, monkeypatch):
+    """Order 2 has no lines: it has no distance, and order 1's next one is still order 2."""
+    labels = {1: "AB", 3: "A", 4: "AA", 5: "B"}
+    lines = [(k, p, p, p, 1.0, "A" if x == "A" else "R", "F", "2024-01-01") for k, ls in labels.items() for p, x in enumerate(ls)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 7, k) for k in range(1, 6)] + [(6, 8, 1)], "o_orderkey long, o_custkey long, o_orderdate int").write.parquet(f"{tmp_path}/orders.parquet")
+    stored, real = {}, queries.written
+    monkeypatch.setattr(queries, "written", lambda df, name: stored.setdefault(name, df) and real(df, name))
+    got = queries.ged_next_order(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(3, 4, 2), (4, 5, 3)]
+    assert stored["next"].columns == ["gid", "after", "nodes1", "nodes2"]  # edges of a path follow from its length
+    plan = stored["next"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1
