@@ -71,3 +71,15 @@ def test_scores_on_tables_equal_those_of_rows(spark):
     near({(x.gid, x.vid): (x.closeness, x.barycenter) for x in large_graphs.closeness(v, e).collect()}, {k: (x.closeness, x.barycenter) for k, x in rows.items()})
     near({(x.gid, x.vid): (x.hub, x.authority) for x in large_graphs.hits(v, e, 3).collect()}, {k: (x.hub, x.authority) for k, x in rows.items()})
     assert large_graphs.waves(v.where("gid < 0"), e).count() == 0
+
+
+def test_twins_compare_edges_of_vertices_that_meet(spark, monkeypatch):
+    """The ends of a path of three meet, and so do two leaves of a star; edges of other vertices are dealt once and not read into a comparison."""
+    stored, real = {}, graphs.written
+    monkeypatch.setattr(graphs, "written", lambda df, name: stored.setdefault(name, real(df, name)))
+    path = [(i, i + 1, 1) for i in range(50)]
+    made = [([0] * 51, path), ([0] * 3, path[:2]), ([0, 1, 1, 2], [(0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 0, 1)])]  # an edge that repeats
+    g = spark.createDataFrame([(k, len(n), len(e), n, e) for k, (n, e) in enumerate(made)], graphs.GRAPH)
+    got = {(x.gid, x.vid): x.twin for x in graphs.twins(graphs.vertices(g), graphs.edges(g)).collect()}
+    assert got == {(k, i): t for k, (n, e) in enumerate(made) for i, t in enumerate(plain_twins(len(n), n, e))}
+    assert sorted((x.gid, x.vid, x.nb) for x in stored["near"].collect()) == [(1, 0, 1), (1, 2, 1), (2, 1, 0), (2, 2, 0)]
