@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.scratch import scratch_path as new_path
 
 ROWS = 256  # rows handled at once inside a Python worker; texts can be long
+MODEL: dict = {}  # the one word cache that a Python worker keeps, for whichever operator ran there last
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -69,10 +71,22 @@ def arrow(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
 def per_worker(cache: dict, key, make: Callable):
     """An object that a Python worker makes once: models and word caches."""
     if key not in cache:
-        cache.clear()
+        _empty(cache)
         cache[key] = make()
     return cache[key]
 
 
+def _empty(cache: dict) -> None:
+    if cache:
+        cache.clear()
+        gc.collect()  # a model and its caches may hold each other
+
+
+def release() -> None:
+    """Frees the word cache that an earlier operator left in this Python worker, and what Arrow keeps for later."""
+    _empty(MODEL)
+    pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -34,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, column, documents, drop, kept_path, slices, written
+from .common import arrow, column, documents, drop, kept_path, release, slices, written
 from .components import components
 from .shingles import common, mix, odd, shingle_set, signature
 
 CHUNKS, WIDE = 12, 5
 ERRORS = 1  # places of a chunk that may differ, unless an argument says otherwise
 TILE = 2048
+FAR = 255  # a distance that is no candidate's
 SPREAD = 1024  # members that one copy of their hub's text is compared with
 
 
@@ -49,6 +50,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sig", pa.binary()), ("text_hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         factors = odd("minhash", CHUNKS * WIDE)
         for b in slices(batches):
             n, digests, sigs = [], [], []
@@ -79,6 +81,7 @@ def bucket_keys(sigs: np.ndarray, errors: int = ERRORS) -> np.ndarray:
 
 def _keys(reps: DataFrame, errors: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches, 2048):
             sigs = np.frombuffer(b"".join(column(b, "sig")), np.uint16).reshape(b.num_rows, -1)
             keys = bucket_keys(sigs, errors)
@@ -150,6 +153,7 @@ def _hub_links(live: DataFrame, bodies: DataFrame, size: int, percent: int) -> D
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         at, head = None, np.zeros(0, np.uint64)
         for b in slices(batches):
             us, vs = [], []
@@ -172,17 +176,10 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-class _Union(dict):
-    def find(self, x: int) -> int:
-        while (y := self.get(x, x)) != x:
-            self[x] = x = self.get(y, y)
-        return x
-
-
 def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray, texts: list, left: np.ndarray, right: np.ndarray, size: int, percent: int, errors: int = ERRORS) -> list[tuple[int, int]]:
     """Links that connect all similar pairs of different labels between rows `left` and rows `right` (each pair once):
     near pairs by signature, the nearest first, confirmed on full sets unless links or labels already connect them."""
-    us, vs, ds = [], [], []
+    near = np.full((len(left), len(right)), FAR, np.uint8)  # a byte a pair, however many of them are near
     for i in range(0, len(left), 64):
         x = left[i : i + 64]
         d = (sigs[x][:, None, :] != sigs[right][None, :, :]).sum(axis=2)
@@ -190,27 +187,24 @@ def linked(cid: np.ndarray, label: np.ndarray, n: np.ndarray, sigs: np.ndarray,
         ok = (d < CHUNKS * (errors + 1)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (label[x][:, None] != label[right][None, :])
         if left is right:
             ok &= x[:, None] < right[None, :]
-        p, q = np.nonzero(ok)
-        us.append(x[p])
-        vs.append(right[q])
-        ds.append(d[p, q].astype(np.uint8))
-    if not us:
-        return []
-    u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds)
-    order = np.argsort(d, kind="stable")
+        near[i : i + 64] = np.where(ok, d, FAR)
     sets: dict[int, np.ndarray] = {}
-    union, out = _Union(), []
+    part, out = np.unique(label, return_inverse=True)[1], []
 
     def full(i: int) -> np.ndarray:
         if i not in sets:
             sets[i] = shingle_set(texts[i], size)
         return sets[i]
 
-    for i, j in zip(u[order].tolist(), v[order].tolist()):
-        a, b = union.find(int(label[i])), union.find(int(label[j]))
-        if a != b and similar(full(i), full(j), percent):
-            union[a] = b
-            out.append((int(cid[i]), int(cid[j])))
+    for d in np.setdiff1d(near, [FAR]):
+        for i in range(0, len(left), 64):
+            p, q = np.nonzero(near[i : i + 64] == d)
+            x, y = left[i + p], right[q]
+            apart = part[x] != part[y]
+            for a, b in zip(x[apart].tolist(), y[apart].tolist()):
+                if part[a] != part[b] and similar(full(a), full(b), percent):
+                    part[part == part[a]] = part[b]
+                    out.append((int(cid[a]), int(cid[b])))
     return out
 
 
@@ -235,6 +229,7 @@ def _links(bodies: DataFrame, clusters: DataFrame, labels: DataFrame, size: int,
         return linked(cid, label, n, sigs, [r[8] for r in rows], left, left if a == b else np.flatnonzero(stripe == b), size, percent, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
         for b in slices(batches):
             out = []

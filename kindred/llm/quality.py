@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, column, documents, per_worker, slices, written
+from .common import MODEL, arrow, column, documents, per_worker, slices, written
 from .shingles import mix
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
@@ -35,7 +35,6 @@ SAMPLE = 4000  # labelled documents of either kind, at most
 SHARPNESS = 64.0
 CHUNKS = 300_000  # entries that a worker keeps
 BINS, FEW = 4096, 4096
-_CACHE: dict = {}
 
 
 def shape(token: str) -> str:
@@ -59,7 +58,7 @@ class _Hashes(dict):
 
 def grams(text: str | None) -> np.ndarray:
     """Hash buckets of a text's tokens and of its adjacent pairs of tokens."""
-    known = per_worker(_CACHE, "hashes", _Hashes)
+    known = per_worker(MODEL, "hashes", _Hashes)
     h = np.frombuffer(b"".join(map(known.__getitem__, (text or "").split())), ">u8").astype(np.uint64)
     pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     return (np.concatenate([h, pairs]) % np.uint64(BUCKETS)).astype(np.int64)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, drop, slices, written, written_in_buckets
+from .common import column, documents, drop, release, slices, written, written_in_buckets
 from .shingles import mix
 from .suffixes import suffix_array
 
@@ -270,6 +270,7 @@ def make_homes(docs: DataFrame, home_bytes: int = HOME) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out() -> pa.RecordBatch:
@@ -314,6 +315,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches, 1):
             g, several = Home(column(b, "ids")[0], column(b, "texts")[0]).distinct()
             cut = _bounds(g, buckets)
@@ -338,6 +340,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     flags = written(here.mapInArrow(send, "home long, bucket int, low binary, several binary").groupBy("bucket").applyInArrow(meet, "home long, bucket int, flags binary"), "flags")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in slices(batches, 1):
             home, said = Home(column(b, "ids")[0], column(b, "texts")[0]), {r["bucket"]: r["flags"] for r in column(b, "replies")[0] or []}
@@ -398,6 +401,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rest = [c for c in docs.columns if c != text_column and c in back]
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches, 1):
             said = {r["bucket"]: r["data"] for r in column(b, "replies")[0] or []}
             bits = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(said[k], "<u4") for k in sorted(said) if k >= 0)])

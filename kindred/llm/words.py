@@ -87,10 +87,7 @@ class WordIds:
         return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
-_CACHE: dict = {}
-
-
 def word_ids(path: str) -> WordIds:
-    from .common import per_worker
+    from .common import MODEL, per_worker
 
-    return per_worker(_CACHE, path, lambda: WordIds(path))
+    return per_worker(MODEL, path, lambda: WordIds(path))

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
+import weakref
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +139,36 @@ def test_more_errors_find_pairs_that_fewer_miss(spark, monkeypatch):
         neardup.near_duplicates(df, errors=5)
 
 
+def test_memory_of_a_tile_of_near_copies_is_a_byte_a_pair():
+    """Two million near pairs of different labels were held with their rows' numbers, and as lists."""
+    rng = np.random.default_rng(5)
+    texts = [f"one {i} " + " ".join(map(str, range(40))) for i in range(2000)]
+    sigs = np.tile(rng.integers(0, 1 << 16, neardup.CHUNKS * neardup.WIDE, np.uint16), (2000, 1))
+    sigs[np.arange(2000), rng.integers(0, 60, 2000)] += rng.integers(0, 3, 2000, np.uint16)
+    label, n, every = np.arange(2000) * 7 + 5, np.full(2000, 38), np.arange(2000)
+    tracemalloc.start()
+    found = neardup.linked(label, label, n, sigs, texts, every, every, 5, 80)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert len(found) == 1999 and len({v for _, v in found} | {u for u, _ in found}) == 2000
+    assert peak < 40, f"{peak:.0f} MB"
+
+
+def test_words_of_one_operator_do_not_stay_for_the_next():
+    """Word caches of the classifier and of the tokenizer lay side by side in a worker, and beside the tiles."""
+    from kindred.llm import common, quality, words
+
+    first = words.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    assert words.word_ids(public_tokenizers.path("word_bpe_49k.json")) is first
+    kept = weakref.ref(first)
+    del first
+    quality.grams("some words")
+    assert kept() is None
+    kept = weakref.ref(common.MODEL["hashes"])
+    common.release()
+    assert kept() is None
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (200, 150)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
