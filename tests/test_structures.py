@@ -36,6 +36,18 @@ def test_ids_are_expanded_in_chunks(spark, monkeypatch):
     assert ged.chunks(of, "s", "ids").agg(F.max(F.size("ids"))).first()[0] < 25
 
 
+def test_pairs_of_large_classes_are_not_held(spark):
+    """Both explodes in one stage of generated code held the product of two arrays, 16 million rows, before the first went on."""
+    of = spark.range(9000).select(F.col("id").alias("gid"), F.lit(1).cast("long").alias("sid"))
+    out = ged.expanded(spark.createDataFrame([(1, 1, 2)], "s1 long, s2 long, ged int"), of.where("gid < 600"), of)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    first, second = (i for i in range(len(plan)) if plan.startswith("Generate explode", i))
+    assert "Repartition" in plan[first:second] and "false" in plan[first:second].split("Repartition")[1].split("\n")[0]
+    assert ged.chunks(of, "s", "ids", ged.ASKED).agg(F.max(F.size("ids"))).first()[0] < 2 * ged.ASKED
+    got = out.agg(F.count("*"), F.count_distinct("qid"), F.count_distinct("gid"), F.sum("qid"), F.sum("gid"), F.max("ged")).first()
+    assert tuple(got) == (600 * 9000, 600, 9000, 9000 * sum(range(600)), 600 * sum(range(9000)), 2)
+
+
 def test_range_query_verifies_classes(spark, monkeypatch):
     g, seen, real = copies(spark, 90), [], lifecycle.verify
     emb = F.array((F.col("v") / 2).cast("double"), (F.col("e") / 2).cast("double"))
