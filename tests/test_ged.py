@@ -206,3 +206,32 @@ def test_hard_pairs_are_split_until_decided(spark):
 
 def test_degree_gaps():
     assert ged._degree_gap([2, 2, 2], [2, 1, 1]) == 1 and ged._degree_gap([3, 1, 1, 1], [2, 2, 1, 1]) == 2 and ged._degree_gap([], [1, 1]) == 1 and ged._degree_gap([], []) == 0
+
+
+def test_edited_copies_need_no_search(monkeypatch):
+    """A copy with few edits is decided by the bound from below and the mapping in place; every such pair was searched before."""
+    seen, real = [], ged._order
+    monkeypatch.setattr(ged, "_order", lambda *a: seen.append(1) or real(*a))
+    r = random.Random(21)
+    for k in range(40):
+        nodes, edges = molecule(r, 24)
+        other = [8, *nodes[1:], 9]
+        assert ged.edit_distance(nodes, edges, other, edges, 6) == ged.edit_distance(other, edges, nodes, edges, 3) == 2
+        assert ged.edit_distance(nodes, edges, nodes, edges) == 0 and ged.edit_distance(nodes, edges, [*nodes, 0, 0], edges, 1) == -1
+    assert not seen
+    for k in range(60):  # the mapping in place is an upper bound, whatever the graphs
+        a, b = random_graph(r), random_graph(r)
+        s = ged.Search(*a, *b)
+        assert s.start()[0] <= brute(a, b) <= s.in_place() and ged.edit_distance(*a, *b) == brute(a, b)
+
+
+def test_graphs_of_a_batch():
+    import pyarrow as pa
+
+    edge = pa.list_(pa.struct([(x, pa.int32()) for x in ("src", "dst", "label")]))
+    rows = [([1, 2], [{"src": 0, "dst": 1, "label": 7}]), (None, None), ([], []), ([3], [{"src": 0, "dst": 0, "label": None}]), ([4, 5], [])]
+    nodes, edges = pa.array([n for n, _ in rows], pa.list_(pa.int32())), pa.array([e for _, e in rows], edge)
+    b = pa.record_batch([nodes, edges, nodes.take(pa.array([4, 3, 2, 1, 0])), edges.take(pa.array([4, 3, 2, 1, 0]))], ["nodes1", "edges1", "nodes2", "edges2"])
+    want = [((1, 2), ((0, 1, 7),)), ((), ()), ((), ()), ((3,), ((0, 0, None),)), ((4, 5), ())]
+    assert list(ged._graphs(b)) == [(*x, *y) for x, y in zip(want, want[::-1])]
+    assert list(ged._graphs(b.slice(1, 3))) == [(*x, *y) for x, y in zip(want[1:4], want[3:0:-1])]
