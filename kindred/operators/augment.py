@@ -53,8 +53,10 @@ def delete_isolated(rng, nodes, edges, labels: int):
 EDITS = (relabel, insert_edge, delete_edge, insert_vertex, delete_isolated)
 
 
-def similar(graphs: DataFrame, copies: int, most: int, labels: int, seed: int = 3) -> DataFrame:
-    """(gid, copy, ops, v, e, nodes, edges): copies with 1..most random edits; the distance is at most ops."""
+def similar(graphs: DataFrame, copies: int, most: int, labels: int, seed: int = 3, origin: bool = False) -> DataFrame:
+    """(gid, copy, ops, v, e, nodes, edges): copies with 1..most random edits; the distance is at most ops.
+
+    origin adds the graph that each was copied from as (nodes1, edges1): no join has to bring it back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,9 +70,15 @@ def similar(graphs: DataFrame, copies: int, most: int, labels: int, seed: int =
                         ops += done
                     rows.append((gid, c, ops, len(n), len(e), n, [{"src": s, "dst": d, "label": x} for s, d, x in sorted(e)]))
             schema = pa.schema([("gid", pa.int64()), ("copy", pa.int32()), ("ops", pa.int32()), ("v", pa.int32()), ("e", pa.int32()), ("nodes", pa.list_(pa.int32())), ("edges", pa.list_(pa.struct([("src", pa.int32()), ("dst", pa.int32()), ("label", pa.int32())])))])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)], schema=schema)
-
-    return graphs.select("gid", "nodes", "edges").mapInArrow(run, "gid long, copy int, ops int, v int, e int, nodes array<int>, edges array<struct<src:int,dst:int,label:int>>")
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 7, schema)]
+            if origin:
+                each = pa.array(np.repeat(np.arange(b.num_rows), copies))
+                columns += [b["nodes"].take(each), b["edges"].take(each)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*schema.names, *(("nodes1", "edges1") if origin else ())])
+
+    edge = "array<struct<src:int,dst:int,label:int>>"
+    more = f", nodes1 array<int>, edges1 {edge}" if origin else ""
+    return graphs.select("gid", "nodes", "edges").mapInArrow(run, f"gid long, copy int, ops int, v int, e int, nodes array<int>, edges {edge}{more}")
 
 
 def preferential_graphs(spark: SparkSession, n: int, seed: int = 1, sizes: tuple[int, int] = (7, 15), mean: float = 10, most_links: int | None = None) -> DataFrame:

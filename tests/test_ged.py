@@ -235,3 +235,13 @@ def test_graphs_of_a_batch():
     want = [((1, 2), ((0, 1, 7),)), ((), ()), ((), ()), ((3,), ((0, 0, None),)), ((4, 5), ())]
     assert list(ged._graphs(b)) == [(*x, *y) for x, y in zip(want, want[::-1])]
     assert list(ged._graphs(b.slice(1, 3))) == [(*x, *y) for x, y in zip(want[1:4], want[3:0:-1])]
+
+
+def test_copies_bring_their_origin(spark):
+    g = augment.preferential_graphs(spark, 30).repartition(3)
+    c = augment.similar(g, 2, 3, 5, origin=True)
+    old = {(x.gid, x.copy): x for x in augment.similar(g, 2, 3, 5).collect()}
+    own = {x.gid: x for x in g.collect()}
+    rows = c.collect()
+    assert len(rows) == len(old) == 60 and not augment.similar(g.where("gid < 0"), 2, 3, 5, origin=True).count()
+    assert all((x.nodes1, x.edges1) == (own[x.gid].nodes, own[x.gid].edges) and (x.ops, x.nodes, x.edges) == (y.ops, y.nodes, y.edges) for x in rows for y in [old[x.gid, x.copy]])
